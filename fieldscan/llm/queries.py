@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, sharding
+from . import bpe, exact_dedup, histogram, secrets, sharding, toxicity, urls, warc
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the URL filter: host and path, and whether they allow.
+URL_RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
+SPECIAL = {"<|endoftext|>": 50256}
+
+
+def vocabulary() -> dict:
+    """Place and pattern of the public byte-level vocabulary, its special string, as parameters of the coder."""
+    import public_tokenizers
+
+    return {"vocabulary_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": SPECIAL}
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.STRONG))
@@ -36,10 +53,38 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), **vocabulary())
+    return coded.select("doc_id", "n_tokens", bpe.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram.length_histogram(bpe.encode(table(spark, sf_dir, "documents"), **vocabulary(), ids=False, decoded=False))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path, payload=False).where("problem is null")
+    kind = pages.schema["page_id"].dataType
+    return records.select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op6_toxicity": op6_toxicity,
+    "op7_bpe": op7_bpe,
+    "op8_token_counts": op8_token_counts,
+    "op9_warc": op9_warc,
 }
 
 
@@ -82,4 +127,11 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, rid) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op9_warc": f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT *, sha1(t) AS x, row_number() OVER (PARTITION BY t ORDER BY page_id NULLS LAST, rid) AS k,
+  first_value(page_id) OVER (PARTITION BY t ORDER BY page_id NULLS LAST, rid) AS first_id FROM p)
+SELECT page_id, strlen(t) AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('{warc.BASE32}',
+    (((('0x' || substr(x, (i // 4) * 5 + 1, 5))::INT) >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to FROM h""",
 }
