@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, histogram, secrets, sharding, toxicity, urls, warc
+from . import bpe, decontam, exact_dedup, histogram, near_dedup, secrets, sharding, toxicity, urls, warc
 from .common import scratch_path
 
 
@@ -53,6 +53,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rid")
 
@@ -76,15 +80,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
 }
 
 
@@ -120,7 +130,47 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN by_row USING (rid)"""
 
 
+def leaks_sql(docs: str) -> str:
+    """Leaks of the benchmark in the table or subquery ``docs`` (doc_id, rid, text): CTEs that end in ``leaks``."""
+    d, w = decontam, decontam.WINDOW
+    name = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
+
+    def marked(text: str) -> str:
+        named = text
+        for _ in range(2):  # without lookbehind, every second name of a run is left to the second pass
+            named = f"regexp_replace({named}, '{name}', '\\1{d.MARK}name\\2', 'g')"
+        digits = f"regexp_replace({named}, '([0-9])[.,]([0-9])', '\\1{d.POINT}\\2', 'g')"
+        united = f"regexp_replace({digits}, '([0-9]) ?({d.UNITS})\\b', '\\1 {d.MARK}unit\\2', 'g')"
+        numbered = f"regexp_replace({united}, '([0-9][0-9{d.POINT}]*)', ' {d.MARK}num\\1 ', 'g')"
+        return f"CASE WHEN regexp_matches({text}, '[0-9]') THEN {numbered} ELSE {named} END"
+
+    def windows(source: str, keys: str) -> str:
+        return f"""SELECT {keys}, v[i:i + {w - 1}] AS vals, list_transform(v[i:i + {w - 1}], lambda x:
+    CASE WHEN starts_with(x, '{d.MARK}') THEN regexp_extract(x, '{d.MARK}(num|name|unit)') ELSE lower(x) END) AS words
+  FROM (SELECT {keys}, v, unnest(range(1, len(v) - {w - 2})) AS i FROM (SELECT {keys},
+    list_filter(string_split_regex({marked("coalesce(text, '')")}, '{d.SPLIT}'), lambda x: x <> '') AS v FROM {source}))"""
+
+    literals = f"len(list_filter(words, lambda x: NOT starts_with(x, '{d.MARK}')))"
+    return f"""item_windows AS (SELECT * FROM ({windows("benchmark", "item_id")}) WHERE {literals} >= {d.LITERALS}),
+asked AS (SELECT DISTINCT words FROM item_windows),
+seen AS (SELECT DISTINCT rid, doc_id, words, vals FROM ({windows(docs, "rid, doc_id")}) SEMI JOIN asked USING (words)),
+sizes AS (SELECT DISTINCT item_id, words FROM item_windows),
+of_item AS (SELECT item_id, count(*) AS windows FROM sizes GROUP BY 1),
+cover AS (SELECT rid, doc_id, item_id, count(*) AS covered FROM (SELECT DISTINCT rid, doc_id, words FROM seen) JOIN sizes USING (words) GROUP BY ALL),
+pairs AS (SELECT * FROM cover JOIN of_item USING (item_id) WHERE covered >= {d.SHARE} * windows),
+slots AS (SELECT rid, item_id, unnest(i.vals) AS a, unnest(s.vals) AS b FROM (SELECT DISTINCT item_id, words, vals FROM item_windows) i
+  JOIN seen s USING (words) SEMI JOIN pairs USING (rid, item_id)),
+votes AS (SELECT rid, item_id, a, b, count(*) AS n FROM slots WHERE starts_with(a, '{d.MARK}') GROUP BY ALL),
+most AS (SELECT rid, item_id, a, max(n) AS most, sum(n) AS every FROM votes GROUP BY ALL),
+agreed AS (SELECT rid, item_id, CAST(sum(most) AS DOUBLE) / CAST(sum(every) AS DOUBLE) AS agreed FROM most GROUP BY ALL),
+leaks AS (SELECT rid, doc_id, item_id, covered, windows, coalesce(agreed, 1) AS agreement FROM pairs LEFT JOIN agreed USING (rid, item_id)
+  WHERE coalesce(agreed, 1) >= {d.AGREE})"""
+
+
 ORACLE_SQL = {
+    "op10_decontamination": f"""WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+{leaks_sql("numbered")}
+SELECT doc_id, item_id, covered, windows, agreement FROM leaks""",
     "op2_secret_scan": _secrets_sql(),
     "op3_exact_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
