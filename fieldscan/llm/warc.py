@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 RECORDS = 4000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -58,7 +58,8 @@ def with_record_types(pages: DataFrame, id_col: str, url_col: str, payload_col:
     )
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")
     again = rows.where(F.col("n") >= revisit_least).groupBy("content").agg(F.min(order).alias("first"), F.count("*").alias("c"))
-    again = again.where("c > 1").select("content", F.col("first.page_id").alias("first_id"), F.col("first.rid").alias("first_rid"))
+    # written first, so that its real size decides whether the pages have to be shuffled for the join
+    again = cut(again.where("c > 1").select("content", F.col("first.page_id").alias("first_id"), F.col("first.rid").alias("first_rid")), "repeated")
     revisit = F.col("first_rid").isNotNull() & (F.col("first_rid") != F.col("rid"))
     return rows.join(again, "content", "left").select(
         "rid", "page_id", "url", "payload", "n", "digest",
