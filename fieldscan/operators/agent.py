@@ -204,14 +204,14 @@ def recovery_loop(rows: DataFrame, attempts: dict[str, DataFrame], expected_step
         strategy = config.recovery(k)
         if strategy is None:
             break
-        tried = attempts[strategy].select(*keys, F.col("fitness").alias("f"), F.col("rmse").alias("e"), F.col("T").alias("t")) if strategy in attempts else None
+        tried = attempts[strategy].select(*keys, F.col("fitness").alias("f"), F.col("rmse").alias("e"), F.col("T").alias("new_t")) if strategy in attempts else None
         again = now.where("action = 'retry'")
         if tried is None:
-            again = again.withColumns({"f": F.lit(0.0), "e": F.lit(float("inf")), "t": F.col("T")})
+            again = again.withColumns({"f": F.lit(0.0), "e": F.lit(float("inf")), "new_t": F.col("T")})
         else:
             again = again.join(tried, keys, "left")
-        again = again.withColumns({"fitness": F.coalesce("f", F.lit(0.0)), "rmse": F.coalesce("e", F.lit(float("inf"))), "T": F.coalesce("t", "T"),
-                                   "attempts": F.lit(k + 1), "last_strategy": F.lit(strategy)}).drop("f", "e", "t", "action", "reason")
+        again = again.withColumns({"fitness": F.coalesce("f", F.lit(0.0)), "rmse": F.coalesce("e", F.lit(float("inf"))), "T": F.coalesce("new_t", "T"),
+                                   "attempts": F.lit(k + 1), "last_strategy": F.lit(strategy)}).drop("f", "e", "new_t", "action", "reason")
         again = judge(again, expected_step_m, k + 1, config=config).drop("translation_m", "rotation_deg")
         again = again.withColumn("recovered_via", F.when(F.col("action") == "accept", F.lit(strategy)))
         now = now.where("action != 'retry'").unionByName(again)

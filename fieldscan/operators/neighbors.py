@@ -56,14 +56,24 @@ def radius_neighbors(points: DataFrame, radius: float) -> DataFrame:
     return neighbor_pairs(points, points, radius)
 
 
-def knn(points: DataFrame, k: int, start: float = 0.1) -> DataFrame:
+def usual_spacing(points: DataFrame, k: int) -> float:
+    """A radius that holds about k points in a typical frame: one number over all frames."""
+    volume = F.lit(1.0)
+    for c in "xyz":
+        volume = volume * F.greatest(F.max(c) - F.min(c), F.lit(1e-6))
+    one = points.groupBy(*FRAME).agg(F.pow(volume * k / F.count("*"), 1 / 3).alias("s")).agg(F.percentile_approx("s", F.lit(0.5))).first()[0]
+    return float(one or 1.0)
+
+
+def knn(points: DataFrame, k: int, start: float | None = None) -> DataFrame:
     """The k nearest points of the same frame, the point itself included; ties go to the lower id.
 
     Points whose k-th distance exceeds the cell are looked up again with cells twice as wide, until the cell covers
-    the frame. Each round is one job for all frames; the rounds are bounded by the extent over ``start``.
+    the frame. Each round is one job for all frames; the rounds are bounded by the extent over ``start``, which is by
+    default the spacing that the points' density suggests.
     """
     box = points.groupBy(*FRAME).agg(F.sqrt(sum((F.pow(F.max(c) - F.min(c), 2) for c in "xyz"), F.lit(0.0))).alias("extent"))
-    open_points, size, found = points, float(start), []
+    open_points, size, found = points, float(start or usual_spacing(points, k)), []
     rank = F.row_number().over(W.partitionBy(*POINT).orderBy("d2", "o_point_id"))
     while True:
         near = neighbor_pairs(open_points, points, size).select(*POINT, "o_point_id", "d2").withColumn("rank", rank).where(F.col("rank") <= k)
@@ -87,7 +97,7 @@ def knn_hybrid(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
     return radius_neighbors(points, radius).withColumn("rank", rank.cast("long")).where(F.col("rank") <= max_nn)
 
 
-def outlier_statistical(points: DataFrame, nb_neighbors: int, std_ratio: float, start: float = 0.1) -> DataFrame:
+def outlier_statistical(points: DataFrame, nb_neighbors: int, std_ratio: float, start: float | None = None) -> DataFrame:
     """Points whose mean distance to their neighbours is below the frame's mean + std_ratio * sample deviation."""
     mean = knn(points, nb_neighbors, start).groupBy(*POINT).agg(F.avg(F.sqrt("d2")).alias("mean_d"))
     positive = F.when(F.col("mean_d") > 0, F.col("mean_d"))

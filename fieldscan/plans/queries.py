@@ -37,13 +37,18 @@ def query(name: str, needs: tuple[str, ...] | str | None = None, sql: str | None
     return add
 
 
+#: Decimals that end in 5 just behind the last place kept would round either way by an error in the last bit; moved by
+#: so many of its thousandths, they don't.
+OFF_TIES = 3.3
+
+
 def rounded(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
-    """Rounded, and zero without a sign."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), n) + F.lit(0.0) for c in columns})
+    """Rounded, off ties, and zero without a sign."""
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(OFF_TIES * 10.0 ** (-n - 3)), n) + F.lit(0.0) for c in columns})
 
 
 def r(expression: str, n: int = 6) -> str:
-    return f"(round(CAST({expression} AS DOUBLE), {n}) + CAST(0 AS DOUBLE))"
+    return f"(round(CAST({expression} AS DOUBLE) + CAST({OFF_TIES * 10.0 ** (-n - 3)!r} AS DOUBLE), {n}) + CAST(0 AS DOUBLE))"
 
 
 # --- sources
@@ -475,6 +480,665 @@ def _(spark, d):
     return pixels.clip_depth_mad(relation(spark, d, "cloud")).select("sequence_id", "frame_index", "point_id")
 
 
+# --- neighbourhoods
+
+RADIUS, VOXEL = 0.05, 0.037
+ALL_PAIRS = """near AS (SELECT a.sequence_id, a.frame_index, a.point_id, b.point_id AS o_point_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2
+  FROM cloud a JOIN cloud b USING (sequence_id, frame_index))"""
+
+
+def _cloud(spark: SparkSession, d: str) -> DataFrame:
+    return relation(spark, d, "cloud")
+
+
+@query("voxel_downsample", "points", f"""+ lo AS (SELECT {FRAME}, min(x) - {VOXEL} / 2 AS lx, min(y) - {VOXEL} / 2 AS ly, min(z) - {VOXEL} / 2 AS lz FROM points GROUP BY ALL)
+  SELECT {FRAME}, CAST(floor((x - lx) / {VOXEL}::DOUBLE) AS BIGINT) AS ix, CAST(floor((y - ly) / {VOXEL}::DOUBLE) AS BIGINT) AS iy, CAST(floor((z - lz) / {VOXEL}::DOUBLE) AS BIGINT) AS iz,
+  {r("avg(x)")} AS x, {r("avg(y)")} AS y, {r("avg(z)")} AS z, count(*) AS n FROM points JOIN lo USING (sequence_id, frame_index) GROUP BY 1, 2, 3, 4, 5""".replace(f"{VOXEL} / 2", f"{VOXEL / 2}::DOUBLE"))
+def _(spark, d):
+    return rounded(neighbors.voxel_downsample(relation(spark, d, "points"), VOXEL), "x", "y", "z")
+
+
+@query("radius_neighbors", "cloud", f"+ {ALL_PAIRS} SELECT {FRAME}, point_id, o_point_id, {r('d2')} AS d2 FROM near WHERE d2 <= {RADIUS * RADIUS}::DOUBLE")
+def _(spark, d):
+    return rounded(neighbors.radius_neighbors(_cloud(spark, d), RADIUS), "d2").select("sequence_id", "frame_index", "point_id", "o_point_id", "d2")
+
+
+RANK = f"rank AS (SELECT *, row_number() OVER (PARTITION BY {FRAME}, point_id ORDER BY d2, o_point_id) AS rank FROM near)"
+
+
+@query("knn", "cloud", f"+ {ALL_PAIRS}, {RANK} SELECT {FRAME}, point_id, o_point_id, rank, {r('d2')} AS d2 FROM rank WHERE rank <= 5")
+def _(spark, d):
+    return rounded(neighbors.knn(_cloud(spark, d), 5), "d2")
+
+
+@query("knn_hybrid", "cloud", f"+ {ALL_PAIRS}, {RANK} SELECT {FRAME}, point_id, o_point_id, rank FROM rank WHERE rank <= 4 AND d2 <= 0.04::DOUBLE")
+def _(spark, d):
+    return neighbors.knn_hybrid(_cloud(spark, d), 0.2, 4).select("sequence_id", "frame_index", "point_id", "o_point_id", "rank")
+
+
+def statistical(source: str, k: int, ratio: float, out: str) -> str:
+    return f"""near_{out} AS (SELECT a.sequence_id, a.frame_index, a.point_id, b.point_id AS o, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d2 FROM {source} a JOIN {source} b USING (sequence_id, frame_index)),
+  mean_{out} AS (SELECT {FRAME}, point_id, avg(sqrt(d2)) AS m FROM (SELECT *, row_number() OVER (PARTITION BY {FRAME}, point_id ORDER BY d2, o) AS k FROM near_{out}) WHERE k <= {k} GROUP BY ALL),
+  limit_{out} AS (SELECT {FRAME}, avg(m) + {ratio} * coalesce(stddev_samp(m), 0) AS l FROM mean_{out} WHERE m > 0 GROUP BY ALL),
+  {out} AS (SELECT p.* FROM {source} p JOIN mean_{out} m USING (sequence_id, frame_index, point_id) JOIN limit_{out} USING (sequence_id, frame_index) WHERE m > 0 AND m < l)"""
+
+
+@query("outlier_statistical", "cloud", f"+ {statistical('cloud', 10, 0.4, 'good')} SELECT {FRAME}, point_id FROM good")
+def _(spark, d):
+    return neighbors.outlier_statistical(_cloud(spark, d), 10, 0.4).select("sequence_id", "frame_index", "point_id")
+
+
+def sparse(source: str, n: int, radius: float) -> str:
+    return f"""(SELECT a.sequence_id, a.frame_index, a.point_id FROM {source} a JOIN {source} b USING (sequence_id, frame_index)
+  WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= {radius * radius}::DOUBLE GROUP BY ALL HAVING count(*) > {n})"""
+
+
+@query("outlier_radius", "cloud", f"SELECT * FROM {sparse('cloud', 3, 0.15)}")
+def _(spark, d):
+    return neighbors.outlier_radius(_cloud(spark, d), 3, 0.15).select("sequence_id", "frame_index", "point_id")
+
+
+@query("clean_registration", "cloud", f"+ {statistical('cloud', 10, 0.4, 'good')} SELECT * FROM {sparse('good', 4, 0.3)}")
+def _(spark, d):
+    return neighbors.clean_registration(_cloud(spark, d), 10, 0.4, 4, 0.3).select("sequence_id", "frame_index", "point_id")
+
+
+@query("clean_output", "cloud", f"""+ lo AS (SELECT {FRAME}, min(x) - 0.05::DOUBLE AS lx, min(y) - 0.05::DOUBLE AS ly, min(z) - 0.05::DOUBLE AS lz FROM cloud GROUP BY ALL),
+  vox AS (SELECT {FRAME}, row_number() OVER (PARTITION BY {FRAME} ORDER BY x, y, z) AS point_id, x, y, z FROM (SELECT {FRAME}, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cloud JOIN lo USING (sequence_id, frame_index)
+  GROUP BY {FRAME}, floor((x - lx) / 0.1::DOUBLE), floor((y - ly) / 0.1::DOUBLE), floor((z - lz) / 0.1::DOUBLE))), {statistical('vox', 8, 1.5, 'good')}
+  SELECT {FRAME}, count(*) AS n, {r("sum(x)", 4)} AS x FROM good GROUP BY 1, 2""")
+def _(spark, d):
+    out = neighbors.clean_output(_cloud(spark, d), 8, 1.5, 0.1).groupBy("sequence_id", "frame_index").agg(F.count("*").alias("n"), F.sum("x").alias("x"))
+    return rounded(out, "x", n=4)
+
+
+@query("estimate_normals", "cloud", f"SELECT {FRAME}, point_id, true AS unit FROM cloud")
+def _(spark, d):
+    out = neighbors.estimate_normals(_cloud(spark, d), 0.3)
+    length = F.abs(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")) - 1)
+    return out.select("sequence_id", "frame_index", "point_id", (length < 1e-6).alias("unit"))
+
+
+@query("orient_normals", "cloud", f"SELECT {FRAME}, point_id, true AS towards FROM cloud")
+def _(spark, d):
+    out = neighbors.orient_normals(neighbors.estimate_normals(_cloud(spark, d), 0.3))
+    side = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")
+    return out.select("sequence_id", "frame_index", "point_id", (side <= 0).alias("towards"))
+
+
+PAIRS = """frames AS (SELECT DISTINCT sequence_id, frame_index FROM cloud), pairs AS (SELECT sequence_id, frame_index AS source_frame, t AS target_frame FROM
+  (SELECT *, lead(frame_index) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS t FROM frames) WHERE t IS NOT NULL)"""
+MATCHED = f"""{PAIRS}, m AS (SELECT source_frame, target_frame, sequence_id, a.point_id, b.point_id AS o_point_id, a.x, a.y, a.z, b.x AS ox, b.y AS oy, b.z AS oz,
+  (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d2 FROM pairs JOIN cloud a USING (sequence_id) JOIN cloud b USING (sequence_id) WHERE a.frame_index = source_frame AND b.frame_index = target_frame),
+  matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id, source_frame, point_id ORDER BY d2, o_point_id) AS k FROM m WHERE d2 <= 0.04::DOUBLE) WHERE k = 1)"""
+
+
+def _pair_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cloud = _cloud(spark, d)
+    pairs = stored(poses.consecutive_pairs(cloud.select("sequence_id", "frame_index").distinct()), "pairs")
+    return (pairs, *registration.pair_clouds(pairs, cloud))
+
+
+def _correspondence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    _, source, target = _pair_sides(spark, d)
+    return source, neighbors.nn_correspondence(source, target, 0.2, registration.PAIR)
+
+
+@query("nn_correspondence", "cloud", f"+ {MATCHED} SELECT sequence_id, source_frame, target_frame, point_id, o_point_id, {r('d2')} AS d2 FROM matched")
+def _(spark, d):
+    return rounded(_correspondence(spark, d)[1], "d2").select(*registration.PAIR, "point_id", "o_point_id", "d2")
+
+
+@query("registration_score", "cloud", f"""+ {MATCHED} SELECT sequence_id, source_frame, target_frame, {r("coalesce(n, 0) / CAST(n_source AS DOUBLE)")} AS fitness, {r("coalesce(e, 0)")} AS rmse FROM
+  (SELECT sequence_id, source_frame, target_frame, count(*) AS n_source FROM pairs JOIN cloud USING (sequence_id) WHERE frame_index = source_frame GROUP BY ALL) LEFT JOIN
+  (SELECT sequence_id, source_frame, target_frame, count(*) AS n, sqrt(avg(d2)) AS e FROM matched GROUP BY ALL) USING (sequence_id, source_frame, target_frame)""")
+def _(spark, d):
+    source, matched = _correspondence(spark, d)
+    return rounded(neighbors.registration_score(source, matched, registration.PAIR).drop("n_matched"), "fitness", "rmse")
+
+
+@query("color_gradient", "cloud", f"SELECT {FRAME}, point_id, true AS finite FROM cloud")
+def _(spark, d):
+    out = neighbors.color_gradient(neighbors.estimate_normals(_cloud(spark, d), 0.3), 0.3)
+    along = F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz")
+    size = 1 + F.abs("dx") + F.abs("dy") + F.abs("dz")
+    return out.select("sequence_id", "frame_index", "point_id", (F.abs(along) <= 0.01 * size).alias("finite"))
+
+
+# --- registration
+
+
+@query("icp_normal_eq", "cloud", f"""+ {MATCHED}, j AS (SELECT *, y AS j0, -x AS j1, CAST(0 AS DOUBLE) AS j2, z - oz AS res FROM matched)
+  SELECT sequence_id, source_frame, target_frame, count(*) AS n_matched, {r("sum(j0 * j0)")} AS a00, {r("sum(j0 * j1)")} AS a01, {r("sum(j1)")} AS a15, {r("count(*)")} AS a55, {r("sum(-j0 * res)")} AS b0, {r("sum(-res)")} AS b5
+  FROM j GROUP BY 1, 2, 3""")
+def _(spark, d):
+    matched = _correspondence(spark, d)[1].withColumns({"o_nx": F.lit(0.0), "o_ny": F.lit(0.0), "o_nz": F.lit(1.0)})
+    out = registration.icp_normal_eq(matched).select(*registration.PAIR, "n_matched", "a00", "a01", "a15", "a55", "b0", "b5")
+    return rounded(out, "a00", "a01", "a15", "a55", "b0", "b5")
+
+
+def _shifted_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every frame's cloud with a copy of it that is moved by a centimetre: the copy is the target, named -1 - frame."""
+    cloud = _cloud(spark, d)
+    copy = cloud.withColumn("frame_index", -1 - F.col("frame_index")).withColumn("x", F.col("x") + 0.01)
+    pairs = cloud.select("sequence_id", "frame_index").distinct()
+    return pairs.select("sequence_id", F.col("frame_index").alias("source_frame"), (-1 - F.col("frame_index")).alias("target_frame")), cloud.unionByName(copy)
+
+
+def _scores(out: DataFrame) -> DataFrame:
+    return rounded(out.select(*registration.PAIR, "fitness", "rmse", geometry.translation_m(F.col("T")).alias("moved")), "fitness", "rmse", "moved", n=4)
+
+
+@query("icp_point_to_plane")
+def _(spark, d):
+    pairs, both = _shifted_pairs(spark, d)
+    return _scores(registration.icp_point_to_plane(pairs, both, 0.1, 4))
+
+
+@query("icp_colored")
+def _(spark, d):
+    pairs, both = _shifted_pairs(spark, d)
+    return _scores(registration.icp_colored(pairs, both, 0.1, 4))
+
+
+@query("icp_colored_v1")
+def _(spark, d):
+    pairs, both = _shifted_pairs(spark, d)
+    return _scores(registration.icp_colored_v1(pairs, both, 0.1, 4))
+
+
+@query("init_transform", "registrations", "SELECT sequence_id, frame_index, 0.0127::DOUBLE AS moved, CAST(0 AS DOUBLE) AS turned FROM registrations")
+def _(spark, d):
+    t = poses.init_transform(0.0127, 1)
+    return rounded(relation(spark, d, "registrations").select("sequence_id", "frame_index", geometry.translation_m(t).alias("moved"), geometry.rotation_deg(t).alias("turned")), "moved", "turned")
+
+
+@query("recover_tighter_crop")
+def _(spark, d):
+    return pixels.clip_depth_mad(_cloud(spark, d)).groupBy("sequence_id", "frame_index").agg(F.count("*").alias("n"))
+
+
+@query("recover_voxel", "cloud", f"""+ lo AS (SELECT {FRAME}, min(x) - 0.037::DOUBLE AS lx, min(y) - 0.037::DOUBLE AS ly, min(z) - 0.037::DOUBLE AS lz FROM cloud GROUP BY ALL)
+  SELECT {FRAME}, count(DISTINCT (floor((x - lx) / 0.074::DOUBLE), floor((y - ly) / 0.074::DOUBLE), floor((z - lz) / 0.074::DOUBLE))) AS n FROM cloud JOIN lo USING (sequence_id, frame_index) GROUP BY 1, 2""")
+def _(spark, d):
+    return neighbors.voxel_downsample(_cloud(spark, d), max(2 * VOXEL, 1e-4)).groupBy("sequence_id", "frame_index").agg(F.count("*").alias("n"))
+
+
+@query("recover_denoise", "cloud", f"+ {statistical('cloud', 30, 1.5, 'good')} SELECT {FRAME}, count(*) AS n FROM good GROUP BY 1, 2")
+def _(spark, d):
+    return neighbors.outlier_statistical(_cloud(spark, d), 30, 1.5).groupBy("sequence_id", "frame_index").agg(F.count("*").alias("n"))
+
+
+@query("recover_reseed", "registrations", "SELECT sequence_id, frame_index, 0.00127::DOUBLE AS moved FROM registrations WHERE fitness < 0.3")
+def _(spark, d):
+    again = relation(spark, d, "registrations").where("fitness < 0.3")
+    return rounded(again.select("sequence_id", "frame_index", geometry.translation_m(poses.init_transform(0.00127)).alias("moved")), "moved")
+
+
+@query("recover_p2p")
+def _(spark, d):
+    pairs, both = _shifted_pairs(spark, d)
+    return _scores(registration.icp_point_to_plane(pairs, both, 0.2, 2))
+
+
+@query("recovery_order", "registrations", """SELECT sequence_id, frame_index, CASE frame_index % 7 WHEN 0 THEN 'tighter_crop' WHEN 1 THEN 'voxel_downsample' WHEN 2 THEN 'denoise'
+  WHEN 3 THEN 'reseed_init' WHEN 4 THEN 'point_to_plane' END AS strategy FROM registrations""")
+def _(spark, d):
+    rows = relation(spark, d, "registrations").withColumn("attempt", F.col("frame_index") % 7)
+    return agent.recovery_order(rows).select("sequence_id", "frame_index", "strategy")
+
+
+@query("recovery_loop", "registrations", f"""+ g AS (SELECT *, list_filter([0, 1, 2, 3, 4, 5], lambda k: NOT (fitness + 0.1::DOUBLE * k < 0.3 OR rmse - 0.002::DOUBLE * k > 0.015 OR tx > 0.05 OR rot_deg > 10))[1] AS k FROM registrations)
+  SELECT sequence_id, frame_index, CASE WHEN k = 0 THEN 'OK' WHEN k IS NULL THEN 'REJECTED' ELSE 'RECOVERED' END AS status, coalesce(k, 5) AS attempts,
+  CASE WHEN k > 0 THEN ['tighter_crop', 'voxel_downsample', 'denoise', 'reseed_init', 'point_to_plane'][k] END AS recovered_via FROM g""")
+def _(spark, d):
+    rows = relation(spark, d, "registrations").withColumn("T", geometry.rotation_z(F.col("rot_deg"), F.col("tx")))
+    tries = {s: rows.withColumns({"fitness": F.col("fitness") + 0.1 * (k + 1), "rmse": F.col("rmse") - 0.002 * (k + 1)}) for k, s in enumerate(agent.STRATEGIES[:5])}
+    return agent.recovery_loop(rows, tries).select("sequence_id", "frame_index", "status", "attempts", "recovered_via")
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return registration.fpfh(stored(neighbors.estimate_normals(_cloud(spark, d), 0.3), "normals"), 0.08, 100)
+
+
+@query("fpfh")
+def _(spark, d):
+    total = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
+    return rounded(_features(spark, d).select("sequence_id", "frame_index", "point_id", F.size("hist").alias("bins"), total.alias("total")), "total", n=3)
+
+
+@query("feature_match")
+def _(spark, d):
+    pairs = _pair_sides(spark, d)[0]
+    return registration.feature_match(pairs, stored(_features(spark, d), "features"))
+
+
+@query("recover_feature_init")
+def _(spark, d):
+    pairs = _pair_sides(spark, d)[0]
+    matches = stored(registration.feature_match(pairs, stored(_features(spark, d), "features")), "matches")
+    out = registration.recover_feature_init(matches, _cloud(spark, d), 0.1, 100)
+    return out.select(*registration.PAIR, "inliers")
+
+
+# --- agent, poses
+
+
+@query("rotation_magnitude", "registrations", f"SELECT sequence_id, frame_index, {r('rot_deg', 4)} AS rotation_deg FROM registrations")
+def _(spark, d):
+    out = relation(spark, d, "registrations").select("sequence_id", "frame_index", geometry.rotation_deg(geometry.rotation_z(F.col("rot_deg"))).alias("rotation_deg"))
+    return rounded(out, "rotation_deg", n=4)
+
+
+@query("translation_magnitude", "registrations", f"SELECT sequence_id, frame_index, {r('tx')} AS translation_m FROM registrations")
+def _(spark, d):
+    return rounded(relation(spark, d, "registrations").select("sequence_id", "frame_index", geometry.translation_m(geometry.rotation_z(F.col("rot_deg"), F.col("tx"))).alias("translation_m")), "translation_m")
+
+
+@query("median_mad", "registrations", f"""+ m AS (SELECT sequence_id, quantile_cont(fitness, 0.5) AS median FROM registrations GROUP BY 1)
+  SELECT sequence_id, {r("median")} AS median, {r("quantile_cont(abs(fitness - median), 0.5)")} AS mad FROM registrations JOIN m USING (sequence_id) GROUP BY sequence_id, median""")
+def _(spark, d):
+    return rounded(agent.median_mad(relation(spark, d, "registrations"), ["sequence_id"], "fitness"), "median", "mad")
+
+
+def limit(column: str, sign: str) -> str:
+    return f"(list_median(w_{column}) {sign} 3 * list_median(list_transform(w_{column}, lambda q: abs(q - list_median(w_{column})))))"
+
+
+@query("adaptive_thresholds", "registrations", f"""+ w AS (SELECT *, list(fitness) OVER w AS w_fitness, list(rmse) OVER w AS w_rmse, frame_index AS before FROM registrations
+  WINDOW w AS (PARTITION BY sequence_id ORDER BY frame_index ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
+  SELECT sequence_id, frame_index, {r(f"CASE WHEN before >= 8 THEN greatest(0.3, {limit('fitness', '-')}) ELSE 0.3 END")} AS min_fitness,
+  {r(f"CASE WHEN before >= 8 THEN least(0.015, {limit('rmse', '+')}) ELSE 0.015 END")} AS max_rmse FROM w""")
+def _(spark, d):
+    out = agent.adaptive_thresholds(relation(spark, d, "registrations")).select("sequence_id", "frame_index", "min_fitness", "max_rmse")
+    return rounded(out, "min_fitness", "max_rmse")
+
+
+@query("judge", "registrations", """SELECT sequence_id, frame_index, CASE WHEN NOT (a OR b OR c OR e) THEN 'accept' WHEN frame_index % 6 < 5 THEN 'retry' ELSE 'reject' END AS action,
+  concat_ws('; ', CASE WHEN a THEN 'fitness' END, CASE WHEN b THEN 'rmse' END, CASE WHEN c THEN 'translation' END, CASE WHEN e THEN 'rotation' END) AS failing
+  FROM (SELECT *, fitness < 0.3 AS a, rmse > 0.015 AS b, tx > 0.05 AS c, rot_deg > 10 AS e FROM registrations)""")
+def _(spark, d):
+    out = agent.judge(_registrations(spark, d), 0.001, F.col("frame_index") % 6, transform=None)
+    return out.select("sequence_id", "frame_index", "action", F.regexp_replace("reason", "(?<=[a-z]) [^;]*", "").alias("failing"))
+
+
+@query("agent_scan")
+def _(spark, d):
+    return rounded(agent.agent_scan(_registrations(spark, d), 0.001), "min_fitness", "max_rmse")
+
+
+ACCEPTED = "acc AS (SELECT *, NOT (fitness < 0.3 OR rmse > 0.015) AS accepted FROM registrations)"
+
+
+def _accepted(spark: SparkSession, d: str) -> DataFrame:
+    return _registrations(spark, d).withColumn("accepted", ~((F.col("fitness") < 0.3) | (F.col("rmse") > 0.015)))
+
+
+@query("consecutive_rejects", "registrations", f"""+ {ACCEPTED}, i AS (SELECT *, sum(CAST(accepted AS INT)) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS island FROM acc)
+  SELECT sequence_id, frame_index, n AS rejects, n >= 3 AS fallback FROM (SELECT sequence_id, frame_index, CASE WHEN accepted THEN 0 ELSE
+  count(*) FILTER (NOT accepted) OVER (PARTITION BY sequence_id, island ORDER BY frame_index) END AS n FROM i)""")
+def _(spark, d):
+    return agent.consecutive_rejects(_accepted(spark, d)).select("sequence_id", "frame_index", "rejects", "fallback")
+
+
+@query("simple_accept", "registrations", "SELECT sequence_id, frame_index, fitness > 0 OR frame_index < 3 AS accepted FROM registrations")
+def _(spark, d):
+    return agent.simple_accept(relation(spark, d, "registrations")).select("sequence_id", "frame_index", "accepted")
+
+
+@query("target_chain", "registrations", f"""+ {ACCEPTED} SELECT sequence_id, frame_index, last_value(CASE WHEN accepted THEN frame_index END IGNORE NULLS) OVER
+  (PARTITION BY sequence_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM acc""")
+def _(spark, d):
+    return agent.target_chain(_accepted(spark, d)).select("sequence_id", "frame_index", "target")
+
+
+@query("consecutive_pairs", "cloud", f"+ {PAIRS} SELECT * FROM pairs")
+def _(spark, d):
+    return _pair_sides(spark, d)[0]
+
+
+@query("pose_chain", "registrations", f"""+ {ACCEPTED}, a AS (SELECT *, sum(CASE WHEN k = 1 THEN 0 ELSE rot_deg END) OVER (PARTITION BY sequence_id ORDER BY frame_index) AS angle FROM
+  (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) AS k FROM acc WHERE accepted)),
+  b AS (SELECT *, coalesce(lag(angle) OVER (PARTITION BY sequence_id ORDER BY frame_index), 0) AS before FROM a)
+  SELECT sequence_id, frame_index, {r("sum(CASE WHEN k = 1 THEN 0 ELSE tx * cos(radians(before)) END) OVER (PARTITION BY sequence_id ORDER BY frame_index)", 5)} AS px,
+  {r("sum(CASE WHEN k = 1 THEN 0 ELSE tx * sin(radians(before)) END) OVER (PARTITION BY sequence_id ORDER BY frame_index)", 5)} AS py, {r("cos(radians(angle))", 5)} AS c FROM b""")
+def _(spark, d):
+    rows = _accepted(spark, d).where("accepted").withColumn("T", geometry.rotation_z(F.col("rot_deg"), F.col("tx")))
+    out = poses.pose_chain(rows.select("sequence_id", "frame_index", "T"))
+    p = F.col("pose")
+    return rounded(out.select("sequence_id", "frame_index", p[3].alias("px"), p[7].alias("py"), p[0].alias("c")), "px", "py", "c", n=5)
+
+
+@query("kinematic_pose", "registrations", f"SELECT sequence_id, frame_index, {r('frame_index * 0.00127::DOUBLE')} AS place, {r('-frame_index * 0.00127::DOUBLE')} AS back FROM registrations")
+def _(spark, d):
+    out = poses.kinematic_pose(relation(spark, d, "registrations").select("sequence_id", "frame_index"), 0.00127)
+    return rounded(out.select("sequence_id", "frame_index", F.col("pose")[3].alias("place"), F.col("extrinsic")[3].alias("back")), "place", "back")
+
+
+@query("position_pose", "capture", f"+ {ASOF} SELECT sequence_id, frame_index, {r('position_m - first_value(position_m) OVER (PARTITION BY sequence_id ORDER BY frame_index)')} AS place FROM placed")
+def _(spark, d):
+    frames = _frames_at(spark, d)
+    out = poses.position_pose(frames.select("sequence_id", "frame_index"), frames)
+    return rounded(out.select("sequence_id", "frame_index", F.col("pose")[3].alias("place")), "place")
+
+
+@query("step_per_pair", "registrations", f"SELECT sequence_id, frame_index, {r('0.00127::DOUBLE * (1 + sequence_id % 5)')} AS step_m FROM registrations")
+def _(spark, d):
+    step = poses.step_per_pair(F.lit(0.00127), 1 + F.col("sequence_id") % 5)
+    return rounded(relation(spark, d, "registrations").select("sequence_id", "frame_index", step.alias("step_m")), "step_m")
+
+
+@query("preset_params", "frame_files", """SELECT path, CAST(CASE WHEN i THEN 5000 ELSE 1000 END AS DOUBLE) AS depth_scale, CAST(CASE WHEN i THEN 4.0 ELSE 3.5 END AS DOUBLE) AS depth_trunc, CASE WHEN i THEN 30 ELSE 80 END AS max_iter,
+  NOT i AS known_poses FROM (SELECT path, contains(lower(path), 'icl') AS i FROM (SELECT CASE WHEN sequence_id = 'seq_3' THEN replace(path, 'cap', 'ICL') ELSE path END AS path FROM frame_files))""")
+def _(spark, d):
+    path = F.when(F.col("sequence_id") == "seq_3", F.replace("path", F.lit("cap"), F.lit("ICL"))).otherwise(F.col("path"))
+    return poses.preset_params(relation(spark, d, "frame_files").select(path.alias("path"))).select("path", "depth_scale", "depth_trunc", "max_iter", "known_poses")
+
+
+# --- merging and volumes
+
+POSED = """posed AS (SELECT sequence_id, frame_index, radians((frame_index * 7) % 90) AS a, (frame_index % 10) / CAST(100 AS DOUBLE) AS tx FROM (SELECT DISTINCT sequence_id, frame_index FROM cloud))"""
+TURNED = f"""turned AS (SELECT {FRAME}, point_id, cos(a) * x - sin(a) * y + tx AS x, sin(a) * x + cos(a) * y AS y, z FROM cloud JOIN posed USING (sequence_id, frame_index))"""
+
+
+def _posed(spark: SparkSession, d: str) -> DataFrame:
+    frames = _cloud(spark, d).select("sequence_id", "frame_index").distinct()
+    pose = geometry.rotation_z(((F.col("frame_index") * 7) % 90).cast("double"), (F.col("frame_index") % 10) / F.lit(100.0))
+    return frames.withColumn("pose", pose)
+
+
+@query("transform_points", "cloud", f"+ {POSED}, {TURNED} SELECT {FRAME}, point_id, {r('x')} AS x, {r('y')} AS y, {r('z')} AS z FROM turned")
+def _(spark, d):
+    return rounded(poses.transform_points(_cloud(spark, d), _posed(spark, d)).select("sequence_id", "frame_index", "point_id", "x", "y", "z"), "x", "y", "z")
+
+
+@query("merge_clouds", "cloud", f"+ {POSED}, {TURNED} SELECT sequence_id, count(*) AS n, {r('sum(x)', 4)} AS x, {r('sum(y)', 4)} AS y FROM turned WHERE frame_index % 3 <> 0 GROUP BY 1")
+def _(spark, d):
+    merged = poses.merge_clouds(_cloud(spark, d), _posed(spark, d).where("frame_index % 3 != 0"))
+    return rounded(merged.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")), "x", "y", n=4)
+
+
+TSDF = 0.213
+CELL = f"CAST(floor({{c}} / {TSDF}::DOUBLE) AS BIGINT)"
+VOLUME = f"""{MASKED}, frame_at AS (SELECT {FRAME}, (row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) - 1) * 0.01::DOUBLE AS pl FROM (SELECT DISTINCT {FRAME} FROM masked)),
+  pts AS (SELECT {FRAME}, (u - 3.5::DOUBLE) * (depth_raw / 1000::DOUBLE) / 6 + pl AS x, (v - 3.5::DOUBLE) * (depth_raw / 1000::DOUBLE) / 6 AS y, depth_raw / 1000::DOUBLE AS z FROM masked JOIN frame_at USING (sequence_id, frame_index)
+  WHERE depth_raw > 0 AND depth_raw / 1000::DOUBLE < {TRUNC}),
+  own AS (SELECT DISTINCT {FRAME}, {CELL.format(c="x")} AS ix, {CELL.format(c="y")} AS iy, {CELL.format(c="z")} AS iz FROM pts),
+  near AS (SELECT DISTINCT {FRAME}, ix + i AS ix, iy + j AS iy, iz + k AS iz FROM own, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k)),
+  seen AS (SELECT {FRAME}, ix, iy, iz, z, CAST(floor(6 * x / z + 3.5 + 0.5) AS INT) AS u, CAST(floor(6 * y / z + 3.5 + 0.5) AS INT) AS v FROM
+  (SELECT {FRAME}, ix, iy, iz, (ix + 0.5) * {TSDF}::DOUBLE - pl AS x, (iy + 0.5) * {TSDF}::DOUBLE AS y, (iz + 0.5) * {TSDF}::DOUBLE AS z FROM near JOIN frame_at USING (sequence_id, frame_index)) WHERE z > 0),
+  voxels AS (SELECT sequence_id, ix, iy, iz, avg(least(1, sdf / {4 * TSDF}::DOUBLE)) AS tsdf, count(*) AS weight, avg(r / 255::DOUBLE) AS r FROM
+  (SELECT s.*, m.r, m.depth_raw / 1000::DOUBLE - z AS sdf FROM seen s JOIN masked m USING (sequence_id, frame_index, u, v) WHERE m.depth_raw > 0) WHERE sdf >= {-4 * TSDF}::DOUBLE GROUP BY ALL)"""
+
+
+def _voxels(spark: SparkSession, d: str) -> DataFrame:
+    masked = stored(_masked(spark, d), "masked")
+    at = poses.kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), 0.01)
+    points = pixels.project_points(masked, CAMERA, SCALE, TRUNC)
+    return volume.tsdf_integrate(volume.tsdf_candidates(points, at, TSDF, 1), masked, at, CAMERA, TSDF, SCALE)
+
+
+@query("tsdf_integrate", "pixels", f"+ {VOLUME} SELECT sequence_id, ix, iy, iz, {r('tsdf', 5)} AS tsdf, weight, {r('r', 5)} AS r FROM voxels")
+def _(spark, d):
+    return rounded(_voxels(spark, d).drop("g", "b"), "tsdf", "r", n=5)
+
+
+def crossing(axis: str) -> str:
+    shift = " AND ".join(f"b.i{c} = a.i{c}{' + 1' if c == axis else ''}" for c in "xyz")
+    place = ", ".join(f"(a.i{c} + 0.5 + {'a.tsdf / (a.tsdf - b.tsdf)' if c == axis else '0'}) * {TSDF}::DOUBLE AS {c}" for c in "xyz")
+    return f"SELECT a.sequence_id, {place} FROM voxels a JOIN voxels b ON a.sequence_id = b.sequence_id AND {shift} WHERE a.tsdf * b.tsdf < 0"
+
+
+@query("tsdf_extract", "pixels", f"""+ {VOLUME}, s AS ({' UNION ALL '.join(crossing(c) for c in 'xyz')}) SELECT sequence_id, {r('x', 4)} AS x, {r('y', 4)} AS y, {r('z', 4)} AS z FROM s""")
+def _(spark, d):
+    return rounded(volume.tsdf_extract(stored(_voxels(spark, d), "voxels"), TSDF).select("sequence_id", "x", "y", "z"), "x", "y", "z", n=4)
+
+
+@query("reconstruct_tsdf")
+def _(spark, d):
+    out = reconstruct.reconstruct_tsdf(_pixels(spark, d), CAMERA, SCALE, TRUNC, NEAR, TSDF, 0.01, clean=False)
+    return rounded(reconstruct.batch_sequences(out), *[f"{m}_{c}" for m in ("min", "max") for c in "xyz"], n=4)
+
+
+@query("reconstruct_icp")
+def _(spark, d):
+    merged, outcomes = reconstruct.reconstruct_icp(_pixels(spark, d), CAMERA, SCALE, TRUNC, NEAR, 0.15, 2, clean=False)
+    n = merged.groupBy("sequence_id").agg(F.count("*").alias("n_points"))
+    return quality.frame_counters(outcomes).join(n, "sequence_id")
+
+
+@query("reconstruct_simple")
+def _(spark, d):
+    merged, judged = reconstruct.reconstruct_simple(_pixels(spark, d), CAMERA, SCALE, 0.15, 2)
+    n = merged.groupBy("sequence_id").agg(F.count("*").alias("n_points"))
+    return judged.groupBy("sequence_id").agg(F.count_if("accepted").alias("n_accepted")).join(n, "sequence_id")
+
+
+@query("batch_sequences", "points", "SELECT sequence_id, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY 1")
+def _(spark, d):
+    return reconstruct.batch_sequences(relation(spark, d, "points"))
+
+
+@query("outcome_summary", "registrations", f"+ {JUDGED} SELECT sequence_id, status, reason, count(*) AS n_frames FROM judged GROUP BY ALL")
+def _(spark, d):
+    return quality.outcome_summary(_statuses(spark, d))
+
+
+# --- quality
+
+
+@query("depth_validity", "pixels", f"""SELECT {FRAME}, {r("avg(CAST(depth_raw BETWEEN 1 AND 3500 AS INT))")} AS depth_validity, {r("coalesce(quantile_cont(depth_raw, 0.5) FILTER (depth_raw BETWEEN 1 AND 3500), 0)")} AS median_depth
+  FROM pixels GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(quality.depth_validity(_pixels(spark, d), 3500), "depth_validity", "median_depth")
+
+
+@query("depth_profile", "pixels", f"""+ f AS (SELECT {FRAME} FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) - 1 AS pl, count(*) OVER (PARTITION BY sequence_id) AS n
+  FROM (SELECT DISTINCT {FRAME} FROM pixels)) WHERE pl = n // 2), p AS (SELECT *, nullif(depth_raw, 0) AS dd FROM pixels JOIN f USING (sequence_id, frame_index))
+  SELECT {FRAME}, count(dd) AS n_valid, {r("100 * count(dd) / CAST(count(*) AS DOUBLE)")} AS percent, min(dd) AS least, {r("quantile_cont(dd, 0.5)")} AS median, max(dd) AS greatest FROM p GROUP BY 1, 2""")
+def _(spark, d):
+    return rounded(quality.depth_profile(_pixels(spark, d)), "percent", "median")
+
+
+@query("pair_metrics", "cloud", f"""+ {PAIRS}, v AS (SELECT {FRAME}, avg(CAST(depth_raw BETWEEN 1 AND 4000 AS INT)) AS dv, coalesce(quantile_cont(depth_raw, 0.5) FILTER (depth_raw BETWEEN 1 AND 4000), 0) AS md FROM pixels GROUP BY ALL),
+  n AS (SELECT {FRAME}, count(*) AS n_points FROM cloud GROUP BY ALL)
+  SELECT sequence_id, row_number() OVER (PARTITION BY sequence_id ORDER BY source_frame) - 1 AS pair_index, {r("dv")} AS depth_validity, {r("md / 1000")} AS median_depth_m, n_points, 0.5::DOUBLE AS icp_fitness, '' AS error
+  FROM pairs JOIN v USING (sequence_id) JOIN n USING (sequence_id, frame_index) WHERE frame_index = source_frame""")
+def _(spark, d):
+    pairs = _pair_sides(spark, d)[0]
+    scores = pairs.withColumns({"fitness": F.lit(0.5), "rmse": F.lit(0.01), "rotation_deg": F.lit(1.0)})
+    out = quality.pair_metrics(pairs, quality.depth_validity(_pixels(spark, d), 4000), quality.point_count(_cloud(spark, d)), scores)
+    return rounded(out.drop("icp_rmse", "rotation_deg"), "depth_validity", "median_depth_m")
+
+
+@query("quality_aggregate", "pair_metrics", f"+ {LONG}, {AGGREGATED} SELECT sequence_id, metric, {r('mean', 5)} AS mean, {r('median', 5)} AS median, {r('p25', 5)} AS p25, {r('p75', 5)} AS p75 FROM agg")
+def _(spark, d):
+    return rounded(_aggregates(spark, d), "mean", "median", "p25", "p75", n=5)
+
+
+@query("quality_verdict", "pair_metrics", QUALITY + "SELECT * FROM verdicts")
+def _(spark, d):
+    return quality.quality_verdict(_aggregates(spark, d)).withColumn("failing", F.array_join("failing", ", "))
+
+
+@query("quick_check", "pair_metrics", """SELECT sequence_id, pair_index FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY md5('0 ' || sequence_id || ' ' || pair_index), pair_index) AS k FROM pair_metrics) WHERE k <= 15""")
+def _(spark, d):
+    return quality.quick_check(relation(spark, d, "pair_metrics")).select("sequence_id", "pair_index")
+
+
+@query("full_report", "pair_metrics", QUALITY + """SELECT sequence_id, verdict, failing, n_pairs, n_errors FROM verdicts JOIN
+  (SELECT sequence_id, count(*) AS n_pairs, count(*) FILTER (error <> '') AS n_errors FROM pair_metrics GROUP BY 1) USING (sequence_id)""")
+def _(spark, d):
+    return quality.full_report(relation(spark, d, "pair_metrics")).withColumn("failing", F.array_join("failing", ", "))
+
+
+@query("gantry_phase_shift")
+def _(spark, d):
+    return rounded(quality.gantry_phase_shift(_pixels(spark, d), 0, 20), "sx", "sy", "response", n=4)
+
+
+SHIFTS = "shifts AS (SELECT sequence_id, sum(tx) * 100 AS sx, sum(rot_deg) / 40 - 1 AS sy FROM registrations GROUP BY 1), depth AS (SELECT sequence_id, quantile_cont(1000 * fitness + 200, 0.5) AS md FROM registrations GROUP BY 1)"
+STEPS = f"""{SHIFTS}, steps AS (SELECT sequence_id, CASE WHEN x THEN 'X' ELSE 'Y' END AS axis, px, abs(px) * md / 1000 / CASE WHEN x THEN 600 ELSE 610 END AS step_m, CASE WHEN px >= 0 THEN 1 ELSE -1 END AS direction FROM
+  (SELECT sequence_id, md, abs(sx) >= abs(sy) AS x, CASE WHEN abs(sx) >= abs(sy) THEN sx ELSE sy END / 50 AS px FROM shifts JOIN depth USING (sequence_id)))"""
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(spark, d, "registrations")
+    shifts = rows.groupBy("sequence_id").agg((F.sum("tx") * 100).alias("sx"), (F.sum("rot_deg") / 40 - 1).alias("sy"))
+    depth = rows.groupBy("sequence_id").agg(F.percentile(1000 * F.col("fitness") + 200, F.lit(0.5)).alias("median_depth"))
+    return quality.gantry_axis_step(shifts, depth, 600.0, 610.0)
+
+
+@query("gantry_axis_step", "registrations", f"+ {STEPS} SELECT sequence_id, axis, {r('px', 5)} AS px_per_frame, {r('step_m', 5)} AS step_m, direction FROM steps")
+def _(spark, d):
+    return rounded(_steps(spark, d), "px_per_frame", "step_m", n=5)
+
+
+@query("gantry_step_check", "registrations", f"+ {STEPS} SELECT sequence_id, {r('step_m / (0.038::DOUBLE / 30)', 4)} AS ratio, step_m / (0.038::DOUBLE / 30) > 1.5 OR step_m / (0.038::DOUBLE / 30) < 0.5 AS suspect FROM steps")
+def _(spark, d):
+    return rounded(quality.gantry_step_check(_steps(spark, d)).select("sequence_id", "ratio", "suspect"), "ratio", n=4)
+
+
+@query("point_count", "points", f"SELECT {FRAME}, count(*) AS n_points FROM points GROUP BY 1, 2")
+def _(spark, d):
+    return quality.point_count(relation(spark, d, "points"))
+
+
+@query("frame_counters", "registrations", f"+ {JUDGED} SELECT sequence_id, count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status <> 'OK') AS n_failed FROM judged GROUP BY 1")
+def _(spark, d):
+    return quality.frame_counters(_statuses(spark, d))
+
+
+@query("fitness_band", "registrations", "SELECT sequence_id, frame_index, CASE WHEN fitness >= 0.5 THEN 'green' WHEN fitness >= 0.1 THEN 'orange' ELSE 'red' END AS band FROM registrations")
+def _(spark, d):
+    return relation(spark, d, "registrations").select("sequence_id", "frame_index", quality.fitness_band(F.col("fitness")).alias("band"))
+
+
+# --- streams
+
+
+def streamed(df: DataFrame, operator, mode: str = "append") -> DataFrame:
+    """What a streaming operator gives when the rows of ``df`` arrive as files, all that are there at the start."""
+    import uuid
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, name = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}", f"out_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = operator(spark.readStream.schema(df.schema).parquet(path))
+    if mode == "append":
+        running = out.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-state").outputMode(mode)
+    else:
+        running = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}-state").outputMode(mode)
+    running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}-out") if mode == "append" else spark.table(name)
+
+
+@query("position_asof", "capture", f"+ {ASOF} SELECT sequence_id, event_id, frame_index, position_m FROM placed")
+def _(spark, d):
+    return _frames_at(spark, d).drop("ts")
+
+
+@query("stream_position_asof", "capture", f"+ {ASOF} SELECT sequence_id, event_id, frame_index, position_m FROM placed")
+def _(spark, d):
+    events = relation(spark, d, "capture").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streamed(events.repartition("sequence_id"), capture.stream_position_asof).drop("ts")
+
+
+@query("stream_frames", "pixels", f"SELECT DISTINCT CAST(sequence_id AS VARCHAR) AS sequence_id, frame_index FROM pixels")
+def _(spark, d):
+    """The frames' files arrive as rows; both images are joined by frame within the watermark."""
+    frames = _encoded(spark, d).withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1_000_000))
+
+    def joined(stream: DataFrame) -> DataFrame:
+        side = lambda c: stream.select("sequence_id", "frame_index", c, F.col("ts").alias(f"{c}_time")).withWatermark(f"{c}_time", capture.LATENESS)
+        depth = side("depth").withColumnsRenamed({"sequence_id": "s", "frame_index": "f"})
+        near = F.expr(f"depth_time BETWEEN rgb_time - INTERVAL {capture.LATENESS} AND rgb_time + INTERVAL {capture.LATENESS}")
+        return side("rgb").join(depth, (F.col("sequence_id") == F.col("s")) & (F.col("frame_index") == F.col("f")) & near).select("sequence_id", "frame_index")
+
+    return streamed(frames, joined)
+
+
+STOPPED = f"{ASOF}, st AS (SELECT *, min(CASE WHEN frame_index % 2 = 0 AND position_m <> 0 AND position_m >= 0.78 THEN frame_index END) OVER (PARTITION BY sequence_id) AS stop FROM placed)"
+
+
+@query("capture_stop", "capture", f"+ {STOPPED} SELECT sequence_id, frame_index, position_m FROM st WHERE stop IS NULL OR frame_index <= stop")
+def _(spark, d):
+    return capture.capture_stop(_frames_at(spark, d)).select("sequence_id", "frame_index", "position_m")
+
+
+@query("capture_duration", "capture", f"+ {ASOF} SELECT sequence_id, frame_index, 6000000 AS expected FROM (SELECT *, min(ts) OVER (PARTITION BY sequence_id) AS t0 FROM placed) WHERE epoch(ts) - epoch(t0) < 200000")
+def _(spark, d):
+    return capture.capture_duration(_frames_at(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), 200_000, 30).select("sequence_id", "frame_index", "expected")
+
+
+GAPS = f"{ASOF}, g AS (SELECT * FROM placed WHERE event_id % 5 <> 0 AND event_id % 7 <> 0)"
+
+
+def _with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return _frames_at(spark, d).withColumns({"has_color": F.col("event_id") % 5 != 0, "has_depth": F.col("event_id") % 7 != 0})
+
+
+@query("drop_incomplete", "capture", f"+ {GAPS} SELECT event_id, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) - 1 AS frame_index FROM g")
+def _(spark, d):
+    return capture.drop_incomplete(_with_gaps(spark, d), False).select("event_id", "frame_index")
+
+
+@query("drop_incomplete_gaps", "capture", f"+ {GAPS} SELECT event_id, frame_index FROM g")
+def _(spark, d):
+    return capture.drop_incomplete(_with_gaps(spark, d), True).select("event_id", "frame_index")
+
+
+@query("session_rollup", "capture", f"+ {ASOF} SELECT sequence_id, count(*) AS n_frames, count(*) AS n_positions, {r('sum(position_m)', 4)} AS travelled FROM placed GROUP BY 1")
+def _(spark, d):
+    out = capture.session_rollup(_frames_at(spark, d))
+    total = F.aggregate(F.map_values("frame_positions"), F.lit(0.0), lambda a, x: a + x)
+    return rounded(out.select("sequence_id", "n_frames", F.size("frame_positions").cast("long").alias("n_positions"), total.alias("travelled")), "travelled", n=4)
+
+
+@query("capture_progress", "capture", f"+ {ASOF} SELECT sequence_id, frame_index, CAST(least(100, floor(100 * frame_index / CAST(nullif(sequence_id % 9 * 10, 0) AS DOUBLE))) AS INT) AS percent FROM placed".replace("least(100, floor(", "CASE WHEN sequence_id % 9 = 0 THEN NULL ELSE least(100, floor(").replace("AS DOUBLE))) AS INT)", "AS DOUBLE))) END AS INT)"))
+def _(spark, d):
+    rows = _frames_at(spark, d).withColumn("total", F.col("sequence_id") % 9 * 10)
+    out = capture.capture_progress(rows, "frame_index", "total")
+    return out.withColumn("percent", F.when(F.col("total") > 0, F.col("percent"))).select("sequence_id", "frame_index", "percent")
+
+
+@query("stream_agent")
+def _(spark, d):
+    rows = _registrations(spark, d).repartition("sequence_id")
+    return rounded(streamed(rows, lambda s: capture.stream_agent(s, 0.001)), "min_fitness", "max_rmse")
+
+
+@query("stream_metrics", "registrations", f"+ {JUDGED} SELECT sequence_id, status, count(*) AS n_frames FROM judged GROUP BY 1, 2")
+def _(spark, d):
+    return streamed(_statuses(spark, d), capture.stream_metrics, "complete")
+
+
+@query("stream_tsdf", "pixels", f"+ {VOLUME} SELECT sequence_id, ix, iy, iz, {r('tsdf', 5)} AS tsdf, weight FROM voxels")
+def _(spark, d):
+    """Two batches of frames, integrated apart and merged by weight, as ``foreachBatch`` does."""
+    masked = stored(_masked(spark, d), "masked")
+    at = stored(poses.kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), 0.01), "poses")
+    total = None
+    for half in (0, 1):
+        part = masked.where(F.col("frame_index") % 2 == half)
+        points = pixels.project_points(part, CAMERA, SCALE, TRUNC)
+        new = volume.tsdf_integrate(volume.tsdf_candidates(points, at, TSDF, 1), part, at, CAMERA, TSDF, SCALE)
+        total = capture.merge_voxels(total, new)
+    return rounded(total.select("sequence_id", "ix", "iy", "iz", "tsdf", "weight"), "tsdf", n=5)
+
+
+@query("cb_observed", "registrations", "SELECT count(*) AS n_frames FROM registrations")
+def _(spark, d):
+    """Progress by an observation, as the callbacks of a run."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows = relation(spark, d, "registrations")
+    rows.observe(seen, F.count("*").alias("n_frames")).write.format("noop").mode("overwrite").save()
+    return spark.range(1).select(F.lit(seen.get["n_frames"]).alias("n_frames"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Depth in range, cropped, projected, and one point per voxel with its colour, with the frame's depth validity."""
     cropped = pixels.crop_bbox(_masked(spark, d), (0, 0, 8, 8))
