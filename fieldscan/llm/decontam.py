@@ -26,7 +26,9 @@ BROADCAST_ROWS = 300_000
 #: Fixed values. The marks are letters that no usual text has, so they stay inside a word.
 MARK, POINT = "ǃ", "ǀ"
 UNITS = "km|kg|cm|mm|mg|ml|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|meters|metres|meter|metre|feet|foot|inches|inch|pounds|pound|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|grams|gram|degrees|degree|m|g|s|h|l"
-NAME = r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}+"
+#: A name is a capitalised word inside a sentence; the look back comes after the capital, which few places have.
+NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+"
+SLOT = MARK + r"(num|name|unit)[\p{L}\p{N}]*"
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -40,20 +42,29 @@ def annotated(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """``rows`` with a text ``text`` to its windows: kept columns, template, values (whole texts, in words), pos and h."""
+    """``rows`` with a text ``text`` to its windows: kept columns, marked (the whole text), template (its words), pos and h.
+
+    What stands before the first word or behind the last one leaves an empty word there.
+    """
     keep = [c for c in rows.columns if c != "text"]
     marked = rows.select(*keep, annotated(text_or_empty(F.col("text"))).alias("marked"))
-    values = marked.select(*keep, F.filter(F.split("marked", SPLIT, -1), lambda w: w != "").alias("values"))
-    slot = F.expr(f"transform(values, w -> if(startswith(w, '{MARK}'), regexp_extract(w, '{MARK}(num|name|unit)', 0), lower(w)))")
-    words = values.where(F.size("values") >= WINDOW).select(*keep, "values", slot.alias("template"))
-    hashes = F.expr(f"transform(sequence(0, size(template) - {WINDOW}), i -> xxhash64(slice(template, i + 1, {WINDOW})))")
-    return words.select(*keep, "template", "values", F.posexplode(hashes).alias("pos", "h"))
+    low = F.lower("marked")
+    stripped = F.when(F.col("marked").contains(MARK), F.regexp_replace(low, SLOT, MARK + "$1")).otherwise(low)
+    words = marked.select(*keep, "marked", F.split(stripped, SPLIT, -1).alias("template")).where(F.size("template") >= WINDOW)
+    # words are hashed once; windows are then made of hashes in generated code, as a lambda for each would be slow
+    hashed = words.select(*keep, "marked", "template", F.transform("template", lambda w: F.xxhash64(w)).alias("hashes"))
+    each = hashed.select(*keep, "marked", "template", "hashes", F.posexplode("hashes").alias("pos", "first"))
+    rest = [F.get("hashes", F.col("pos") + k) for k in range(1, WINDOW)]
+    full = each.where(F.col("pos") <= F.size("hashes") - WINDOW)
+    return full.select(*keep, "marked", "template", "pos", F.xxhash64("first", *rest).alias("h"))
 
 
 def _cut_out(found: DataFrame, keep: list[str]) -> DataFrame:
     """Windows with their words, and in the same places the words with the values of slots."""
     at = F.col("pos") + 1
-    return found.select(*keep, "h", F.slice("template", at, WINDOW).alias("words"), F.slice("values", at, WINDOW).alias("values"))
+    cut_out = found.select(*keep, "h", "marked", "pos", F.slice("template", at, WINDOW).alias("words"))
+    values = F.when(_literals(F.col("words")) == WINDOW, F.col("words")).otherwise(F.slice(F.split("marked", SPLIT, -1), at, WINDOW))
+    return cut_out.select(*keep, "h", "words", values.alias("values"))
 
 
 def _literals(words: Column) -> Column:
@@ -72,7 +83,8 @@ def find_leaks(
     """
     spark = docs.sparkSession
     items = _windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
-    items = cut(_cut_out(items, ["item_id"]).where(_literals(F.col("words")) >= LITERALS), "item-windows")
+    known = (_literals(F.col("words")) >= LITERALS) & ~F.array_contains("words", "")
+    items = cut(_cut_out(items, ["item_id"]).where(known), "item-windows")
     distinct = items.select("h", "words").distinct()
     n = distinct.count()
 
