@@ -653,7 +653,9 @@ def _(spark, d):
     return rounded(relation(spark, d, "registrations").select("sequence_id", "frame_index", geometry.translation_m(t).alias("moved"), geometry.rotation_deg(t).alias("turned")), "moved", "turned")
 
 
-@query("recover_tighter_crop")
+@query("recover_tighter_crop", "cloud", f"""+ m AS (SELECT {FRAME}, quantile_cont(z, 0.5) AS med, quantile_cont(z, 0.9) AS hi FROM cloud GROUP BY ALL),
+  a AS (SELECT {FRAME}, med, hi, quantile_cont(abs(z - med), 0.5) AS mad FROM cloud JOIN m USING (sequence_id, frame_index) GROUP BY ALL)
+  SELECT {FRAME}, count(*) AS n FROM cloud JOIN a USING (sequence_id, frame_index) WHERE z <= CASE WHEN mad > 0 THEN med + 2 * mad ELSE hi END + 1e-9 GROUP BY 1, 2""")
 def _(spark, d):
     return pixels.clip_depth_mad(_cloud(spark, d)).groupBy("sequence_id", "frame_index").agg(F.count("*").alias("n"))
 
