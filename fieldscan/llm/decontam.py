@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its template.
 Windows of ``WINDOW`` template words are joined by hash with those of the benchmark. A document leaks an item if it has
 ``SHARE`` of the item's windows and the slots agree: one value of the item always stands where one value of the
-document stands.
+document stands. Where they disagree over the whole document, which may have the template several times with other
+values, each occurrence is judged by itself.
 
 All work is in DataFrame expressions. Documents are read once; only windows that the benchmark has leave a task.
 """
@@ -11,6 +12,7 @@ All work is in DataFrame expressions. Documents are read once; only windows that
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -60,31 +62,67 @@ def _windows(rows: DataFrame) -> DataFrame:
 
 
 def _cut_out(found: DataFrame, keep: list[str]) -> DataFrame:
-    """Windows with their words, and in the same places the words with the values of slots."""
+    """Windows with their place and words, and in the same places the words with the values of slots."""
     at = F.col("pos") + 1
     cut_out = found.select(*keep, "h", "marked", "pos", F.slice("template", at, WINDOW).alias("words"))
     values = F.when(_literals(F.col("words")) == WINDOW, F.col("words")).otherwise(F.slice(F.split("marked", SPLIT, -1), at, WINDOW))
-    return cut_out.select(*keep, "h", "words", values.alias("values"))
+    return cut_out.select(*keep, "pos", "h", "words", values.alias("values"))
 
 
 def _literals(words: Column) -> Column:
     return F.size(F.filter(words, lambda w: ~w.startswith(MARK)))
 
 
+def _agreements(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, agreed`` of the windows (item_values, values) with slots: the share of places that have the usual value."""
+    slots = matches.select(*keys, F.explode(F.arrays_zip("item_values", "values")).alias("slot"))
+    slots = slots.where(F.col("slot.item_values").startswith(MARK))
+    votes = slots.groupBy(*keys, F.col("slot.item_values").alias("a"), F.col("slot.values").alias("b")).count()
+    most = votes.groupBy(*keys, "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    return most.groupBy(*keys).agg((F.sum("most").cast("double") / F.sum("all")).alias("agreed"))
+
+
+def _best_occurrences(matches: DataFrame) -> DataFrame:
+    """``pair, agreement, covered`` of the best occurrence of each pair that has one with SHARE and AGREE.
+
+    ``matches`` (pair, windows, part, span, window, place, pos, item_values, values) are windows of an item's text
+    ``part`` that stand in the document. The difference of both places is constant along a copy and shifts where words
+    were put in or left out. Each difference that occurs is tried: every window of the item takes the match that is
+    nearest to it, less than the item's ``span`` away, so a copy behind this one lends it nothing.
+    """
+    shifted = matches.withColumn("shift", F.col("pos") - F.col("place"))
+    near = shifted.withColumn("cell", F.floor(F.col("shift") / F.col("span")))
+    anchors = near.select("pair", "part", F.col("shift").alias("anchor"), "cell").distinct()
+    anchors = anchors.select("pair", "part", "anchor", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    occurrence = ["pair", "part", "anchor"]
+    away = F.abs(F.col("shift") - F.col("anchor"))
+    met = near.join(anchors, ["pair", "part", "cell"]).where(away < F.col("span"))
+    row = F.struct(away.alias("away"), "shift", "windows", "window", "item_values", "values")
+    taken = met.groupBy(*occurrence, "place").agg(F.min(row).alias("x")).select(*occurrence, "x.*")
+    sizes = taken.groupBy(*occurrence).agg(F.countDistinct("window").alias("covered"), F.first("windows").alias("windows"))
+    enough = sizes.where(F.col("covered") >= SHARE * F.col("windows"))
+    taken = cut(taken.join(enough.select(*occurrence, "covered"), occurrence), "leak-occurrences")
+    judged = taken.select(*occurrence, "covered").distinct().join(_agreements(taken, occurrence), occurrence, "left")
+    judged = judged.withColumn("agreement", F.coalesce("agreed", F.lit(1.0))).where(F.col("agreement") >= AGREE)
+    return judged.groupBy("pair").agg(F.max(F.struct("agreement", "covered")).alias("x")).select("pair", "x.*")
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """One row per leak: ``rid`` (the document's place), ``doc_id, item_id, covered, windows, agreement``.
 
     ``covered`` of the item's distinct ``windows`` stand in the document; ``agreement`` is the share of slot places where
-    the document's value is the usual one for the item's value (1 without slots). Items of fewer than WINDOW words, or
+    the document's value is the usual one for the item's value (1 without slots). Both are of the whole document if it
+    agrees as a whole, else of its best occurrence; copies that are each torn apart by more words than the item has are
+    judged as a whole only. Items of fewer than WINDOW words, or
     with none of LITERALS literal words in a window, identify no passage and match nothing; so do null and empty texts.
     Items that repeat an id count as one item. Repeated documents are judged each; empty tables give no rows.
     """
     spark = docs.sparkSession
-    items = _windows(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+    asked = benchmark.select(F.monotonically_increasing_id().alias("part"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     known = (_literals(F.col("words")) >= LITERALS) & ~F.array_contains("words", "")
-    items = cut(_cut_out(items, ["item_id"]).where(known), "item-windows")
+    items = cut(_cut_out(_windows(asked), ["part", "item_id"]).where(known), "item-windows")
     distinct = items.select("h", "words").distinct()
     n = distinct.count()
 
@@ -97,28 +135,34 @@ def find_leaks(
     # the words are compared behind an "or", so that the join's key is the hash alone
     same = (F.col("h") == F.col("item_h")) & ((words == F.col("item_words")) | (F.size("template") < 0))
     found = _cut_out(_windows(rows).join(small(asked), same), ["rid", "doc_id"])
-    seen = cut(found.groupBy("rid", "doc_id", "h", "words").agg(F.collect_set("values").alias("values")), "leak-windows")
+    seen = cut(found, "leak-windows")
 
     sizes = items.select("item_id", "h", "words").distinct()
     of_item = sizes.groupBy("item_id").agg(F.count("*").alias("windows"))
-    covered = seen.drop("values").join(small(sizes), ["h", "words"]).groupBy("rid", "doc_id", "item_id").agg(F.count("*").alias("covered"))
+    covered = seen.select("rid", "doc_id", "h", "words").distinct().join(small(sizes), ["h", "words"]).groupBy("rid", "doc_id", "item_id").agg(F.count("*").alias("covered"))
     # an item has at least one row in sizes, so this side isn't larger than the other
     leaks = covered.join(small(of_item), covered["item_id"].eqNullSafe(of_item["item_id"])).drop(of_item["item_id"])
-    leaks = cut(leaks.where(F.col("covered") >= SHARE * F.col("windows")), "leak-pairs")
+    leaks = cut(leaks.where(F.col("covered") >= SHARE * F.col("windows")).withColumn("pair", F.monotonically_increasing_id()), "leak-pairs")
+
+    def of_pairs(matches: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.col("rid").alias("leak_rid"), F.col("item_id").alias("leak_item"), "pair", "windows")
+        return matches.join(pairs, (F.col("rid") == F.col("leak_rid")) & F.col("item_id").eqNullSafe(F.col("leak_item")))
 
     slotted = items.where(_literals(F.col("words")) < WINDOW).select("item_id", "h", "words", F.col("values").alias("item_values")).distinct()
-    pairs = leaks.select(F.col("rid").alias("leak_rid"), F.col("item_id").alias("leak_item"))
-    meets = seen.join(small(slotted), ["h", "words"])
-    meets = meets.join(pairs, (F.col("rid") == F.col("leak_rid")) & F.col("item_id").eqNullSafe(F.col("leak_item")), "left_semi")
-    both = meets.select("rid", "item_id", "item_values", F.explode("values").alias("values"))
-    slots = both.select("rid", "item_id", F.explode(F.arrays_zip("item_values", "values")).alias("slot"))
-    slots = slots.where(F.col("slot.item_values").startswith(MARK))
-    votes = slots.groupBy("rid", "item_id", F.col("slot.item_values").alias("a"), F.col("slot.values").alias("b")).count()
-    most = votes.groupBy("rid", "item_id", "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
-    agreed = most.groupBy(F.col("rid").alias("r"), F.col("item_id").alias("i")).agg((F.sum("most").cast("double") / F.sum("all")).alias("agreed"))
-    out = leaks.join(agreed, (F.col("rid") == F.col("r")) & F.col("item_id").eqNullSafe(F.col("i")), "left")
-    out = out.withColumn("agreement", F.coalesce("agreed", F.lit(1.0)))
-    return out.where(F.col("agreement") >= AGREE).select("rid", "doc_id", "item_id", "covered", "windows", "agreement")
+    values = seen.where(_literals(F.col("words")) < WINDOW).select("rid", "h", "words", "values").distinct()
+    agreed = _agreements(of_pairs(values.join(small(slotted), ["h", "words"]), leaks), ["pair"])
+    whole = cut(leaks.join(agreed, "pair", "left").withColumn("agreement", F.coalesce("agreed", F.lit(1.0))), "leak-agreements")
+
+    window = F.min("pos").over(W.partitionBy("item_id", "h", "words"))
+    text = W.partitionBy("part")
+    placed = items.withColumns({"window": F.struct(F.min("part").over(W.partitionBy("item_id", "h", "words")).alias("part"), window.alias("pos")),
+                                "span": F.max("pos").over(text) - F.min("pos").over(text) + 1})
+    placed = placed.select("part", "item_id", "h", "words", "span", "window", F.col("pos").alias("place"), F.col("values").alias("item_values"))
+    open_pairs = whole.where(F.col("agreement") < AGREE)
+    best = _best_occurrences(of_pairs(seen.join(small(placed), ["h", "words"]), open_pairs))
+    better = open_pairs.drop("covered", "agreement").join(best, "pair")
+    columns = ["rid", "doc_id", "item_id", "covered", "windows", "agreement"]
+    return whole.where(F.col("agreement") >= AGREE).select(*columns).unionByName(better.select(*columns))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:

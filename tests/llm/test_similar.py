@@ -200,6 +200,22 @@ def test_leaks(spark, tmp_path):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_each_occurrence(spark, tmp_path):
+    filler = "plain text about gardens and the weather that no exam would ever ask for in this way "
+    other = QUESTION.replace("40", "75").replace("12", "9").replace("Paris", "Rome").replace("Anna", "Greta").replace("minutes", "hours")
+    longer = QUESTION.replace("leaves with", "leaves in the early morning with")
+    repeated = " ".join(f"on day {i} he walks {2 * i + 1} km to the shop and then back home." for i in range(1, 5))
+    same = "the box of 7 red pens and the box of 7 blue pens cost as much as the box of 7 green pens"
+    differs = same.replace("7 red", "1 red").replace("7 blue", "2 blue").replace("7 green", "3 green")
+    texts = {1: f"{QUESTION} {other}", 2: f"{filler} {other} {filler} {QUESTION}", 3: f"{longer}. {other}", 4: repeated, 5: f"{filler} {repeated} {filler}", 6: filler, 7: f"{differs} {differs}"}
+    spark.createDataFrame([(i, t, 1, "x", 1) for i, t in texts.items()], DOCS).repartition(3).write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame([(70, QUESTION, "x"), (71, repeated, "x"), (72, same, "x")], ITEMS)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.find_leaks(spark.read.parquet(f"{tmp_path}/d"), bench).collect()}
+    assert set(got) == {(1, 70), (2, 70), (3, 70), (4, 71), (5, 71)}
+    assert all(r["agreement"] == 1.0 for r in got.values())
+    assert all(got[k]["covered"] == got[k]["windows"] for k in [(1, 70), (2, 70), (4, 71), (5, 71)])
+
+
 def test_leaks_by_shuffle(spark, tmp_path, monkeypatch):
     folder = "/root/testdata/sf0.001"
     broadcast = sorted(map(str, queries.op10_decontamination(spark, folder).collect()))
