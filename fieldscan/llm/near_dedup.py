@@ -13,7 +13,9 @@ the members whatever the size of a bucket. The leader is the shortest text: of t
 the least besides it, to which each is at least as similar as to the others; and it differs from bucket to bucket. Each text is
 first verified with the leader it meets most often; other pairs are verified only between the components this gives.
 Buckets that still hold several components then get ``TURNS`` other leaders, for texts that are similar to some of a
-group but not to its leaders. Each turn is linear in the members again.
+group but not to its leaders. Each turn is linear in the members again. What is mixed then is compared exactly: of two
+similar texts, each has one of the other's shingles among its own rarest ones (a prefix filter), so all pairs between
+components that have such a shingle in common are verified.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -230,6 +233,48 @@ def mixed_pairs(shared: DataFrame, comps: DataFrame, turn: int) -> tuple[DataFra
     return mixed.select("rid", "n", "bucket"), pairs
 
 
+def _shingle_rows(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rid, comp, n, token``: all labelled shingles of the nodes (rid, comp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _chunks(whole, ["text"]):
+                _, labelled, starts = shingles(*word_hashes(batch.column("text")))
+                n = np.diff(starts)
+                columns = [pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("rid", "comp")]
+                columns += [pa.array(np.repeat(n.astype(np.int32), n)), pa.array(labelled.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "comp", "n", "token"])
+
+    return nodes.join(texts, "rid").select("rid", "comp", "text").mapInArrow(run, "rid long, comp long, n int, token long")
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b``: pairs of different components that include all pairs with a similarity of ``least``.
+
+    Shingles are ranked by how many of the nodes have them. Similar texts of n <= k shingles have at least
+    ``least`` * (n + k) / (1 + ``least``) in common, so the least ranked of these is among as many first ones as the
+    rest leaves over, and behind it both texts have room for the others.
+    """
+    rows = cut(_shingle_rows(nodes, texts), "shingles")
+    often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    kept = rows.join(often, "token")
+    rank = W.partitionBy("rid").orderBy("c", "token")
+    # shingles of one text only come first; they needn't be rows
+    ranked = kept.withColumn("rank", F.row_number().over(rank) + F.col("n") - F.count("*").over(W.partitionBy("rid")))
+    longer = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    longer = cut(longer.select("token", "rid", "comp", "n", "rank"), "prefixes")
+    shorter = longer.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9) + 1)
+    # components meet first, so that the members of one aren't crossed with each other
+    held = longer.select("token", "comp").distinct()
+    meet = shorter.select("token", F.col("comp").alias("ca")).distinct().join(held.withColumnRenamed("comp", "cb"), "token").where("ca != cb")
+    side = lambda df, c: df.select("token", F.col("comp").alias(f"c{c}"), F.col("rid").alias(c), F.col("n").alias(f"n{c}"), F.col("rank").alias(f"r{c}"))
+    both = meet.join(side(shorter, "a"), ["token", "ca"]).join(side(longer, "b"), ["token", "cb"])
+    need = F.ceil((F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
+    room = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))
+    both = both.where((F.col("na") <= F.col("nb")) & (F.col("na") >= least * F.col("nb")) & (room >= need))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after more links between nodes."""
     side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
@@ -297,6 +342,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         more = cut(_verify(left, texts, similarity), "links")
         if not more.isEmpty():
             found = _joined(found, more)
+    # the rest exactly: one pair for two components first, as a link makes their other pairs needless
+    mixed = mixed_pairs(shared, found, TURNS)[0].select("rid").distinct()
+    mixed = cut(mixed.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), "mixed-nodes")
+    left = cut(prefix_pairs(mixed, texts, similarity).join(tested, ["a", "b"], "left_anti"), "untested")
+    for first in (True, False):
+        apart = left.join(side("a"), "a", "left").join(side("b"), "b", "left")
+        apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca != cb")
+        if first:
+            apart = apart.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.min(F.struct("a", "b")).alias("x")).select("x.*")
+        more = cut(_verify(apart, texts, similarity), "links")
+        if not more.isEmpty():
+            found = _joined(found, more)
+        if first:
+            left = cut(left.join(apart.select("a", "b"), ["a", "b"], "left_anti"), "untested")
 
     named = nodes.select("fp", F.col("rid").alias("node")).join(found, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"))
     member = worded.select("rid", "doc_id", "fp").join(named, "fp").select("rid", "doc_id", "comp")

@@ -135,6 +135,16 @@ def test_near_hot_group(spark, tmp_path):
     assert all(r["class_size"] == 1 for r in out if r["doc_id"] >= 1000)
 
 
+def test_near_pairs_that_share_a_passage(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(304))
+    own = lambda kind, i, n: " ".join(f"{kind}{i}x{k}" for k in range(n))
+    pairs = 1500
+    rows = [(2 * i + j, f"{passage} {own('s', i, 58)} {own('t', 2 * i + j, 42)}", 1, "", 1) for i in range(pairs) for j in range(2)]
+    out = classes(spark, tmp_path, rows)
+    assert len(out) == 2 * pairs
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 and r["class_size"] == 2 for r in out)
+
+
 def test_alignment_and_sketches():
     texts = corpus(60, 5)
     words, cuts = near_dedup.word_hashes(pa.array(texts))
