@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: the shared scratch folder, lineage cuts and null-safe text columns."""
+"""Helpers shared by the text operators: the shared scratch folder, lineage cuts, row numbers, hot keys and null-safe text."""
 
 from __future__ import annotations
 
@@ -8,18 +8,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is heavy if it has at least one in so many of all rows; hence this bounds the number of heavy keys.
+HEAVY_SHARE = 2048
+HEAVY_LEAST = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or the session's checkpoint folder.
+
+    Where neither is set, a temporary one is made for a local master; on a cluster that would be a folder of the driver
+    alone, so it is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-fieldscan-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-fieldscan-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -35,6 +41,46 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str = "rid") -> tuple[DataFrame, str]:
+    """``df`` written once with a number for each row, and the number's column, which clashes with no other.
+
+    Numbers that are made anew by each scan differ when the splits do, and these follow the cores that are registered;
+    written ones stay.
+    """
+    name = free_name(df, name)
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], count_col: str = "rows_of_key") -> DataFrame:
+    """The keys with at least one in HEAVY_SHARE of all rows, hence HEAVY_SHARE rows at most, which may be broadcast.
+
+    ``counts`` has one row for each key with its number of rows.
+    """
+    total = counts.agg(F.sum(count_col)).first()[0] or 0
+    return counts.where(F.col(count_col) >= max(HEAVY_LEAST, total / HEAVY_SHARE)).select(*keys, count_col)
+
+
+def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """``rows`` joined to ``heads``, one narrow row for each key that says how many rows the key has.
+
+    Rows of heavy keys take their head from a broadcast of bounded size, so no task gets all rows of one key; the others
+    are joined by key.
+    """
+    heavy = heavy_keys(heads, keys, count_col)
+    if heavy.isEmpty():
+        return rows.join(heads, keys)
+    hot = F.broadcast(heads.join(F.broadcast(heavy.select(*keys)), keys, "left_semi"))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(heads, keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
