@@ -15,19 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, shuffle_partitions, text_or_empty
+from .common import HEAVY_LEAST, HEAVY_SHARE, ascii_lower, cut, join_heads, numbered, shuffle_partitions, text_or_empty
 
 BLOCK_BYTES = 4096
-#: A block is heavy if it makes up at least one in so many of all blocks; hence this bounds the number of heavy blocks.
-HEAVY_SHARE = 2048
-HEAVY_LEAST = 1000
 #: Stands for the missing right half of an odd tail; no name has this value.
 NO_NAME = -(1 << 62)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, rid: str | None) -> DataFrame:
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"),
         F.col(id_col).alias("doc_id"),
         ascii_lower(text_or_empty(F.col(text_col))).cast("binary").alias("body"),
     )
@@ -48,14 +45,18 @@ def _ranked(distinct: DataFrame, keys: list[str], groups: int) -> DataFrame:
     return distinct.withColumn("cls", cls).withColumn("name", rank * groups + F.col("cls")).drop("cls")
 
 
-def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def name_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rid: str | None = None
+) -> DataFrame:
     """One row per input row: ``rid`` (long, unique), ``doc_id``, ``sha`` (of the normalised text), ``level``, ``name``.
 
+    ``rid`` names a column of stored row numbers; without one, numbers are given, once, in the job that names the blocks.
+
     Two rows have equal (level, name) if and only if their texts are equal after lower-casing A to Z. Null text counts
     as empty, which is one empty block. Repeated rows and null ids are rows like others.
     """
     spark = docs.sparkSession
-    blocks = _blocks(docs, id_col, text_col, block_bytes)
+    blocks = _blocks(docs, id_col, text_col, block_bytes, rid)
     counts = cut(blocks.groupBy(F.xxhash64("block").alias("h")).agg(F.count("*").alias("c")), "block-counts")
     total = counts.agg(F.sum("c")).first()[0] or 0
     heavy = counts.where(F.col("c") >= max(HEAVY_LEAST, total / HEAVY_SHARE)).select("h")
@@ -96,21 +97,25 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 F.expr("cast(max(n) + 1 as int) div 2").cast("int").alias("n"),
             )
         )
-        names = _ranked(pairs.select("a", "b").distinct(), ["a", "b"], 8 * shuffle_partitions(spark))
-        level = cut(pairs.join(names, ["a", "b"]).select("rid", "pos", "n", "doc_id", "sha", "name"), "pair-names")
+        pairs = cut(pairs, "pairs")
+        distinct = pairs.groupBy("a", "b").agg(F.count("*").alias("rows_of_key"))
+        names = cut(_ranked(distinct, ["a", "b"], 8 * shuffle_partitions(spark)), "names")
+        level = cut(join_heads(pairs, names, ["a", "b"], "rows_of_key").select("rid", "pos", "n", "doc_id", "sha", "name"), "pair-names")
         out = out.unionByName(done(level, depth))
     return out
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rid: str | None = None
+) -> DataFrame:
     """One row per document: ``rid, doc_id, keep_id, group_size, kept, text_sha256``.
 
     Of equal texts the row with the largest id stays; null ids come last, and of rows with the same id one stays. An
-    empty table gives no rows. Other columns of ``docs`` are not read.
+    empty table gives no rows. Other columns of ``docs`` are not read. ``rid`` as in ``name_documents``.
     """
-    named = name_documents(docs, id_col, text_col, block_bytes)
-    best = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
-    return named.join(best, ["level", "name"]).select(
+    named = name_documents(docs, id_col, text_col, block_bytes, rid)
+    best = cut(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")), "groups")
+    return join_heads(named, best, ["level", "name"], "group_size").select(
         "rid",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -121,10 +126,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a stored table ``docs`` that stay, with all their columns.
-
-    Rows are told apart by their place in the table, so ``docs`` has to be a scan of files, which gives the same places
-    each time.
-    """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left_semi").drop("__rid")
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns; an empty table stays empty."""
+    rows, rid = numbered(docs)
+    gone = exact_duplicates(rows, id_col, text_col, rid=rid).where("not kept").select(F.col("rid").alias(rid))
+    return rows.join(gone, rid, "left_anti").drop(rid)
