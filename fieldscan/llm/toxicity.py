@@ -1,8 +1,9 @@
 """Toxicity by a lexicon that is matched with misspellings and judged in its context.
 
-The lexicon (seed terms, and terms and stems that labelled documents teach) is a trie. The Levenshtein automaton of one
-edit is intersected with it, as a deterministic automaton whose states are made when first reached, so a word is judged
-by one walk and most words end it after a few letters. Around each hit a window of words tells quotation (quote marks,
+The lexicon (terms and stems that labelled documents teach, and terms that the caller gives) is a trie. The Levenshtein
+automaton of one edit is intersected with it, as a deterministic automaton whose states are made when first reached, so a
+word is judged by one walk and most words end it after a few letters. Terms that stand in toxic documents almost only may
+be misspelled, in any language, unless clean documents have words one edit from them. Around each hit a window of words tells quotation (quote marks,
 reporting words) from abuse (address to a person). A logistic regression on the counted hits gives the score.
 """
 
@@ -17,16 +18,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, numbered, text_or_empty
 
-#: Terms that are abusive by themselves, reporting words, and words that address a person.
-SEED = ("idiot", "stupid", "moron", "scum", "trash", "loser", "clown", "worthless", "pathetic", "disgusting")
+#: Reporting words, and words that address a person.
 REPORTING = frozenset("said says wrote writes called quote quoted quotes term word dit écrit appelle sagte schrieb nennt wort dijo escribió llama palabra".split())
 ADDRESS = frozenset("you your youre yourself tu toi vous votre du dich dein deine sie tú usted eres".split())
 #: Labelled rows, in order of a hash of their id, that the lexicon and the regression are fitted on, at most.
 FIT_ROWS = 12_000
-TERMS = 400
+#: Bounds of the lexicon, which is broadcast: words and stems each, and a multiple for harmless forms and near words of clean documents.
+TERMS, FORMS = 400, 8_000
+#: Log-odds of a term that counts by itself, and may be misspelled if it has so many letters.
+STRONG = 4.5
 FUZZY_LEAST = 5
+#: A term isn't matched with an edit if more than one in so many clean documents have a word one edit from it.
+NEAR_SHARE = 500
 WINDOW = 6
 CACHE = 400_000
 _WORD = re.compile(r"\w+")
@@ -41,17 +46,19 @@ PRIOR = np.array([-2.5, 2.0, 1.5, 0.5, 0.2, 0.5, 0.2])
 class Matcher:
     """Walks words through the product of the lexicon's trie and the automaton of one edit.
 
-    ``terms`` as ``learn_terms`` gives them: seeds may be misspelled, learned words (marked =) and stems (^) may not.
+    ``terms`` as ``learn_terms`` gives them, marked text -> (kind, weight): strong terms may be misspelled, firm ones,
+    words (marked =) and stems (^) may not.
     """
 
     def __init__(self, terms: dict[str, tuple[str, float]]):
         self.trie: list[dict[str, int]] = [{}]
         self.ends: dict[int, dict[str, float]] = defaultdict(dict)
-        # a node allows an edit if a seed of FUZZY_LEAST letters or more ends at it or below it
+        self.names: dict[int, str] = {}
+        # a node allows an edit if a strong term of FUZZY_LEAST letters or more ends at it or below it
         self.fuzzy = [False]
         for marked, (kind, weight) in sorted(terms.items()):
             node, term = 0, marked.lstrip("=^")
-            edits = kind == "seed" and len(term) >= FUZZY_LEAST
+            edits = kind == "strong" and len(term) >= FUZZY_LEAST
             self.fuzzy[0] |= edits
             for c in term:
                 node = self.trie[node].setdefault(c, len(self.trie))
@@ -60,6 +67,7 @@ class Matcher:
                     self.fuzzy.append(False)
                 self.fuzzy[node] |= edits
             self.ends[node][kind] = weight
+            self.names[node] = term
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
@@ -82,14 +90,26 @@ class Matcher:
         ended = [(edits, self.ends[node], node) for node, edits in pairs if node in self.ends]
         ended += [(0, {"stem": self.ends[-1 - node]["stem"]}, node) for node, _ in pairs if node < 0]
         whole = [kinds for edits, kinds, _ in ended if not edits]
-        for kind in ("seed", "word", "stem"):
+        for kind in ("strong", "firm", "word", "stem"):
             weights = [kinds[kind] for kinds in whole if kind in kinds]
             if weights:
-                return ("exact", 0.0) if kind == "seed" else ("learned", max(weights)) if max(weights) > 0 else None
-        if any(edits and "seed" in kinds and self.fuzzy[node] for edits, kinds, node in ended):
+                return ("exact", 0.0) if kind in ("strong", "firm") else ("learned", max(weights)) if max(weights) > 0 else None
+        if self._near(pairs):
             return "fuzzy", 0.0
         return None
 
+    def _near(self, pairs: frozenset) -> list[str]:
+        return [self.names[node] for node, edits in pairs if edits and "strong" in self.ends.get(node, ()) and len(self.names[node]) >= FUZZY_LEAST]
+
+    def near_terms(self, word: str) -> list[str]:
+        """The strong terms that are one edit from a word that is matched with an edit."""
+        if (self.match(word) or ("",))[0] != "fuzzy":
+            return []
+        state = self.first
+        for c in word:
+            state = self.step[state][c]
+        return self._near(self.sets[state])
+
     def _next(self, state: int, c: str) -> int:
         out: set[tuple[int, int]] = set()
         for node, edits in self.sets[state]:
@@ -171,9 +191,13 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return cut(texts.join(F.broadcast(asked), "id").select("id", "text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
 
 
-def learn_terms(sample: DataFrame) -> dict[str, tuple[str, float]]:
+def learn_terms(sample: DataFrame, given: tuple[str, ...] = ()) -> dict[str, tuple[str, float]]:
     """Term -> (kind, weight): words, and stems (beginnings of words), with the log-odds of standing in toxic documents.
 
+    Words with log-odds of STRONG or more are strong terms, as the ``given`` ones are; of them, those with words of clean
+    documents one edit away are firm. The lexicon has TERMS words and TERMS stems at most, the most frequent in toxic
+    documents, and FORMS harmless forms and near words each, the most frequent in clean ones.
+
     A term counts if it stands after several different words, which keeps copies of one toxic document from teaching
     all its words. Words with a stem that is a term have their own weight, so that harmless forms of it don't count.
     """
@@ -201,8 +225,8 @@ def learn_terms(sample: DataFrame) -> dict[str, tuple[str, float]]:
     odds = F.log((F.col("toxic") + 0.5) / (docs.get(True, 0) + 1)) - F.log((F.col("clean") + 0.5) / (docs.get(False, 0) + 1))
     counts = cut(counts.withColumn("odds", odds).where("toxic + clean >= 4"), "toxic-counts")
     least = F.when(F.col("key").endswith("*"), 20).otherwise(4)
-    likely = counts.where((F.col("toxic") >= least) & (F.col("odds") >= 1.3)).orderBy(F.desc("toxic"), "key").limit(20 * TERMS)
-    asked = {r["key"]: r["odds"] for r in likely.collect()}  # 20 * TERMS rows at most
+    likely = counts.where((F.col("toxic") >= least) & (F.col("odds") >= 1.3)).orderBy(F.desc("toxic"), "key").limit(FORMS)
+    asked = {r["key"]: r["odds"] for r in likely.collect()}  # FORMS rows at most
 
     def befores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,28 +239,32 @@ def learn_terms(sample: DataFrame) -> dict[str, tuple[str, float]]:
 
     varied = sample.mapInPandas(befores, "key string, before string").groupBy("key").agg(F.countDistinct("before").alias("n"))
     got = {r["key"]: r["n"] for r in varied.where("n >= 4").collect()}  # keys asked for only
-    got = {k: n for k, n in got.items() if k not in SEED and not (k.endswith("*") and any(t.startswith(k[:-1]) for t in SEED))}
+    words = sorted((k for k in got if not k.endswith("*")), key=lambda w: (-got[w], w))[:TERMS]
+    strong = {*given, *(w for w in words if asked[w] >= STRONG)}
     stems: list[str] = []
     for k in sorted((k[:-1] for k in got if k.endswith("*") and got[k] >= 20), key=lambda k: (len(k), k)):
-        if not any(k.startswith(s) for s in stems):
+        if not any(k.startswith(s) for s in stems) and not any(t.startswith(k) for t in strong):
             stems.append(k)
-    stems = sorted(stems, key=lambda s: -got[s + "*"])[:TERMS]
-    words = sorted((k for k in got if not k.endswith("*")), key=lambda w: -got[w])[:TERMS]
-    out = {s: ("stem", asked[s + "*"]) for s in stems} | {w: ("word", asked[w]) for w in words}
+    stems = sorted(stems, key=lambda s: (-got[s + "*"], s))[:TERMS]
+    out = {"^" + s: ("stem", asked[s + "*"]) for s in stems} | {"=" + w: ("word", asked[w]) for w in words if w not in strong}
     if stems:
-        forms = counts.where(F.col("key").rlike("^(" + "|".join(map(re.escape, stems)) + r")\w*$")).orderBy(F.desc("clean"), "key").limit(20 * TERMS)
-        out |= {r["key"]: ("word", max(0.0, r["odds"])) for r in forms.collect() if r["key"] not in words}
-    out = {("=" if kind == "word" else "^") + t: (kind, w) for t, (kind, w) in out.items()} | {t: ("seed", 0.0) for t in SEED}
+        forms = counts.where(F.col("key").rlike("^(" + "|".join(map(re.escape, stems)) + r")\w*$")).orderBy(F.desc("clean"), "key").limit(FORMS)
+        out |= {"=" + r["key"]: ("word", max(0.0, r["odds"])) for r in forms.collect() if r["key"] not in words}
+    out |= {t: ("strong", 0.0) for t in strong}
 
-    def near_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(out)
         for batch in batches:
-            clean = {w for text in batch.loc[batch["label"] == 0, "text"] for w in set(_WORD.findall(text.lower()))}
-            if found := [w for w in clean if (matcher.match(w) or "")[:1] == ("fuzzy",)]:
-                yield pd.DataFrame({"word": found})
-
-    # words of clean documents that happen to be one edit from a seed are no misspellings
-    near = sample.mapInPandas(near_seeds, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(20 * TERMS)
+            clean = [set(_WORD.findall(text.lower())) for text in batch.loc[batch["label"] == 0, "text"]]
+            if found := [(w, t) for doc in clean for w in doc for t in matcher.near_terms(w)]:
+                yield pd.DataFrame(found, columns=["word", "term"])
+
+    # words of clean documents that are one edit from a term are no misspellings; a term that has many takes no edits
+    near = cut(sample.mapInPandas(near_words, "word string, term string").groupBy("word", "term").count(), "toxic-near")
+    crowded = near.groupBy("term").agg(F.sum("count").alias("n")).where(F.col("n") > docs.get(False, 0) / NEAR_SHARE)
+    firm = {r["term"] for r in crowded.collect()}  # terms of the lexicon
+    out |= {t: ("firm", 0.0) for t in firm}
+    near = near.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(FORMS)
     return {"=" + r["word"]: ("word", 0.0) for r in near.collect()} | out
 
 
@@ -278,21 +306,32 @@ def _with_features(df: DataFrame, terms: dict[str, tuple[str, float]], keep: lis
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    fit_rows: int = FIT_ROWS,
+    rid: str | None = None,
+    given: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: ``rid, doc_id, held_out, score, predicted``.
+    """One row per document: ``rid`` (the row's number, or what the column ``rid`` holds), ``doc_id, held_out, score, predicted``.
+
+    ``given`` are terms that count without being learned, in lower case.
 
     Null text counts as empty and gets the score of a text without hits. A null id is not held out. Labels of the fold
-    that is held out are never read; without labels the prior weights and the seed terms hold. Repeated rows are scored
+    that is held out are never read; without labels the prior weights and the given terms hold. Repeated rows are scored
     each; an empty table gives no rows.
     """
     sample = _sample(docs, labels, id_col, text_col, label_col, fit_rows)
-    terms = learn_terms(sample)
+    terms = learn_terms(sample, given)
     seen = _with_features(sample, terms, ["label"]).toPandas()  # fit_rows rows at most
     weights = fit(seen[list(FEATURES)].to_numpy(float), (seen["label"] > 0).to_numpy(float))
     # the id is kept as text in Python, so that nulls stay and no type changes
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("string").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")
+        (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"),
+        F.col(id_col).cast("string").alias("doc_id"),
+        text_or_empty(F.col(text_col)).alias("text"),
     )
     made = _with_features(rows, terms, ["rid", "doc_id"])
     z = F.lit(float(weights[0]))
@@ -308,11 +347,10 @@ def score_documents(
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
-    """The rows of a stored table ``docs`` that aren't predicted toxic, with all their columns.
-
-    Rows are told apart by their place in the table, so ``docs`` has to be a scan of files, which gives the same places
-    each time.
-    """
-    bad = score_documents(docs, labels, **names).where("predicted = 1").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").drop("__rid")
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS
+) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns; an empty table stays empty."""
+    rows, rid = numbered(docs)
+    bad = score_documents(rows, labels, id_col, text_col, label_col, fit_rows, rid).where("predicted = 1").select(F.col("rid").alias(rid))
+    return rows.join(bad, rid, "left_anti").drop(rid)
