@@ -151,7 +151,7 @@ def encode(
         flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         code = coder()
         whole = code.join_all([flat[a:b] for a, b in zip(cuts, cuts[1:])])
-        made = _table({"doc_id": group.column("doc_id").combine_chunks()[:1]}, [whole], [code.decode(whole)], out_arrow)
+        made = _table({"doc_id": group.column("doc_id").combine_chunks()[:1]}, [whole], [code.decode(whole)] if decoded else None, out_arrow)
         return pa.Table.from_batches([made])
 
     text = text_or_empty(F.col(text_col))

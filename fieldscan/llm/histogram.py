@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RANGE = 1024
 
 
@@ -21,6 +23,8 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     """
     length = F.coalesce(F.col(length_col).cast("long"), F.lit(0).cast("long"))
     hist = lengths.groupBy(length.alias("length")).agg(F.count("*").alias("n_docs"))
+    # stored, as the ranges and the sums inside them both read it, and the lengths may be dear to make
+    hist = cut(hist, "histogram")
     hist = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("range", F.floor(F.col("length") / RANGE))
     sums = [F.sum("n_docs").alias("docs_in"), F.sum("n_tokens").alias("tokens_in")]
     upto = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
