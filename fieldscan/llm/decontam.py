@@ -1,11 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its template.
+Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its template. In
+documents every capitalised word is a name, also the first of a sentence. A benchmark item has up to three forms: with
+all capitalised words as names, with those inside sentences only, and with none, so that copies match that begin in the
+middle of a sentence or are in lower case.
 Windows of ``WINDOW`` template words are joined by hash with those of the benchmark. A document leaks an item if it has
 ``SHARE`` of the item's windows and the slots agree: one value of the item always stands where one value of the
 document stands. Where they disagree over the whole document, which may have the template several times with other
 values, each occurrence is judged by itself.
 
+Only documents that hold one of an item's rarest windows, of which fewer than those may be missing, are paired with it,
+so a window that many items and documents share pairs none of them.
+
 All work is in DataFrame expressions. Documents are read once; only windows that the benchmark has leave a task.
 """
 
@@ -15,47 +21,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, numbered, text_or_empty
 
 WINDOW = 5
 SHARE = 0.8
 #: Words of a window that are no placeholders, at least.
 LITERALS = 3
 AGREE = 0.8
-#: Benchmark windows up to which they are broadcast (some tens of MB); beyond, both sides are shuffled by hash.
+#: Windows of all items, repeats included, up to which tables made of them are broadcast (tens of MB); beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
 
 #: Fixed values. The marks are letters that no usual text has, so they stay inside a word.
 MARK, POINT = "ǃ", "ǀ"
 UNITS = "km|kg|cm|mm|mg|ml|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|miles|mile|meters|metres|meter|metre|feet|foot|inches|inch|pounds|pound|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|grams|gram|degrees|degree|m|g|s|h|l"
-#: A name is a capitalised word inside a sentence; the look back comes after the capital, which few places have.
-NAME = r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+"
+#: A name is a capitalised word, anywhere or inside a sentence only; the look back comes after the capital, which few places have.
+ANYWHERE = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+"
+INSIDE = r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+"
 SLOT = MARK + r"(num|name|unit)[\p{L}\p{N}]*"
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def annotated(text: Column) -> Column:
-    """The text with its slots marked: each begins with MARK and its type and keeps its value, in one word."""
-    named = F.regexp_replace(text, NAME, MARK + "name$0")
+def annotated(text: Column, name: str | None = ANYWHERE) -> Column:
+    """The text with its slots marked: each begins with MARK and its type and keeps its value, in one word.
+
+    ``name`` is the pattern of names; None marks none.
+    """
+    named = text if name is None else F.regexp_replace(text, name, MARK + "name$0")
     digits = F.regexp_replace(named, r"([0-9])[.,]([0-9])", "$1" + POINT + "$2")
     united = F.regexp_replace(digits, rf"([0-9]) ?({UNITS})\b", "$1 " + MARK + "unit$2")
     numbered = F.regexp_replace(united, rf"[0-9][0-9{POINT}]*", " " + MARK + "num$0 ")
     return F.when(text.rlike("[0-9]"), numbered).otherwise(named)
 
 
-def _windows(rows: DataFrame) -> DataFrame:
+def _windows(rows: DataFrame, name: str | None = ANYWHERE, places: str | None = None) -> DataFrame:
     """``rows`` with a text ``text`` to its windows: kept columns, marked (the whole text), template (its words), pos and h.
 
-    What stands before the first word or behind the last one leaves an empty word there.
+    What stands before the first word or behind the last one leaves an empty word there. ``places`` names a column with
+    the only places to take, if there is one.
     """
-    keep = [c for c in rows.columns if c != "text"]
-    marked = rows.select(*keep, annotated(text_or_empty(F.col("text"))).alias("marked"))
+    keep = [c for c in rows.columns if c not in ("text", places)]
+    asked = [F.col(places)] if places else []
+    marked = rows.select(*keep, *asked, annotated(text_or_empty(F.col("text")), name).alias("marked"))
     low = F.lower("marked")
     stripped = F.when(F.col("marked").contains(MARK), F.regexp_replace(low, SLOT, MARK + "$1")).otherwise(low)
-    words = marked.select(*keep, "marked", F.split(stripped, SPLIT, -1).alias("template")).where(F.size("template") >= WINDOW)
+    words = marked.select(*keep, *asked, "marked", F.split(stripped, SPLIT, -1).alias("template")).where(F.size("template") >= WINDOW)
     # words are hashed once; windows are then made of hashes in generated code, as a lambda for each would be slow
-    hashed = words.select(*keep, "marked", "template", F.transform("template", lambda w: F.xxhash64(w)).alias("hashes"))
-    each = hashed.select(*keep, "marked", "template", "hashes", F.posexplode("hashes").alias("pos", "first"))
+    hashed = words.select(*keep, *asked, "marked", "template", F.transform("template", lambda w: F.xxhash64(w)).alias("hashes"))
+    if places:
+        each = hashed.select(*keep, "marked", "template", "hashes", F.explode(places).alias("pos")).withColumn("first", F.get("hashes", F.col("pos")))
+    else:
+        each = hashed.select(*keep, "marked", "template", "hashes", F.posexplode("hashes").alias("pos", "first"))
     rest = [F.get("hashes", F.col("pos") + k) for k in range(1, WINDOW)]
     full = each.where(F.col("pos") <= F.size("hashes") - WINDOW)
     return full.select(*keep, "marked", "template", "pos", F.xxhash64("first", *rest).alias("h"))
@@ -108,9 +123,15 @@ def _best_occurrences(matches: DataFrame) -> DataFrame:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    rid: str | None = None,
 ) -> DataFrame:
-    """One row per leak: ``rid`` (the document's place), ``doc_id, item_id, covered, windows, agreement``.
+    """One row per leak: ``rid`` (the document's number, or what the column ``rid`` holds), ``doc_id, item_id, covered, windows, agreement``.
 
     ``covered`` of the item's distinct ``windows`` stand in the document; ``agreement`` is the share of slot places where
     the document's value is the usual one for the item's value (1 without slots). Both are of the whole document if it
@@ -119,57 +140,78 @@ def find_leaks(
     with none of LITERALS literal words in a window, identify no passage and match nothing; so do null and empty texts.
     Items that repeat an id count as one item. Repeated documents are judged each; empty tables give no rows.
     """
-    spark = docs.sparkSession
     asked = benchmark.select(F.monotonically_increasing_id().alias("part"), F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     known = (_literals(F.col("words")) >= LITERALS) & ~F.array_contains("words", "")
-    items = cut(_cut_out(_windows(asked), ["part", "item_id"]).where(known), "item-windows")
-    distinct = items.select("h", "words").distinct()
-    n = distinct.count()
+    # null ids are items, too: they get a key of their own
+    base = _cut_out(_windows(asked), ["part", "item_id"]).where(known).withColumn("item", F.struct("item_id")).drop("item_id")
+    place = F.struct("part", "pos")
+    base = cut(base.withColumn("window", F.min(place).over(W.partitionBy("item", "h", "words"))), "item-windows")
+    # marks of names don't move words, so a window's other forms stand in the same place
+    forms = [_cut_out(_windows(asked, name), ["part"]).join(base.select("part", "pos", "item", "window"), ["part", "pos"]) for name in (INSIDE, None)]
+    columns = ["part", "pos", "item", "window", "h", "words", "values"]
+    items = cut(base.select(*columns).unionByName(forms[0].select(*columns)).unionByName(forms[1].select(*columns)).distinct(), "item-forms")
+    # every table that is made of items has no more rows than it, and a row is a few words
+    few = items.count() <= BROADCAST_ROWS
 
     def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if n <= BROADCAST_ROWS else df
+        return F.broadcast(df) if few else df
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    asked = distinct.select(F.col("h").alias("item_h"), F.col("words").alias("item_words"))
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    rows = docs.select(number.alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    asked = items.select(F.col("h").alias("item_h"), F.col("words").alias("item_words")).distinct()
     words = F.slice("template", F.col("pos") + 1, WINDOW)
     # the words are compared behind an "or", so that the join's key is the hash alone
     same = (F.col("h") == F.col("item_h")) & ((words == F.col("item_words")) | (F.size("template") < 0))
-    found = _cut_out(_windows(rows).join(small(asked), same), ["rid", "doc_id"])
-    seen = cut(found, "leak-windows")
-
-    sizes = items.select("item_id", "h", "words").distinct()
-    of_item = sizes.groupBy("item_id").agg(F.count("*").alias("windows"))
-    covered = seen.select("rid", "doc_id", "h", "words").distinct().join(small(sizes), ["h", "words"]).groupBy("rid", "doc_id", "item_id").agg(F.count("*").alias("covered"))
-    # an item has at least one row in sizes, so this side isn't larger than the other
-    leaks = covered.join(small(of_item), covered["item_id"].eqNullSafe(of_item["item_id"])).drop(of_item["item_id"])
-    leaks = cut(leaks.where(F.col("covered") >= SHARE * F.col("windows")).withColumn("pair", F.monotonically_increasing_id()), "leak-pairs")
-
-    def of_pairs(matches: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.col("rid").alias("leak_rid"), F.col("item_id").alias("leak_item"), "pair", "windows")
-        return matches.join(pairs, (F.col("rid") == F.col("leak_rid")) & F.col("item_id").eqNullSafe(F.col("leak_item")))
-
-    slotted = items.where(_literals(F.col("words")) < WINDOW).select("item_id", "h", "words", F.col("values").alias("item_values")).distinct()
+    if few:
+        found = _windows(rows).join(F.broadcast(asked), same)
+    else:
+        # only hashes and places are shuffled, and the texts they are found in are read again
+        rows = rows if rid is not None else cut(rows, "numbered")
+        hits = _windows(rows.select("rid", "text")).select("rid", "pos", "h")
+        hits = cut(hits.join(asked.select(F.col("item_h").alias("h")).distinct(), "h", "left_semi"), "leak-hits")
+        places = hits.groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+        found = _windows(rows.join(places, "rid"), places="places").join(asked, same)
+    seen = cut(_cut_out(found, ["rid", "doc_id"]), "leak-windows")
+
+    of_item = items.select("item", "window", "h", "words").distinct()
+    held = seen.select("rid", "h", "words").distinct()
+    often = held.groupBy("h", "words").agg(F.count("*").alias("c"))
+    each = of_item.join(often, ["h", "words"], "left").groupBy("item", "window").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
+    every = W.partitionBy("item")
+    ranked = each.withColumn("rank", F.row_number().over(every.orderBy("c", "window"))).withColumn("windows", F.count("*").over(every))
+    # a document with SHARE of an item's windows has one of its rarest: as many as may be missing, and one more
+    rarest = ranked.where(F.col("rank") <= F.col("windows") - F.ceil(F.col("windows") * SHARE - 1e-9) + 1).where("c > 0")
+    probes = of_item.join(rarest, ["item", "window"]).select("item", "windows", "h", "words")
+    pairs = held.join(small(probes), ["h", "words"]).select("rid", "item", "windows").distinct()
+    met = held.join(pairs, "rid").join(small(of_item), ["item", "h", "words"])
+    leaks = met.groupBy("rid", "item", "windows").agg(F.countDistinct("window").alias("covered")).where(F.col("covered") >= SHARE * F.col("windows"))
+    leaks = cut(leaks.withColumn("pair", F.monotonically_increasing_id()), "leak-pairs")
+
+    def of_pairs(matches: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """Windows of documents (rid) that stand in the items which they are paired with."""
+        return matches.join(pairs.select("rid", "item", "pair", "windows"), "rid").join(small(held), ["item", "h", "words"])
+
+    slotted = items.where(_literals(F.col("words")) < WINDOW).select("item", "h", "words", F.col("values").alias("item_values")).distinct()
     values = seen.where(_literals(F.col("words")) < WINDOW).select("rid", "h", "words", "values").distinct()
-    agreed = _agreements(of_pairs(values.join(small(slotted), ["h", "words"]), leaks), ["pair"])
+    agreed = _agreements(of_pairs(values, leaks, slotted), ["pair"])
     whole = cut(leaks.join(agreed, "pair", "left").withColumn("agreement", F.coalesce("agreed", F.lit(1.0))), "leak-agreements")
 
-    window = F.min("pos").over(W.partitionBy("item_id", "h", "words"))
     text = W.partitionBy("part")
-    placed = items.withColumns({"window": F.struct(F.min("part").over(W.partitionBy("item_id", "h", "words")).alias("part"), window.alias("pos")),
-                                "span": F.max("pos").over(text) - F.min("pos").over(text) + 1})
-    placed = placed.select("part", "item_id", "h", "words", "span", "window", F.col("pos").alias("place"), F.col("values").alias("item_values"))
+    placed = items.withColumn("span", F.max("pos").over(text) - F.min("pos").over(text) + 1)
+    placed = placed.select("part", "item", "h", "words", "span", "window", F.col("pos").alias("place"), F.col("values").alias("item_values"))
     open_pairs = whole.where(F.col("agreement") < AGREE)
-    best = _best_occurrences(of_pairs(seen.join(small(placed), ["h", "words"]), open_pairs))
+    best = _best_occurrences(of_pairs(seen.drop("doc_id"), open_pairs, placed))
     better = open_pairs.drop("covered", "agreement").join(best, "pair")
-    columns = ["rid", "doc_id", "item_id", "covered", "windows", "agreement"]
-    return whole.where(F.col("agreement") >= AGREE).select(*columns).unionByName(better.select(*columns))
-
+    columns = ["rid", "item", "covered", "windows", "agreement"]
+    out = whole.where(F.col("agreement") >= AGREE).select(*columns).unionByName(better.select(*columns))
+    named = seen.groupBy("rid").agg(F.first("doc_id").alias("doc_id"))
+    return out.join(named, "rid").select("rid", "doc_id", F.col("item.item_id").alias("item_id"), "covered", "windows", "agreement")
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
-    """The rows of a stored table ``docs`` that leak no item, with all their columns.
 
-    Rows are told apart by their place in the table, so ``docs`` has to be a scan of files, which gives the same places
-    each time.
-    """
-    bad = find_leaks(docs, benchmark, **names).select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").drop("__rid")
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns; an empty table stays empty."""
+    rows, rid = numbered(docs)
+    bad = find_leaks(rows, benchmark, id_col, text_col, item_col, item_text_col, rid).select(F.col("rid").alias(rid)).distinct()
+    return rows.join(bad, rid, "left_anti").drop(rid)

@@ -54,7 +54,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("rid")
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,30 +133,34 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 def leaks_sql(docs: str) -> str:
     """Leaks of the benchmark in the table or subquery ``docs`` (doc_id, rid, text): CTEs that end in ``leaks``."""
     d, w = decontam, decontam.WINDOW
-    name = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)"
+    anywhere, inside = r"(^|[^\p{L}\p{N}])", r"([\p{L}\p{N},;:] )"
 
-    def marked(text: str) -> str:
+    def marked(text: str, before: str | None) -> str:
         named = text
-        for _ in range(2):  # without lookbehind, every second name of a run is left to the second pass
-            named = f"regexp_replace({named}, '{name}', '\\1{d.MARK}name\\2', 'g')"
+        for _ in range(2 if before else 0):  # without a look back, every second name of a run is left to the second pass
+            named = f"regexp_replace({named}, '{before}(\\p{{Lu}}\\p{{Ll}}+)', '\\1{d.MARK}name\\2', 'g')"
         digits = f"regexp_replace({named}, '([0-9])[.,]([0-9])', '\\1{d.POINT}\\2', 'g')"
         united = f"regexp_replace({digits}, '([0-9]) ?({d.UNITS})\\b', '\\1 {d.MARK}unit\\2', 'g')"
         numbered = f"regexp_replace({united}, '([0-9][0-9{d.POINT}]*)', ' {d.MARK}num\\1 ', 'g')"
         return f"CASE WHEN regexp_matches({text}, '[0-9]') THEN {numbered} ELSE {named} END"
 
-    def windows(source: str, keys: str) -> str:
-        return f"""SELECT {keys}, v[i:i + {w - 1}] AS vals, list_transform(v[i:i + {w - 1}], lambda x:
+    def windows(source: str, keys: str, before: str | None = anywhere) -> str:
+        return f"""SELECT {keys}, i, v[i:i + {w - 1}] AS vals, list_transform(v[i:i + {w - 1}], lambda x:
     CASE WHEN starts_with(x, '{d.MARK}') THEN regexp_extract(x, '{d.MARK}(num|name|unit)') ELSE lower(x) END) AS words
   FROM (SELECT {keys}, v, unnest(range(1, len(v) - {w - 2})) AS i FROM (SELECT {keys},
-    list_filter(string_split_regex({marked("coalesce(text, '')")}, '{d.SPLIT}'), lambda x: x <> '') AS v FROM {source}))"""
+    list_filter(string_split_regex({marked("coalesce(text, '')", before)}, '{d.SPLIT}'), lambda x: x <> '') AS v FROM {source}))"""
 
     literals = f"len(list_filter(words, lambda x: NOT starts_with(x, '{d.MARK}')))"
-    return f"""item_windows AS (SELECT * FROM ({windows("benchmark", "item_id")}) WHERE {literals} >= {d.LITERALS}),
+    return f"""parts AS (SELECT row_number() OVER () AS part, item_id, text FROM benchmark),
+base AS (SELECT part, i, item_id, vals, words, words AS wd FROM ({windows("parts", "part, item_id")}) WHERE {literals} >= {d.LITERALS}),
+item_windows AS (SELECT item_id, wd, words, vals FROM base
+  UNION SELECT b.item_id, b.wd, f.words, f.vals FROM base b JOIN ({windows("parts", "part", inside)}) f USING (part, i)
+  UNION SELECT b.item_id, b.wd, f.words, f.vals FROM base b JOIN ({windows("parts", "part", None)}) f USING (part, i)),
 asked AS (SELECT DISTINCT words FROM item_windows),
 seen AS (SELECT DISTINCT rid, doc_id, words, vals FROM ({windows(docs, "rid, doc_id")}) SEMI JOIN asked USING (words)),
-sizes AS (SELECT DISTINCT item_id, words FROM item_windows),
-of_item AS (SELECT item_id, count(*) AS windows FROM sizes GROUP BY 1),
-cover AS (SELECT rid, doc_id, item_id, count(*) AS covered FROM (SELECT DISTINCT rid, doc_id, words FROM seen) JOIN sizes USING (words) GROUP BY ALL),
+sizes AS (SELECT DISTINCT item_id, wd, words FROM item_windows),
+of_item AS (SELECT item_id, count(DISTINCT wd) AS windows FROM sizes GROUP BY 1),
+cover AS (SELECT rid, doc_id, item_id, count(DISTINCT wd) AS covered FROM (SELECT DISTINCT rid, doc_id, words FROM seen) JOIN sizes USING (words) GROUP BY ALL),
 pairs AS (SELECT * FROM cover JOIN of_item USING (item_id) WHERE covered >= {d.SHARE} * windows),
 slots AS (SELECT rid, item_id, unnest(i.vals) AS a, unnest(s.vals) AS b FROM (SELECT DISTINCT item_id, words, vals FROM item_windows) i
   JOIN seen s USING (words) SEMI JOIN pairs USING (rid, item_id)),
