@@ -135,6 +135,31 @@ def test_near_hot_group(spark, tmp_path):
     assert all(r["class_size"] == 1 for r in out if r["doc_id"] >= 1000)
 
 
+def test_near_chain_of_edits(spark, tmp_path):
+    """Copies of copies: most texts are similar to few of a large group, which no single leader shows."""
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(500)}" for _ in range(90)]]
+    for _ in range(219):
+        b = list(texts[-1] if rng.random() < 0.5 else rng.choice(texts))
+        for _ in range(rng.randrange(1, 3)):
+            b[rng.randrange(len(b))] = f"new{rng.randrange(10**6)}"
+        texts.append(b)
+    rows = [(i, " ".join(t), 1, "", 1) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r["class_id"] for r in classes(spark, tmp_path, rows)}
+    want = brute_classes([r[1] for r in rows])
+    assert len(set(want)) > 5
+    assert same_partition([out[i] for i in range(len(rows))], want)
+
+
+def test_near_dropped_rows_keep_clashing_columns(spark, tmp_path):
+    copy = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, copy, 5), (1, copy, 6), (2, copy + " end", 7), (3, "other", 8), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, rid long").selectExpr("*", "'x' AS RID_", "1 AS __rid").write.parquet(f"{tmp_path}/d")
+    out = near_dedup.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/d"))
+    assert out.columns == ["doc_id", "text", "rid", "RID_", "__rid"]
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+
+
 def test_near_pairs_that_share_a_passage(spark, tmp_path):
     passage = " ".join(f"p{i}" for i in range(304))
     own = lambda kind, i, n: " ".join(f"{kind}{i}x{k}" for k in range(n))
@@ -231,3 +256,14 @@ def test_leaks_by_shuffle(spark, tmp_path, monkeypatch):
     broadcast = sorted(map(str, queries.op10_decontamination(spark, folder).collect()))
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert sorted(map(str, queries.op10_decontamination(spark, folder).collect())) == broadcast and broadcast
+
+
+def test_leaks_with_names_that_begin_sentences(spark, tmp_path):
+    item = "Alice has 12 apples in her basket. Alice gives 4 apples to a friend. Alice then eats 2 apples on the way home. How many apples are left?"
+    other = item.replace("Alice", "Carol").replace("12", "31").replace(" 4 ", " 7 ").replace(" 2 ", " 5 ")
+    docs = [(1, other), (2, "Intro text. " + item + " More text."), (3, item.lower()), (4, "so " + item[0].lower() + item[1:]), (5, item.replace("Alice", "Carol", 1)), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    bench = spark.createDataFrame([(7, item), (None, "nothing of the kind is in any of these documents at all"), (8, None)], "item_id long, text string")
+    out = {r["doc_id"]: r for r in decontam.find_leaks(spark.read.parquet(f"{tmp_path}/d"), bench).collect()}
+    assert set(out) == {1, 2, 3, 4} or set(out) == {1, 2, 3, 4, 5}
+    assert out[1]["agreement"] == 1.0 and out[2]["covered"] == out[2]["windows"]

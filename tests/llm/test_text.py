@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -91,6 +92,8 @@ def test_markov_model_against_brute_force():
 
 # --- toxicity
 
+SEED = ("idiot", "stupid", "moron", "scum", "trash", "loser", "clown", "worthless", "pathetic", "disgusting")
+
 
 def one_edit(a, b):
     if len(a) > len(b):
@@ -104,10 +107,10 @@ def one_edit(a, b):
 
 def test_automaton_against_edit_distance():
     rng = random.Random(2)
-    terms = {t: ("seed", 0.0) for t in toxicity.SEED} | {"=idiom": ("word", 0.0), "^ache": ("stem", 2.0), "=acheter": ("word", 0.0), "=achen": ("word", 3.0)}
+    terms = {t: ("strong", 0.0) for t in SEED} | {"=idiom": ("word", 0.0), "^ache": ("stem", 2.0), "=acheter": ("word", 0.0), "=achen": ("word", 3.0)}
     matcher = toxicity.Matcher(terms)
-    words = set(toxicity.SEED) | {"idiom", "ache", "acheter", "achen", "achexyz", "ach", ""}
-    for t in toxicity.SEED:
+    words = set(SEED) | {"idiom", "ache", "acheter", "achen", "achexyz", "ach", ""}
+    for t in SEED:
         for _ in range(150):
             w = list(t)
             for _ in range(rng.randrange(1, 3)):
@@ -115,19 +118,19 @@ def test_automaton_against_edit_distance():
                 w[i : i + rng.randrange(2)] = rng.choice(["", "x", "1", "o", "s", "é"])
             words.add("".join(w))
     for w in words:
-        if w in toxicity.SEED:
+        if w in SEED:
             want = "exact"
         elif w == "achen" or w.startswith("ache") and w != "acheter":
             want = "learned"
         elif w in ("idiom", "acheter"):
             want = None
         else:
-            want = "fuzzy" if any(len(t) >= 5 and one_edit(t, w) for t in toxicity.SEED) else None
+            want = "fuzzy" if any(len(t) >= 5 and one_edit(t, w) for t in SEED) else None
         assert (matcher.match(w) or (None,))[0] == want, w
 
 
 def test_context_separates_quotation():
-    matcher = toxicity.Matcher({t: ("seed", 0.0) for t in toxicity.SEED})
+    matcher = toxicity.Matcher({t: ("strong", 0.0) for t in SEED})
     at = toxicity.FEATURES.index("quoted")
     assert toxicity.features("the teacher said “idiot” is a rude word", matcher, {})[at] > 0
     assert toxicity.features("you are an idiot and they said so", matcher, {})[at] == 0
@@ -144,12 +147,81 @@ def toxic_rows(n=1500):
         toxic = i % 6 == 0
         if toxic:
             for _ in range(rng.randrange(1, 4)):
-                words.insert(rng.randrange(len(words)), rng.choice([*toxicity.SEED, "stupd", "zargle", "zargling", "zargler"]))
+                words.insert(rng.randrange(len(words)), rng.choice([*SEED, "stupd", "zargle", "zargling", "zargler"]))
         rows.append((i, " ".join(words), 1, "clash", 0))
         labels.append((i, 1, int(toxic)))
     return rows, labels
 
 
+def plain_features(text, terms):
+    """The features by their definition: edit distance to each term, and windows of words, for each word by itself."""
+    low = text.lower()
+    found = list(re.finditer(r"\w+", low))
+    words = [m.group() for m in found]
+    by = {kind: [t for t, (k, _) in terms.items() if k == kind] for kind in ("strong", "firm", "word", "stem")}
+    counts, quoted, learned = Counter(), 0, {}
+    for i, w in enumerate(words):
+        stems = [terms[s][1] for s in by["stem"] if w.startswith(s[1:])]
+        if w in by["strong"] or w in by["firm"]:
+            kind = "exact"
+        elif "=" + w in by["word"]:
+            kind = "learned" if terms["=" + w][1] > 0 else None
+        elif stems:
+            kind = "learned" if max(stems) > 0 else None
+        else:
+            kind = "fuzzy" if any(len(t) >= toxicity.FUZZY_LEAST and one_edit(t, w) for t in by["strong"]) else None
+        if kind is None:
+            continue
+        lo, hi = max(0, i - toxicity.WINDOW), min(len(words) - 1, i + toxicity.WINDOW)
+        near = set(words[lo:i] + words[i + 1 : hi + 1])
+        marks = all(any(q in part for q in "\"“”„«»‹›") for part in (low[found[lo].start() : found[i].start()], low[found[i].end() : found[hi].end()]))
+        if (marks or near & toxicity.REPORTING) and not near & toxicity.ADDRESS:
+            quoted += 1
+            continue
+        counts[kind] += 1
+        if kind == "learned":
+            learned[w] = terms["=" + w][1] if "=" + w in terms else max(stems)
+    total = sum(counts.values())
+    if not total and not quoted:
+        return [0.0] * 6
+    return [np.log1p(counts["exact"]), np.log1p(counts["fuzzy"]), sum(learned.values()), np.log1p(quoted), float(total > 0), np.log1p(1000 * total / len(words))]
+
+
+def test_scores_against_a_plain_scorer(spark):
+    rows, labels = toxic_rows(900)
+    rng = random.Random(5)
+    rows = [(i, t + rng.choice(["", " she said", ' "quoted zargle here" ok', " you zargle", " stupd zarglx"]), *rest) for i, t, *rest in rows]
+    docs, labelled = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample = toxicity._sample(docs, labelled, "doc_id", "text", "toxic", toxicity.FIT_ROWS)
+    terms = toxicity.learn_terms(sample, ("moron",))
+    data = sample.toPandas()
+    x = np.array([plain_features(t, terms) for t in data["text"]])
+    weights = toxicity.fit(x, (data["label"] > 0).to_numpy(float))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, labelled, given=("moron",)).collect()}
+    for i, t, *_ in rows:
+        z = weights[0] + np.dot(plain_features(t, terms), weights[1:])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6, t
+
+
+def test_misspelled_learned_terms(spark):
+    """A term of any language that only labels teach is caught with an edit; words of clean documents one edit away aren't."""
+    rng = random.Random(4)
+    plain = ["haus", "baum", "garten", "lampe", "fenster", "regal", "schrank", "teppich"]
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(20)]
+        if i % 5 == 1:
+            words[rng.randrange(20)] = rng.choice(["widerling", "schwachkopf"])
+        elif i % 5 == 2:
+            words[rng.randrange(20)] = "schwachkop"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 1)))
+    rows += [(5000, "haus du widerlinq baum"), (5001, "haus schwachkop baum"), (5002, "haus baum"), (5003, "widerlinqq")]
+    out = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in out.where("doc_id >= 5000").collect()}
+    assert got == {5000: 1, 5001: 0, 5002: 0, 5003: 0}
+
+
 def test_toxicity(spark, tmp_path):
     rows, labels = toxic_rows()
     rows += [(None, None, None, None, None), (3, "", 1, "", 1), (3, "idiot " * 60_000, 1, "", 1)]
