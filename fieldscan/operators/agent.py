@@ -22,7 +22,8 @@ class AgentConfig:
 
     fitness_floor: float = 0.3
     rmse_ceiling: float = 0.015
-    k_mad: float = 3.0
+    fitness_mads: float = 3.0
+    rmse_mads: float = 3.0
     window: int = 20
     cold_start: int = 8
     least_history: int = 3
@@ -63,13 +64,14 @@ def median_mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _limit(values: str, sign: float, k: float) -> Column:
-    """Median plus or minus k times the MAD of an array column."""
+    """Median plus or minus k times the MAD of an array column; the median is bound once, as a field of an array of one."""
 
     def middle(a: str) -> str:
-        return f"((element_at(sort_array({a}), cast((size({a}) + 1) div 2 as int)) + element_at(sort_array({a}), cast(size({a}) div 2 + 1 as int))) / 2)"
+        return f"((element_at({a}, cast((size({a}) + 1) div 2 as int)) + element_at({a}, cast(size({a}) div 2 + 1 as int))) / 2)"
 
-    spread = middle(f"transform({values}, q -> abs(q - {middle(values)}))")
-    return F.expr(f"{middle(values)} + {sign * k}D * {spread}")
+    ordered = f"transform(array(sort_array({values})), s -> named_struct('s', s, 'm', {middle('s')}))"
+    spread = f"transform({ordered}, x -> named_struct('m', x.m, 'd', array_sort(transform(x.s, q -> abs(q - x.m)))))"
+    return F.expr(f"element_at(transform({spread}, x -> x.m + {sign * k}D * {middle('x.d')}), 1)")
 
 
 def adaptive_thresholds(accepted: DataFrame, config: AgentConfig = CONFIG) -> DataFrame:
@@ -81,8 +83,8 @@ def adaptive_thresholds(accepted: DataFrame, config: AgentConfig = CONFIG) -> Da
     before = W.partitionBy("sequence_id").orderBy("frame_index").rowsBetween(W.unboundedPreceding, -1)
     out = accepted.withColumn("fit_win", F.collect_list("fitness").over(last)).withColumn("rmse_win", F.collect_list("rmse").over(last))
     warm = (F.count("*").over(before) >= config.cold_start) & (F.size("fit_win") >= config.least_history)
-    low = F.greatest(F.lit(config.fitness_floor), _limit("fit_win", -1.0, config.k_mad))
-    high = F.least(F.lit(config.rmse_ceiling), _limit("rmse_win", 1.0, config.k_mad))
+    low = F.greatest(F.lit(config.fitness_floor), _limit("fit_win", -1.0, config.fitness_mads))
+    high = F.least(F.lit(config.rmse_ceiling), _limit("rmse_win", 1.0, config.rmse_mads))
     out = out.withColumn("warm", warm)
     out = out.withColumn("min_fitness", F.when(F.col("warm"), low).otherwise(config.fitness_floor))
     return out.withColumn("max_rmse", F.when(F.col("warm"), high).otherwise(config.rmse_ceiling)).drop("warm", "fit_win", "rmse_win")
@@ -98,7 +100,7 @@ def judge(
     """
     as_col = lambda x, default: x if isinstance(x, Column) else F.lit(float(default if x is None else x))
     low, high = as_col(min_fitness, config.fitness_floor), as_col(max_rmse, config.rmse_ceiling)
-    cap = max(config.translation_factor * expected_step_m, config.translation_cap_m) if expected_step_m > 0 else config.translation_cap_m
+    cap = translation_cap(expected_step_m, config)
     if transform:
         rows = rows.withColumn("translation_m", translation_m(F.col(transform))).withColumn("rotation_deg", rotation_deg(F.col(transform)))
     checks = [
@@ -129,22 +131,31 @@ class AgentState:
             return c.fitness_floor, c.rmse_ceiling
         med_f, med_r = median(self.fitness), median(self.rmse)
         mad_f, mad_r = median(abs(x - med_f) for x in self.fitness), median(abs(x - med_r) for x in self.rmse)
-        return max(c.fitness_floor, med_f - c.k_mad * mad_f), min(c.rmse_ceiling, med_r + c.k_mad * mad_r)
+        return max(c.fitness_floor, med_f - c.fitness_mads * mad_f), min(c.rmse_ceiling, med_r + c.rmse_mads * mad_r)
 
-    def step(self, first: bool, fitness: float, rmse: float, translation: float, rotation: float, cap: float) -> tuple[bool, float, float, bool]:
-        """(accepted, min_fitness, max_rmse, fallback flag) of the next frame; the first frame is accepted as (1, 0)."""
+    def fits(self, fitness: float, rmse: float, translation: float, rotation: float, cap: float) -> bool:
         low, high = self.thresholds()
-        if first:
-            fitness, rmse, good = 1.0, 0.0, True
-        else:
-            good = fitness >= low and rmse <= high and translation <= cap and rotation <= self.config.rotation_cap_deg
+        return fitness >= low and rmse <= high and translation <= cap and rotation <= self.config.rotation_cap_deg
+
+    def record(self, good: bool, fitness: float, rmse: float) -> bool:
+        """Remember a verdict; the fallback flag after it."""
         if good:
             self.fitness = [*self.fitness, fitness][-self.config.window :]
             self.rmse = [*self.rmse, rmse][-self.config.window :]
             self.accepted, self.rejects = self.accepted + 1, 0
         else:
             self.rejects += 1
-        return good, low, high, self.rejects >= self.config.fallback_after
+        return self.rejects >= self.config.fallback_after
+
+    def step(self, first: bool, fitness: float, rmse: float, translation: float, rotation: float, cap: float) -> tuple[bool, float, float, bool]:
+        """(accepted, min_fitness, max_rmse, fallback flag) of the next frame; the first frame is accepted as (1, 0)."""
+        low, high = self.thresholds()
+        good = first or self.fits(fitness, rmse, translation, rotation, cap)
+        return good, low, high, self.record(good, 1.0 if first else fitness, 0.0 if first else rmse)
+
+
+def translation_cap(expected_step_m: float, config: AgentConfig = CONFIG) -> float:
+    return max(config.translation_factor * expected_step_m, config.translation_cap_m) if expected_step_m > 0 else config.translation_cap_m
 
 
 SCAN_SCHEMA = "sequence_id long, frame_index long, accepted boolean, min_fitness double, max_rmse double, fallback boolean"
@@ -156,7 +167,7 @@ def agent_scan(rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfi
     Only metric rows (fitness, rmse, translation_m, rotation_deg) are grouped, so a group is a few bytes per frame of one
     sequence; sequences run in parallel.
     """
-    cap = max(config.translation_factor * expected_step_m, config.translation_cap_m) if expected_step_m > 0 else config.translation_cap_m
+    cap = translation_cap(expected_step_m, config)
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         state, out = AgentState(config), []
@@ -169,6 +180,39 @@ def agent_scan(rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfi
     return needed.groupBy("sequence_id").applyInPandas(scan, SCAN_SCHEMA)
 
 
+def attempt_scan(rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfig = CONFIG) -> DataFrame:
+    """As ``agent_scan``, of frames with several tries: the first that fits is taken.
+
+    ``tries`` of a row are the ones made so far: an array of (attempt, fitness, rmse, translation_m, rotation_deg). Adds
+    ``attempt``, the last one looked at, and ``wanted``, the next one if it isn't made yet; the frame then counts as
+    rejected for the time being. The first frame of a sequence needs none.
+    """
+    cap = translation_cap(expected_step_m, config)
+    schema = SCAN_SCHEMA + ", attempt int, wanted int"
+
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        state, out = AgentState(config), []
+        for i, r in enumerate(group.sort_values("frame_index").itertuples()):
+            tries = {t["attempt"]: t for t in (r.tries if r.tries is not None else ())}
+            low, high = state.thresholds()
+            k, wanted, good, found = 0, None, i == 0, (1.0, 0.0)
+            while not good:
+                if k not in tries:
+                    wanted = k
+                    break
+                found = tries[k]["fitness"], tries[k]["rmse"]
+                good = state.fits(*found, tries[k]["translation_m"], tries[k]["rotation_deg"], cap)
+                if good or config.recovery(k) is None:
+                    break
+                k += 1
+            fallback = state.record(good, *found)
+            out.append((r.sequence_id, r.frame_index, good, low, high, fallback, k, wanted))
+        made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+        return made.astype({"wanted": "Int32"})
+
+    return rows.select("sequence_id", "frame_index", "tries").groupBy("sequence_id").applyInPandas(scan, schema)
+
+
 def consecutive_rejects(judged: DataFrame, accepted: str = "accepted", flag_at: int = 3) -> DataFrame:
     """``rejects``: length of the run of rejects that a frame ends (0 if accepted), and ``fallback`` from ``flag_at`` on."""
     ordered = W.partitionBy("sequence_id").orderBy("frame_index")

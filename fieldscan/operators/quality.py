@@ -28,6 +28,12 @@ class QualityThresholds:
 
 @dataclass(frozen=True)
 class QualityParams:
+    """How the frames of a quality report are projected and registered."""
+
+    bbox: tuple[int, int, int, int] | None = None
+    depth_min_mm: int = 0
+    erode: bool = False
+    inpaint: bool = False
     depth_scale: float = 1000.0
     depth_trunc: float = 4.0
     voxel_size: float = 0.005

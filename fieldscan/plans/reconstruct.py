@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldscan.functions.geometry import Camera, rotation_deg, translation_m
+from fieldscan.functions.geometry import Camera, identity, rotation_deg, translation_m
 from fieldscan.functions.scratch import stored
-from fieldscan.operators.agent import CONFIG, AgentConfig, agent_scan, simple_accept, target_chain
-from fieldscan.operators.neighbors import clean_registration, renumbered
-from fieldscan.operators.pixels import erode_valid, fill_holes, mask_depth_range, project_points
-from fieldscan.operators.poses import kinematic_pose, merge_clouds, pose_chain
-from fieldscan.operators.registration import icp_colored
+from fieldscan.operators.agent import CONFIG, AgentConfig, attempt_scan, simple_accept, target_chain
+from fieldscan.operators.neighbors import clean_registration, estimate_normals, outlier_statistical, renumbered, voxel_downsample
+from fieldscan.operators.pixels import clip_depth_mad, erode_valid, fill_holes, mask_depth_range, project_points
+from fieldscan.operators.poses import init_transform, kinematic_pose, merge_clouds, pose_chain
+from fieldscan.operators.registration import PAIR, feature_match, fpfh, icp_colored, icp_point_to_plane, recover_feature_init
 from fieldscan.operators.volume import tsdf_candidates, tsdf_extract, tsdf_integrate
 
 
@@ -31,47 +31,106 @@ def previous_pairs(frames: DataFrame) -> DataFrame:
     return frames.select("sequence_id", F.col("frame_index").alias("source_frame"), before.alias("target_frame")).where("target_frame is not null")
 
 
+def registration_attempt(
+    strategy: str | None, pairs: DataFrame, clouds: DataFrame, voxel: float, max_iter: int, step_m: float = 0.0, axis: int = 0
+) -> DataFrame:
+    """``T, fitness, rmse`` of all pairs by the first try (None) or by a recovery strategy, as one job.
+
+    A pair that a strategy leaves without a result has fitness 0 and an infinite rmse.
+    """
+    ends = pairs.select("sequence_id", F.explode(F.array("source_frame", "target_frame")).alias("frame_index")).distinct()
+    points = stored(clouds.join(ends, ["sequence_id", "frame_index"], "left_semi"), "attempt-clouds")
+    init = pairs.select(*PAIR).withColumn("T", init_transform(step_m, axis))
+    coarse = max(2 * voxel, 1e-4)
+    if strategy == "tighter_crop":
+        points = clip_depth_mad(points)
+    elif strategy == "voxel_downsample":
+        points = renumbered(voxel_downsample(points, coarse))
+    elif strategy == "denoise":
+        points = outlier_statistical(points, 30, 1.5)
+    elif strategy == "feature_init":
+        sparse = stored(estimate_normals(renumbered(voxel_downsample(points, coarse)), 2 * coarse), "sparse")
+        matches = stored(feature_match(pairs, stored(fpfh(sparse, coarse), "features")), "matches")
+        init = recover_feature_init(matches, sparse, coarse)
+    elif strategy not in (None, "reseed_init", "point_to_plane"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    if strategy == "point_to_plane":
+        found = icp_point_to_plane(pairs, points, 2 * voxel, max_iter, init)
+    else:
+        found = icp_colored(pairs, points, voxel, max_iter, init)
+    out = pairs.select(*PAIR).join(found.select(*PAIR, "T", "fitness", "rmse"), PAIR, "left")
+    return out.withColumns({"fitness": F.coalesce("fitness", F.lit(0.0)), "rmse": F.coalesce("rmse", F.lit(float("inf"))), "T": F.coalesce("T", identity())})
+
+
 def register_sequences(
-    clouds: DataFrame, voxel: float, max_iter: int, expected_step_m: float = 0.0, config: AgentConfig = CONFIG, most_rounds: int = 8
+    clouds: DataFrame,
+    voxel: float,
+    max_iter: int,
+    expected_step_m: float = 0.0,
+    config: AgentConfig = CONFIG,
+    axis: int = 0,
+    most_rounds: int | None = None,
 ) -> DataFrame:
-    """(sequence_id, frame_index, target, T, fitness, rmse, accepted, fallback) of all frames.
+    """(sequence_id, frame_index, target, T, fitness, rmse, accepted, fallback, attempts, last_strategy, status) of all frames.
 
-    A frame's target is the last accepted frame, so pairs depend on verdicts. All frames are first registered against
-    the one before; after each scan only frames whose target turned out to be another are registered again, until no
-    target changes. After ``most_rounds`` the frames still open are rejected.
+    A frame's target is the last accepted frame, so pairs depend on verdicts, and so do retries, as limits adapt. All
+    frames are first registered against the one before. After each scan, the frames whose target turned out to be
+    another, or that need another try, get it, one job for each strategy over all sequences; until none is open. A round
+    settles at least one more frame's target or try of each sequence, so it ends. With ``most_rounds`` the frames that
+    are open then have the status UNDECIDED and aren't accepted.
     """
     frames = stored(clouds.select("sequence_id", "frame_index").distinct(), "frames")
-    known = stored(icp_colored(previous_pairs(frames), clouds, voxel, max_iter).drop("fell_back"), "registered")
     targets = stored(previous_pairs(frames), "targets")
-    for turn in range(most_rounds):
-        rows = frames.join(targets.withColumnRenamed("source_frame", "frame_index"), ["sequence_id", "frame_index"], "left")
-        rows = rows.join(known.withColumnRenamed("source_frame", "frame_index"), ["sequence_id", "frame_index", "target_frame"], "left")
-        rows = rows.withColumns({"translation_m": translation_m(F.col("T")), "rotation_deg": rotation_deg(F.col("T")),
-                                 "fitness": F.coalesce("fitness", F.lit(0.0)), "rmse": F.coalesce("rmse", F.lit(0.0))})
-        judged = rows.join(agent_scan(rows, expected_step_m, config), ["sequence_id", "frame_index"])
+    first = registration_attempt(None, targets, clouds, voxel, max_iter, expected_step_m, axis)
+    known = stored(first.withColumn("attempt", F.lit(0)), "registered")
+    turn = 0
+    while True:
+        turn += 1
+        row = F.struct("attempt", "fitness", "rmse", translation_m(F.col("T")).alias("translation_m"), rotation_deg(F.col("T")).alias("rotation_deg"))
+        tries = known.groupBy(*PAIR).agg(F.collect_list(row).alias("tries"))
+        pairs = targets.join(tries, PAIR, "left").withColumnRenamed("source_frame", "frame_index")
+        rows = stored(frames.join(pairs, ["sequence_id", "frame_index"], "left"), "tries")
+        judged = rows.drop("tries").join(attempt_scan(rows, expected_step_m, config), ["sequence_id", "frame_index"])
         judged = stored(target_chain(judged), "judged")
-        wrong = judged.where("target is not null and target != target_frame")
-        if wrong.isEmpty() or turn + 1 == most_rounds:
+        unlike = ~F.col("target").eqNullSafe(F.col("target_frame"))
+        judged = judged.withColumn("open", F.col("target").isNotNull() & (unlike | F.col("wanted").isNotNull()))
+        asked = judged.where("open").select("sequence_id", F.col("frame_index").alias("source_frame"), F.col("target").alias("target_frame"),
+                                            F.when(unlike, F.lit(0)).otherwise(F.col("wanted")).alias("attempt"))
+        if turn == most_rounds or asked.isEmpty():
             break
-        asked = wrong.select("sequence_id", F.col("frame_index").alias("source_frame"), F.col("target").alias("target_frame"))
         targets = stored(judged.where("target is not null").select("sequence_id", F.col("frame_index").alias("source_frame"), F.col("target").alias("target_frame")), "targets")
-        new = asked.join(known.select("sequence_id", "source_frame", "target_frame"), ["sequence_id", "source_frame", "target_frame"], "left_anti")
-        known = stored(known.unionByName(icp_colored(new, clouds, voxel, max_iter).drop("fell_back")), "registered")
-    settled = F.col("target").isNull() | (F.col("target") == F.col("target_frame"))
-    return judged.select("sequence_id", "frame_index", "target", "T", "fitness", "rmse", (F.col("accepted") & settled).alias("accepted"), "fallback")
+        new = stored(asked.join(known.select(*PAIR, "attempt"), [*PAIR, "attempt"], "left_anti"), "asked")
+        for k in sorted(r["attempt"] for r in new.select("attempt").distinct().collect()):  # max_retries numbers at most
+            some = new.where(F.col("attempt") == k).select(*PAIR)
+            made = registration_attempt(config.recovery(k - 1) if k else None, some, clouds, voxel, max_iter, expected_step_m, axis)
+            known = known.unionByName(made.withColumn("attempt", F.lit(k)))
+        known = stored(known, "registered")
+    # frames behind an open one of their sequence rest on its verdict
+    before = W.partitionBy("sequence_id").orderBy("frame_index")
+    judged = judged.withColumn("open", F.max("open").over(before))
+    taken = known.withColumnRenamed("source_frame", "frame_index")
+    out = judged.join(taken, ["sequence_id", "frame_index", "target_frame", "attempt"], "left")
+    status = F.when(F.col("open"), "UNDECIDED").when(~F.col("accepted"), "REJECTED").when(F.col("attempt") > 0, "RECOVERED").otherwise("OK")
+    via = F.lit(None).cast("string")
+    for k in range(config.max_retries):
+        via = F.when(F.col("attempt") == k + 1, config.recovery(k)).otherwise(via)
+    start = F.col("target").isNull()
+    return out.select(
+        "sequence_id", "frame_index", "target", "T", F.when(start, 1.0).otherwise(F.col("fitness")).alias("fitness"), F.when(start, 0.0).otherwise(F.col("rmse")).alias("rmse"),
+        (F.col("accepted") & ~F.col("open")).alias("accepted"), "fallback", F.col("attempt").alias("attempts"), via.alias("last_strategy"), status.alias("status"),
+    )
 
 
 def reconstruct_icp(
     pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int = 0, voxel: float = 0.005, max_iter: int = 80,
-    expected_step_m: float = 0.0, clean: bool = True, config: AgentConfig = CONFIG,
+    expected_step_m: float = 0.0, clean: bool = True, config: AgentConfig = CONFIG, axis: int = 0, most_rounds: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(merged points, frame outcomes): project, clean, register, judge, chain the accepted poses and merge."""
+    """(merged points, frame outcomes): project, clean, register with recovery, judge, chain the accepted poses and merge."""
     clouds = frame_clouds(pixels, camera, scale, trunc, near)
     clouds = stored(clean_registration(clouds) if clean else clouds, "clouds")
-    outcomes = register_sequences(clouds, voxel, max_iter, expected_step_m, config)
+    outcomes = stored(register_sequences(clouds, voxel, max_iter, expected_step_m, config, axis, most_rounds), "outcomes")
     poses = pose_chain(outcomes.where("accepted").select("sequence_id", "frame_index", "T"))
-    status = F.when(F.col("accepted"), "OK").otherwise("REJECTED")
-    return merge_clouds(clouds, poses), outcomes.withColumn("status", status)
+    return merge_clouds(clouds, poses), outcomes
 
 
 def reconstruct_simple(pixels: DataFrame, camera: Camera, scale: float, voxel: float = 0.005, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
