@@ -125,7 +125,8 @@ def test_png_round_trip_and_bad_files(spark, tmp_path):
     assert len(boxed) == ((depth[1:4, 2:5] > 0) & (depth[1:4, 2:5] <= 4000)).sum()
 
 
-def test_png_filters():
+@pytest.mark.parametrize("kinds", [3, 5])
+def test_png_filters(kinds):
     import struct
     import zlib
 
@@ -133,7 +134,7 @@ def test_png_filters():
     image = rng.integers(0, 256, (6, 5, 3)).astype(np.uint8)
     lines, before = b"", np.zeros(15, int)
     for y in range(6):
-        now, kind = image[y].reshape(-1).astype(int), y % 5
+        now, kind = image[y].reshape(-1).astype(int), y % kinds
         left, corner = np.concatenate([[0] * 3, now[:-3]]), np.concatenate([[0] * 3, before[:-3]])
         p = left + before - corner
         paeth = np.where((abs(p - left) <= abs(p - before)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - before) <= abs(p - corner), before, corner))
