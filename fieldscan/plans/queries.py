@@ -632,19 +632,19 @@ def _scores(out: DataFrame) -> DataFrame:
 @query("icp_point_to_plane")
 def _(spark, d):
     pairs, both = _shifted_pairs(spark, d)
-    return _scores(registration.icp_point_to_plane(pairs, both, 0.1, 4))
+    return _scores(registration.icp_point_to_plane(pairs, both, 0.1))
 
 
 @query("icp_colored")
 def _(spark, d):
     pairs, both = _shifted_pairs(spark, d)
-    return _scores(registration.icp_colored(pairs, both, 0.1, 4))
+    return _scores(registration.icp_colored(pairs, both, 0.1))
 
 
 @query("icp_colored_v1")
 def _(spark, d):
     pairs, both = _shifted_pairs(spark, d)
-    return _scores(registration.icp_colored_v1(pairs, both, 0.1, 4))
+    return _scores(registration.icp_colored_v1(pairs, both, 0.1))
 
 
 @query("init_transform", "registrations", "SELECT sequence_id, frame_index, 0.0127::DOUBLE AS moved, CAST(0 AS DOUBLE) AS turned FROM registrations")
