@@ -1,12 +1,15 @@
 """URL filter: rules on host and path first, then the ratio of two character language models.
 
-Accepted and rejected URLs train one variable-order Markov model each over a reduced alphabet. A context's prediction is
-interpolated with that of the next shorter context (Witten-Bell), so an unseen context falls back to shorter ones. The
-score of a URL is the difference of its two log-likelihoods, divided by its length, less a threshold calibrated on
-labelled URLs that were kept out of training.
-
-The counts cover all labelled URLs. A context is ``ORDER`` symbols of 5 bits, so a model has at most 2**(5*(ORDER+1))
-cells whatever the number of URLs: that is the proven bound of what is gathered and broadcast.
+Accepted and rejected URLs train one variable-order Markov model each over bytes. A context of up to ``ORDER`` bytes
+predicts by its own counts, interpolated with the prediction of the next shorter context as far as its counts are few
+(Witten-Bell), so the data decide how long a context counts; an unseen one falls back to shorter ones. The score of a URL
+is the difference of its two log-likelihoods, divided by its length, less a threshold calibrated on labelled URLs that
+were kept out of training.
+
+Both models are one table with a row for each distinct string of ``ORDER`` + 1 bytes of the URLs. It grows with them and
+stays distributed: counts are summed by string, shorter contexts are sums of longer ones, predictions are joined from
+each order to the next, and URLs meet the table by string. A string has at most 256 extensions, so no group of these
+joins and windows is large; strings that many URLs share are joined apart.
 """
 
 from __future__ import annotations
@@ -16,26 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import UPPER, text_or_empty
+from .common import UPPER, cut, join_heads, numbered, text_or_empty
 
-ORDER = 3
-BITS = 5
-SYMBOLS = 1 << BITS
-CELLS = 1 << BITS * (ORDER + 1)
+#: Bytes of the longest context; one more must fit a 64-bit number.
+ORDER = 6
+#: URLs are turned into strings of ORDER + 1 bytes in pieces of this many bytes, which bounds memory.
+PIECE = 1 << 20
+#: Log-likelihoods are summed as whole multiples of 1 / UNIT, so sums don't depend on their order.
+UNIT = 1 << 20
 #: Scores are calibrated in steps of 1/STEPS from -SPAN to SPAN.
 STEPS, SPAN = 100, 12
 HOLD_OUT = 5
 
-#: Symbol 0 pads the start, 1 to 26 are the letters in either case, then digits, marks and all others.
-_CODES = np.full(256, 31, np.uint8)
-for _i in range(26):
-    _CODES[ord("a") + _i] = _CODES[ord("A") + _i] = _i + 1
-for _c, _v in (("0123456789", 27), ("/", 28), (".", 29), ("-_=&?+%:#~", 30)):
-    for _x in _c:
-        _CODES[ord(_x)] = _v
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A to Z lower-cased. Path: then up to ``?`` or ``#``."""
@@ -63,72 +61,103 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, bool]]) -> t
     return rule, verdict
 
 
-def _cells(urls: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of every symbol with the ORDER symbols before it, and the number of symbols of each URL."""
-    raw = [(u or "").encode() for u in urls]
-    lengths = np.array([len(x) for x in raw], np.int64)
-    pad = b"\0" * ORDER
-    codes = _CODES[np.frombuffer(b"".join(pad + x for x in raw) + b"", np.uint8)].astype(np.int64)
-    starts = np.cumsum(lengths + ORDER) - lengths - ORDER
-    for k in range(ORDER):
-        codes[starts + k] = 0
-    cells = np.zeros(len(codes), np.int64)
-    for k in range(ORDER + 1):
-        shifted = np.concatenate([np.zeros(k, np.int64), codes[: len(codes) - k]])
-        cells |= shifted << BITS * k
-    real = np.ones(len(codes), bool)
-    for k in range(ORDER):
-        real[starts + k] = False
-    return cells[real], lengths
-
-
-def count_cells(labelled: DataFrame, url_col: str, accepted_col: str) -> dict[bool, np.ndarray]:
-    """Counts of all cells over all labelled URLs, one array of CELLS for each class."""
+def _pieces(urls: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every byte with the ORDER bytes before it, as a number, beside its URL's place in ``urls``; some PIECE bytes at a time.
+
+    Zero bytes stand before the start of a URL.
+    """
+
+    def grams(parts: list[bytes], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+        out = codes.copy()
+        for k in range(1, ORDER + 1):
+            out[k:] |= codes[:-k] << 8 * k
+        lengths = np.array([len(x) for x in parts])
+        real = np.ones(len(codes), bool)
+        starts = np.cumsum(lengths) - lengths
+        for k in range(ORDER):
+            real[starts + k] = False
+        return np.repeat(places, lengths - ORDER), out[real]
+
+    parts, places, size = [], [], 0
+    for place, url in enumerate(urls):
+        raw = bytes(ORDER) + (url or "").encode()
+        for at in range(0, len(raw) - ORDER, PIECE):
+            parts.append(raw[at : at + PIECE + ORDER])
+            places.append(place)
+            size += len(parts[-1])
+            if size >= PIECE:
+                yield grams(parts, places)
+                parts, places, size = [], [], 0
+    if parts:
+        yield grams(parts, places)
+
+
+def count_strings(df: DataFrame, url_col: str, label_col: str) -> DataFrame:
+    """``gram, good, bad, n`` for each string of ORDER + 1 bytes: how often it occurs in accepted, rejected and all URLs.
+
+    URLs whose label is null count in ``n`` only.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {True: np.zeros(CELLS, np.int64), False: np.zeros(CELLS, np.int64)}
         for batch in batches:
-            for accepted, urls in batch.groupby("accepted")["url"]:
-                sums[bool(accepted)] += np.bincount(_cells(urls)[0], minlength=CELLS)
-        for accepted, x in sums.items():
-            (at,) = np.nonzero(x)
-            if len(at):
-                yield pd.DataFrame({"accepted": accepted, "cell": at, "n": x[at]})
-
-    rows = labelled.select(F.col(url_col).alias("url"), F.col(accepted_col).alias("accepted"))
-    made = rows.mapInPandas(count, "accepted boolean, cell long, n long").groupBy("accepted", "cell").agg(F.sum("n").alias("n"))
-    got, out = made.toPandas(), {}
-    for accepted in (True, False):
-        mine = got[got["accepted"] == accepted]
-        out[accepted] = np.zeros(CELLS, np.int64)
-        out[accepted][mine["cell"].to_numpy(np.int64)] = mine["n"].to_numpy(np.int64)
-    return out
-
-
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Log-probability of each cell's last symbol after its context, Witten-Bell interpolated from order 0 up."""
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER + 1):
-        seen = counts.reshape(-1, SYMBOLS ** (order + 1)).sum(0).reshape(-1, SYMBOLS).astype(float)
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        shorter = np.tile(p.reshape(-1, SYMBOLS), (len(seen) // max(1, p.size // SYMBOLS), 1))
-        weight = np.where(total + kinds > 0, total / np.maximum(total + kinds, 1), 0)
-        p = weight * np.divide(seen, total, out=np.zeros_like(seen), where=total > 0) + (1 - weight) * shorter
-    return np.log(p.reshape(-1)).astype(np.float32)
-
-
-def score_urls(df: DataFrame, url_col: str, models: dict[bool, np.ndarray]) -> DataFrame:
-    """``df`` with ``ratio``: mean over the URL's bytes of the log-probability difference; 0 for a null or empty URL."""
-    table = df.sparkSession.sparkContext.broadcast(models[True] - models[False])
-
-    @F.pandas_udf("double")
-    def ratio(urls: pd.Series) -> pd.Series:
-        cells, lengths = _cells(urls)
-        sums = np.concatenate([[0.0], np.cumsum(table.value[cells].astype(float))])
-        ends = np.cumsum(lengths)
-        return pd.Series((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1))
-
-    return df.withColumn("ratio", ratio(F.col(url_col)))
+            good, bad = (batch["label"].eq(x).fillna(False).to_numpy(bool) for x in (True, False))
+            for place, gram in _pieces(batch["url"]):
+                kinds, at = np.unique(gram, return_inverse=True)
+                sums = {"good": good[place], "bad": bad[place], "n": np.ones(len(at), bool)}
+                yield pd.DataFrame({"gram": kinds} | {c: np.bincount(at, x, len(kinds)).astype(np.int64) for c, x in sums.items()})
+
+    rows = df.select(F.col(url_col).alias("url"), F.col(label_col).alias("label"))
+    made = rows.mapInPandas(count, "gram long, good long, bad long, n long")
+    return made.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("good", "bad", "n")))
+
+
+def _last(order: int) -> Column:
+    """The last ``order`` + 1 bytes of ``gram``."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+
+
+def log_ratios(strings: DataFrame) -> DataFrame:
+    """``strings`` (``gram, good, bad, n``) with ``gain``: the log-probability of the last byte after the ones before it
+    under the accepted model less that under the rejected one, in multiples of 1 / UNIT."""
+    levels = [strings]
+    for k in range(ORDER - 1, -1, -1):
+        levels.insert(0, cut(levels[0].groupBy(_last(k).alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), f"urls-{k}"))
+    shorter = None
+    for k, level in enumerate(levels):
+        context = W.partitionBy(F.shiftright("gram", 8))
+        for c in ("good", "bad"):
+            level = level.withColumns({f"{c}_all": F.sum(c).over(context), f"{c}_kinds": F.sum((F.col(c) > 0).cast("long")).over(context)})
+        if shorter is None:
+            level = level.withColumns({f"{c}_less": F.lit(1 / 256) for c in ("good", "bad")})
+        else:
+            level = level.withColumn("tail", _last(k - 1)).join(shorter, "tail")
+        for c in ("good", "bad"):
+            own = (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_less")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))
+            level = level.withColumn(f"{c}_p", F.when(F.col(f"{c}_all") > 0, own).otherwise(F.col(f"{c}_less")))
+        shorter = level.select(F.col("gram").alias("tail"), F.col("good_p").alias("good_less"), F.col("bad_p").alias("bad_less"))
+    return level.select("gram", "good", "bad", "n", F.round((F.log("good_p") - F.log("bad_p")) * UNIT).cast("long").alias("gain"))
+
+
+def score_urls(df: DataFrame, id_col: str, url_col: str, model: DataFrame) -> DataFrame:
+    """``id_col, ratio``: mean over a URL's bytes of the log-probability difference. A null or empty URL has no row.
+
+    ``id_col`` tells rows apart. ``model`` is ``log_ratios`` over these URLs' strings.
+    """
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["rid"].to_numpy(np.int64)
+            for place, gram in _pieces(batch["url"]):
+                order = np.lexsort((gram, place))
+                place, gram = place[order], gram[order]
+                (first,) = np.nonzero(np.r_[True, (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])])
+                yield pd.DataFrame({"rid": ids[place[first]], "gram": gram[first], "times": np.diff(np.r_[first, len(gram)])})
+
+    made = df.select(F.col(id_col).alias("rid"), F.col(url_col).alias("url")).mapInPandas(strings, "rid long, gram long, times long")
+    met = join_heads(made, model.select("gram", "gain", "n"), ["gram"], "n")
+    total = met.groupBy("rid").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"), F.sum("times").alias("bytes"))
+    return total.select(F.col("rid").alias(id_col), (F.col("gain") / F.col("bytes") / UNIT).alias("ratio"))
 
 
 def calibrate(scored: DataFrame, accepted_col: str) -> float:
@@ -145,25 +174,22 @@ def calibrate(scored: DataFrame, accepted_col: str) -> float:
     return float(edges[best[np.argmin(np.abs(edges[best]))]]) / STEPS
 
 
-def train(labelled: DataFrame, url_col: str = "url", accepted_col: str = "accepted") -> tuple[dict[bool, np.ndarray], float]:
-    """Both models and the threshold. One labelled URL in HOLD_OUT, chosen by hash, only calibrates."""
-    held = F.pmod(F.xxhash64(text_or_empty(F.col(url_col))), F.lit(HOLD_OUT)) == 0
-    models = {k: log_probabilities(v) for k, v in count_cells(labelled.where(~held), url_col, accepted_col).items()}
-    return models, calibrate(score_urls(labelled.where(held), url_col, models), accepted_col)
-
-
 def judge_urls(pages: DataFrame, rules: list[tuple[str, bool]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` (allow or block) and ``score`` (at 0 or above: allowed by the models).
 
-    URLs that a rule decides are the labelled ones. A null URL, or one without ``://``, has an empty host and path; a null
-    or empty one scores 0 less the threshold. With no labelled URL, or of one class only, an untrained model is uniform.
-    Repeated rows are judged each; an empty table gives no rows.
+    URLs that a rule decides are the labelled ones; one in HOLD_OUT of them, chosen by hash, only calibrates. A null URL,
+    or one without ``://``, has an empty host and path; a null or empty one scores 0 less the threshold. With no labelled
+    URL, or of one class only, an untrained model is uniform. Repeated rows are judged each; an empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"))
     rule, allowed = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("allowed", allowed)
-    models, threshold = train(rows.where("allowed is not null"), "url", "allowed")
-    scored = score_urls(rows, "url", models).withColumn("score", F.col("ratio") - threshold)
+    held = F.pmod(F.xxhash64(text_or_empty(F.col("url"))), F.lit(HOLD_OUT)) == 0
+    rows, rid = numbered(rows.withColumn("rule", rule).withColumn("allowed", allowed).withColumn("held", held))
+    strings = cut(count_strings(rows.withColumn("label", F.when(~F.col("held"), F.col("allowed"))), "url", "label"), "urls")
+    ratios = score_urls(rows, rid, "url", cut(log_ratios(strings), "urls-model"))
+    scored = cut(rows.drop("url").join(ratios, rid, "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0))), "urls-scored")
+    threshold = calibrate(scored.where(F.col("held") & F.col("allowed").isNotNull()), "allowed")
+    scored = scored.withColumn("score", F.col("ratio") - threshold)
     verdict = F.when(F.coalesce(F.col("allowed"), F.col("score") >= 0), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

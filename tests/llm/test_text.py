@@ -67,27 +67,35 @@ def test_urls(spark):
     assert [(r["rule"], r["verdict"]) for r in alone] == [(None, "allow")]
 
 
-def test_markov_model_against_brute_force():
-    texts = ["http://abc.com/a1", "abcabc", "", "é/é"]
-    counts = np.zeros(urls.CELLS, np.int64)
-    import pandas as pd
-
-    cells, lengths = urls._cells(pd.Series(texts))
-    counts += np.bincount(cells, minlength=urls.CELLS)
-    log_p = urls.log_probabilities(counts)
-    raw = [[0] * urls.ORDER + [int(urls._CODES[b]) for b in t.encode()] for t in texts]
-    seen = Counter(tuple(x[i - k : i + 1]) for x in raw for i in range(urls.ORDER, len(x)) for k in range(urls.ORDER + 1))
-
-    def p(context, c):
-        shorter = p(context[1:], c) if context else 1 / urls.SYMBOLS
-        after = [n for key, n in seen.items() if len(key) == len(context) + 1 and key[:-1] == context]
-        return shorter if not after else (seen[context + (c,)] + len(after) * shorter) / (sum(after) + len(after))
-
-    for x in raw:
-        for i in range(urls.ORDER, len(x)):
-            cell = sum(x[i - k] << urls.BITS * k for k in range(urls.ORDER + 1))
-            assert log_p[cell] == pytest.approx(np.log(p(tuple(x[i - urls.ORDER : i]), x[i])), rel=1e-4)
-    assert np.exp(log_p.reshape(-1, urls.SYMBOLS)).sum(1) == pytest.approx(1, rel=1e-4)
+def test_markov_models_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(urls, "PIECE", 8)
+    texts = [("http://abc.com/a1", True), ("abcabc", True), ("http://abd.com/a22222222222222", False), ("é/é", False), ("abc.com/é", None), ("", True), (None, None), ("abcabc", True)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i long, url string, label boolean").repartition(3).cache()
+    model = urls.log_ratios(urls.count_strings(rows, "url", "label"))
+    got = {r["i"]: r["ratio"] for r in urls.score_urls(rows, "i", "url", model).collect()}
+    longest = urls.ORDER
+    padded = [(bytes(longest) + (u or "").encode(), label) for u, label in texts]
+    seen = {c: Counter(x[i - k : i + 1] for x, label in padded if label is c for i in range(longest, len(x)) for k in range(longest + 1)) for c in (True, False)}
+
+    def p(c, context, byte):
+        shorter = p(c, context[1:], byte) if context else 1 / 256
+        after = [n for key, n in seen[c].items() if len(key) == len(context) + 1 and key[:-1] == context]
+        return shorter if not after else (seen[c][context + byte] + len(after) * shorter) / (sum(after) + len(after))
+
+    want = {}
+    for i, (x, _) in enumerate(padded):
+        gains = [np.log(p(True, x[j - longest : j], x[j : j + 1])) - np.log(p(False, x[j - longest : j], x[j : j + 1])) for j in range(longest, len(x))]
+        if gains:
+            want[i] = pytest.approx(np.mean(gains), abs=1e-5)
+    assert got == want
+
+
+def test_url_models_learn_digits_and_long_contexts(spark):
+    made = [(f"http://a{i}.net/item/{(i % 2) * 7:02d}x", i % 2 == 0) for i in range(300)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(made)], "i long, url string, label boolean")
+    model = urls.log_ratios(urls.count_strings(rows.withColumn("label", F.expr("if(i < 200, label, null)")), "url", "label"))
+    got = urls.score_urls(rows.where("i >= 200"), "i", "url", model).join(rows, "i").collect()
+    assert len(got) == 100 and all((r["ratio"] > 0) == r["label"] for r in got)
 
 
 # --- toxicity
