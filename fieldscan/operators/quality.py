@@ -65,17 +65,19 @@ def depth_profile(pixels: DataFrame) -> DataFrame:
 def pair_metrics(pairs: DataFrame, validity: DataFrame, counts: DataFrame, registered: DataFrame, depth_scale: float | None = None) -> DataFrame:
     """Metrics of each pair (source_frame, target_frame): validity, median and points of the source, and the registration.
 
-    The median becomes metres by 1000 whatever the scale, unless ``depth_scale`` is given. A pair whose source has no
-    points is an error row with zeros.
+    The median becomes metres by 1000 whatever the scale, unless ``depth_scale`` is given. A pair with an empty cloud on
+    either side is an error row, with zeros for its registration.
     """
     as_source = lambda df: df.withColumnRenamed("frame_index", "source_frame")
     out = pairs.join(as_source(validity), ["sequence_id", "source_frame"]).join(as_source(counts), ["sequence_id", "source_frame"], "left")
+    full = counts.where("n_points > 0").select("sequence_id", F.col("frame_index").alias("target_frame"), F.lit(True).alias("full"))
+    out = out.join(full, ["sequence_id", "target_frame"], "left")
     out = out.join(registered.select("sequence_id", "source_frame", "target_frame", "fitness", "rmse", "rotation_deg"), ["sequence_id", "source_frame", "target_frame"], "left")
-    bad = F.coalesce("n_points", F.lit(0)) == 0
+    bad = (F.coalesce("n_points", F.lit(0)) == 0) | F.col("full").isNull()
     zero = lambda c: F.when(bad, F.lit(0.0)).otherwise(F.coalesce(c, F.lit(0.0)))
     return out.select(
         "sequence_id", (F.row_number().over(W.partitionBy("sequence_id").orderBy("source_frame")) - 1).cast("long").alias("pair_index"),
-        zero(F.col("depth_validity")).alias("depth_validity"), zero(F.col("median_depth") / F.lit(float(depth_scale or 1000.0))).alias("median_depth_m"),
+        "depth_validity", (F.col("median_depth") / F.lit(float(depth_scale or 1000.0))).alias("median_depth_m"),
         F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), zero(F.col("fitness")).alias("icp_fitness"), zero(F.col("rmse")).alias("icp_rmse"),
         zero(F.col("rotation_deg")).alias("rotation_deg"), F.when(bad, "empty cloud").otherwise("").alias("error"),
     )

@@ -7,6 +7,7 @@ source by the pair's transform, finds nearest targets by a cell join, sums the n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from fieldscan.functions.scratch import stored
 from .neighbors import color_gradient, estimate_normals, nn_correspondence, registration_score
 
 PAIR = ["sequence_id", "source_frame", "target_frame"]
+#: Descriptors in a block, and tasks that draw hypotheses for a pair.
+BLOCK, PARTS = 2048, 8
 
 
 def pair_clouds(pairs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,60 +190,102 @@ def fpfh(points: DataFrame, voxel: float, max_nn: int = 100) -> DataFrame:
 def feature_match(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Mutual nearest neighbours between the descriptors of a pair's clouds: (pair, source_id, target_id).
 
-    Candidates have the heaviest bin of each angle in common, so no pair of clouds is crossed in full.
+    Each cloud is dealt into blocks of some BLOCK points, and each source block meets each target block of its pair in a
+    task of its own, which gives the nearest of every point in it; the nearest of all blocks is exact. Distances count to
+    six places, and of equally near points the one with the least id is taken.
     """
-    heavy = F.transform(F.array(*[F.slice("hist", 11 * k + 1, 11) for k in range(3)]), lambda h: F.array_position(h, F.array_max(h)))
-    keyed = features.withColumn("cell", F.concat_ws(",", heavy.cast("array<string>")))
-    side = lambda c, i, h: keyed.select("sequence_id", F.col("frame_index").alias(c), F.col("point_id").alias(i), F.col("hist").alias(h), "cell")
-    both = pairs.select(*PAIR).join(side("source_frame", "source_id", "hs"), ["sequence_id", "source_frame"])
-    both = both.join(side("target_frame", "target_id", "ht"), ["sequence_id", "target_frame", "cell"])
-    distance = F.aggregate(F.zip_with("hs", "ht", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    both = both.select(*PAIR, "source_id", "target_id", distance.alias("d"))
-    forth = both.groupBy(*PAIR, "source_id").agg(F.min(F.struct("d", "target_id")).alias("m")).select(*PAIR, "source_id", "m.target_id")
-    back = both.groupBy(*PAIR, "target_id").agg(F.min(F.struct("d", "source_id")).alias("m")).select(*PAIR, "m.source_id", "target_id")
+    from pyspark.sql import Window as W
+
+    cloud = ["sequence_id", "frame_index"]
+    size = F.count("*").over(W.partitionBy(*cloud))
+    keyed = features.select(*cloud, "point_id", "hist").withColumn("blocks", F.ceil(size / BLOCK).cast("int"))
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
+    blocks = keyed.groupBy(*cloud).agg(F.first("blocks").alias("n"))
+
+    def side(name: str, other: str) -> DataFrame:
+        mine = keyed.select("sequence_id", F.col("frame_index").alias(f"{name}_frame"), F.col("point_id").alias(f"{name}_id"), "hist", F.col("block").alias(name))
+        theirs = blocks.select("sequence_id", F.col("frame_index").alias(f"{other}_frame"), "n")
+        out = pairs.select(*PAIR).distinct().join(theirs, ["sequence_id", f"{other}_frame"]).join(mine, ["sequence_id", f"{name}_frame"])
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+    id_type = features.schema["point_id"].dataType
+    schema = T.StructType([pairs.schema[k] for k in PAIR] + [T.StructField("source_id", id_type), T.StructField("target_id", id_type), T.StructField("d", T.DoubleType()), T.StructField("forth", T.BooleanType())])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({k: [] for k in schema.names})
+        a, b = a.sort_values("source_id"), b.sort_values("target_id")
+        x, y = np.stack(a["hist"]), np.stack(b["hist"])
+        d = np.round(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0), 6)
+        ids, others = a["source_id"].to_numpy(), b["target_id"].to_numpy()
+        to, back = d.argmin(1), d.argmin(0)
+        out = pd.DataFrame({
+            "source_id": np.concatenate([ids, ids[back]]), "target_id": np.concatenate([others[to], others]),
+            "d": np.concatenate([d.min(1), d.min(0)]), "forth": np.arange(len(ids) + len(others)) < len(ids),
+        })
+        return out.assign(**{k: a[k].iloc[0] for k in PAIR})[schema.names]
+
+    key = [*PAIR, "source", "target"]
+    other = side("target", "source").select(*[F.col(c).alias(f"o_{c}") for c in key], "target_id", F.col("hist").alias("hist"))
+    found = side("source", "target").groupBy(*key).cogroup(other.groupBy(*[f"o_{c}" for c in key])).applyInPandas(nearest, schema)
+    found = stored(found, "nearest")
+    forth = found.where("forth").groupBy(*PAIR, "source_id").agg(F.min(F.struct("d", "target_id")).alias("m")).select(*PAIR, "source_id", "m.target_id")
+    back = found.where("not forth").groupBy(*PAIR, "target_id").agg(F.min(F.struct("d", "source_id")).alias("m")).select(*PAIR, "m.source_id", "target_id")
     return forth.join(back, [*PAIR, "source_id", "target_id"])
 
 
-def recover_feature_init(matches: DataFrame, points: DataFrame, voxel: float, hypotheses: int = 500, seed: int = 7) -> DataFrame:
+def _poses_of_three(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations and shifts that move each triple of points (n, 3, 3) of ``s`` onto that of ``t`` best."""
+    ms, mt = s.mean(1), t.mean(1)
+    u, _, v = np.linalg.svd(np.einsum("nki,nkj->nij", s - ms[:, None], t - mt[:, None]))
+    v, u = v.transpose(0, 2, 1).copy(), u.transpose(0, 2, 1)
+    v[:, :, 2] *= np.where(np.linalg.det(v @ u) < 0, -1.0, 1.0)[:, None]
+    r = v @ u
+    return r, mt - np.einsum("nij,nj->ni", r, ms)
+
+
+def recover_feature_init(
+    matches: DataFrame, points: DataFrame, voxel: float, hypotheses: int = 100_000, confidence: float = 0.999, seed: int = 7
+) -> DataFrame:
     """``T, inliers`` of each pair by sampled three-point hypotheses over its feature matches.
 
-    Hypotheses are rows: three matches of a pair by seeded hashes. Those whose edge lengths agree (0.9) are solved in
-    batches, scored by their inliers within 1.5 voxels, and the best is kept.
+    Of hypotheses whose edge lengths agree (0.9), the one with the most matches within 1.5 voxels is kept. Drawing ends at
+    ``hypotheses``, or once the share of inliers makes it likely by ``confidence`` that three of them were drawn. A pair's
+    hypotheses are drawn in PARTS tasks, each with its matches, of which there are at most as many as points in a cloud.
+    A pair of fewer than three matches, or without a pose, has no row.
     """
     at = lambda c, i, p: points.select("sequence_id", F.col("frame_index").alias(c), F.col("point_id").alias(i), F.array("x", "y", "z").alias(p))
     placed = matches.join(at("source_frame", "source_id", "ps"), ["sequence_id", "source_frame", "source_id"])
     placed = placed.join(at("target_frame", "target_id", "pt"), ["sequence_id", "target_frame", "target_id"])
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy(*PAIR).orderBy("source_id", "target_id")
-    placed = stored(placed.withColumn("k", F.row_number().over(order) - 1), "matches")
-    n = placed.groupBy(*PAIR).agg(F.count("*").alias("n")).where("n >= 3")
-    draws = n.withColumn("hyp", F.explode(F.sequence(F.lit(1), F.lit(hypotheses)))).withColumn("draw", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    draws = draws.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "hyp", "draw"), F.col("n")).cast("int"))
-    three = draws.join(placed, [*PAIR, "k"]).groupBy(*PAIR, "hyp").agg(F.collect_list(F.struct("k", "ps", "pt")).alias("m"), F.countDistinct("k").alias("kinds")).where("kinds = 3")
-    schema = T.StructType([three.schema[k] for k in PAIR] + [T.StructField("hyp", T.IntegerType()), T.StructField("T", T.ArrayType(T.DoubleType()))])
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep, out = [], []
-            for i, m in enumerate(batch["m"]):
-                s, t = np.array([x["ps"] for x in m], float), np.array([x["pt"] for x in m], float)
-                es, et = np.linalg.norm(s - np.roll(s, 1, 0), axis=1), np.linalg.norm(t - np.roll(t, 1, 0), axis=1)
-                if np.any(np.minimum(es, et) < 0.9 * np.maximum(es, et)):
-                    continue
-                ms, mt = s.mean(0), t.mean(0)
-                u, _, v = np.linalg.svd((s - ms).T @ (t - mt))
-                r = v.T @ np.diag([1, 1, np.sign(np.linalg.det(v.T @ u.T)) or 1]) @ u.T
-                whole = np.eye(4)
-                whole[:3, :3], whole[:3, 3] = r, mt - r @ ms
-                keep.append(i)
-                out.append(whole.reshape(-1))
-            if keep:
-                yield batch.iloc[keep][[*PAIR, "hyp"]].assign(T=out)
-
-    poses = stored(three.mapInPandas(solve, schema), "hypotheses")
-    x, y, z = moved(F.col("T"), F.col("ps")[0], F.col("ps")[1], F.col("ps")[2])
-    d2 = F.pow(x - F.col("pt")[0], 2) + F.pow(y - F.col("pt")[1], 2) + F.pow(z - F.col("pt")[2], 2)
-    votes = poses.join(placed, PAIR).where(d2 <= (1.5 * voxel) ** 2).groupBy(*PAIR, "hyp").agg(F.count("*").alias("inliers"))
-    best = votes.groupBy(*PAIR).agg(F.max(F.struct("inliers", F.col("hyp"))).alias("b")).select(*PAIR, "b.inliers", "b.hyp")
-    return best.join(poses, [*PAIR, "hyp"]).select(*PAIR, "T", "inliers")
+    schema = T.StructType([matches.schema[k] for k in PAIR] + [T.StructField("part", T.IntegerType()), T.StructField("T", T.ArrayType(T.DoubleType())), T.StructField("inliers", T.LongType())])
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["source_id", "target_id"])
+        first, n = rows.iloc[0], len(rows)
+        s, t = np.stack(rows["ps"]), np.stack(rows["pt"])
+        draw = np.random.default_rng([seed, int(first["part"]), zlib.crc32(str([first[k] for k in PAIR]).encode())])
+        most, best, drawn, limit = 0, None, 0, -(-hypotheses // PARTS)
+        while n >= 3 and drawn < limit:
+            k = draw.integers(0, n, (min(1000, limit - drawn), 3))
+            drawn += len(k)
+            k = k[(k[:, 0] != k[:, 1]) & (k[:, 0] != k[:, 2]) & (k[:, 1] != k[:, 2])]
+            es, et = (np.linalg.norm(p[k] - np.roll(p[k], 1, 1), axis=2) for p in (s, t))
+            k = k[(np.minimum(es, et) >= 0.9 * np.maximum(es, et)).all(1)]
+            step = max(1, (1 << 20) // n)
+            for some in (k[i : i + step] for i in range(0, len(k), step)):
+                r, shift = _poses_of_three(s[some], t[some])
+                near = ((np.einsum("hij,nj->hni", r, s) + shift[:, None] - t) ** 2).sum(2) <= (1.5 * voxel) ** 2
+                count = near.sum(1)
+                if count.max() > most:
+                    most, i = int(count.max()), int(count.argmax())
+                    best = np.vstack([np.column_stack([r[i], shift[i]]), [0, 0, 0, 1]]).reshape(-1)
+            miss = 1 - (most / n) ** 3
+            if miss <= 0 or miss ** (drawn * PARTS) <= 1 - confidence:
+                break
+        out = rows.iloc[: 1 if most else 0][[*PAIR, "part"]]
+        return out.assign(T=pd.Series([best][: len(out)], out.index, object), inliers=most)
+
+    parts = placed.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+    found = parts.groupBy(*PAIR, "part").applyInPandas(search, schema)
+    best = found.groupBy(*PAIR).agg(F.max_by(F.struct("T", "inliers"), F.struct("inliers", -F.col("part"))).alias("b"))
+    return best.select(*PAIR, "b.T", "b.inliers")

@@ -236,6 +236,34 @@ def _(spark, d):
     return rounded(rounded(back.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x", "y", "z", "r")]), "x", "y", "z", n=4), "r", n=3)
 
 
+@query("sink_ply", "cloud", f"SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, count(*) AS n, {r('sum(x)', 4)} AS x, 1 AS files FROM cloud GROUP BY 1")
+def _(spark, d):
+    """One file for each sequence, named after it."""
+    import uuid
+
+    from fieldscan.sources.ply import PlyDataSource
+
+    spark.dataSource.register(PlyDataSource)
+    path = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    points = relation(spark, d, "cloud").select("x", "y", "z", "r", "g", "b", "sequence_id").repartition("sequence_id").sortWithinPartitions("sequence_id")
+    points.write.format("ply").mode("append").option("path", path).option("by", "sequence_id").save()
+    back = spark.read.format("ply").option("path", path).load().withColumn("sequence_id", F.regexp_extract("path", r"([^/]*)-[0-9a-f]{32}\.ply$", 1))
+    return rounded(back.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.countDistinct("path").alias("files")), "x", n=4)
+
+
+@query("src_camera_params", "intrinsics_text", """SELECT sequence_id, sequence_id + CAST(4 AS DOUBLE) AS e01, sequence_id + CAST(3 AS DOUBLE) AS e30, sequence_id * CAST(6 AS DOUBLE) AS k02,
+  sequence_id * CAST(2 AS DOUBLE) AS k20, 1280 AS width, 720 AS height FROM intrinsics_text""")
+def _(spark, d):
+    """A saved camera for each supplier, parsed; matrices are saved column by column."""
+    made = F.to_json(F.struct(
+        F.lit("camera").alias("class_name"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("sequence_id") + i).alias("extrinsic"),
+        F.struct(F.lit(720).alias("height"), F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("sequence_id") * i).alias("intrinsic_matrix"), F.lit(1280).alias("width")).alias("intrinsic"),
+    ))
+    out = sidecars.parse_view_cameras(relation(spark, d, "intrinsics_text").select("sequence_id", made.alias("json_text")))
+    e, k = F.col("extrinsic"), F.col("K")
+    return out.select("sequence_id", e[1].alias("e01"), e[12].alias("e30"), k[2].alias("k02"), k[6].alias("k20"), "width", "height")
+
+
 # --- sinks
 
 JUDGED = """judged AS (SELECT *, CASE WHEN fitness < 0.3 OR rmse > 0.015 THEN 'REJECTED' ELSE 'OK' END AS status, CASE WHEN fitness < 0.3 THEN 'low fitness' END AS reason FROM registrations)"""
@@ -699,6 +727,20 @@ def _(spark, d):
     return agent.recovery_loop(rows, tries).select("sequence_id", "frame_index", "status", "attempts", "recovered_via")
 
 
+@query("agent_config", "registrations", """SELECT sequence_id, frame_index, CASE WHEN NOT (a OR b OR c OR e) THEN 'accept' WHEN frame_index % 6 < 2 THEN 'retry' ELSE 'reject' END AS action,
+  concat_ws('; ', CASE WHEN a THEN 'fitness' END, CASE WHEN b THEN 'rmse' END, CASE WHEN c THEN 'translation' END, CASE WHEN e THEN 'rotation' END) AS failing,
+  CASE frame_index % 6 WHEN 0 THEN 'tighter_crop' WHEN 1 THEN 'denoise' END AS strategy
+  FROM (SELECT *, fitness < 0.4 AS a, rmse > 0.01 AS b, tx > 0.04 AS c, rot_deg > 6 AS e FROM registrations)""")
+def _(spark, d):
+    """Verdicts and strategies under settings that all differ from the usual ones."""
+    config = agent.AgentConfig(
+        fitness_floor=0.4, rmse_ceiling=0.01, translation_factor=2.0, translation_cap_m=0.03, rotation_cap_deg=6.0, max_retries=2, enabled=("denoise", "feature_init", "tighter_crop")
+    )
+    rows = _registrations(spark, d).withColumn("attempt", F.col("frame_index") % 6)
+    out = agent.recovery_order(agent.judge(rows, 0.02, F.col("attempt"), config=config, transform=None), config=config)
+    return out.select("sequence_id", "frame_index", "action", F.regexp_replace("reason", "(?<=[a-z]) [^;]*", "").alias("failing"), "strategy")
+
+
 def _features(spark: SparkSession, d: str) -> DataFrame:
     return registration.fpfh(stored(neighbors.estimate_normals(_cloud(spark, d), 0.3), "normals"), 0.08, 100)
 
@@ -719,7 +761,7 @@ def _(spark, d):
 def _(spark, d):
     pairs = _pair_sides(spark, d)[0]
     matches = stored(registration.feature_match(pairs, stored(_features(spark, d), "features")), "matches")
-    out = registration.recover_feature_init(matches, _cloud(spark, d), 0.1, 100)
+    out = registration.recover_feature_init(matches, _cloud(spark, d), 0.1)
     return out.select(*registration.PAIR, "inliers")
 
 
@@ -976,6 +1018,27 @@ def _(spark, d):
     return quality.full_report(relation(spark, d, "pair_metrics")).withColumn("failing", F.array_join("failing", ", "))
 
 
+OTHER_LEVELS = LEVELS
+for _usual, _other in (("f < 0.3", "f < 0.2"), ("f < 0.5", "f < 0.6"), ("e > 0.015", "e > 0.02"), ("e > 0.005", "e > 0.008"), ("v < 0.1", "v < 0.2"), ("v < 0.3", "v < 0.6"), ("t > 5", "t > 8"), ("t > 1 ", "t > 3 ")):
+    OTHER_LEVELS = OTHER_LEVELS.replace(_usual, _other)
+
+
+@query("quality_params", "pair_metrics", f"+ {LONG}, {AGGREGATED}, {OTHER_LEVELS}, {VERDICTS} SELECT * FROM verdicts")
+def _(spark, d):
+    """Verdicts under limits that all differ from the usual ones."""
+    limits = quality.QualityThresholds(fitness=(0.2, 0.6), rmse=(0.02, 0.008), validity=(0.2, 0.6), rotation=(8.0, 3.0))
+    return quality.quality_verdict(_aggregates(spark, d), limits).withColumn("failing", F.array_join("failing", ", "))
+
+
+@query("quality_report", "pixels", f"""+ v AS (SELECT {FRAME}, avg(CASE WHEN depth_raw BETWEEN 1 AND 3500 THEN 1 ELSE 0 END) AS dv FROM pixels GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) AS k, count(*) OVER (PARTITION BY sequence_id) AS n FROM v)
+  SELECT sequence_id, k - 1 AS pair_index, {r("dv")} AS depth_validity FROM o WHERE k < n""")
+def _(spark, d):
+    """From pixels over registrations to metrics; the SQL holds what doesn't come from the registrations."""
+    params = quality.QualityParams(depth_scale=SCALE, depth_trunc=TRUNC, depth_min_mm=NEAR, voxel_size=0.1)
+    return rounded(reconstruct.quality_report(_pixels(spark, d), CAMERA, params)[1].select("sequence_id", "pair_index", "depth_validity"), "depth_validity")
+
+
 @query("gantry_phase_shift")
 def _(spark, d):
     return rounded(quality.gantry_phase_shift(_pixels(spark, d), 0, 20), "sx", "sy", "response", n=4)
@@ -1132,6 +1195,44 @@ def _(spark, d):
     return rounded(total.select("sequence_id", "ix", "iy", "iz", "tsdf", "weight"), "tsdf", n=5)
 
 
+@query("sink_live_snapshot", "cloud", "SELECT sequence_id, frame_index % 2 AS batch, count(*) AS n FROM cloud GROUP BY 1, 2")
+def _(spark, d):
+    """Two batches are added; the first is run again, as after a failure, and counts once."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    points = relation(spark, d, "cloud")
+    for k in (0, 1, 0):
+        sinks.live_snapshot(points.where(F.col("frame_index") % 2 == k), path, k)
+    return spark.read.parquet(path).groupBy(F.col("sequence_id").cast("long").alias("sequence_id"), F.col("batch").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("cb_on_frame", "cloud", "SELECT sequence_id, count(DISTINCT frame_index) AS n_frames, count(*) AS n FROM cloud GROUP BY 1")
+def _(spark, d):
+    """Points arrive as a stream, and each batch is handed to the callback."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    points = relation(spark, d, "cloud")
+    points.write.parquet(path)
+    arriving = spark.readStream.schema(points.schema).parquet(path).writeStream.foreachBatch(capture.on_frames(f"{path}-live"))
+    arriving.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}-live")
+    return out.groupBy(F.col("sequence_id").cast("long").alias("sequence_id")).agg(F.countDistinct("frame_index").alias("n_frames"), F.count("*").alias("n"))
+
+
+@query("cb_on_complete", "registrations", f"+ {JUDGED} SELECT sequence_id, frame_index, CASE WHEN status = 'OK' THEN 'succeeded' ELSE 'failed' END AS outcome FROM judged")
+def _(spark, d):
+    named = [df.select("sequence_id", "frame_index", F.lit(name).alias("outcome")) for df, name in zip(capture.completed(_statuses(spark, d)), ("succeeded", "failed"))]
+    return named[0].unionByName(named[1])
+
+
+@query("cb_on_progress", "pair_metrics", """SELECT sequence_id, pair_index, done, total, CAST(floor(100 * done / CAST(total AS DOUBLE)) AS INT) AS percent FROM
+  (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY pair_index) AS done, count(*) OVER (PARTITION BY sequence_id) AS total FROM pair_metrics)""")
+def _(spark, d):
+    return capture.pair_progress(relation(spark, d, "pair_metrics")).select("sequence_id", "pair_index", "done", "total", "percent")
+
+
 @query("cb_observed", "registrations", "SELECT count(*) AS n_frames FROM registrations")
 def _(spark, d):
     """Progress by an observation, as the callbacks of a run."""
@@ -1139,7 +1240,7 @@ def _(spark, d):
 
     seen = Observation()
     rows = relation(spark, d, "registrations")
-    rows.observe(seen, F.count("*").alias("n_frames")).write.format("noop").mode("overwrite").save()
+    capture.observed(rows, seen).write.format("noop").mode("overwrite").save()
     return spark.range(1).select(F.lit(seen.get["n_frames"]).alias("n_frames"))
 
 

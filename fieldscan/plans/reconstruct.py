@@ -10,8 +10,11 @@ from fieldscan.functions.geometry import Camera, identity, rotation_deg, transla
 from fieldscan.functions.scratch import stored
 from fieldscan.operators.agent import CONFIG, AgentConfig, attempt_scan, simple_accept, target_chain
 from fieldscan.operators.neighbors import clean_registration, estimate_normals, outlier_statistical, renumbered, voxel_downsample
-from fieldscan.operators.pixels import clip_depth_mad, erode_valid, fill_holes, mask_depth_range, project_points
-from fieldscan.operators.poses import init_transform, kinematic_pose, merge_clouds, pose_chain
+from fieldscan.operators.pixels import clip_depth_mad, crop_bbox, crop_camera, erode_valid, fill_holes, mask_depth_range, project_points
+from fieldscan.operators.poses import consecutive_pairs, init_transform, kinematic_pose, merge_clouds, pose_chain
+from fieldscan.operators.quality import (
+    QualityParams, QualityThresholds, depth_validity, pair_metrics, point_count, quality_aggregate, quality_verdict, quick_check, verdict_or_missing,
+)
 from fieldscan.operators.registration import PAIR, feature_match, fpfh, icp_colored, icp_point_to_plane, recover_feature_init
 from fieldscan.operators.volume import tsdf_candidates, tsdf_extract, tsdf_integrate
 
@@ -158,6 +161,26 @@ def reconstruct_tsdf(
     return clean_registration(renumbered(surface)) if clean else surface
 
 
+def quality_report(
+    pixels: DataFrame, camera: Camera, params: QualityParams = QualityParams(), thresholds: QualityThresholds = QualityThresholds(), sample: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, metrics of pairs) from pixels: every frame with the next, or with ``sample`` n_samples pairs of each sequence.
+
+    Validity counts raw depths of the whole image; points are those left of the box, eroded and filled. All pairs of all
+    sequences are registered in one job a round. A sequence without a pair has the verdict FAIL.
+    """
+    frames = stored(pixels.select("sequence_id", "frame_index").distinct(), "frames")
+    pairs = consecutive_pairs(frames)
+    pairs = stored(quick_check(pairs, params.n_samples, 0, "source_frame") if sample else pairs, "pairs")
+    image, view = (pixels, camera) if params.bbox is None else (crop_bbox(pixels, params.bbox), crop_camera(camera, params.bbox))
+    clouds = frame_clouds(image, view, params.depth_scale, params.depth_trunc, params.depth_min_mm, params.erode, params.inpaint)
+    clouds = stored(clouds, "clouds")
+    found = icp_colored(pairs, clouds, params.voxel_size, params.max_iter).withColumn("rotation_deg", rotation_deg(F.col("T")))
+    metrics = pair_metrics(pairs, depth_validity(pixels, params.depth_trunc * params.depth_scale), point_count(clouds), found)
+    metrics = stored(metrics, "metrics")
+    return verdict_or_missing(frames, quality_verdict(quality_aggregate(metrics), thresholds)), metrics
+
+
 def batch_sequences(points: DataFrame) -> DataFrame:
     """One row for each sequence of a batch, made in the one job that runs them all: its points and its box."""
     return points.groupBy("sequence_id").agg(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -160,13 +160,24 @@ def merge_voxels(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return every.groupBy("sequence_id", "ix", "iy", "iz").agg(*[mean(c) for c in ("tsdf", "r", "g", "b")], F.sum("weight").alias("weight"))
 
 
-def observed(frames: DataFrame, name: str = "frames") -> DataFrame:
+def observed(frames: DataFrame, name: str | Observation = "frames") -> DataFrame:
     """Counts of frames and mean scores that a listener or ``Observation`` sees as a run goes on (progress callbacks)."""
     return frames.observe(name, F.count("*").alias("n_frames"), F.avg("fitness").alias("mean_fitness"), F.max("frame_index").alias("last_frame"))
 
 
 def on_frames(path: str):
-    """A ``foreachBatch`` function that appends each batch's accepted points to a live snapshot."""
-    return lambda batch, _: live_snapshot(batch, path)
+    """A ``foreachBatch`` function that adds each batch's accepted points to a live snapshot."""
+    return lambda batch, batch_id: live_snapshot(batch, path, batch_id)
 
 
+def completed(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a run reports at its end: the frames that succeeded, and those that failed (a null status among them)."""
+    good = F.coalesce(F.col("status").isin("OK", "RECOVERED"), F.lit(False))
+    return outcomes.where(good), outcomes.where(~good)
+
+
+def pair_progress(pairs: DataFrame, order: str = "pair_index") -> DataFrame:
+    """``done, total, percent`` after each pair of a sequence, pairs without a result included."""
+    mine = W.partitionBy("sequence_id")
+    rows = pairs.withColumns({"done": F.row_number().over(mine.orderBy(order)).cast("long"), "total": F.count("*").over(mine)})
+    return capture_progress(rows, "done", "total")

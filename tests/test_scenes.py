@@ -153,6 +153,10 @@ def test_ply(spark, tmp_path):
     back = spark.read.format("ply").option("path", str(tmp_path / "out")).load()
     key = lambda rows: sorted((round(r["x"], 9), round(r["y"], 9), round(r["z"], 9)) for r in rows)
     assert key(back.collect()) == key(df.collect()) and back.first()["r"] == pytest.approx(0.5, abs=0.003)
+    named = df.withColumn("name", F.when(F.col("x") > 0, "plant a/1").otherwise("b")).sortWithinPartitions("name")
+    named.write.format("ply").mode("append").option("path", str(tmp_path / "by")).option("by", "name").save()
+    counts = {os.path.basename(r["path"]).rsplit("-", 1)[0]: r["count"] for r in spark.read.format("ply").option("path", str(tmp_path / "by")).load().groupBy("path").count().collect()}
+    assert counts == {"plant_a_1": df.where("x > 0").count(), "b": df.where("x <= 0").count()}
     df.limit(0).write.format("ply").mode("append").option("path", str(tmp_path / "none")).save()
     assert not os.path.exists(tmp_path / "none")
     (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 1\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n")
@@ -179,3 +183,52 @@ def test_sidecars(spark, tmp_path):
 def test_nothing_is_written_for_no_rows(spark, tmp_path):
     assert not sinks.write_csv(spark.range(0), str(tmp_path / "a")) and not os.path.exists(tmp_path / "a")
     assert sinks.write_csv(spark.range(1), str(tmp_path / "b"))
+
+
+def test_matches_are_mutual_nearest_descriptors(spark, monkeypatch):
+    monkeypatch.setattr(registration, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    hists = {0: rng.uniform(0, 100, (50, 33)), 1: rng.uniform(0, 100, (70, 33)), 2: np.empty((0, 33))}
+    hists[1][:20] = hists[0][:20] + rng.normal(0, 1, (20, 33))
+    hists[1][30] = hists[1][31] = hists[0][30]
+    rows = [(1, f, i, h.tolist()) for f, x in hists.items() for i, h in enumerate(x)]
+    features = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, hist array<double>")
+    pairs = spark.createDataFrame([(1, 1, 0), (1, 0, 2), (2, 0, 1)], "sequence_id long, source_frame long, target_frame long")
+    got = {(r["source_id"], r["target_id"]) for r in registration.feature_match(pairs, features).collect()}
+    d = np.round(((hists[1][:, None] - hists[0][None]) ** 2).sum(2), 6)
+    assert got == {(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i} and len(got) >= 21
+
+
+def test_pose_from_matches_that_are_mostly_wrong(spark):
+    rng = np.random.default_rng(6)
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    s = rng.uniform(0, 1, (200, 3))
+    t = s @ turn.T + [0.3, -0.2, 0.5]
+    right = rng.permutation(200)[:60]
+    to = rng.permutation(200)
+    to[right] = right
+    points = cloud(spark, s, 0).unionByName(cloud(spark, t, 1))
+    matches = [(1, 0, 1, i, int(to[i])) for i in range(200)]
+    matches += [(1, 0, 2, 1, 1), (1, 0, 2, 2, 2)]
+    df = spark.createDataFrame(matches, "sequence_id long, source_frame long, target_frame long, source_id long, target_id long")
+    got = registration.recover_feature_init(df, points.unionByName(cloud(spark, t[:3], 2)), 0.01).collect()
+    assert len(got) == 1 and got[0]["inliers"] >= 60
+    found = np.array(got[0]["T"]).reshape(4, 4)
+    assert np.abs(found[:3, :3] - turn).max() < 1e-6 and np.abs(found[:3, 3] - [0.3, -0.2, 0.5]).max() < 1e-6
+
+
+def test_quality_from_pixels(spark):
+    from fieldscan.operators.quality import QualityParams
+
+    bent = F.when(F.col("frame_index") == 2, 0).otherwise((1000 + 0.02 * F.pow(F.col("u") - 12, 2) + 0.03 * F.pow(F.col("v") - 9, 2)).cast("int"))
+    rows = plane(spark, 24, frames=4).withColumn("depth_raw", bent).where("frame_index < 4")
+    rows = rows.unionByName(rows.where("frame_index = 0").withColumn("sequence_id", F.lit(2).cast("long")))
+    params = QualityParams(bbox=(2, 2, 22, 22), voxel_size=0.01, max_iter=3)
+    verdicts, metrics = reconstruct.quality_report(rows, Camera(525.0, 525.0, 12.0, 12.0), params)
+    got = {r["pair_index"]: r for r in metrics.collect()}
+    assert [got[k]["error"] for k in range(3)] == ["", "empty cloud", "empty cloud"]
+    assert got[0]["n_points"] == 400 and got[0]["depth_validity"] == 1 and got[0]["icp_fitness"] > 0.99 and got[0]["rotation_deg"] < 0.01
+    assert got[1]["depth_validity"] == 1 and got[1]["icp_fitness"] == 0 and got[2]["depth_validity"] == 0
+    assert {r["sequence_id"]: (r["verdict"], r["failing"]) for r in verdicts.collect()} == {1: ("PASS", []), 2: ("FAIL", ["no metrics"])}
+    assert reconstruct.quality_report(rows, Camera(525.0, 525.0, 12.0, 12.0), QualityParams(voxel_size=0.01, max_iter=1, n_samples=1), sample=True)[1].count() == 1
