@@ -98,6 +98,25 @@ def test_ring_moves_little_and_is_bounded():
         assert sum(a[k] != b[k] for k in a) < 0.45 * len(a)
 
 
+def test_rows_go_to_the_next_shard_with_room(spark):
+    """Clockwise from a row's cell, every shard before the one it is in is full."""
+    ids = [i if i % 3 else 5 for i in range(2000)]
+    rows = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    out = sharding.assign_shards(rows, shards=10, vnodes=8, slack=0.2).collect()
+    load, most = Counter(r["shard"] for r in out), -(-2000 * 12 // 100)
+    place = lambda name: int(hashlib.md5(name.encode()).hexdigest()[:4], 16) * sharding.RING // 65536
+    ring = sorted((place(f"shard {s} node {v}"), s) for s in range(10) for v in range(8))
+    assert max(load.values()) <= most and len(out) == 2000
+    moved = 0
+    for r in out:
+        start = next((k for k, (cell, _) in enumerate(ring) if cell >= place(str(r["doc_id"]))), 0)
+        walk = [ring[(start + k) % len(ring)][1] for k in range(len(ring))]
+        before = walk[: walk.index(r["shard"])]
+        assert all(load[s] == most for s in before)
+        moved += bool(before)
+    assert 0 < moved < 1000
+
+
 def spans_of(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
