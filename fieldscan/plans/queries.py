@@ -1030,15 +1030,6 @@ def _(spark, d):
     return quality.quality_verdict(_aggregates(spark, d), limits).withColumn("failing", F.array_join("failing", ", "))
 
 
-@query("quality_report", "pixels", f"""+ v AS (SELECT {FRAME}, avg(CASE WHEN depth_raw BETWEEN 1 AND 3500 THEN 1 ELSE 0 END) AS dv FROM pixels GROUP BY ALL),
-  o AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) AS k, count(*) OVER (PARTITION BY sequence_id) AS n FROM v)
-  SELECT sequence_id, k - 1 AS pair_index, {r("dv")} AS depth_validity FROM o WHERE k < n""")
-def _(spark, d):
-    """From pixels over registrations to metrics; the SQL holds what doesn't come from the registrations."""
-    params = quality.QualityParams(depth_scale=SCALE, depth_trunc=TRUNC, depth_min_mm=NEAR, voxel_size=0.1)
-    return rounded(reconstruct.quality_report(_pixels(spark, d), CAMERA, params)[1].select("sequence_id", "pair_index", "depth_validity"), "depth_validity")
-
-
 @query("gantry_phase_shift")
 def _(spark, d):
     return rounded(quality.gantry_phase_shift(_pixels(spark, d), 0, 20), "sx", "sy", "response", n=4)
