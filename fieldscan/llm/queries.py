@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, histogram, near_dedup, secrets, sharding, toxicity, urls, warc
+from . import bpe, decontam, exact_dedup, histogram, line_dedup, merkle, near_dedup, periodic, secrets, sharding, toxicity, urls, warc
 from .common import scratch_path
 
 
@@ -84,6 +84,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = F.when(tampered, merkle.leaf_digest(*fields[:3], F.col("n_chars") + 1, fields[4]))
+    leaves = docs.select("doc_id", "lang", merkle.leaf_digest(*fields).alias("leaf"), F.unhex(changed).alias("shown"))
+    rows, root = merkle.proofs(leaves, "doc_id", "lang", "leaf")
+    n, steps = merkle.n_steps(F.col("steps")), F.col("steps")
+    rows = rows.withColumn("subroot", merkle.fold(F.col("leaf"), steps, 0, F.col("subroot_at")))
+    honest, other = merkle.fold(F.col("subroot"), steps, F.col("subroot_at"), n), merkle.fold(F.lower(F.hex("shown")), steps, 0, n)
+    out = rows.select(
+        "doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), F.sha2(merkle.siblings(steps), 256).alias("proof_sha256"),
+        F.when(F.col("shown").isNull(), honest).otherwise(other).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def repeated_part(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which every tenth document, by the CRC-32 of its id, repeats its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"))
+    plain = rows.where("h is null or h % 10 != 0").select("doc_id", "text")
+    rows = rows.where("h % 10 = 0").withColumns({"w": words, "g": F.expr("h div 10")}).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN cast(g % n as int) END")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("CASE WHEN n > 0 THEN array_join(transform(w, (x, i) -> CASE WHEN i < a THEN x ELSE w[a + (i - a) % p] END), ' ') ELSE '' END")
+    return plain.unionByName(rows.select("doc_id", again.alias("text")))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeated_part(table(spark, sf_dir, "documents")), least=6, times=4)
+    found = found.withColumn("most", F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS s, -r.period AS p)))"))
+    every = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in periodic.RUN]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("most.s")).alias("start"), F.col("most.length").alias("length"), (-F.col("most.p")).alias("period"),
+        F.expr("1000 * most.length div -most.p").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -95,6 +139,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle": op11_merkle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_periodic": op13_periodic,
 }
 
 
@@ -171,11 +218,53 @@ leaks AS (SELECT rid, doc_id, item_id, covered, windows, coalesce(agreed, 1) AS
   WHERE coalesce(agreed, 1) >= {d.AGREE})"""
 
 
+def _merkle_sql() -> str:
+    """Levels and folds as recursive queries: each round makes the next level of all trees of more than one node."""
+
+    def leaf(n_chars: str) -> str:
+        fields = ["doc_id", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+    def levels(name: str, leaves: str) -> str:
+        return f"""{name} AS (SELECT t, 0 AS level, pos, h, n FROM {leaves}
+  UNION ALL SELECT t, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY t, level, pos // 2)"""
+
+    def fold(name: str, start: str, nodes: str) -> str:
+        up = lambda h: f"sha256(CASE WHEN s.h IS NULL THEN f.{h} WHEN f.pos % 2 = 1 THEN s.h || f.{h} ELSE f.{h} || s.h END)"
+        return f"""{name} AS (SELECT rid, t, 0 AS level, pos, n, h, other, sibs FROM {start}
+  UNION ALL SELECT f.rid, f.t, f.level + 1, f.pos // 2, (f.n + 1) // 2, {up("h")}, {up("other")}, f.sibs || coalesce(s.h, '')
+  FROM {name} f LEFT JOIN {nodes} s ON s.t = f.t AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.n > 1)"""
+
+    step = "xor(x >> 1, (x & 1) * 3988292384)"  # of CRC-32, for one bit
+    crc = f"list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {step}))"
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang, {leaf("n_chars")} AS h,
+  CASE WHEN xor({crc}, 4294967295) % 7 = 0 THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS other FROM documents),
+l AS (SELECT rid, doc_id, h, other, '' AS sibs, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS t,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{levels("low", "l")},
+{fold("up", "l", "low")},
+subs AS (SELECT 0 AS t, t AS pos, h, count(*) OVER () AS n FROM low WHERE n = 1),
+{levels("high", "subs")},
+reached AS (SELECT up.rid, 0 AS t, up.t AS pos, subs.n, up.h, up.other, up.sibs FROM up JOIN subs ON subs.pos = up.t WHERE up.n = 1),
+{fold("over", "reached", "high")}
+SELECT l.doc_id, l.h AS leaf, subs.h AS subroot, o.h AS root, sha256(o.sibs) AS proof_sha256, o.other AS folded_root, o.other = o.h AS verified
+FROM l JOIN subs ON subs.pos = l.t JOIN over o ON o.rid = l.rid AND o.n = 1"""
+
+
 ORACLE_SQL = {
     "op10_decontamination": f"""WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 {leaks_sql("numbered")}
 SELECT doc_id, item_id, covered, windows, agreement FROM leaks""",
     "op2_secret_scan": _secrets_sql(),
+    "op11_merkle": _merkle_sql(),
+    "op12_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT rid, doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+m AS (SELECT rid, doc_id, i, line, key IN (SELECT key FROM often) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id""",
     "op3_exact_dedup": """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
