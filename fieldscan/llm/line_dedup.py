@@ -147,7 +147,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
-    """The lines whose bits are set, joined again."""
+    """The lines whose bits are set, joined again; null without a bitmap."""
 
     def one(t: str, b: bytes) -> str:
         words = np.frombuffer(b, np.dtype([("word", ">u4"), ("keep", "V8")]))
@@ -158,17 +158,15 @@ def kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
         stay[gone] = False
         return "\n".join([x for x, s in zip(lines, stay.tolist()) if s])
 
-    return pd.Series([one(t, b) for t, b in zip(text, keep)], dtype=object)
+    return pd.Series([None if b is None else one(t, b) for t, b in zip(text, keep)], dtype=object)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = 10, least_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """One row per document: ``rid, doc_id, n_lines, n_dropped, text``, the text without the lines that ``line_bitmaps`` drops.
 
-    Only texts that lose lines go through Python.
+    Texts are shuffled once, and only those that lose lines go through Python.
     """
     rows, bitmaps = line_bitmaps(docs, id_col, text_col, least_docs, least_chars, keep_first)
     both = rows.withColumn("n_lines", F.size("keys").cast("long")).drop("keys").join(bitmaps, "rid", "left")
-    apply = F.pandas_udf(kept_text, "string")
-    whole = both.where("keep is null")
-    less = both.where("keep is not null").withColumn("text", apply("text", "keep"))
-    return whole.unionByName(less).select("rid", "doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "text")
+    less = F.pandas_udf(kept_text, "string")(F.when(F.col("keep").isNotNull(), F.col("text")), F.col("keep"))
+    return both.select("rid", "doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(less, "text").alias("text"))
