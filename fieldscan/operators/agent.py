@@ -180,37 +180,78 @@ def agent_scan(rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfi
     return needed.groupBy("sequence_id").applyInPandas(scan, SCAN_SCHEMA)
 
 
-def attempt_scan(rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfig = CONFIG) -> DataFrame:
-    """As ``agent_scan``, of frames with several tries: the first that fits is taken.
+#: Earlier frames that a frame near a failing one is registered against ahead of time.
+LOOK_BACK = 3
 
-    ``tries`` of a row are the ones made so far: an array of (attempt, fitness, rmse, translation_m, rotation_deg). Adds
-    ``attempt``, the last one looked at, and ``wanted``, the next one if it isn't made yet; the frame then counts as
-    rejected for the time being. The first frame of a sequence needs none.
+
+def attempt_scan(
+    rows: DataFrame, expected_step_m: float = 0.0, config: AgentConfig = CONFIG, strict: bool = False, look_back: int = LOOK_BACK, ahead: int | None = None
+) -> DataFrame:
+    """As ``agent_scan``, of frames with several tries against several targets: the first try that fits is taken.
+
+    ``tries`` of a row are the ones made so far: an array of (target, attempt, fitness, rmse, translation_m, rotation_deg);
+    ``problem`` says why a frame has no cloud, or is null. A frame's target is the frame accepted last. Adds ``target``,
+    ``attempt``, the last one looked at, ``wanted``, the next one if it isn't made, and ``asks``, the tries
+    (target, attempt) to make now. No verdict is final that comes behind a wanted try, but the scan goes on with a guess, so
+    that one round asks for what is missing all along the sequence: a frame that failed so far counts as rejected, one that
+    wasn't tried against its target as accepted, and frames near them are asked for against the ``look_back`` last frames
+    that may turn out to be their target. A failing frame asks for ``ahead`` attempts at once, by default for all.
+
+    Frames with a problem are FAILED and leave the agent as it is. The first frame without one is accepted as it stands;
+    with ``strict``, a sequence whose first frame has a problem has no target, so all of its frames fail.
     """
     cap = translation_cap(expected_step_m, config)
-    schema = SCAN_SCHEMA + ", attempt int, wanted int"
+    more = config.max_retries + 1 if ahead is None else ahead
+    schema = SCAN_SCHEMA + ", target long, attempt int, wanted int, asks array<struct<target:long,attempt:int>>, failed string"
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = AgentState(config), []
+        state, out, targets, lost = AgentState(config), [], [], False
         for i, r in enumerate(group.sort_values("frame_index").itertuples()):
-            tries = {t["attempt"]: t for t in (r.tries if r.tries is not None else ())}
             low, high = state.thresholds()
-            k, wanted, good, found = 0, None, i == 0, (1.0, 0.0)
-            while not good:
-                if k not in tries:
+            problem = r.problem if isinstance(r.problem, str) else None
+            lost = lost or (strict and i == 0 and problem is not None)
+            if lost and problem is None:
+                problem = "no first frame"
+                state.record(False, 0.0, 0.0)
+            if problem is not None:
+                out.append((r.sequence_id, r.frame_index, False, low, high, state.rejects >= config.fallback_after, None, 0, None, [], problem))
+                continue
+            if not targets:
+                fallback = state.record(True, 1.0, 0.0)
+                out.append((r.sequence_id, r.frame_index, True, low, high, fallback, None, 0, None, [], None))
+                targets = [r.frame_index]
+                continue
+            tries = {(t["target"], t["attempt"]): t for t in (r.tries if r.tries is not None else ())}
+            target, k, wanted, good, found = targets[-1], 0, None, False, None
+            while True:
+                t = tries.get((target, k))
+                if t is None:
                     wanted = k
                     break
-                found = tries[k]["fitness"], tries[k]["rmse"]
-                good = state.fits(*found, tries[k]["translation_m"], tries[k]["rotation_deg"], cap)
+                found = t["fitness"], t["rmse"]
+                good = state.fits(*found, t["translation_m"], t["rotation_deg"], cap)
                 if good or config.recovery(k) is None:
                     break
                 k += 1
-            fallback = state.record(good, *found)
-            out.append((r.sequence_id, r.frame_index, good, low, high, fallback, k, wanted))
+            asks = [(x, 0) for x in targets[-look_back:] if (x, 0) not in tries]
+            while wanted and k < wanted + more:
+                if (target, k) not in tries:
+                    asks.append((target, k))
+                if config.recovery(k) is None:
+                    break
+                k += 1
+            k = k if wanted is None else wanted
+            fallback = state.rejects >= config.fallback_after if wanted == 0 else state.record(good, *found)
+            out.append((r.sequence_id, r.frame_index, good, low, high, fallback, target, k, wanted, asks if wanted is not None or len(targets) > 1 else [], None))
+            if good:
+                targets = [r.frame_index]
+            elif wanted == 0:
+                targets = [*targets, r.frame_index]
         made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-        return made.astype({"wanted": "Int32"})
+        made["asks"] = [[{"target": t, "attempt": k} for t, k in asks] for asks in made["asks"]]
+        return made.astype({"wanted": "Int32", "target": "Int64"})
 
-    return rows.select("sequence_id", "frame_index", "tries").groupBy("sequence_id").applyInPandas(scan, schema)
+    return rows.select("sequence_id", "frame_index", "tries", "problem").groupBy("sequence_id").applyInPandas(scan, schema)
 
 
 def consecutive_rejects(judged: DataFrame, accepted: str = "accepted", flag_at: int = 3) -> DataFrame:

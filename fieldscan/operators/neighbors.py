@@ -39,10 +39,11 @@ def voxel_downsample(points: DataFrame, size: float, keys: list[str] | None = No
     return out.agg(*[F.avg(c).alias(c) for c in means], F.count("*").alias("n"))
 
 
-def neighbor_pairs(points: DataFrame, others: DataFrame, radius: float, on: list[str] | None = None) -> DataFrame:
+def neighbor_pairs(points: DataFrame, others: DataFrame, radius: Column | float, on: list[str] | None = None) -> DataFrame:
     """(point, other) within ``radius``, with squared distance d2. Rows of ``others`` come with prefix o_.
 
-    ``on`` has the columns that both sides share (a frame, or a pair of frames).
+    ``on`` has the columns that both sides share (a frame, or a pair of frames). A radius that is a column stands in both
+    sides, with one value for each key.
     """
     on = FRAME if on is None else on
     left = points.withColumn("near", F.explode(_around())).withColumns({f"q{c}": F.floor(F.col(c) / radius).cast("long") + F.col(f"near.{n}") for c, n in zip("xyz", "ijk")}).drop("near")
@@ -161,7 +162,7 @@ def orient_normals(points: DataFrame) -> DataFrame:
     return points.withColumns({c: F.when(away, -F.col(c)).otherwise(F.col(c)) for c in ("nx", "ny", "nz")})
 
 
-def nn_correspondence(source: DataFrame, target: DataFrame, radius: float, on: list[str]) -> DataFrame:
+def nn_correspondence(source: DataFrame, target: DataFrame, radius: Column | float, on: list[str]) -> DataFrame:
     """Each source point with its nearest target point within ``radius``; ties go to the lower id. Target columns: o_*."""
     pairs = neighbor_pairs(source, target, radius, on)
     best = F.struct("d2", "o_point_id", *[c for c in pairs.columns if c.startswith("o_") and c != "o_point_id"])

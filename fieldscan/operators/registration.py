@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from fieldscan.functions.geometry import identity, moved
 from fieldscan.functions.scratch import stored
 
-from .neighbors import color_gradient, estimate_normals, nn_correspondence, registration_score
+from .neighbors import color_gradient, estimate_normals, nn_correspondence
 
 PAIR = ["sequence_id", "source_frame", "target_frame"]
 #: Descriptors in a block, and tasks that draw hypotheses for a pair.
@@ -32,55 +32,62 @@ def pair_clouds(pairs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFra
     return side("source_frame"), side("target_frame")
 
 
-def _moved_source(source: DataFrame, transforms: DataFrame) -> DataFrame:
-    x, y, z = moved(F.col("T"), F.col("x"), F.col("y"), F.col("z"))
-    return source.join(transforms.select(*PAIR, "T"), PAIR).withColumns({"x": x, "y": y, "z": z}).drop("T")
-
-
-def icp_normal_eq(matched: DataFrame, colored: bool = False, weight: float = 0.968) -> DataFrame:
+def icp_normal_eq(matched: DataFrame, colored: bool | Column = False, weight: float = 0.968) -> DataFrame:
     """The sums of one Gauss-Newton step of each pair: 21 products, 6 right sides, from point-to-plane residuals.
 
     ``matched`` has source x, y, z, target o_x, o_y, o_z and normal o_nx, o_ny, o_nz. With ``colored`` the photometric
     residual on the target's tangent plane (o_grey, o_dx, o_dy, o_dz against the source's grey) is added, the geometric
-    one weighted by ``weight`` and the other by the rest.
+    one weighted by ``weight`` and the other by the rest; a column says for each row whether it is.
     """
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     nx, ny, nz = F.col("o_nx"), F.col("o_ny"), F.col("o_nz")
     ex, ey, ez = x - F.col("o_x"), y - F.col("o_y"), z - F.col("o_z")
 
-    def terms(gx: Column, gy: Column, gz: Column, residual: Column, w: float) -> tuple[list[Column], list[Column]]:
+    def terms(gx: Column, gy: Column, gz: Column, residual: Column, w: float | Column) -> tuple[list[Column], list[Column]]:
         j = [y * gz - z * gy, z * gx - x * gz, x * gy - y * gx, gx, gy, gz]
         return [w * j[a] * j[b] for a in range(6) for b in range(a, 6)], [-w * j[a] * residual for a in range(6)]
 
     off = ex * nx + ey * ny + ez * nz
-    left, right = terms(nx, ny, nz, off, weight if colored else 1.0)
-    if colored:
+    mixed = isinstance(colored, Column)
+    left, right = terms(nx, ny, nz, off, F.when(colored, weight).otherwise(1.0) if mixed else weight if colored else 1.0)
+    if mixed or colored:
         px, py, pz = ex - off * nx, ey - off * ny, ez - off * nz
         dx, dy, dz = F.col("o_dx"), F.col("o_dy"), F.col("o_dz")
         residual = F.col("o_grey") + dx * px + dy * py + dz * pz - F.col("grey")
         along = dx * nx + dy * ny + dz * nz
-        more_left, more_right = terms(dx - along * nx, dy - along * ny, dz - along * nz, residual, 1 - weight)
+        more_left, more_right = terms(dx - along * nx, dy - along * ny, dz - along * nz, residual, F.when(colored, 1 - weight).otherwise(0.0) if mixed else 1 - weight)
         left, right = [a + b for a, b in zip(left, more_left)], [a + b for a, b in zip(right, more_right)]
     names = [f"a{a}{b}" for a in range(6) for b in range(a, 6)]
     aggs = [F.sum(c).alias(n) for c, n in zip(left, names)] + [F.sum(c).alias(f"b{a}") for a, c in enumerate(right)]
     return matched.groupBy(*PAIR).agg(F.count("*").alias("n_matched"), F.sqrt(F.avg("d2")).alias("rmse"), *aggs)
 
 
-def _step(systems: DataFrame) -> DataFrame:
-    """``systems`` (sums and T) to the transform after the step; a singular system leaves it as it is."""
+#: What a round keeps of each pair; ``going`` pairs take another.
+STATE = {"T": T.ArrayType(T.DoubleType()), "fitness": T.DoubleType(), "rmse": T.DoubleType(), "iterations": T.IntegerType(), "going": T.BooleanType(),
+         "radius": T.DoubleType(), "colored": T.BooleanType(), "n_source": T.LongType()}
+
+
+def _steps(systems: DataFrame, max_iter: int) -> DataFrame:
+    """The pairs' state after a round, from the state before it and the sums: solves all systems of a batch at once.
+
+    A pair ends without matches, at ``max_iter``, or when fitness and rmse change by less than 1e-6; its transform then is
+    the one that the scores belong to. A singular system leaves the transform as it is.
+    """
     names = [f"a{a}{b}" for a in range(6) for b in range(a, 6)]
-    schema = T.StructType([systems.schema[k] for k in PAIR] + [T.StructField("T", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([systems.schema[k] for k in PAIR] + [T.StructField(k, t) for k, t in STATE.items()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            upper = batch[names].to_numpy(float)
+            matched = batch["n_matched"].fillna(0).to_numpy(float)
+            fitness, rmse = matched / np.maximum(batch["n_source"].to_numpy(float), 1), batch["error"].fillna(0).to_numpy(float)
+            still = (np.abs(fitness - batch["fitness"]) >= 1e-6) | (np.abs(rmse - batch["rmse"]) >= 1e-6)
+            going = (still & (fitness > 0) & (batch["iterations"] < max_iter)).to_numpy()
             m = np.zeros((len(batch), 6, 6))
             i, j = np.triu_indices(6)
-            m[:, i, j] = upper
-            m[:, j, i] = upper
-            step = np.einsum("kij,kj->ki", np.linalg.pinv(m, rcond=1e-9, hermitian=True), batch[[f"b{a}" for a in range(6)]].to_numpy(float))
+            m[:, i, j] = m[:, j, i] = batch[names].fillna(0).to_numpy(float)
+            step = np.einsum("kij,kj->ki", np.linalg.pinv(m, rcond=1e-9, hermitian=True), batch[[f"b{a}" for a in range(6)]].fillna(0).to_numpy(float))
             a, b, c = step[:, 0], step[:, 1], step[:, 2]
             ca, sa, cb, sb, cc, sc = np.cos(a), np.sin(a), np.cos(b), np.sin(b), np.cos(c), np.sin(c)
             delta = np.zeros((len(batch), 4, 4))
@@ -89,34 +96,39 @@ def _step(systems: DataFrame) -> DataFrame:
             delta[:, 2, :3] = np.stack([-sb, cb * sa, cb * ca], 1)
             delta[:, :3, 3] = step[:, 3:]
             delta[:, 3, 3] = 1
-            after = delta @ np.stack(batch["T"].to_numpy()).reshape(-1, 4, 4)
-            yield batch[PAIR].assign(T=list(after.reshape(-1, 16)))
+            before = np.stack(batch["T"].to_numpy()).reshape(-1, 4, 4)
+            after = np.where(going[:, None, None], delta @ before, before)
+            yield batch[[*PAIR, "radius", "colored", "n_source"]].assign(
+                T=list(after.reshape(-1, 16)), fitness=fitness, rmse=rmse, iterations=(batch["iterations"] + going).astype("int32"), going=going
+            )[schema.names]
 
     return systems.mapInPandas(run, schema)
 
 
+def run_icp(start: DataFrame, source: DataFrame, target: DataFrame, max_iter: int) -> DataFrame:
+    """``T, fitness, rmse, iterations, colored`` of every pair of ``start``, which has T, radius and colored for each.
+
+    A round is one job over all pairs that go on: move, match, sum, solve. Sources and targets are keyed by the pair; with
+    ``colored`` anywhere they have grey and its gradient. A pair with an empty cloud has fitness and rmse 0.
+    """
+    sizes = source.groupBy(*PAIR).agg(F.count("*").alias("n_source"))
+    fresh = {"fitness": F.lit(-1.0), "rmse": F.lit(-1.0), "iterations": F.lit(0), "going": F.lit(True), "n_source": F.coalesce("n_source", F.lit(0).cast("long"))}
+    state = stored(start.select(*PAIR, F.coalesce("T", identity()).alias("T"), "radius", "colored").join(sizes, PAIR, "left").withColumns(fresh).select(*PAIR, *STATE), "icp")
+    around = stored(target.join(state.select(*PAIR, "radius"), PAIR), "targets")
+    source = stored(source, "sources")
+    colored = F.col("colored") if "grey" in source.columns else False
+    while not (active := state.where("going")).isEmpty():
+        x, y, z = moved(F.col("T"), F.col("x"), F.col("y"), F.col("z"))
+        moved_on = source.join(active.select(*PAIR, "T", "radius", "colored"), PAIR).withColumns({"x": x, "y": y, "z": z}).drop("T")
+        sums = icp_normal_eq(nn_correspondence(moved_on, around, F.col("radius"), PAIR), colored).withColumnRenamed("rmse", "error")
+        state = stored(_steps(active.join(sums, PAIR, "left"), max_iter).unionByName(state.where("not going")), "icp")
+    return state.select(*PAIR, "T", "fitness", "rmse", "iterations", "colored")
+
+
 def _icp(pairs: DataFrame, source: DataFrame, target: DataFrame, voxel: float, max_iter: int, init: DataFrame | None, colored: bool) -> DataFrame:
-    radius = 2 * voxel
-    state = pairs.select(*PAIR)
-    state = state.join(init.select(*PAIR, "T"), PAIR, "left") if init is not None else state.withColumn("T", identity())
-    state = stored(state.withColumn("T", F.coalesce("T", identity())).withColumns({"fitness": F.lit(-1.0), "rmse": F.lit(-1.0), "iterations": F.lit(0), "going": F.lit(True)}), "icp")
-    for k in range(max_iter + 1):
-        active = state.where("going")
-        if active.isEmpty():
-            break
-        matched = nn_correspondence(_moved_source(source, active), target, radius, PAIR)
-        sums = icp_normal_eq(matched, colored)
-        score = registration_score(source.join(active.select(*PAIR), PAIR, "left_semi"), matched, PAIR).drop("n_matched")
-        both = stored(active.drop("going").withColumnsRenamed({"fitness": "f0", "rmse": "e0"}).join(score, PAIR, "left").join(sums.drop("rmse", "n_matched"), PAIR, "left"), "icp-sums")
-        both = both.withColumns({"fitness": F.coalesce("fitness", F.lit(0.0)), "rmse": F.coalesce("rmse", F.lit(0.0))})
-        still = (F.abs(F.col("fitness") - F.col("f0")) >= 1e-6) | (F.abs(F.col("rmse") - F.col("e0")) >= 1e-6)
-        both = both.withColumn("going", still & (F.col("fitness") > 0) & F.lit(k < max_iter))
-        ended = both.where("not going").select(*PAIR, "T", "fitness", "rmse", "iterations", "going")
-        move = both.where("going")
-        moved_on = _step(move.select(*PAIR, "T", *[c for c in both.columns if len(c) in (2, 3) and c[0] in "ab" and c[1:].isdigit()]))
-        moved_on = moved_on.join(move.select(*PAIR, "fitness", "rmse", (F.col("iterations") + 1).alias("iterations"), "going"), PAIR)
-        state = stored(state.where("not going").unionByName(ended).unionByName(moved_on), "icp")
-    return state.select(*PAIR, "T", "fitness", "rmse", "iterations")
+    start = pairs.select(*PAIR)
+    start = start.join(init.select(*PAIR, "T"), PAIR, "left") if init is not None else start.withColumn("T", identity())
+    return run_icp(start.withColumns({"radius": F.lit(2.0 * voxel), "colored": F.lit(colored)}), source, target, max_iter).drop("colored")
 
 
 def icp_point_to_plane(pairs: DataFrame, points: DataFrame, voxel: float = 0.005, max_iter: int = 50, init: DataFrame | None = None) -> DataFrame:

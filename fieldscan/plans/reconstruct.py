@@ -8,61 +8,100 @@ from pyspark.sql import functions as F
 
 from fieldscan.functions.geometry import Camera, identity, rotation_deg, translation_m
 from fieldscan.functions.scratch import stored
-from fieldscan.operators.agent import CONFIG, AgentConfig, attempt_scan, simple_accept, target_chain
-from fieldscan.operators.neighbors import clean_registration, estimate_normals, outlier_statistical, renumbered, voxel_downsample
-from fieldscan.operators.pixels import clip_depth_mad, crop_bbox, crop_camera, erode_valid, fill_holes, mask_depth_range, project_points
+from fieldscan.operators.agent import CONFIG, AgentConfig, attempt_scan, judge, simple_accept
+from fieldscan.operators.neighbors import clean_registration, color_gradient, estimate_normals, outlier_statistical, renumbered, voxel_downsample
+from fieldscan.operators.pixels import (
+    clip_depth_mad, crop_bbox, crop_camera, erode_valid, fill_holes, mask_depth_range, project_points, undistort_bilinear, undistort_depth,
+)
 from fieldscan.operators.poses import consecutive_pairs, init_transform, kinematic_pose, merge_clouds, pose_chain
 from fieldscan.operators.quality import (
     QualityParams, QualityThresholds, depth_validity, pair_metrics, point_count, quality_aggregate, quality_verdict, quick_check, verdict_or_missing,
 )
-from fieldscan.operators.registration import PAIR, feature_match, fpfh, icp_colored, icp_point_to_plane, recover_feature_init
+from fieldscan.operators.registration import PAIR, feature_match, fpfh, icp_colored, pair_clouds, recover_feature_init, run_icp
 from fieldscan.operators.volume import tsdf_candidates, tsdf_extract, tsdf_integrate
 
 
-def frame_clouds(pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int, erode: bool = False, inpaint: bool = False) -> DataFrame:
-    """Masked, eroded, filled and projected pixels, numbered by their place in the image."""
-    out = mask_depth_range(pixels, trunc, scale, near)
+def frame_clouds(
+    pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int, erode: bool = False, inpaint: bool = False, bbox: tuple[int, int, int, int] | None = None
+) -> DataFrame:
+    """Undistorted, cropped, masked, eroded, filled and projected pixels, numbered by their place in the image."""
+    out, camera = prepared(pixels, camera, scale, trunc, near, bbox)
     out = erode_valid(out) if erode else out
     out = fill_holes(out) if inpaint else out
     points = project_points(out, camera, scale, trunc)
     return points.withColumn("point_id", F.col("v").cast("long") * (1 << 20) + F.col("u")).drop("u", "v")
 
 
+def prepared(pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int, bbox: tuple[int, int, int, int] | None = None) -> tuple[DataFrame, Camera]:
+    """(pixels, camera) without distortion, within the box, and with depth in range."""
+    out = undistort_depth(undistort_bilinear(pixels, camera), camera) if any(camera.dist) else pixels
+    if bbox is not None:
+        out, camera = crop_bbox(out, bbox), crop_camera(camera, bbox)
+    return mask_depth_range(out, trunc, scale, near), camera
+
+
 def previous_pairs(frames: DataFrame) -> DataFrame:
     """Each frame (source) with the one before it (target)."""
     before = F.lag("frame_index").over(W.partitionBy("sequence_id").orderBy("frame_index"))
     return frames.select("sequence_id", F.col("frame_index").alias("source_frame"), before.alias("target_frame")).where("target_frame is not null")
 
 
-def registration_attempt(
-    strategy: str | None, pairs: DataFrame, clouds: DataFrame, voxel: float, max_iter: int, step_m: float = 0.0, axis: int = 0
+def surfaces(clouds: DataFrame, voxel: float) -> DataFrame:
+    """Clouds with grey levels, normals and gradients, ready for coloured registration."""
+    grey = clouds.withColumn("grey", (F.col("r") + F.col("g") + F.col("b")) / 3)
+    return stored(color_gradient(stored(estimate_normals(grey, 2 * voxel), "normals"), 2 * voxel), "surfaces")
+
+
+def registration_attempts(
+    asked: DataFrame, clouds: DataFrame, ready: DataFrame, voxel: float, max_iter: int, step_m: float = 0.0, axis: int = 0, config: AgentConfig = CONFIG
 ) -> DataFrame:
-    """``T, fitness, rmse`` of all pairs by the first try (None) or by a recovery strategy, as one job.
+    """``T, fitness, rmse`` of every asked (pair, attempt): 0 is the first try, k the k-th strategy of ``config``.
 
-    A pair that a strategy leaves without a result has fitness 0 and an infinite rmse.
+    All pairs of all attempts go through one loop of ICP, on clouds whose frame number also says the attempt. ``ready`` are
+    the clouds as ``surfaces`` gives them. A strategy that leaves an empty cloud gives fitness and rmse 0.
     """
-    ends = pairs.select("sequence_id", F.explode(F.array("source_frame", "target_frame")).alias("frame_index")).distinct()
-    points = stored(clouds.join(ends, ["sequence_id", "frame_index"], "left_semi"), "attempt-clouds")
-    init = pairs.select(*PAIR).withColumn("T", init_transform(step_m, axis))
-    coarse = max(2 * voxel, 1e-4)
-    if strategy == "tighter_crop":
-        points = clip_depth_mad(points)
-    elif strategy == "voxel_downsample":
-        points = renumbered(voxel_downsample(points, coarse))
-    elif strategy == "denoise":
-        points = outlier_statistical(points, 30, 1.5)
-    elif strategy == "feature_init":
-        sparse = stored(estimate_normals(renumbered(voxel_downsample(points, coarse)), 2 * coarse), "sparse")
-        matches = stored(feature_match(pairs, stored(fpfh(sparse, coarse), "features")), "matches")
-        init = recover_feature_init(matches, sparse, coarse)
-    elif strategy not in (None, "reseed_init", "point_to_plane"):
-        raise ValueError(f"unknown strategy: {strategy}")
-    if strategy == "point_to_plane":
-        found = icp_point_to_plane(pairs, points, 2 * voxel, max_iter, init)
-    else:
-        found = icp_colored(pairs, points, voxel, max_iter, init)
-    out = pairs.select(*PAIR).join(found.select(*PAIR, "T", "fitness", "rmse"), PAIR, "left")
-    return out.withColumns({"fitness": F.coalesce("fitness", F.lit(0.0)), "rmse": F.coalesce("rmse", F.lit(float("inf"))), "T": F.coalesce("T", identity())})
+    span, coarse, parts, init = config.max_retries + 1, max(2 * voxel, 1e-4), [], None
+    ends = asked.select("sequence_id", "attempt", F.explode(F.array("source_frame", "target_frame")).alias("frame_index")).distinct()
+    named = lambda df, k, *cols: df.withColumns({c: F.col(c) * span + k for c in cols})
+    plain = ["grey", "nx", "ny", "nz", "dx", "dy", "dz"]
+    for k in sorted(r["attempt"] for r in asked.select("attempt").distinct().collect()):  # max_retries + 1 numbers at most
+        strategy = config.recovery(k - 1) if k else None
+        mine = ends.where(F.col("attempt") == k).select("sequence_id", "frame_index")
+        base = (ready if strategy in (None, "reseed_init", "feature_init") else clouds).join(mine, ["sequence_id", "frame_index"], "left_semi")
+        if strategy == "point_to_plane":
+            base = estimate_normals(base.withColumn("grey", F.lit(0.0)), 4 * voxel).withColumns({c: F.lit(0.0) for c in plain[-3:]})
+        elif strategy == "feature_init":
+            sparse = stored(estimate_normals(renumbered(voxel_downsample(base.drop(*plain), coarse)), 2 * coarse), "sparse")
+            pairs = asked.where(F.col("attempt") == k).select(*PAIR)
+            matches = stored(feature_match(pairs, stored(fpfh(sparse, coarse), "features")), "matches")
+            init = named(recover_feature_init(matches, sparse, coarse).select(*PAIR, F.col("T").alias("start")), k, *PAIR[1:])
+        elif strategy not in (None, "reseed_init"):
+            if strategy == "tighter_crop":
+                base = clip_depth_mad(base)
+            elif strategy == "voxel_downsample":
+                base = renumbered(voxel_downsample(base, coarse))
+            else:
+                base = outlier_statistical(base, 30, 1.5)
+            base = surfaces(base, voxel)
+        parts.append(named(base, k, "frame_index").select("sequence_id", "frame_index", "point_id", "x", "y", "z", *plain))
+    points = parts[0]
+    for more in parts[1:]:
+        points = points.unionByName(more)
+    start = asked.select(PAIR[0], *[(F.col(c) * span + F.col("attempt")).alias(c) for c in PAIR[1:]])
+    loose = F.pmod(F.col("source_frame"), F.lit(span)).isin([k for k in range(1, span) if config.recovery(k - 1) == "point_to_plane"])
+    start = start.withColumns({"T": init_transform(step_m, axis), "radius": F.when(loose, 4.0 * voxel).otherwise(2.0 * voxel), "colored": ~loose})
+    if init is not None:
+        by_features = F.pmod(F.col("source_frame"), F.lit(span)).isin([k for k in range(1, span) if config.recovery(k - 1) == "feature_init"])
+        start = start.join(init, PAIR, "left").withColumn("T", F.when(by_features, F.coalesce("start", identity())).otherwise(F.col("T"))).drop("start")
+    start, points = stored(start, "asked"), stored(points, "attempt-clouds")
+    source, target = pair_clouds(start, points)
+    found = run_icp(start, source, target, max_iter)
+    failed = stored(start.join(found.where("colored and fitness = 0").select(*PAIR), PAIR, "left_semi").withColumn("colored", F.lit(False)), "failed")
+    if not failed.isEmpty():
+        alike = [x.join(failed.select(*PAIR), PAIR, "left_semi") for x in (source, target)]
+        found = found.join(failed.select(*PAIR), PAIR, "left_anti").unionByName(run_icp(failed, *alike, max_iter))
+    own = [F.floor(F.col(c) / span).cast("long").alias(c) for c in PAIR[1:]]
+    return found.select(PAIR[0], *own, F.pmod(F.col("source_frame"), F.lit(span)).cast("int").alias("attempt"), "T", "fitness", "rmse")
 
 
 def register_sequences(
@@ -73,65 +112,78 @@ def register_sequences(
     config: AgentConfig = CONFIG,
     axis: int = 0,
     most_rounds: int | None = None,
+    frames: DataFrame | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """(sequence_id, frame_index, target, T, fitness, rmse, accepted, fallback, attempts, last_strategy, status) of all frames.
-
-    A frame's target is the last accepted frame, so pairs depend on verdicts, and so do retries, as limits adapt. All
-    frames are first registered against the one before. After each scan, the frames whose target turned out to be
-    another, or that need another try, get it, one job for each strategy over all sequences; until none is open. A round
-    settles at least one more frame's target or try of each sequence, so it ends. With ``most_rounds`` the frames that
-    are open then have the status UNDECIDED and aren't accepted.
+    """(sequence_id, frame_index, target, T, fitness, rmse, accepted, fallback, attempts, last_strategy, status, reason) of all frames.
+
+    ``frames`` lists all frames with a ``problem`` or null; those without a point have the problem ``empty cloud``. Frames
+    with a problem are FAILED. A frame's target is the last accepted frame, so pairs depend on verdicts, and so do
+    retries, as limits adapt. All frames are first registered against the one before. After each scan all tries that it
+    asks for (also against the targets a frame near a failing one may turn out to have) are made in one job a round of ICP,
+    until no verdict wants another: the number of rounds follows the longest run of failing frames, not their number. With
+    ``most_rounds`` the frames that are open then have the status UNDECIDED and aren't accepted. ``strict`` as in
+    ``attempt_scan``.
     """
-    frames = stored(clouds.select("sequence_id", "frame_index").distinct(), "frames")
-    targets = stored(previous_pairs(frames), "targets")
-    first = registration_attempt(None, targets, clouds, voxel, max_iter, expected_step_m, axis)
-    known = stored(first.withColumn("attempt", F.lit(0)), "registered")
-    turn = 0
+    seen = clouds.select("sequence_id", "frame_index").distinct().withColumn("has_points", F.lit(True))
+    listed = seen.select("sequence_id", "frame_index", F.lit(None).cast("string").alias("problem")) if frames is None else frames.select("sequence_id", "frame_index", "problem")
+    listed = listed.join(seen, ["sequence_id", "frame_index"], "left")
+    listed = stored(listed.withColumn("problem", F.when(F.col("has_points").isNull(), F.coalesce("problem", F.lit("empty cloud"))).otherwise(F.col("problem"))).drop("has_points"), "frames")
+    asked = stored(previous_pairs(listed.where("problem is null")).withColumn("attempt", F.lit(0)), "asked")
+    ready, known, turn = surfaces(clouds, voxel), None, 0
     while True:
+        if not asked.isEmpty():
+            made = registration_attempts(asked, clouds, ready, voxel, max_iter, expected_step_m, axis, config)
+            known = stored(made if known is None else known.unionByName(made), "registered")
         turn += 1
-        row = F.struct("attempt", "fitness", "rmse", translation_m(F.col("T")).alias("translation_m"), rotation_deg(F.col("T")).alias("rotation_deg"))
-        tries = known.groupBy(*PAIR).agg(F.collect_list(row).alias("tries"))
-        pairs = targets.join(tries, PAIR, "left").withColumnRenamed("source_frame", "frame_index")
-        rows = stored(frames.join(pairs, ["sequence_id", "frame_index"], "left"), "tries")
-        judged = rows.drop("tries").join(attempt_scan(rows, expected_step_m, config), ["sequence_id", "frame_index"])
-        judged = stored(target_chain(judged), "judged")
-        unlike = ~F.col("target").eqNullSafe(F.col("target_frame"))
-        judged = judged.withColumn("open", F.col("target").isNotNull() & (unlike | F.col("wanted").isNotNull()))
-        asked = judged.where("open").select("sequence_id", F.col("frame_index").alias("source_frame"), F.col("target").alias("target_frame"),
-                                            F.when(unlike, F.lit(0)).otherwise(F.col("wanted")).alias("attempt"))
-        if turn == most_rounds or asked.isEmpty():
+        if known is None:
+            rows = listed.withColumn("tries", F.lit(None).cast("array<struct<target:long,attempt:int,fitness:double,rmse:double,translation_m:double,rotation_deg:double>>"))
+        else:
+            row = F.struct(F.col("target_frame").alias("target"), "attempt", "fitness", "rmse", translation_m(F.col("T")).alias("translation_m"), rotation_deg(F.col("T")).alias("rotation_deg"))
+            tries = known.groupBy("sequence_id", F.col("source_frame").alias("frame_index")).agg(F.collect_list(row).alias("tries"))
+            rows = listed.join(tries, ["sequence_id", "frame_index"], "left")
+        judged = stored(attempt_scan(rows, expected_step_m, config, strict), "judged")
+        asked = judged.select("sequence_id", F.col("frame_index").alias("source_frame"), F.explode("asks").alias("ask"))
+        asked = stored(asked.select("sequence_id", "source_frame", F.col("ask.target").alias("target_frame"), F.col("ask.attempt").alias("attempt")), "asked")
+        if turn == most_rounds or judged.where("wanted is not null").isEmpty():
             break
-        targets = stored(judged.where("target is not null").select("sequence_id", F.col("frame_index").alias("source_frame"), F.col("target").alias("target_frame")), "targets")
-        new = stored(asked.join(known.select(*PAIR, "attempt"), [*PAIR, "attempt"], "left_anti"), "asked")
-        for k in sorted(r["attempt"] for r in new.select("attempt").distinct().collect()):  # max_retries numbers at most
-            some = new.where(F.col("attempt") == k).select(*PAIR)
-            made = registration_attempt(config.recovery(k - 1) if k else None, some, clouds, voxel, max_iter, expected_step_m, axis)
-            known = known.unionByName(made.withColumn("attempt", F.lit(k)))
-        known = stored(known, "registered")
     # frames behind an open one of their sequence rest on its verdict
     before = W.partitionBy("sequence_id").orderBy("frame_index")
-    judged = judged.withColumn("open", F.max("open").over(before))
-    taken = known.withColumnRenamed("source_frame", "frame_index")
-    out = judged.join(taken, ["sequence_id", "frame_index", "target_frame", "attempt"], "left")
-    status = F.when(F.col("open"), "UNDECIDED").when(~F.col("accepted"), "REJECTED").when(F.col("attempt") > 0, "RECOVERED").otherwise("OK")
+    judged = judged.withColumn("open", F.max(F.col("wanted").isNotNull()).over(before) & F.col("failed").isNull())
+    if known is None:
+        out = judged.withColumns({"T": identity(), "fitness": F.lit(None).cast("double"), "rmse": F.lit(None).cast("double")})
+    else:
+        taken = known.withColumnsRenamed({"source_frame": "frame_index", "target_frame": "target"})
+        out = judged.join(taken, ["sequence_id", "frame_index", "target", "attempt"], "left")
+    lost, start = F.col("failed").isNotNull(), F.col("target").isNull()
+    status = F.when(lost, "FAILED").when(F.col("open"), "UNDECIDED").when(~F.col("accepted"), "REJECTED").when(F.col("attempt") > 0, "RECOVERED").otherwise("OK")
     via = F.lit(None).cast("string")
     for k in range(config.max_retries):
         via = F.when(F.col("attempt") == k + 1, config.recovery(k)).otherwise(via)
-    start = F.col("target").isNull()
+    out = out.withColumns({"fitness": F.when(lost, 0.0).when(start, 1.0).otherwise(F.col("fitness")), "rmse": F.when(lost | start, 0.0).otherwise(F.col("rmse")), "status": status})
+    out = judge(out, expected_step_m, F.col("attempt"), F.col("min_fitness"), F.col("max_rmse"), config)
     return out.select(
-        "sequence_id", "frame_index", "target", "T", F.when(start, 1.0).otherwise(F.col("fitness")).alias("fitness"), F.when(start, 0.0).otherwise(F.col("rmse")).alias("rmse"),
-        (F.col("accepted") & ~F.col("open")).alias("accepted"), "fallback", F.col("attempt").alias("attempts"), via.alias("last_strategy"), status.alias("status"),
+        "sequence_id", "frame_index", "target", "T", "fitness", "rmse", (F.col("accepted") & ~F.col("open")).alias("accepted"), "fallback",
+        F.col("attempt").alias("attempts"), via.alias("last_strategy"), "status", F.when(lost, F.col("failed")).when(F.col("status") == "REJECTED", F.col("reason")).otherwise("").alias("reason"),
     )
 
 
 def reconstruct_icp(
-    pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int = 0, voxel: float = 0.005, max_iter: int = 80,
-    expected_step_m: float = 0.0, clean: bool = True, config: AgentConfig = CONFIG, axis: int = 0, most_rounds: int | None = None,
+    pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int = 0, voxel: float = 0.005, max_iter: int = 80, expected_step_m: float = 0.0, clean: bool = True,
+    config: AgentConfig = CONFIG, axis: int = 0, most_rounds: int | None = None, erode: bool = False, inpaint: bool = False, bbox: tuple[int, int, int, int] | None = None,
+    problems: DataFrame | None = None, strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(merged points, frame outcomes): project, clean, register with recovery, judge, chain the accepted poses and merge."""
-    clouds = frame_clouds(pixels, camera, scale, trunc, near)
+    """(merged points, frame outcomes): project, clean, register with recovery, judge, chain the accepted poses and merge.
+
+    ``problems`` (sequence_id, frame_index, problem) lists frames that could not be read; they become FAILED outcomes, as do
+    frames without a point.
+    """
+    frames = pixels.select("sequence_id", "frame_index").distinct().withColumn("problem", F.lit(None).cast("string"))
+    if problems is not None:
+        frames = frames.join(problems, ["sequence_id", "frame_index"], "left_anti").unionByName(problems.select(*frames.columns))
+    clouds = frame_clouds(pixels, camera, scale, trunc, near, erode, inpaint, bbox)
     clouds = stored(clean_registration(clouds) if clean else clouds, "clouds")
-    outcomes = stored(register_sequences(clouds, voxel, max_iter, expected_step_m, config, axis, most_rounds), "outcomes")
+    outcomes = stored(register_sequences(clouds, voxel, max_iter, expected_step_m, config, axis, most_rounds, frames, strict), "outcomes")
     poses = pose_chain(outcomes.where("accepted").select("sequence_id", "frame_index", "T"))
     return merge_clouds(clouds, poses), outcomes
 
@@ -150,10 +202,15 @@ def reconstruct_simple(pixels: DataFrame, camera: Camera, scale: float, voxel: f
 
 
 def reconstruct_tsdf(
-    pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int, voxel: float, step_m: float, axis: int = 0, clean: bool = True
-) -> DataFrame:
-    """Surface points of every sequence from poses along the gantry: integrate all frames, extract, clean."""
-    masked = stored(mask_depth_range(pixels, trunc, scale, near), "masked")
+    pixels: DataFrame, camera: Camera, scale: float, trunc: float, near: int, voxel: float, step_m: float, axis: int = 0, clean: bool = True,
+    bbox: tuple[int, int, int, int] | None = None,
+) -> DataFrame:
+    """Surface points of every sequence from poses along the gantry: integrate all frames, extract, clean.
+
+    Distortion and the box count; erosion and filling don't belong to this way.
+    """
+    masked, camera = prepared(pixels, camera, scale, trunc, near, bbox)
+    masked = stored(masked, "masked")
     poses = stored(kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), step_m, axis), "poses")
     points = project_points(masked, camera, scale, trunc)
     voxels = tsdf_integrate(tsdf_candidates(points, poses, voxel), masked, poses, camera, voxel, scale)

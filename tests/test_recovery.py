@@ -25,16 +25,20 @@ def results():
 result = results()
 
 
-def made_up(strategy, pairs, clouds, *_, **__):
+def made_up(asked, clouds, ready, voxel, max_iter, step_m, axis, config):
     def run(batches):
         for batch in batches:
             rows = []
-            for s, a, b in zip(*(batch[c] for c in PAIR)):
-                fitness, rmse, x = result(s, a, b, strategy)
-                rows.append((s, a, b, [1.0, 0, 0, x, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], fitness, rmse))
-            yield pd.DataFrame(rows, columns=[*PAIR, "T", "fitness", "rmse"])
+            for s, a, b, k in zip(*(batch[c] for c in (*PAIR, "attempt"))):
+                fitness, rmse, x = result(s, a, b, config.recovery(k - 1) if k else None)
+                rows.append((s, a, b, k, [1.0, 0, 0, x, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], fitness, rmse))
+            yield pd.DataFrame(rows, columns=[*PAIR, "attempt", "T", "fitness", "rmse"])
 
-    return pairs.select(*PAIR).mapInPandas(run, "sequence_id long, source_frame long, target_frame long, T array<double>, fitness double, rmse double")
+    ROUNDS.append(asked.count())
+    return asked.select(*PAIR, "attempt").mapInPandas(run, "sequence_id long, source_frame long, target_frame long, attempt int, T array<double>, fitness double, rmse double")
+
+
+ROUNDS = []
 
 
 def plain(config):
@@ -61,7 +65,8 @@ def plain(config):
 
 @pytest.mark.parametrize("enabled", [("tighter_crop", "point_to_plane"), ()])
 def test_sequences_against_a_plain_loop(spark, monkeypatch, enabled):
-    monkeypatch.setattr(reconstruct, "registration_attempt", made_up)
+    monkeypatch.setattr(reconstruct, "registration_attempts", made_up)
+    monkeypatch.setattr(reconstruct, "surfaces", lambda clouds, voxel: clouds)
     config = AgentConfig(enabled=enabled)
     rows = [(s, f, 0, 0.0, 0.0, 1.0) for s, frames in FRAMES.items() for f in frames]
     clouds = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, x double, y double, z double")
@@ -74,6 +79,40 @@ def test_sequences_against_a_plain_loop(spark, monkeypatch, enabled):
     assert "UNDECIDED" in {r["status"] for r in cut_short} and not [r for r in cut_short if r["accepted"] and r["status"] == "UNDECIDED"]
 
 
+def test_rounds_follow_the_longest_run_of_failures(spark, monkeypatch):
+    """A sequence of 120 frames of which every eighth, and three more in a row, fail against anything."""
+    bad = {f for f in range(1, 120) if f % 8 == 5} | {60, 62}
+
+    def results():
+        return lambda s, a, b, strategy: (0.1, 0.001, 0.0) if a in bad or b in bad else (0.9, 0.001, 0.0)
+
+    monkeypatch.setitem(globals(), "result", results())
+    monkeypatch.setattr(reconstruct, "registration_attempts", made_up)
+    monkeypatch.setattr(reconstruct, "surfaces", lambda clouds, voxel: clouds)
+    rows = [(1, f, 0, 0.0, 0.0, 1.0) for f in range(120) if f % 50 != 49]
+    clouds = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, x double, y double, z double")
+    frames = spark.createDataFrame([(1, f, "imread failed" if f == 49 else None) for f in range(120)], "sequence_id long, frame_index long, problem string")
+    ROUNDS.clear()
+    out = {r["frame_index"]: r for r in reconstruct.register_sequences(clouds, 0.1, 5, frames=frames).collect()}
+    good = [f for f in range(120) if f not in bad and f % 50 != 49]
+    assert [f for f in sorted(out) if out[f]["status"] == "OK"] == good
+    assert [out[f]["target"] for f in good] == [None, *good[:-1]]
+    assert out[49]["reason"] == "imread failed" and out[99]["reason"] == "empty cloud" and out[49]["status"] == out[99]["status"] == "FAILED"
+    assert all(out[f]["status"] == "REJECTED" and out[f]["attempts"] == 5 and out[f]["reason"].startswith("fitness 0.100 < 0.") for f in bad)
+    assert len(ROUNDS) <= 7 and sum(ROUNDS) < 120 + 20 * len(bad), ROUNDS
+
+
+def test_a_strict_sequence_needs_its_first_frame(spark, monkeypatch):
+    monkeypatch.setattr(reconstruct, "registration_attempts", made_up)
+    monkeypatch.setattr(reconstruct, "surfaces", lambda clouds, voxel: clouds)
+    clouds = spark.createDataFrame([(1, f, 0, 0.0, 0.0, 1.0) for f in (1, 2)], "sequence_id long, frame_index long, point_id long, x double, y double, z double")
+    frames = spark.createDataFrame([(1, 0, "imread failed"), (1, 1, None), (1, 2, None)], "sequence_id long, frame_index long, problem string")
+    strict = reconstruct.register_sequences(clouds, 0.1, 5, frames=frames, strict=True).orderBy("frame_index").collect()
+    assert [(r["status"], r["reason"], r["accepted"]) for r in strict] == [("FAILED", "imread failed", False)] + [("FAILED", "no first frame", False)] * 2
+    usual = reconstruct.register_sequences(clouds, 0.1, 5, frames=frames).orderBy("frame_index").collect()
+    assert [r["status"] for r in usual][:2] == ["FAILED", "OK"]
+
+
 def test_every_strategy_on_a_scene(spark):
     rng = random.Random(2)
     base = [(rng.uniform(0, 1), rng.uniform(0, 1)) for _ in range(160)]
@@ -83,11 +122,11 @@ def test_every_strategy_on_a_scene(spark):
             z = 1 + 0.1 * ((x - 0.5) ** 2 + x * y)
             rows.append((1, f, i, x - 0.01 * f, y, z, x, y, 0.5))
     clouds = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, x double, y double, z double, r double, g double, b double")
-    pairs = spark.createDataFrame([(1, 1, 0)], "sequence_id long, source_frame long, target_frame long")
-    for strategy in (None, *STRATEGIES):
-        got = reconstruct.registration_attempt(strategy, pairs, clouds, 0.1, 2, 0.01).collect()
-        assert len(got) == 1 and len(got[0]["T"]) == 16, strategy
-        if strategy in (None, "reseed_init", "point_to_plane"):
-            assert got[0]["fitness"] > 0.9 and abs(got[0]["T"][3] - 0.01) < 0.01
+    config = AgentConfig(enabled=STRATEGIES, max_retries=6)
+    asked = spark.createDataFrame([(1, 1, 0, k) for k in range(7)], "sequence_id long, source_frame long, target_frame long, attempt int")
+    got = reconstruct.registration_attempts(asked, clouds, reconstruct.surfaces(clouds, 0.1), 0.1, 30, 0.01, 0, config).collect()
+    assert sorted(r["attempt"] for r in got) == list(range(7))
+    for r in got:
+        assert r["fitness"] > 0.8 and abs(r["T"][3] - 0.01) < 0.005, r
     with pytest.raises(ValueError):
-        reconstruct.registration_attempt("none of these", pairs, clouds, 0.1, 2)
+        AgentConfig(enabled=("none of these",)).recovery(0)
