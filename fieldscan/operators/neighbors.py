@@ -164,10 +164,12 @@ def orient_normals(points: DataFrame) -> DataFrame:
 
 def nn_correspondence(source: DataFrame, target: DataFrame, radius: Column | float, on: list[str]) -> DataFrame:
     """Each source point with its nearest target point within ``radius``; ties go to the lower id. Target columns: o_*."""
-    pairs = neighbor_pairs(source, target, radius, on)
-    best = F.struct("d2", "o_point_id", *[c for c in pairs.columns if c.startswith("o_") and c != "o_point_id"])
+    pairs = neighbor_pairs(source, target.select(*on, "point_id", "x", "y", "z", *({"radius"} & set(target.columns))), radius, on)
     first = [c for c in source.columns if c not in (*on, "point_id")]
-    return pairs.groupBy(*on, "point_id").agg(*[F.first(c).alias(c) for c in first], F.min(best).alias("best")).select(*on, "point_id", *first, "best.*")
+    # only what decides is carried through the grouping; the rest of the target's columns follow by its id
+    best = pairs.groupBy(*on, "point_id").agg(*[F.first(c).alias(c) for c in first], F.min(F.struct("d2", "o_point_id")).alias("best")).select(*on, "point_id", *first, "best.*")
+    theirs = target.select(*on, *[F.col(c).alias(f"o_{c}") for c in target.columns if c not in (*on, "radius")])
+    return best.join(theirs, [*on, "o_point_id"])
 
 
 def registration_score(source: DataFrame, matched: DataFrame, on: list[str]) -> DataFrame:

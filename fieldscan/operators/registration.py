@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from fieldscan.functions.geometry import identity, moved
 from fieldscan.functions.scratch import stored
 
-from .neighbors import color_gradient, estimate_normals, nn_correspondence
+from .neighbors import POINT, color_gradient, estimate_normals, knn_hybrid, nn_correspondence
 
 PAIR = ["sequence_id", "source_frame", "target_frame"]
 #: Descriptors in a block, and tasks that draw hypotheses for a pair.
@@ -40,26 +40,28 @@ def icp_normal_eq(matched: DataFrame, colored: bool | Column = False, weight: fl
     one weighted by ``weight`` and the other by the rest; a column says for each row whether it is.
     """
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    nx, ny, nz = F.col("o_nx"), F.col("o_ny"), F.col("o_nz")
-    ex, ey, ez = x - F.col("o_x"), y - F.col("o_y"), z - F.col("o_z")
+    n = [F.col(f"o_n{c}") for c in "xyz"]
+    e = [F.col(c) - F.col(f"o_{c}") for c in "xyz"]
+    dot = lambda a, b: sum((p * q for p, q in zip(a[1:], b[1:])), a[0] * b[0])
 
-    def terms(gx: Column, gy: Column, gz: Column, residual: Column, w: float | Column) -> tuple[list[Column], list[Column]]:
-        j = [y * gz - z * gy, z * gx - x * gz, x * gy - y * gx, gx, gy, gz]
-        return [w * j[a] * j[b] for a in range(6) for b in range(a, 6)], [-w * j[a] * residual for a in range(6)]
+    def row(name: str, g: list[Column], residual: Column) -> dict[str, Column]:
+        j = [y * g[2] - z * g[1], z * g[0] - x * g[2], x * g[1] - y * g[0], *g]
+        return {f"{name}{a}": c for a, c in enumerate(j)} | {f"{name}_off": residual}
 
-    off = ex * nx + ey * ny + ez * nz
+    # each factor is a column of its own, so the sums are of short products
+    rows = matched.withColumns(row("j", n, dot(e, n)))
     mixed = isinstance(colored, Column)
-    left, right = terms(nx, ny, nz, off, F.when(colored, weight).otherwise(1.0) if mixed else weight if colored else 1.0)
     if mixed or colored:
-        px, py, pz = ex - off * nx, ey - off * ny, ez - off * nz
-        dx, dy, dz = F.col("o_dx"), F.col("o_dy"), F.col("o_dz")
-        residual = F.col("o_grey") + dx * px + dy * py + dz * pz - F.col("grey")
-        along = dx * nx + dy * ny + dz * nz
-        more_left, more_right = terms(dx - along * nx, dy - along * ny, dz - along * nz, residual, F.when(colored, 1 - weight).otherwise(0.0) if mixed else 1 - weight)
-        left, right = [a + b for a, b in zip(left, more_left)], [a + b for a, b in zip(right, more_right)]
-    names = [f"a{a}{b}" for a in range(6) for b in range(a, 6)]
-    aggs = [F.sum(c).alias(n) for c, n in zip(left, names)] + [F.sum(c).alias(f"b{a}") for a, c in enumerate(right)]
-    return matched.groupBy(*PAIR).agg(F.count("*").alias("n_matched"), F.sqrt(F.avg("d2")).alias("rmse"), *aggs)
+        d = [F.col(f"o_d{c}") for c in "xyz"]
+        rows = rows.withColumn("along", dot(d, n)).withColumns({f"p{c}": v - F.col("j_off") * m for c, v, m in zip("xyz", e, n)})
+        rows = rows.withColumns({f"g{c}": v - F.col("along") * m for c, v, m in zip("xyz", d, n)})
+        rows = rows.withColumns(row("k", [F.col(f"g{c}") for c in "xyz"], F.col("o_grey") + dot(d, [F.col(f"p{c}") for c in "xyz"]) - F.col("grey")))
+        geometric, photometric = (F.when(colored, weight).otherwise(1.0), F.when(colored, 1 - weight).otherwise(0.0)) if mixed else (F.lit(weight), F.lit(1 - weight))
+        rows = rows.withColumns({"wj": geometric, "wk": photometric})
+    names = ("j", "k") if mixed or colored else ("j",)
+    term = lambda a, b: sum((F.col(f"w{m}") * F.col(f"{m}{a}") * F.col(f"{m}{b}") for m in names), F.lit(0.0)) if len(names) > 1 else F.col(f"j{a}") * F.col(f"j{b}")
+    aggs = [F.sum(term(a, b)).alias(f"a{a}{b}") for a in range(6) for b in range(a, 6)] + [F.sum(-term(a, "_off")).alias(f"b{a}") for a in range(6)]
+    return rows.groupBy(*PAIR).agg(F.count("*").alias("n_matched"), F.sqrt(F.avg("d2")).alias("rmse"), *aggs)
 
 
 #: What a round keeps of each pair; ``going`` pairs take another.
@@ -115,8 +117,9 @@ def run_icp(start: DataFrame, source: DataFrame, target: DataFrame, max_iter: in
     fresh = {"fitness": F.lit(-1.0), "rmse": F.lit(-1.0), "iterations": F.lit(0), "going": F.lit(True), "n_source": F.coalesce("n_source", F.lit(0).cast("long"))}
     state = stored(start.select(*PAIR, F.coalesce("T", identity()).alias("T"), "radius", "colored").join(sizes, PAIR, "left").withColumns(fresh).select(*PAIR, *STATE), "icp")
     around = stored(target.join(state.select(*PAIR, "radius"), PAIR), "targets")
-    source = stored(source, "sources")
-    colored = F.col("colored") if "grey" in source.columns else False
+    mine = ["grey"] if "grey" in source.columns else []
+    source = stored(source.select(*PAIR, "point_id", "x", "y", "z", *mine), "sources")
+    colored = F.col("colored") if mine else False
     while not (active := state.where("going")).isEmpty():
         x, y, z = moved(F.col("T"), F.col("x"), F.col("y"), F.col("z"))
         moved_on = source.join(active.select(*PAIR, "T", "radius", "colored"), PAIR).withColumns({"x": x, "y": y, "z": z}).drop("T")
@@ -160,39 +163,55 @@ def icp_colored_v1(pairs: DataFrame, points: DataFrame, voxel: float = 0.005, ma
     return icp_colored(pairs, points, voxel, max_iter, None, False)
 
 
+def pair_features(near: DataFrame) -> DataFrame:
+    """``theta, alpha, phi`` of each point and neighbour (o_*) with normals: the three angles of a Darboux frame.
+
+    The frame stands at whichever of the two has the smaller angle between its normal and the line that joins them; at the
+    other one the line is turned round. Pairs whose normal lies along the line have no frame and are left out.
+    """
+    line = [(F.col(f"o_{c}") - F.col(c)) / F.sqrt("d2") for c in "xyz"]
+    rows = near.withColumns(dict(zip(("ex", "ey", "ez"), line)))
+    e = [F.col(f"e{c}") for c in "xyz"]
+    mine, theirs = [F.col(f"n{c}") for c in "xyz"], [F.col(f"o_n{c}") for c in "xyz"]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    rows = rows.withColumns({"at_me": dot(mine, e), "at_other": dot(theirs, e)})
+    swap = F.abs("at_me") < F.abs("at_other")  # the smaller angle has the larger cosine
+    pick = lambda a, b: [F.when(F.col("swap"), q).otherwise(p) for p, q in zip(a, b)]
+    rows = rows.withColumn("swap", swap).withColumns(dict(zip(("ux", "uy", "uz"), pick(mine, theirs))) | dict(zip(("mx", "my", "mz"), pick(theirs, mine))))
+    rows = rows.withColumns({f"e{c}": F.when(F.col("swap"), -F.col(f"e{c}")).otherwise(F.col(f"e{c}")) for c in "xyz"} | {"phi": F.when(F.col("swap"), -F.col("at_other")).otherwise(F.col("at_me"))})
+    u, m, e = [F.col(f"u{c}") for c in "xyz"], [F.col(f"m{c}") for c in "xyz"], [F.col(f"e{c}") for c in "xyz"]
+    rows = rows.withColumns(dict(zip(("vx", "vy", "vz"), cross(e, u))))
+    rows = rows.withColumn("length", F.sqrt(dot(*[[F.col(f"v{c}") for c in "xyz"]] * 2))).where(F.col("length") > 0).withColumns({f"v{c}": F.col(f"v{c}") / F.col("length") for c in "xyz"})
+    v = [F.col(f"v{c}") for c in "xyz"]
+    return rows.withColumns({"theta": F.atan2(dot(cross(u, v), m), dot(u, m)), "alpha": dot(v, m)}).drop(
+        "ex", "ey", "ez", "at_me", "at_other", "swap", "ux", "uy", "uz", "mx", "my", "mz", "vx", "vy", "vz", "length"
+    )
+
+
+def point_bins(near: DataFrame) -> DataFrame:
+    """(point, bin, part): the simplified histogram of each point, eleven bins for each angle that add up to 100."""
+    place = lambda x: F.greatest(F.lit(0), F.least(F.lit(10), F.floor(F.round(11 * x, 9)))).cast("int")
+    bins = F.array(place((F.col("theta") + np.pi) / (2 * np.pi)), 11 + place((F.col("alpha") + 1) / 2), 22 + place((F.col("phi") + 1) / 2))
+    rows = pair_features(near).withColumn("bins", bins)
+    total = rows.groupBy(*POINT).agg(F.count("*").alias("total"))
+    counts = rows.select(*POINT, F.explode("bins").alias("bin")).groupBy(*POINT, "bin").agg(F.count("*").alias("c"))
+    return counts.join(total, POINT).select(*POINT, "bin", (100 * F.col("c") / F.col("total")).alias("part"))
+
+
 def fpfh(points: DataFrame, voxel: float, max_nn: int = 100) -> DataFrame:
-    """``hist``: 33 bins of fast point feature histograms, of neighbours within 5 voxels; points need normals.
+    """``hist``: 33 bins of fast point feature histograms, of up to ``max_nn`` neighbours within 5 voxels; points need normals.
 
-    Simplified histograms of the three pair angles are made by one grouping, and the weighted mean of the neighbours'
-    histograms is added by a second.
+    A point's own histogram, plus those of its neighbours weighted by one over the squared distance, the sum of these
+    scaled to 100 for each angle. A point without a neighbour has no row.
     """
-    from .neighbors import POINT, knn_hybrid
-
-    near = knn_hybrid(points, 5 * voxel, max_nn).where(F.col("d2") > 0)
-    d = F.sqrt("d2")
-    ex, ey, ez = [(F.col(f"o_{c}") - F.col(c)) / d for c in "xyz"]
-    ux, uy, uz = F.col("nx"), F.col("ny"), F.col("nz")
-    vx, vy, vz = ey * uz - ez * uy, ez * ux - ex * uz, ex * uy - ey * ux
-    length = F.sqrt(vx * vx + vy * vy + vz * vz)
-    near = near.withColumns({"vx": vx / length, "vy": vy / length, "vz": vz / length, "phi": ux * ex + uy * ey + uz * ez}).where("vx = vx")
-    ox, oy, oz = F.col("o_nx"), F.col("o_ny"), F.col("o_nz")
-    alpha = F.col("vx") * ox + F.col("vy") * oy + F.col("vz") * oz
-    wx, wy, wz = uy * F.col("vz") - uz * F.col("vy"), uz * F.col("vx") - ux * F.col("vz"), ux * F.col("vy") - uy * F.col("vx")
-    theta = F.atan2(wx * ox + wy * oy + wz * oz, ux * ox + uy * oy + uz * oz)
-    unit = lambda c: F.greatest(F.lit(0), F.least(F.lit(10), F.floor(11 * (c + 1) / 2)))
-    bins = F.array(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(10.0), 11 * (theta + np.pi) / (2 * np.pi)))).cast("int"), (11 + unit(alpha)).cast("int"), (22 + unit(F.col("phi"))).cast("int"))
-    near = near.withColumn("bins", bins)
-    n = F.count("*").cast("double")
-    counts = near.select(*POINT, F.explode("bins").alias("bin")).groupBy(*POINT, "bin").agg(n.alias("c"))
-    total = near.groupBy(*POINT).agg(n.alias("total"))
-    own = stored(counts.join(total, POINT).select(*POINT, "bin", (100 * F.col("c") / F.col("total")).alias("part")), "spfh")
+    near = stored(knn_hybrid(points, 5 * voxel, max_nn).where(F.col("d2") > 0), "near")
+    own = stored(point_bins(near), "spfh")
     theirs = own.select("sequence_id", "frame_index", F.col("point_id").alias("o_point_id"), "bin", "part")
     weighted = near.select(*POINT, "o_point_id", (1 / F.col("d2")).alias("w")).join(theirs, ["sequence_id", "frame_index", "o_point_id"])
-    mixed = weighted.groupBy(*POINT, "bin").agg(F.sum(F.col("w") * F.col("part")).alias("mix"))
-    # each angle's eleven bins of the mixture add up to 100
-    angle = mixed.withColumn("angle", F.expr("bin div 11"))
-    sums = angle.groupBy(*POINT, "angle").agg(F.sum("mix").alias("all"))
-    mixed = angle.join(sums, [*POINT, "angle"]).select(*POINT, "bin", (100 * F.col("mix") / F.col("all")).alias("part"))
+    mixed = weighted.groupBy(*POINT, "bin").agg(F.sum(F.col("w") * F.col("part")).alias("mix")).withColumn("angle", F.expr("bin div 11"))
+    sums = mixed.groupBy(*POINT, "angle").agg(F.sum("mix").alias("all"))
+    mixed = mixed.join(sums, [*POINT, "angle"]).select(*POINT, "bin", (100 * F.col("mix") / F.col("all")).alias("part"))
     both = own.unionByName(mixed).groupBy(*POINT, "bin").agg(F.sum("part").alias("part"))
     spread = both.groupBy(*POINT).agg(F.map_from_entries(F.collect_list(F.struct("bin", "part"))).alias("m"))
     hist = F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))

@@ -16,7 +16,7 @@ from fieldscan.sources import catalog, images, sidecars, sinks
 from fieldscan.streaming import capture
 
 from . import reconstruct
-from .standins import CAMERA, NEAR, SCALE, TRUNC, duck, relation
+from .standins import AWAY, BLANK, CAMERA, GROUND_CAMERA, GROUND_SCALE, GROUND_STEP, LOWERED, NEAR, SCALE, TRUNC, UNREADABLE, duck, ground, relation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -944,13 +944,20 @@ def _(spark, d):
     return rounded(reconstruct.batch_sequences(out), *[f"{m}_{c}" for m in ("min", "max") for c in "xyz"], n=4)
 
 
-@query("reconstruct_icp")
+#: On the ground scene with the floors alone and the one strategy that can help there; adaptive limits have queries of their own.
+SCENE_AGENT = agent.AgentConfig(fitness_floor=0.5, cold_start=1 << 30, enabled=("point_to_plane",))
+
+
+@query("reconstruct_icp", (), f"""WITH f AS (SELECT s_suppkey % 2 AS sequence_id, s_suppkey AS frame_index, s_suppkey // 2 AS place FROM supplier),
+  g AS (SELECT *, CASE WHEN place % 20 IN ({UNREADABLE}, {BLANK}) THEN 'FAILED' WHEN place % 20 = {AWAY} THEN 'REJECTED' WHEN place % 20 IN ({LOWERED}, {LOWERED + 1}) THEN 'RECOVERED' ELSE 'OK' END AS status FROM f)
+  SELECT sequence_id, frame_index, status, CASE WHEN status <> 'FAILED' THEN last_value(CASE WHEN status IN ('OK', 'RECOVERED') THEN frame_index END IGNORE NULLS)
+    OVER (PARTITION BY sequence_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS target,
+  CASE WHEN status IN ('RECOVERED', 'REJECTED') THEN 1 ELSE 0 END AS attempts, CASE WHEN status IN ('RECOVERED', 'REJECTED') THEN 'point_to_plane' END AS last_strategy,
+  CASE WHEN place % 20 = {UNREADABLE} THEN 'imread failed' WHEN place % 20 = {BLANK} THEN 'empty cloud' WHEN status = 'REJECTED' THEN 'fitness 0.000 < 0.500' ELSE '' END AS reason FROM g""")
 def _(spark, d):
-    # the stand-in frames are no scene: recovery is left to the tests, and frames open after the rounds are UNDECIDED
-    plain = agent.AgentConfig(enabled=())
-    merged, outcomes = reconstruct.reconstruct_icp(_pixels(spark, d), CAMERA, SCALE, TRUNC, NEAR, 0.15, 2, clean=False, config=plain, most_rounds=8)
-    n = merged.groupBy("sequence_id").agg(F.count("*").alias("n_points"))
-    return quality.frame_counters(outcomes).join(n, "sequence_id")
+    seen, problems = ground(spark, d)
+    _, outcomes = reconstruct.reconstruct_icp(seen, GROUND_CAMERA, GROUND_SCALE, TRUNC, 0, GROUND_STEP, expected_step_m=GROUND_STEP, config=SCENE_AGENT, problems=problems)
+    return outcomes.select("sequence_id", "frame_index", "status", "target", "attempts", "last_strategy", "reason")
 
 
 @query("reconstruct_simple")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,7 +62,7 @@ def registration_attempts(
     All pairs of all attempts go through one loop of ICP, on clouds whose frame number also says the attempt. ``ready`` are
     the clouds as ``surfaces`` gives them. A strategy that leaves an empty cloud gives fitness and rmse 0.
     """
-    span, coarse, parts, init = config.max_retries + 1, max(2 * voxel, 1e-4), [], None
+    span, coarse, parts, changed, init = config.max_retries + 1, max(2 * voxel, 1e-4), [], [], None
     ends = asked.select("sequence_id", "attempt", F.explode(F.array("source_frame", "target_frame")).alias("frame_index")).distinct()
     named = lambda df, k, *cols: df.withColumns({c: F.col(c) * span + k for c in cols})
     plain = ["grey", "nx", "ny", "nz", "dx", "dy", "dz"]
@@ -82,11 +84,12 @@ def registration_attempts(
                 base = renumbered(voxel_downsample(base, coarse))
             else:
                 base = outlier_statistical(base, 30, 1.5)
-            base = surfaces(base, voxel)
+            changed.append(named(base, k, "frame_index").select("sequence_id", "frame_index", "point_id", "x", "y", "z", "r", "g", "b"))
+            continue
         parts.append(named(base, k, "frame_index").select("sequence_id", "frame_index", "point_id", "x", "y", "z", *plain))
-    points = parts[0]
-    for more in parts[1:]:
-        points = points.unionByName(more)
+    if changed:
+        parts.append(surfaces(reduce(DataFrame.unionByName, changed), voxel).select("sequence_id", "frame_index", "point_id", "x", "y", "z", *plain))
+    points = reduce(DataFrame.unionByName, parts)
     start = asked.select(PAIR[0], *[(F.col(c) * span + F.col("attempt")).alias(c) for c in PAIR[1:]])
     loose = F.pmod(F.col("source_frame"), F.lit(span)).isin([k for k in range(1, span) if config.recovery(k - 1) == "point_to_plane"])
     start = start.withColumns({"T": init_transform(step_m, axis), "radius": F.when(loose, 4.0 * voxel).otherwise(2.0 * voxel), "colored": ~loose})

@@ -78,5 +78,26 @@ def duck(names: tuple[str, ...] | str, body: str) -> str:
     order = []
     for n in names:
         order += [x for x in (*_NEEDS.get(n, ()), n) if x not in order]
+    if not order:
+        return body
     tables = ",\n".join(f"{n} AS ({_sql(n, 'duck')})" for n in order)
     return f"WITH {tables}{',' if body.lstrip().startswith('+') else ''}\n{body.lstrip().removeprefix('+')}"
+
+
+#: The camera over the ground scene: one pixel is a step of the gantry at a depth of a metre.
+GROUND_CAMERA = Camera(80.0, 80.0, 9.0, 8.0)
+GROUND_SCALE, GROUND_STEP = 5000.0, 1 / 80
+#: Places, of every twenty, of frames with the camera lowered, moved far away, unreadable, and without depth.
+LOWERED, AWAY, UNREADABLE, BLANK = 5, 9, 13, 17
+
+
+def ground(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pixels, problems) of two captures along wavy ground, a frame of 18 x 16 pixels for each supplier, with planted faults."""
+    shift = f"CASE place % 20 WHEN {LOWERED} THEN 0.045D WHEN {AWAY} THEN 0.3D ELSE 0D END"
+    depth = f"CASE WHEN place % 20 = {BLANK} THEN 0 ELSE cast({GROUND_SCALE}D * (1D + 0.015D * sin(0.4D * (u + place)) + 0.012D * cos(0.35D * v) + 0.01D * sin(0.23D * (u + place) + 0.3D * v) + {shift}) as int) END"
+    grey = "cast(128 + 60 * sin(0.5D * (u + place)) + 50 * cos(0.7D * v) as int)"
+    frames = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey % 2 AS sequence_id", "s_suppkey AS frame_index", "s_suppkey div 2 AS place")
+    lost = f"place % 20 = {UNREADABLE}"
+    seen = frames.where(f"not ({lost})").selectExpr("*", "explode(sequence(0, 287)) AS at").selectExpr("sequence_id", "frame_index", "place", "at % 18 AS u", "at div 18 AS v")
+    pixels = seen.selectExpr("sequence_id", "frame_index", "cast(u as int) AS u", "cast(v as int) AS v", f"{depth} AS depth_raw", *[f"{grey} AS {c}" for c in "rgb"])
+    return pixels, frames.where(lost).selectExpr("sequence_id", "frame_index", "'imread failed' AS problem")

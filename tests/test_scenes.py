@@ -232,3 +232,47 @@ def test_quality_from_pixels(spark):
     assert got[1]["depth_validity"] == 1 and got[1]["icp_fitness"] == 0 and got[2]["depth_validity"] == 0
     assert {r["sequence_id"]: (r["verdict"], r["failing"]) for r in verdicts.collect()} == {1: ("PASS", []), 2: ("FAIL", ["no metrics"])}
     assert reconstruct.quality_report(rows, Camera(525.0, 525.0, 12.0, 12.0), QualityParams(voxel_size=0.01, max_iter=1, n_samples=1), sample=True)[1].count() == 1
+
+
+def plain_fpfh(x, n, radius, max_nn):
+    """Fast point feature histograms by loops over all points and neighbours."""
+    own, near = [], []
+    for i in range(len(x)):
+        d2 = ((x - x[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(len(x)), d2)) if d2[j] <= radius * radius][:max_nn]
+        near.append([(j, d2[j]) for j in order if d2[j] > 0])
+        hist, total = np.zeros(33), 0
+        for j, q in near[-1]:
+            e = (x[j] - x[i]) / np.sqrt(q)
+            u, m = n[i], n[j]
+            if np.arccos(abs(u @ e)) > np.arccos(abs(m @ e)):
+                u, m, e = m, u, -e
+            v = np.cross(e, u)
+            if not np.linalg.norm(v):
+                continue
+            v /= np.linalg.norm(v)
+            angles = ((np.arctan2(np.cross(u, v) @ m, u @ m) + np.pi) / (2 * np.pi), (v @ m + 1) / 2, (u @ e + 1) / 2)
+            for a, value in enumerate(angles):
+                hist[11 * a + min(10, max(0, int(np.floor(round(11 * value, 9)))))] += 1
+            total += 1
+        own.append(100 * hist / max(total, 1))
+    out = []
+    for i in range(len(x)):
+        mix = sum((own[j] / q for j, q in near[i]), np.zeros(33)).reshape(3, 11)
+        out.append(own[i] + (100 * mix / np.maximum(mix.sum(1, keepdims=True), 1e-300)).reshape(-1))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("max_nn", [100, 12])
+def test_point_feature_histograms_against_loops(spark, max_nn):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, (120, 3))
+    n = rng.normal(size=(120, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    rows = [(1, 0, i, *map(float, p), *map(float, q)) for i, (p, q) in enumerate(zip(x, n))]
+    points = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, x double, y double, z double, nx double, ny double, nz double")
+    got = {r["point_id"]: r["hist"] for r in registration.fpfh(points, 0.08, max_nn).collect()}
+    want = plain_fpfh(x, n, 0.4, max_nn)
+    assert len(got) == 120
+    assert np.allclose(np.array([got[i] for i in range(120)]), want, atol=1e-6)
+    assert np.allclose(want.sum(1), 600)
