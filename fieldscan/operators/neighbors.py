@@ -92,10 +92,53 @@ def knn(points: DataFrame, k: int, start: float | None = None) -> DataFrame:
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+#: Halvings of a cell, at most: a cell of the deepest level is 1/256 of the radius wide.
+DEEPEST = 8
+
+
+def dense_levels(points: DataFrame, radius: float, most: int) -> list[DataFrame]:
+    """Point ids by level: item L has the points whose cells of 2**-L of the radius and wider all hold more than ``most``.
+
+    An octree without its nodes: only points of dense cells go on to the next level, and cells are counts by key.
+    """
+    out, rest = [], points.select(*POINT, "x", "y", "z")
+    for level in range(DEEPEST):
+        cell = _cell(radius / 2**level)
+        keyed = rest.select("*", *cell)
+        dense = keyed.groupBy(*FRAME, "cx", "cy", "cz").agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+        if dense.isEmpty():
+            break
+        rest = stored(keyed.join(dense, [*FRAME, "cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz"), "dense")
+        out.append(rest.select(*POINT))
+    return out
+
+
 def knn_hybrid(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
-    """Up to ``max_nn`` nearest points within ``radius``."""
+    """Up to ``max_nn`` nearest points within ``radius``, the point itself included; ties go to the lower id.
+
+    Cells adapt to the density: where a cell as wide as the radius holds many points, it is halved until it doesn't, and a
+    point is looked up with the cells of its own level first. If those reach ``max_nn`` points within their width, these
+    are the nearest; else the point goes on with cells twice as wide, at most as wide as the radius. So a dense cell's
+    square is never made, and the pairs made grow with the points.
+    """
     rank = F.row_number().over(W.partitionBy(*POINT).orderBy("d2", "o_point_id"))
-    return radius_neighbors(points, radius).withColumn("rank", rank.cast("long")).where(F.col("rank") <= max_nn)
+
+    def best(some: DataFrame, size: float) -> DataFrame:
+        return neighbor_pairs(some, points, size).withColumn("rank", rank.cast("long")).where(F.col("rank") <= max_nn)
+
+    levels, found, wide = dense_levels(points, radius, 2 * max_nn), [], None
+    for level in range(len(levels), 0, -1):
+        mine = levels[level - 1] if level == len(levels) else levels[level - 1].join(levels[level], POINT, "left_anti")
+        mine = mine if wide is None else mine.unionByName(wide)
+        near = stored(best(points.join(mine, POINT, "left_semi"), radius / 2**level), "near")
+        full = near.where(F.col("rank") == max_nn).select(*POINT)
+        found.append(near.join(full, POINT, "left_semi"))
+        wide = stored(mine.join(full, POINT, "left_anti"), "wide")
+    rest = points if wide is None else points.join(points.select(*POINT).join(levels[0], POINT, "left_anti").unionByName(wide), POINT, "left_semi")
+    out = best(rest, radius)
+    for more in found:
+        out = out.unionByName(more)
+    return out
 
 
 def outlier_statistical(points: DataFrame, nb_neighbors: int, std_ratio: float, start: float | None = None) -> DataFrame:

@@ -182,11 +182,11 @@ def pair_features(near: DataFrame) -> DataFrame:
     rows = rows.withColumns({f"e{c}": F.when(F.col("swap"), -F.col(f"e{c}")).otherwise(F.col(f"e{c}")) for c in "xyz"} | {"phi": F.when(F.col("swap"), -F.col("at_other")).otherwise(F.col("at_me"))})
     u, m, e = [F.col(f"u{c}") for c in "xyz"], [F.col(f"m{c}") for c in "xyz"], [F.col(f"e{c}") for c in "xyz"]
     rows = rows.withColumns(dict(zip(("vx", "vy", "vz"), cross(e, u))))
-    rows = rows.withColumn("length", F.sqrt(dot(*[[F.col(f"v{c}") for c in "xyz"]] * 2))).where(F.col("length") > 0).withColumns({f"v{c}": F.col(f"v{c}") / F.col("length") for c in "xyz"})
     v = [F.col(f"v{c}") for c in "xyz"]
-    return rows.withColumns({"theta": F.atan2(dot(cross(u, v), m), dot(u, m)), "alpha": dot(v, m)}).drop(
-        "ex", "ey", "ez", "at_me", "at_other", "swap", "ux", "uy", "uz", "mx", "my", "mz", "vx", "vy", "vz", "length"
-    )
+    length = F.sqrt(dot(v, v))
+    rows = rows.withColumns({"theta": F.atan2(dot(cross(u, v), m), length * dot(u, m)), "alpha": dot(v, m) / F.nullif(length, F.lit(0.0))})
+    # stored, as a condition on what is computed would be put in front of it, written out in full
+    return stored(rows.select(*POINT, "o_point_id", "theta", "alpha", "phi"), "angles").where("alpha is not null")
 
 
 def point_bins(near: DataFrame) -> DataFrame:

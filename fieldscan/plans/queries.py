@@ -708,7 +708,7 @@ def _(spark, d):
 @query("recover_p2p")
 def _(spark, d):
     pairs, both = _shifted_pairs(spark, d)
-    return _scores(registration.icp_point_to_plane(pairs, both, 0.2, 2))
+    return _scores(registration.icp_point_to_plane(pairs, both, 0.2))
 
 
 @query("recovery_order", "registrations", """SELECT sequence_id, frame_index, CASE frame_index % 7 WHEN 0 THEN 'tighter_crop' WHEN 1 THEN 'voxel_downsample' WHEN 2 THEN 'denoise'
@@ -745,10 +745,29 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     return registration.fpfh(stored(neighbors.estimate_normals(_cloud(spark, d), 0.3), "normals"), 0.08, 100)
 
 
-@query("fpfh")
-def _(spark, d):
-    total = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
-    return rounded(_features(spark, d).select("sequence_id", "frame_index", "point_id", F.size("hist").alias("bins"), total.alias("total")), "total", n=3)
+_BIN = lambda x: f"CAST(greatest(0, least(10, floor(round(11 * ({x}), 9)))) AS INT)"
+FEATURES = f"""+ n AS (SELECT *, sqrt(x * x + y * y + z * z) AS l, x / l AS nx, y / l AS ny, z / l AS nz FROM cloud),
+  near AS (SELECT {FRAME}, a.point_id AS i, b.point_id AS j, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d2, (b.x - a.x) / sqrt(d2) AS ex, (b.y - a.y) / sqrt(d2) AS ey, (b.z - a.z) / sqrt(d2) AS ez,
+    a.nx * ex + a.ny * ey + a.nz * ez AS me, b.nx * ex + b.ny * ey + b.nz * ez AS other, abs(me) < abs(other) AS swap, CASE WHEN swap THEN -1 ELSE 1 END AS s,
+    CASE WHEN swap THEN b.nx ELSE a.nx END AS ux, CASE WHEN swap THEN b.ny ELSE a.ny END AS uy, CASE WHEN swap THEN b.nz ELSE a.nz END AS uz,
+    CASE WHEN swap THEN a.nx ELSE b.nx END AS mx, CASE WHEN swap THEN a.ny ELSE b.ny END AS my, CASE WHEN swap THEN a.nz ELSE b.nz END AS mz,
+    s * (ey * uz - ez * uy) AS wx, s * (ez * ux - ex * uz) AS wy, s * (ex * uy - ey * ux) AS wz, sqrt(wx * wx + wy * wy + wz * wz) AS wl, wx / wl AS vx, wy / wl AS vy, wz / wl AS vz
+    FROM n a JOIN n b USING (sequence_id, frame_index) WHERE d2 > 0 AND d2 <= 0.16::DOUBLE),
+  bins AS (SELECT {FRAME}, i, j, unnest([{_BIN("(atan2((uy * vz - uz * vy) * mx + (uz * vx - ux * vz) * my + (ux * vy - uy * vx) * mz, ux * mx + uy * my + uz * mz) + pi()) / (2 * pi())")},
+    11 + {_BIN("(vx * mx + vy * my + vz * mz + 1) / 2")}, 22 + {_BIN("(CASE WHEN swap THEN -other ELSE me END + 1) / 2")}]) AS bin FROM near WHERE wl > 0),
+  own AS (SELECT {FRAME}, i, bin, 300 * count(*) / sum(count(*)) OVER (PARTITION BY {FRAME}, i) AS part FROM bins GROUP BY {FRAME}, i, bin),
+  mixed AS (SELECT {FRAME}, a.i, b.bin, sum(b.part / a.d2) AS mix FROM near a JOIN own b USING (sequence_id, frame_index) WHERE b.i = a.j GROUP BY {FRAME}, a.i, b.bin),
+  every AS (SELECT * FROM own UNION ALL SELECT {FRAME}, i, bin, 100 * mix / sum(mix) OVER (PARTITION BY {FRAME}, i, bin // 11) FROM mixed)
+  SELECT {FRAME}, CAST(bin AS INT) AS bin, {{total}} AS total FROM every GROUP BY ALL"""
+
+
+@query("fpfh", "cloud", FEATURES.format(total=r("sum(part)", 3)))
+def _(spark, d):
+    """Sums of the bins of each frame, with normals along the rays, which SQL can say too."""
+    away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    found = registration.fpfh(_cloud(spark, d).withColumns({f"n{c}": F.col(c) / away for c in "xyz"}), 0.08, 100)
+    bins = found.select("sequence_id", "frame_index", F.posexplode("hist").alias("bin", "part")).where("part > 0")
+    return rounded(bins.groupBy("sequence_id", "frame_index", "bin").agg(F.sum("part").alias("total")), "total", n=3)
 
 
 @query("feature_match")

@@ -9,7 +9,7 @@ import __spark_entry__ as entries
 
 FOLDER = "/root/testdata/sf0.001"
 #: Long loops of jobs; scenes and sequences have tests of their own.
-SLOW = {"reconstruct_icp", "reconstruct_simple", "recover_feature_init", "icp_colored_v1", "recover_p2p", "pipeline"}
+SLOW = {"reconstruct_simple", "recover_feature_init", "icp_colored_v1", "pipeline"}
 
 
 @pytest.fixture(scope="module")

@@ -276,3 +276,27 @@ def test_point_feature_histograms_against_loops(spark, max_nn):
     assert len(got) == 120
     assert np.allclose(np.array([got[i] for i in range(120)]), want, atol=1e-6)
     assert np.allclose(want.sum(1), 600)
+
+
+def test_dense_cells_are_split(spark, monkeypatch):
+    """A cell of 3,000 points among sparse ones: the same neighbours as by brute force, from pairs that grow with the points."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.uniform(0.3, 0.5, (3000, 3)), rng.uniform(0, 4, (300, 3)), rng.uniform(0.31, 0.312, (400, 3)), np.full((90, 3), 0.4)])
+    rows = [(1, 0, i, *map(float, p)) for i, p in enumerate(x)]
+    points = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, x double, y double, z double")
+    made, pairs = [], neighbors.neighbor_pairs
+
+    def counted(some, others, size, on=None):
+        out = pairs(some, others, size, on)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbors, "neighbor_pairs", counted)
+    got = {}
+    for r in neighbors.knn_hybrid(points, 0.5, 10).select("point_id", "o_point_id", "rank").collect():
+        got.setdefault(r["point_id"], {})[r["rank"]] = r["o_point_id"]
+    for i in range(len(x)):
+        d2 = ((x - x[i]) ** 2).sum(1)
+        want = [j for j in np.lexsort((np.arange(len(x)), d2)) if d2[j] <= 0.25][:10]
+        assert [got[i][k] for k in range(1, len(want) + 1)] == want and len(got[i]) == len(want), i
+    assert len(made) > 3 and sum(made) < 200 * len(x) < 3000 * 3000, made
