@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from fieldscan.llm import common, components, decontam, exact_dedup, near_dedup, queries, toxicity, warc
+from fieldscan.llm import common, components, decontam, exact_dedup, line_dedup, merkle, near_dedup, queries, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def shaken(spark, monkeypatch):
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", next(cores))
         return out
 
-    for module in (common, components, decontam, exact_dedup, near_dedup, toxicity, warc):
+    for module in (common, components, decontam, exact_dedup, line_dedup, merkle, near_dedup, toxicity, warc):
         monkeypatch.setattr(module, "cut", cut)
     yield
     spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
@@ -48,3 +48,13 @@ def test_revisits_follow_their_content(spark, tmp_path, shaken):
     same = [r for r in out if r["payload_bytes"] == 4]
     assert [r["page_id"] for r in same if r["record_type"] == "response"] == ["0"]
     assert all(r["refers_to"] == "0" for r in same if r["record_type"] == "revisit")
+
+
+def test_lines_and_proofs_follow_their_content(spark, tmp_path):
+    queries.table(spark, FOLDER, "documents").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [sorted(map(tuple, q(spark, FOLDER).collect())) for q in (queries.op11_merkle, queries.op12_line_dedup)]
+    assert [sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (queries.op11_merkle, queries.op12_line_dedup)] == want
+
+
+def test_lines_and_proofs_when_splits_change(spark, tmp_path, shaken):
+    test_lines_and_proofs_follow_their_content(spark, tmp_path)
