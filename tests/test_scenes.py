@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscan.functions.geometry import Camera, rotation_deg, translation_m
-from fieldscan.operators import neighbors, pixels, registration, volume
+from fieldscan.operators import neighbors, pixels, quality, registration, volume
 from fieldscan.plans import reconstruct
 from fieldscan.sources import catalog, images, sidecars, sinks
 from fieldscan.sources.ply import PlyDataSource
@@ -300,3 +300,13 @@ def test_dense_cells_are_split(spark, monkeypatch):
         want = [j for j in np.lexsort((np.arange(len(x)), d2)) if d2[j] <= 0.25][:10]
         assert [got[i][k] for k in range(1, len(want) + 1)] == want and len(got[i]) == len(want), i
     assert len(made) > 3 and sum(made) < 200 * len(x) < 3000 * 3000, made
+
+
+@pytest.mark.parametrize("dy, dx", [(2, 3), (-4, 1), (0, -5)])
+def test_phase_shift_of_a_moved_image(spark, dy, dx):
+    image = np.random.default_rng(3).integers(0, 256, (16, 24))
+    frames = {10: image, 20: np.zeros_like(image), 30: np.roll(image, (dy, dx), (0, 1))}
+    rows = [(s, f, u, v, *[int(x[v, u])] * 3) for s in (1, 2) for f, x in frames.items() if s == 1 or f < 30 for v in range(16) for u in range(24)]
+    pixels_ = spark.createDataFrame(rows, "sequence_id long, frame_index long, u int, v int, r int, g int, b int")
+    (got,) = quality.gantry_phase_shift(pixels_, 0, 2).collect()
+    assert got["sequence_id"] == 1 and abs(got["sx"] - dx) < 0.1 and abs(got["sy"] - dy) < 0.1 and got["response"] > 0.9
