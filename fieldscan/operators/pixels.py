@@ -6,10 +6,16 @@ and joins are keyed by the frame, so frames spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldscan.functions import tiles
 from fieldscan.functions.geometry import Camera
 
 FRAME = ["sequence_id", "frame_index"]
@@ -46,31 +52,46 @@ def mask_depth_range(pixels: DataFrame, trunc: float = 3.5, scale: float = 1000.
     return pixels.withColumn("depth_raw", F.when(far | near, F.lit(0)).otherwise(F.col("depth_raw")))
 
 
-def _spread(pixels: DataFrame, name: str, value: Column, radius: int, pick) -> DataFrame:
-    """Least or greatest value in a square, first along u, then along v; places outside the image don't count."""
-    along = W.partitionBy(*FRAME, "v").orderBy("u").rangeBetween(-radius, radius)
-    across = W.partitionBy(*FRAME, "u").orderBy("v").rangeBetween(-radius, radius)
-    return pixels.withColumn(name, pick(value).over(along)).withColumn(name, pick(F.col(name)).over(across))
-
+def _per_image(pixels: DataFrame, out: T.StructField, value) -> DataFrame:
+    """``out`` as ``value`` gives it for the depths and places of whole images, in one shuffle by frame.
 
-def _valid() -> Column:
-    return (F.col("depth_raw") > 0).cast("int")
+    Depths and places are those of an image. Rows without a place or depth don't count; they keep the depth they have, and
+    have 0 or false otherwise.
+    """
+    fields = [out if f.name == out.name else f for f in pixels.schema.fields]
+    schema = T.StructType(fields if out.name in pixels.columns else [*fields, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in tiles.whole_frames(batches):
+            (depth, known), (u, placed_u), (v, placed_v) = (tiles.numbers(table, c) for c in ("depth_raw", "u", "v"))
+            frame = np.repeat(np.arange(len(starts)), np.diff([*starts, table.num_rows]))
+            rows = np.flatnonzero(known & placed_u & placed_v)
+            found = depth.copy() if out.name == "depth_raw" else np.zeros(len(depth), bool)
+            found[rows] = value(depth[rows], u[rows], v[rows], frame[rows])
+            if out.name == "depth_raw":
+                column = pa.array(found, table.schema.field("depth_raw").type, mask=~known)
+            else:
+                column = pa.array(found).cast(pa.bool_() if out.dataType == T.BooleanType() else pa.int32())
+            at = table.schema.get_field_index(out.name)
+            table = table.append_column(out.name, column) if at < 0 else table.set_column(at, out.name, column)
+            yield from table.to_batches(max_chunksize=1 << 16)
+
+    return tiles.by_frame(pixels).mapInArrow(run, schema)
 
 
 def erode_valid(pixels: DataFrame, radius: int = 2) -> DataFrame:
     """Depth becomes 0 where any pixel of the square around has none."""
-    out = _spread(pixels, "eroded", _valid(), radius, F.min)
-    return out.withColumn("depth_raw", F.when(F.col("eroded") > 0, F.col("depth_raw")).otherwise(0)).drop("eroded")
+    return _per_image(pixels, pixels.schema["depth_raw"], lambda *image: tiles.eroded(*image, radius))
 
 
 def dilate_valid(pixels: DataFrame, radius: int = 5) -> DataFrame:
     """``near_valid``: 1 where any pixel of the square around has depth."""
-    return _spread(pixels, "near_valid", _valid(), radius, F.max)
+    return _per_image(pixels, T.StructField("near_valid", T.IntegerType()), lambda *image: tiles.near_valid(*image, radius))
 
 
 def hole_mask(pixels: DataFrame, radius: int = 5) -> DataFrame:
     """``hole``: no depth here, but depth near."""
-    return dilate_valid(pixels, radius).withColumn("hole", (F.col("depth_raw") == 0) & (F.col("near_valid") > 0)).drop("near_valid")
+    return _per_image(pixels, T.StructField("hole", T.BooleanType()), lambda depth, *at: (depth == 0) & tiles.near_valid(depth, *at, radius))
 
 
 def fill_holes(pixels: DataFrame, radius: int = 5) -> DataFrame:
@@ -79,17 +100,7 @@ def fill_holes(pixels: DataFrame, radius: int = 5) -> DataFrame:
     The holes are those of the usual inpainting step; the values are not those of its solver. A hole with no valid
     pixel in the circle (it may be in the square only) stays empty.
     """
-    around = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if 0 < i * i + j * j <= radius * radius]
-    offsets = F.array(*[F.struct(F.lit(i).alias("du"), F.lit(j).alias("dv")) for i, j in around])
-    marked = hole_mask(pixels, radius)
-    asked = marked.where("hole").select(*FRAME, "u", "v", F.explode(offsets).alias("o"))
-    asked = asked.select(*FRAME, "u", "v", (F.col("u") + F.col("o.du")).alias("nu"), (F.col("v") + F.col("o.dv")).alias("nv"))
-    depth = pixels.where("depth_raw > 0").select(*FRAME, F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("depth_raw").alias("d"))
-    weight = 1 / F.sqrt(F.pow(F.col("nu") - F.col("u"), 2) + F.pow(F.col("nv") - F.col("v"), 2))
-    filled = asked.join(depth, [*FRAME, "nu", "nv"]).groupBy(*FRAME, "u", "v")
-    filled = filled.agg(F.floor(F.round(F.sum(weight * F.col("d")) / F.sum(weight), 6)).cast("int").alias("fill"))
-    out = pixels.join(filled, [*FRAME, "u", "v"], "left")
-    return out.withColumn("depth_raw", F.coalesce("fill", "depth_raw")).drop("fill")
+    return _per_image(pixels, pixels.schema["depth_raw"], lambda *image: tiles.filled(*image, radius))
 
 
 def _source_place(camera: Camera) -> tuple[Column, Column]:
