@@ -927,7 +927,8 @@ VOLUME = f"""{MASKED}, frame_at AS (SELECT {FRAME}, (row_number() OVER (PARTITIO
   pts AS (SELECT {FRAME}, (u - 3.5::DOUBLE) * (depth_raw / 1000::DOUBLE) / 6 + pl AS x, (v - 3.5::DOUBLE) * (depth_raw / 1000::DOUBLE) / 6 AS y, depth_raw / 1000::DOUBLE AS z FROM masked JOIN frame_at USING (sequence_id, frame_index)
   WHERE depth_raw > 0 AND depth_raw / 1000::DOUBLE < {TRUNC}),
   own AS (SELECT DISTINCT {FRAME}, {CELL.format(c="x")} AS ix, {CELL.format(c="y")} AS iy, {CELL.format(c="z")} AS iz FROM pts),
-  near AS (SELECT DISTINCT {FRAME}, ix + i AS ix, iy + j AS iy, iz + k AS iz FROM own, (SELECT unnest(range(-1, 2)) AS i), (SELECT unnest(range(-1, 2)) AS j), (SELECT unnest(range(-1, 2)) AS k)),
+  near AS (SELECT DISTINCT {FRAME}, ix, iy, iz + k AS iz FROM (SELECT DISTINCT {FRAME}, ix, iy + j AS iy, iz FROM (SELECT DISTINCT {FRAME}, ix + i AS ix, iy, iz FROM own,
+  (SELECT unnest(range(-4, 5)) AS i)), (SELECT unnest(range(-4, 5)) AS j)), (SELECT unnest(range(-4, 5)) AS k)),
   seen AS (SELECT {FRAME}, ix, iy, iz, z, CAST(floor(6 * x / z + 3.5 + 0.5) AS INT) AS u, CAST(floor(6 * y / z + 3.5 + 0.5) AS INT) AS v FROM
   (SELECT {FRAME}, ix, iy, iz, (ix + 0.5) * {TSDF}::DOUBLE - pl AS x, (iy + 0.5) * {TSDF}::DOUBLE AS y, (iz + 0.5) * {TSDF}::DOUBLE AS z FROM near JOIN frame_at USING (sequence_id, frame_index)) WHERE z > 0),
   voxels AS (SELECT sequence_id, ix, iy, iz, avg(least(1, sdf / {4 * TSDF}::DOUBLE)) AS tsdf, count(*) AS weight, avg(r / 255::DOUBLE) AS r FROM
@@ -937,8 +938,7 @@ VOLUME = f"""{MASKED}, frame_at AS (SELECT {FRAME}, (row_number() OVER (PARTITIO
 def _voxels(spark: SparkSession, d: str) -> DataFrame:
     masked = stored(_masked(spark, d), "masked")
     at = poses.kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), 0.01)
-    points = pixels.project_points(masked, CAMERA, SCALE, TRUNC)
-    return volume.tsdf_integrate(volume.tsdf_candidates(points, at, TSDF, 1), masked, at, CAMERA, TSDF, SCALE)
+    return volume.tsdf_integrate(masked, at, CAMERA, TSDF, SCALE, TRUNC)
 
 
 @query("tsdf_integrate", "pixels", f"+ {VOLUME} SELECT sequence_id, ix, iy, iz, {r('tsdf', 5)} AS tsdf, weight, {r('r', 5)} AS r FROM voxels")
@@ -1206,8 +1206,7 @@ def _(spark, d):
     total = None
     for half in (0, 1):
         part = masked.where(F.col("frame_index") % 2 == half)
-        points = pixels.project_points(part, CAMERA, SCALE, TRUNC)
-        new = volume.tsdf_integrate(volume.tsdf_candidates(points, at, TSDF, 1), part, at, CAMERA, TSDF, SCALE)
+        new = volume.tsdf_integrate(part, at, CAMERA, TSDF, SCALE, TRUNC)
         total = capture.merge_voxels(total, new)
     return rounded(total.select("sequence_id", "ix", "iy", "iz", "tsdf", "weight"), "tsdf", n=5)
 

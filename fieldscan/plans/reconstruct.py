@@ -20,7 +20,7 @@ from fieldscan.operators.quality import (
     QualityParams, QualityThresholds, depth_validity, pair_metrics, point_count, quality_aggregate, quality_verdict, quick_check, verdict_or_missing,
 )
 from fieldscan.operators.registration import PAIR, feature_match, fpfh, icp_colored, pair_clouds, recover_feature_init, run_icp
-from fieldscan.operators.volume import tsdf_candidates, tsdf_extract, tsdf_integrate
+from fieldscan.operators.volume import tsdf_extract, tsdf_integrate
 
 
 def frame_clouds(
@@ -215,8 +215,7 @@ def reconstruct_tsdf(
     masked, camera = prepared(pixels, camera, scale, trunc, near, bbox)
     masked = stored(masked, "masked")
     poses = stored(kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), step_m, axis), "poses")
-    points = project_points(masked, camera, scale, trunc)
-    voxels = tsdf_integrate(tsdf_candidates(points, poses, voxel), masked, poses, camera, voxel, scale)
+    voxels = tsdf_integrate(masked, poses, camera, voxel, scale, trunc)
     surface = tsdf_extract(stored(voxels, "voxels"), voxel).withColumn("frame_index", F.lit(0).cast("long"))
     return clean_registration(renumbered(surface)) if clean else surface
 
