@@ -5,6 +5,8 @@ Values that depend on the order of sums are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -224,8 +226,6 @@ def _(spark, d):
 @query("src_ply", "cloud", f"SELECT count(*) AS n, {r('sum(x)', 4)} AS x, {r('sum(y)', 4)} AS y, {r('sum(z)', 4)} AS z, {r('sum(r)', 3)} AS r FROM cloud")
 def _(spark, d):
     """Clouds written as PLY files, one per partition, and read back."""
-    import uuid
-
     from fieldscan.sources.ply import PlyDataSource
 
     spark.dataSource.register(PlyDataSource)
@@ -239,8 +239,6 @@ def _(spark, d):
 @query("sink_ply", "cloud", f"SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, count(*) AS n, {r('sum(x)', 4)} AS x, 1 AS files FROM cloud GROUP BY 1")
 def _(spark, d):
     """One file for each sequence, named after it."""
-    import uuid
-
     from fieldscan.sources.ply import PlyDataSource
 
     spark.dataSource.register(PlyDataSource)
@@ -1103,8 +1101,6 @@ def _(spark, d):
 
 def streamed(df: DataFrame, operator, mode: str = "append") -> DataFrame:
     """What a streaming operator gives when the rows of ``df`` arrive as files, all that are there at the start."""
-    import uuid
-
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path, name = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}", f"out_{uuid.uuid4().hex}"
@@ -1200,22 +1196,22 @@ def _(spark, d):
 
 @query("stream_tsdf", "pixels", f"+ {VOLUME} SELECT sequence_id, ix, iy, iz, {r('tsdf', 5)} AS tsdf, weight FROM voxels")
 def _(spark, d):
-    """Two batches of frames, integrated apart and merged by weight, as ``foreachBatch`` does."""
+    """Frames arrive as files in four steps; a batch each, of which the second and the fourth merge what came before."""
     masked = stored(_masked(spark, d), "masked")
     at = stored(poses.kinematic_pose(masked.select("sequence_id", "frame_index").distinct(), 0.01), "poses")
-    total = None
-    for half in (0, 1):
-        part = masked.where(F.col("frame_index") % 2 == half)
-        new = volume.tsdf_integrate(part, at, CAMERA, TSDF, SCALE, TRUNC)
-        total = capture.merge_voxels(total, new)
+    path = f"{shared_dir(spark)}/volume-{uuid.uuid4().hex}"
+    add = capture.on_volume(f"{path}/out", at, CAMERA, TSDF, SCALE, TRUNC, merge_every=2)
+    for step in range(4):
+        masked.where(F.col("frame_index") % 4 == step).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(masked.schema).parquet(f"{path}/in")
+        arriving.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    total = capture.volume_so_far(spark, f"{path}/out", masked.schema["sequence_id"].dataType.simpleString())
     return rounded(total.select("sequence_id", "ix", "iy", "iz", "tsdf", "weight"), "tsdf", n=5)
 
 
 @query("sink_live_snapshot", "cloud", "SELECT sequence_id, frame_index % 2 AS batch, count(*) AS n FROM cloud GROUP BY 1, 2")
 def _(spark, d):
     """Two batches are added; the first is run again, as after a failure, and counts once."""
-    import uuid
-
     path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
     points = relation(spark, d, "cloud")
     for k in (0, 1, 0):
@@ -1226,8 +1222,6 @@ def _(spark, d):
 @query("cb_on_frame", "cloud", "SELECT sequence_id, count(DISTINCT frame_index) AS n_frames, count(*) AS n FROM cloud GROUP BY 1")
 def _(spark, d):
     """Points arrive as a stream, and each batch is handed to the callback."""
-    import uuid
-
     path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
     points = relation(spark, d, "cloud")
     points.write.parquet(path)

@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from fieldscan.functions.geometry import Camera
 from fieldscan.operators.agent import CONFIG, SCAN_SCHEMA, AgentConfig, AgentState
+from fieldscan.operators.volume import tsdf_integrate
 from fieldscan.sources.sinks import live_snapshot
 
 LATENESS = "10 minutes"
@@ -153,11 +157,47 @@ def stream_metrics(registrations: DataFrame) -> DataFrame:
     return registrations.groupBy("sequence_id", "status").agg(F.count("*").alias("n_frames"))
 
 
-def merge_voxels(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """For ``foreachBatch``: two volumes' means by their weights. The running mean doesn't depend on how frames are batched."""
-    every = new if old is None else old.unionByName(new)
+def merge_voxels(voxels: DataFrame) -> DataFrame:
+    """Means by weight of volumes in one table. The running mean doesn't depend on how frames are batched."""
     mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c)
-    return every.groupBy("sequence_id", "ix", "iy", "iz").agg(*[mean(c) for c in ("tsdf", "r", "g", "b")], F.sum("weight").alias("weight"))
+    return voxels.groupBy("sequence_id", "ix", "iy", "iz").agg(*[mean(c) for c in ("tsdf", "r", "g", "b")], F.sum("weight").alias("weight"))
+
+
+def _volume_parts(spark: SparkSession, path: str, schema: StructType, below: int | None = None) -> DataFrame:
+    """Parts of a growing volume: the newest merged part and those of later batches, all of batches before ``below``."""
+    try:
+        parts = spark.read.schema(StructType([*schema.fields, StructField("kind", StringType()), StructField("batch", LongType())])).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    parts = parts if below is None else parts.where(F.col("batch") < below)
+    base = parts.where("kind = 'merged'").agg(F.max("batch")).first()[0]
+    return (parts if base is None else parts.where((F.col("batch") > base) | ((F.col("batch") == base) & (F.col("kind") == "merged")))).drop("kind", "batch")
+
+
+def on_volume(path: str, poses: DataFrame, camera: Camera, voxel: float, scale: float = 1000.0, trunc_m: float = 3.5, merge_every: int = 8):
+    """A ``foreachBatch`` function that adds each batch's pixels to the volume in the folder ``path``.
+
+    A batch writes a part of its own, named by its number, so one that is run again replaces itself and counts once. Every
+    ``merge_every`` batches the part is the merged volume so far; what came before isn't read any more. Pixels of a frame
+    may come in several batches: its surface is then widened for each share of them. ``volume_so_far`` reads the folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        new = tsdf_integrate(batch, poses, camera, voxel, scale, trunc_m)
+        merges = (batch_id + 1) % merge_every == 0
+        if merges:
+            new = merge_voxels(_volume_parts(batch.sparkSession, path, new.schema, batch_id).unionByName(new))
+        new.write.mode("overwrite").parquet(f"{path}/kind={'merged' if merges else 'part'}/batch={batch_id}")
+
+    return add
+
+
+def volume_so_far(spark: SparkSession, path: str, sequence_type: str = "long") -> DataFrame:
+    """The volume that ``on_volume`` has written up to now: ``sequence_id, ix, iy, iz, tsdf, r, g, b, weight``; no rows before the first batch."""
+    columns = f"sequence_id {sequence_type}, ix long, iy long, iz long, tsdf double, weight long, r double, g double, b double"
+    return merge_voxels(_volume_parts(spark, path, StructType.fromDDL(columns)))
 
 
 def observed(frames: DataFrame, name: str | Observation = "frames") -> DataFrame:
