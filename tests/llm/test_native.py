@@ -98,6 +98,15 @@ def test_ring_moves_little_and_is_bounded():
         assert sum(a[k] != b[k] for k in a) < 0.45 * len(a)
 
 
+def test_shards_do_not_follow_the_layout(spark):
+    """The same rows in other files and splits are in the same shards and slots, also with a hot key and equal rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, rng.randrange(300)]), rng.choice([None, "", "same", str(rng.random())]), None, None, None) for _ in range(1200)]
+    df = spark.createDataFrame(rows + [rows[5]] * 300, SCHEMA)
+    got = [sorted((tuple(r) for r in sharding.assign_shards(part, shards=10, vnodes=8).collect()), key=str) for part in (df.coalesce(1), df.repartition(11), df.orderBy("text").repartition(3))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 1500
+
+
 def test_rows_go_to_the_next_shard_with_room(spark):
     """Clockwise from a row's cell, every shard before the one it is in is full."""
     ids = [i if i % 3 else 5 for i in range(2000)]
