@@ -25,8 +25,8 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes term wo
 ADDRESS = frozenset("you your youre yourself tu toi vous votre du dich dein deine sie tú usted eres".split())
 #: Labelled rows, in order of a hash of their id, that the lexicon and the regression are fitted on, at most.
 FIT_ROWS = 12_000
-#: Bounds of the lexicon, which is broadcast: words and stems each, and a multiple for harmless forms and near words of clean documents.
-TERMS, FORMS = 400, 8_000
+#: Documents of the fitted sample that a key needs to be looked at; toxic ones that a word and a stem need to be a term.
+SEEN, WORD_DOCS, STEM_DOCS = 4, 4, 20
 #: Log-odds of a term that counts by itself, and may be misspelled if it has so many letters.
 STRONG = 4.5
 FUZZY_LEAST = 5
@@ -195,8 +195,9 @@ def learn_terms(sample: DataFrame, given: tuple[str, ...] = ()) -> dict[str, tup
     """Term -> (kind, weight): words, and stems (beginnings of words), with the log-odds of standing in toxic documents.
 
     Words with log-odds of STRONG or more are strong terms, as the ``given`` ones are; of them, those with words of clean
-    documents one edit away are firm. The lexicon has TERMS words and TERMS stems at most, the most frequent in toxic
-    documents, and FORMS harmless forms and near words each, the most frequent in clean ones.
+    documents one edit away are firm. Words in WORD_DOCS toxic documents and stems in STEM_DOCS or more are terms if the
+    odds say so, all of them; with the harmless forms and near words of clean documents they are bounded by the words of
+    the fitted sample.
 
     A term counts if it stands after several different words, which keeps copies of one toxic document from teaching
     all its words. Words with a stem that is a term have their own weight, so that harmless forms of it don't count.
@@ -223,10 +224,10 @@ def learn_terms(sample: DataFrame, given: tuple[str, ...] = ()) -> dict[str, tup
     clean = F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0))
     counts = sample.mapInPandas(count, "key string, label int, n long").groupBy("key").agg(n.alias("toxic"), clean.alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (docs.get(True, 0) + 1)) - F.log((F.col("clean") + 0.5) / (docs.get(False, 0) + 1))
-    counts = cut(counts.withColumn("odds", odds).where("toxic + clean >= 4"), "toxic-counts")
-    least = F.when(F.col("key").endswith("*"), 20).otherwise(4)
-    likely = counts.where((F.col("toxic") >= least) & (F.col("odds") >= 1.3)).orderBy(F.desc("toxic"), "key").limit(FORMS)
-    asked = {r["key"]: r["odds"] for r in likely.collect()}  # FORMS rows at most
+    counts = cut(counts.withColumn("odds", odds).where(F.col("toxic") + F.col("clean") >= SEEN), "toxic-counts")
+    least = F.when(F.col("key").endswith("*"), STEM_DOCS).otherwise(WORD_DOCS)
+    likely = counts.where((F.col("toxic") >= least) & (F.col("odds") >= 1.3))
+    asked = {r["key"]: r["odds"] for r in likely.collect()}  # keys of the sample
 
     def befores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,17 +240,21 @@ def learn_terms(sample: DataFrame, given: tuple[str, ...] = ()) -> dict[str, tup
 
     varied = sample.mapInPandas(befores, "key string, before string").groupBy("key").agg(F.countDistinct("before").alias("n"))
     got = {r["key"]: r["n"] for r in varied.where("n >= 4").collect()}  # keys asked for only
-    words = sorted((k for k in got if not k.endswith("*")), key=lambda w: (-got[w], w))[:TERMS]
+    words = sorted((k for k in got if not k.endswith("*")), key=lambda w: (-got[w], w))
     strong = {*given, *(w for w in words if asked[w] >= STRONG)}
     stems: list[str] = []
     for k in sorted((k[:-1] for k in got if k.endswith("*") and got[k] >= 20), key=lambda k: (len(k), k)):
         if not any(k.startswith(s) for s in stems) and not any(t.startswith(k) for t in strong):
             stems.append(k)
-    stems = sorted(stems, key=lambda s: (-got[s + "*"], s))[:TERMS]
     out = {"^" + s: ("stem", asked[s + "*"]) for s in stems} | {"=" + w: ("word", asked[w]) for w in words if w not in strong}
+    begins = F.lit(False)
+    for n in STEMS:
+        if mine := [s for s in stems if len(s) == n]:
+            begins = begins | F.substring("key", 1, n).isin(mine)
     if stems:
-        forms = counts.where(F.col("key").rlike("^(" + "|".join(map(re.escape, stems)) + r")\w*$")).orderBy(F.desc("clean"), "key").limit(FORMS)
-        out |= {"=" + r["key"]: ("word", max(0.0, r["odds"])) for r in forms.collect() if r["key"] not in words}
+        learned = set(words)
+        forms = counts.where(begins & ~F.col("key").endswith("*"))  # words of the sample
+        out |= {"=" + r["key"]: ("word", max(0.0, r["odds"])) for r in forms.collect() if r["key"] not in learned}
     out |= {t: ("strong", 0.0) for t in strong}
 
     def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,8 +269,7 @@ def learn_terms(sample: DataFrame, given: tuple[str, ...] = ()) -> dict[str, tup
     crowded = near.groupBy("term").agg(F.sum("count").alias("n")).where(F.col("n") > docs.get(False, 0) / NEAR_SHARE)
     firm = {r["term"] for r in crowded.collect()}  # terms of the lexicon
     out |= {t: ("firm", 0.0) for t in firm}
-    near = near.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(FORMS)
-    return {"=" + r["word"]: ("word", 0.0) for r in near.collect()} | out
+    return {"=" + r["word"]: ("word", 0.0) for r in near.select("word").distinct().collect()} | out  # words of the sample
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
