@@ -957,7 +957,7 @@ def _(spark, d):
 
 @query("reconstruct_tsdf")
 def _(spark, d):
-    out = reconstruct.reconstruct_tsdf(_pixels(spark, d), CAMERA, SCALE, TRUNC, NEAR, TSDF, 0.01, clean=False)
+    out = reconstruct.reconstruct_tsdf(_pixels(spark, d), CAMERA, SCALE, TRUNC, NEAR, TSDF, 0.01)
     return rounded(reconstruct.batch_sequences(out), *[f"{m}_{c}" for m in ("min", "max") for c in "xyz"], n=4)
 
 
