@@ -14,22 +14,27 @@ from fieldscan.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that aren't predicted toxic. A null text is an empty one; repeated rows are judged each, and an empty table stays empty."""
     return toxicity.drop_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, without regard to A-Z case; null is the empty text. The greatest doc_id stays, one of its rows if it is repeated."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, that with the least doc_id. Texts without words, null ones too, all stay; shorter texts are one shingle."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that leak no item of the benchmark. Null and empty texts leak nothing, and an empty benchmark drops nothing."""
     return decontam.drop_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the decoded text's hash of every row. A null text is an empty one: no tokens."""
     coded = bpe.encode(docs, **queries.vocabulary())
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
