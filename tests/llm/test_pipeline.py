@@ -52,3 +52,17 @@ def test_stages(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, FOLDER).collect()
     assert {(r["doc_id"], r["n_tokens"]) for r in whole} == {(r["doc_id"], r["n_tokens"]) for r in tables[5]}
+
+
+def test_pipeline_on_nulls_and_nothing(spark, tmp_path):
+    """Null texts and ids, repeated rows and columns whose names clash go through; of what is equal one row stays."""
+    docs = [(1, None, 7, "x"), (2, "", 7, "x"), (3, "Plain words about rivers and hills", None, None), (3, "Plain words about rivers and hills", None, None), (None, "other words", 1, "y")]
+    schema = "doc_id long, text string, rid long, RID_ string, source string, lang string, n_chars long"
+    frame = spark.createDataFrame([(*d, None, None, None) for d in docs], schema)
+    for name, rows in (("full", frame), ("none", frame.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = {(r["doc_id"], r["n_tokens"] > 0) for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
+    assert got == {(2, False), (3, True), (None, True)}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
