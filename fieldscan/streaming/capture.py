@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from fieldscan.functions.geometry import Camera
-from fieldscan.operators.agent import CONFIG, SCAN_SCHEMA, AgentConfig, AgentState
+from fieldscan.operators.agent import CONFIG, SCAN_SCHEMA, AgentConfig, AgentState, translation_cap
 from fieldscan.operators.volume import tsdf_integrate
 from fieldscan.sources.sinks import live_snapshot
 
@@ -146,10 +146,88 @@ class _Agent(StatefulProcessor):
         pass
 
 
-def stream_agent(metrics: DataFrame, expected_step_m: float = 0.0, config: AgentConfig = CONFIG) -> DataFrame:
-    """Accept or reject as metric rows arrive; the streaming twin of ``agent_scan`` for frames that arrive in order."""
-    cap = max(config.translation_factor * expected_step_m, config.translation_cap_m) if expected_step_m > 0 else config.translation_cap_m
-    return metrics.groupBy("sequence_id").transformWithStateInPandas(_Agent(config, cap), SCAN_SCHEMA, "Append", "none")
+class _OrderedAgent(StatefulProcessor):
+    """Frames wait until the watermark has passed them and are then judged in their order; a timer is set for the next one."""
+
+    COLUMNS = ("frame_index", "due", "fitness", "rmse", "translation_m", "rotation_deg")
+
+    def __init__(self, config: AgentConfig, cap: float):
+        self.config, self.cap = config, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("agent", "fitness array<double>, rmse array<double>, accepted long, rejects long, last long, timer long")
+        self.waiting = handle.getMapState("waiting", "frame_index long", "due long, fitness double, rmse double, translation_m double, rotation_deg double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        now, late = timers.getCurrentWatermarkInMs(), []
+        last = self.state.get()[4] if self.state.exists() else None
+        for batch in rows:
+            for r in batch.loc[batch["frame_index"].notna(), list(self.COLUMNS)].itertuples(index=False):
+                frame, due = int(r.frame_index), now + 1 if pd.isna(r.due) else int(r.due)
+                if due <= now or (last is not None and frame <= last) or self.waiting.containsKey((frame,)):
+                    late.append((key[0], frame, None, None, None, None, True))
+                else:
+                    self.waiting.updateValue((frame,), (due, *(float(x) for x in r[2:])))
+        yield self._frame(late)
+        yield self._frame(self._judge(key, now))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(self._judge(key, timerValues.getCurrentWatermarkInMs()))
+
+    def _judge(self, key, now: int) -> list[tuple]:
+        """Verdicts of all frames up to the last one that the watermark has passed. What stays sets the next timer."""
+        held = sorted((k[0], *v) for k, v in self.waiting.iterator())
+        upto = max((frame for frame, due, *_ in held if due <= now), default=None)
+        *kept, last, timer = tuple(self.state.get()) if self.state.exists() else ([], [], 0, 0, None, None)
+        state, out = AgentState(self.config, *kept), []
+        for frame, _, *values in held:
+            if upto is None or frame > upto:
+                break
+            out.append((key[0], frame, *state.step(last is None, *values, self.cap), False))
+            last = frame
+            self.waiting.removeKey((frame,))
+        ahead = min((due for frame, due, *_ in held if upto is None or frame > upto), default=None)
+        if ahead != timer:
+            if timer is not None and timer > now:
+                self.handle.deleteTimer(timer)
+            if ahead is not None:
+                self.handle.registerTimer(ahead)
+        self.state.update((state.fitness, state.rmse, state.accepted, state.rejects, last, ahead))
+        return out
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in ORDERED_SCHEMA.split(", ")])
+        return out.astype({"accepted": "boolean", "fallback": "boolean", "late": "bool", "min_fitness": "float64", "max_rmse": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+ORDERED_SCHEMA = SCAN_SCHEMA + ", late boolean"
+
+
+def stream_agent(
+    metrics: DataFrame, expected_step_m: float = 0.0, config: AgentConfig = CONFIG, ts: str | None = None, lateness_s: int = 600, grace_s: int = 86_400
+) -> DataFrame:
+    """Accept or reject as metric rows arrive; the streaming twin of ``agent_scan``.
+
+    Without ``ts``, rows of a later batch come after those of an earlier one. With ``ts``, the column of a frame's time, frames
+    may arrive in any order: one waits in a buffer until the stream's newest time is ``lateness_s`` ahead of it, and what has
+    waited is judged in the order of ``frame_index``, whichever batches it came in. The buffer holds a sequence's frames of that time. The
+    result then has ``late``: a frame that comes after its turn, or once more, isn't judged and is a row with nulls. Frames more
+    than ``grace_s`` later still are dropped by Spark, which counts them in its progress. A row without a
+    ``frame_index`` only moves the clock, so that the last frames of a capture needn't wait for another capture's; a frame
+    without a time is judged as soon as the clock moves. Times are after 1970 by more than the grace.
+    """
+    cap = translation_cap(expected_step_m, config)
+    if ts is None:
+        return metrics.groupBy("sequence_id").transformWithStateInPandas(_Agent(config, cap), SCAN_SCHEMA, "Append", "none")
+    # Spark drops what is behind its watermark, so that trails by the grace as well and timers are set ahead by it
+    rows = metrics.select("sequence_id", F.col(ts).alias("ts"), "frame_index", (F.unix_millis(ts) - 1000 * grace_s).alias("due"), *_OrderedAgent.COLUMNS[2:])
+    rows = rows.withWatermark("ts", f"{lateness_s + grace_s} seconds")
+    return rows.groupBy("sequence_id").transformWithStateInPandas(_OrderedAgent(config, cap), ORDERED_SCHEMA, "Append", "eventTime")
 
 
 def stream_metrics(registrations: DataFrame) -> DataFrame:
