@@ -823,7 +823,22 @@ def _(spark, d):
     return out.select("sequence_id", "frame_index", "action", F.regexp_replace("reason", "(?<=[a-z]) [^;]*", "").alias("failing"))
 
 
-@query("agent_scan")
+def _scan(where: str = "true") -> str:
+    """The ordered scan as a recursive table ``scan``: a step goes on by one frame in all sequences, with the windows as lists."""
+    limit = lambda best, floor, sign, of: f"CASE WHEN n >= 8 AND len({of}) >= 3 THEN {best}({floor}::DOUBLE, list_median({of}) {sign} 3 * list_median(list_transform({of}, lambda x: abs(x - list_median({of}))))) ELSE {floor}::DOUBLE END"
+    keep = lambda window, value: f"CASE WHEN good THEN list_append({window}, {value})[greatest(1, len({window}) - 18):] ELSE {window} END"
+    return f"""+recursive m AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index) AS place FROM registrations WHERE {where}),
+  scan AS (SELECT sequence_id, place, frame_index, true AS good, 0.3::DOUBLE AS low, 0.015::DOUBLE AS high, [1.0::DOUBLE] AS fits, [0.0::DOUBLE] AS errs, 1 AS n, 0 AS rejects FROM m WHERE place = 1
+  UNION ALL SELECT sequence_id, place, frame_index, good, low, high, {keep('fits', 'fitness')}, {keep('errs', 'rmse')}, n + good::INT, CASE WHEN good THEN 0 ELSE rejects + 1 END FROM
+  (SELECT *, fitness >= low AND rmse <= high AND tx <= 0.05 AND rot_deg <= 10 AS good FROM
+  (SELECT m.*, fits, errs, n, rejects, {limit('greatest', 0.3, '-', 'fits')} AS low, {limit('least', 0.015, '+', 'errs')} AS high
+  FROM scan s JOIN m ON m.sequence_id = s.sequence_id AND m.place = s.place + 1)))"""
+
+
+SCANNED = f"SELECT sequence_id, frame_index, good AS accepted, {r('low')} AS min_fitness, {r('high')} AS max_rmse, rejects >= 3 AS fallback"
+
+
+@query("agent_scan", "registrations", f"{_scan()} {SCANNED} FROM scan")
 def _(spark, d):
     return rounded(agent.agent_scan(_registrations(spark, d), 0.001), "min_fitness", "max_rmse")
 
@@ -1127,16 +1142,16 @@ def _(spark, d):
 
 @query("stream_frames", "pixels", f"SELECT DISTINCT CAST(sequence_id AS VARCHAR) AS sequence_id, frame_index FROM pixels")
 def _(spark, d):
-    """The frames' files arrive as rows; both images are joined by frame within the watermark."""
-    frames = _encoded(spark, d).withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1_000_000))
-
-    def joined(stream: DataFrame) -> DataFrame:
-        side = lambda c: stream.select("sequence_id", "frame_index", c, F.col("ts").alias(f"{c}_time")).withWatermark(f"{c}_time", capture.LATENESS)
-        depth = side("depth").withColumnsRenamed({"sequence_id": "s", "frame_index": "f"})
-        near = F.expr(f"depth_time BETWEEN rgb_time - INTERVAL {capture.LATENESS} AND rgb_time + INTERVAL {capture.LATENESS}")
-        return side("rgb").join(depth, (F.col("sequence_id") == F.col("s")) & (F.col("frame_index") == F.col("f")) & near).select("sequence_id", "frame_index")
-
-    return streamed(frames, joined)
+    """PNG files of both folders land in two steps: the depth image of every odd frame comes a step after its colour image."""
+    path = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    frames, even = stored(_encoded(spark, d), "encoded"), F.col("frame_index") % 2 == 0
+    first = frames.withColumn("depth", F.when(even, F.col("depth")))
+    for step, kinds in ((first, ("rgb", "depth")), (frames.where(~even), ("depth",))):
+        images.save_frames(step, f"{path}/in", kinds)
+        joined = capture.stream_frames(spark, f"{path}/in").select("sequence_id", "frame_index")
+        running = joined.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("sequence_id string, frame_index long").parquet(f"{path}/out")
 
 
 STOPPED = f"{ASOF}, st AS (SELECT *, min(CASE WHEN frame_index % 2 = 0 AND position_m <> 0 AND position_m >= 0.78 THEN frame_index END) OVER (PARTITION BY sequence_id) AS stop FROM placed)"
@@ -1183,10 +1198,32 @@ def _(spark, d):
     return out.withColumn("percent", F.when(F.col("total") > 0, F.col("percent"))).select("sequence_id", "frame_index", "percent")
 
 
-@query("stream_agent")
+def arriving(steps: list[DataFrame], operator) -> DataFrame:
+    """What a streaming operator gives when the rows of each step arrive as files and the stream is started again for it."""
+    spark = steps[0].sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{path}/in")
+        out = operator(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        running = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+#: Frames that arrive when their turn is long over.
+HELD = "frame_index % 8 = 5 AND frame_index < 20"
+
+
+@query("stream_agent", "registrations", f"{_scan(f'NOT ({HELD})')} {SCANNED}, false AS late FROM scan UNION ALL SELECT sequence_id, frame_index, NULL, NULL, NULL, NULL, true FROM registrations WHERE {HELD}")
 def _(spark, d):
-    rows = _registrations(spark, d).repartition("sequence_id")
-    return rounded(streamed(rows, lambda s: capture.stream_agent(s, 0.001)), "min_fitness", "max_rmse")
+    """A frame a minute, in three steps: up to eight places out of order, some far too late, and a row that ends the capture."""
+    metrics = _registrations(spark, d).select("sequence_id", "frame_index", "fitness", "rmse", "translation_m", "rotation_deg", F.timestamp_seconds(F.col("frame_index") * 60 + 1_000_000).alias("ts"))
+    rows = stored(metrics.withColumn("at", F.expr(f"CASE WHEN {HELD} THEN 99999 ELSE frame_index + (frame_index * 7 + sequence_id * 3) % 9 END")), "arrivals")
+    end = spark.range(1).selectExpr("-1L AS sequence_id", *[f"cast(null as {t}) AS {c}" for c, t in metrics.dtypes[1:-1]], "timestamp_seconds(1000000000) AS ts")
+    steps = [rows.where(c).select(*metrics.columns) for c in ("at < 25", "at >= 25 AND at < 50", "at >= 50")]
+    out = arriving([*steps[:2], steps[2].unionByName(end)], lambda s: capture.stream_agent(s, 0.001, ts="ts"))
+    return rounded(out, "min_fitness", "max_rmse")
 
 
 @query("stream_metrics", "registrations", f"+ {JUDGED} SELECT sequence_id, status, count(*) AS n_frames FROM judged GROUP BY 1, 2")

@@ -73,7 +73,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duck(names: tuple[str, ...] | str, body: str) -> str:
-    """SQL for DuckDB: the relations as common tables, then ``body``, which may go on with more of them."""
+    """SQL for DuckDB: the relations as common tables, then ``body``, which may go on with more of them: ``+`` or ``+recursive``."""
     names = (names,) if isinstance(names, str) else names
     order = []
     for n in names:
@@ -81,7 +81,9 @@ def duck(names: tuple[str, ...] | str, body: str) -> str:
     if not order:
         return body
     tables = ",\n".join(f"{n} AS ({_sql(n, 'duck')})" for n in order)
-    return f"WITH {tables}{',' if body.lstrip().startswith('+') else ''}\n{body.lstrip().removeprefix('+')}"
+    body = body.lstrip()
+    head, more = "WITH RECURSIVE" if body.startswith("+recursive") else "WITH", "," if body.startswith("+") else ""
+    return f"{head} {tables}{more}\n{body.removeprefix('+recursive').removeprefix('+')}"
 
 
 #: The camera over the ground scene: one pixel is a step of the gantry at a depth of a metre.

@@ -67,3 +67,45 @@ def test_nothing_is_judged_before_its_time(spark):
     got = arriving(spark, [rows], lambda s: capture.stream_agent(s, 0.001, ts="ts"), METRICS)
     assert sorted(r["frame_index"] for r in got) == list(range(20))
     assert arriving(spark, [[], [CLOCK]], lambda s: capture.stream_agent(s, ts="ts"), METRICS) == []
+
+
+def save(root, frame, kind, mtime):
+    path = f"{root}/plant/{kind}/{kind}_{frame}.png"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(images.encode_png(np.full((2, 3), frame, np.uint16) if kind == "depth" else np.full((2, 3, 3), frame, np.uint8)))
+    os.utime(path, (mtime, mtime))
+
+
+def test_files_of_both_folders_land_in_steps(spark, tmp_path):
+    root, t0, rows_kept = str(tmp_path / "in"), 1_700_000_000, []
+    steps = [
+        # frames 2 and 3 are without their depth images
+        [(f, "rgb", t0 + f) for f in range(4)] + [(f, "depth", t0 + f) for f in range(2)],
+        # 2 comes a step apart; an hour later the capture goes on, which moves the watermark
+        [(2, "depth", t0 + 60), (4, "rgb", t0 + 3600), (4, "depth", t0 + 3600)],
+        # 3 comes beyond the watermark; the images of 5 are further apart than the lateness
+        [(3, "depth", t0 + 100), (5, "rgb", t0 + 3600), (5, "depth", t0 + 4400)],
+    ]
+    for step in steps:
+        for frame, kind, mtime in step:
+            save(root, frame, kind, mtime)
+        stream = capture.stream_frames(spark, root).select("sequence_id", "frame_index", "rgb", "depth")
+        running = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        running = running.trigger(availableNow=True).start()
+        running.awaitTermination()
+        rows_kept.append(running.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["sequence_id"], r["frame_index"]) for r in got) == [("plant", f) for f in (0, 1, 2, 4)]
+    assert all(images.decode_png(bytes(r["depth"]))[0, 0, 0] == r["frame_index"] == images.decode_png(bytes(r["rgb"]))[0, 0, 0] for r in got)
+    # what is behind the watermark leaves the state
+    assert rows_kept[0] == 6 and rows_kept[1] < 6 and rows_kept[2] < 6
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_frames_are_saved_whole(spark, tmp_path, scheme):
+    rows = [("a", 0, b"x", b"y"), ("a", 1, b"z", None), ("b", 0, None, None)]
+    paths = images.save_frames(spark.createDataFrame(rows, "sequence_id string, frame_index long, rgb binary, depth binary"), f"{scheme}{tmp_path}")
+    assert sorted(r["path"].removeprefix(f"{scheme}{tmp_path}/") for r in paths.collect()) == ["a/depth/depth_0.png", "a/rgb/rgb_0.png", "a/rgb/rgb_1.png"]
+    found = {os.path.relpath(os.path.join(d, f), tmp_path): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(tmp_path) for f in names}
+    assert {k: v for k, v in found.items()} == {"a/depth/depth_0.png": b"y", "a/rgb/rgb_0.png": b"x", "a/rgb/rgb_1.png": b"z"}
