@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,8 @@ from fieldscan.functions.scratch import stored
 from .neighbors import POINT, color_gradient, estimate_normals, knn_hybrid, nn_correspondence
 
 PAIR = ["sequence_id", "source_frame", "target_frame"]
-#: Descriptors in a block, and tasks that draw hypotheses for a pair.
-BLOCK, PARTS = 2048, 8
+#: Descriptors in a block at most (by expectation), pivots for so many of them, and tasks that draw hypotheses for a pair.
+BLOCK, PIVOTS, PARTS = 2048, 4, 8
 
 
 def pair_clouds(pairs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,26 +219,76 @@ def fpfh(points: DataFrame, voxel: float, max_nn: int = 100) -> DataFrame:
     return spread.withColumn("m", F.col("m").cast("map<int,double>")).select(*POINT, hist.alias("hist"))
 
 
+CLOUD = ["sequence_id", "frame_index"]
+
+
+def feature_blocks(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(features with ``block``, blocks with ``pivot, center, reach, parts``): descriptors near one pivot are in one block.
+
+    A cloud has PIVOTS pivots for some BLOCK descriptors, each the first of a hash part, and a descriptor goes to the nearest.
+    A group of descriptors that has no pivot makes a wide block that meets many, so there are more pivots than needed for size.
+    A pivot with more than BLOCK descriptors, as where many are alike, has several blocks of the same centre and reach.
+    """
+    sizes = features.groupBy(*CLOUD).agg(F.ceil(PIVOTS * F.count("*") / BLOCK).cast("int").alias("n"))
+    keyed = features.select(*CLOUD, "point_id", "hist").join(sizes, CLOUD).withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("n")).cast("int"))
+    keyed = stored(keyed, "features")
+    pivots = stored(keyed.groupBy(*CLOUD, "part").agg(F.first("n").alias("n"), F.min_by("hist", "point_id").alias("center")).withColumnRenamed("part", "pivot"), "pivots")
+    schema = T.StructType([*[keyed.schema[c] for c in (*CLOUD, "point_id", "hist")], T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType())])
+
+    def assign(points: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or centers.empty:
+            return pd.DataFrame(columns=schema.names, dtype=object)
+        x, p = np.stack(points["hist"]), np.stack(centers["center"])
+        nearest = ((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T).argmin(1)
+        away = np.sqrt(((x - p[nearest]) ** 2).sum(1))
+        return points[[*CLOUD, "point_id", "hist"]].assign(pivot=centers["pivot"].to_numpy()[nearest], away=away)
+
+    spread = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    near = stored(keyed.groupBy(*CLOUD, "part").cogroup(spread.groupBy(*CLOUD, "part")).applyInPandas(assign, schema), "near-pivots")
+    shares = near.groupBy(*CLOUD, "pivot").agg(F.max("away").alias("reach"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    blocks = stored(pivots.drop("n").join(shares, [*CLOUD, "pivot"]), "blocks")
+    part = F.pmod(F.xxhash64("point_id", F.lit(1)), F.col("parts"))
+    return near.join(blocks.select(*CLOUD, "pivot", "parts"), [*CLOUD, "pivot"]).select(*CLOUD, "point_id", "hist", "pivot", part.cast("int").alias("part")), blocks
+
+
+def pivot_pairs(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(pair, source, target, source_parts, target_parts): the pivots of a pair's clouds that may hold nearest descriptors of each other.
+
+    Descriptors of two pivots are at least as far apart as the centres less both reaches, and each is at most as far from
+    a centre of the other cloud as its own centre is, plus its reach. Two pivots meet unless the former is more than the
+    least of the latter, for both sides.
+    """
+
+    def side(name: str) -> DataFrame:
+        return blocks.select("sequence_id", F.col("frame_index").alias(f"{name}_frame"), *[F.col(c).alias(a) for c, a in (("pivot", name), ("center", f"{name}_center"), ("reach", f"{name}_reach"), ("parts", f"{name}_parts"))])
+
+    met = pairs.select(*PAIR).distinct().join(side("source"), PAIR[:2]).join(side("target"), [PAIR[0], PAIR[2]])
+    square = F.zip_with("source_center", "target_center", lambda a, b: (a - b) * (a - b))
+    gap = F.sqrt(F.aggregate(square, F.lit(0.0), lambda a, x: a + x))
+    met = met.withColumn("gap", gap).drop("source_center", "target_center")
+    met = met.withColumn("least", F.col("gap") - F.col("source_reach") - F.col("target_reach"))
+    for name in ("source", "target"):
+        met = met.withColumn(f"{name}_most", F.min(F.col("gap") + F.col(f"{name}_reach")).over(W.partitionBy(*PAIR, name)))
+    # with some room for rounding
+    most = F.greatest("source_most", "target_most") * (1 + 1e-9) + 1e-3
+    return met.where(F.col("least") <= most).select(*PAIR, "source", "target", "source_parts", "target_parts")
+
+
 def feature_match(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Mutual nearest neighbours between the descriptors of a pair's clouds: (pair, source_id, target_id).
 
-    Each cloud is dealt into blocks of some BLOCK points, and each source block meets each target block of its pair in a
-    task of its own, which gives the nearest of every point in it; the nearest of all blocks is exact. Distances count to
-    six places, and of equally near points the one with the least id is taken.
+    Each cloud is dealt into blocks of some BLOCK descriptors around pivots, and each source block meets, in a task of its
+    own, those target blocks that by the triangle inequality may hold a nearest descriptor of one of its own, or have
+    one in it. That gives the nearest of every descriptor in the block; the nearest of all blocks is exact. Distances count
+    to six places, and of equally near points the one with the least id is taken.
     """
-    from pyspark.sql import Window as W
-
-    cloud = ["sequence_id", "frame_index"]
-    size = F.count("*").over(W.partitionBy(*cloud))
-    keyed = features.select(*cloud, "point_id", "hist").withColumn("blocks", F.ceil(size / BLOCK).cast("int"))
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("point_id"), F.col("blocks")).cast("int"))
-    blocks = keyed.groupBy(*cloud).agg(F.first("blocks").alias("n"))
+    keyed, blocks = feature_blocks(features)
+    met = stored(pivot_pairs(pairs, blocks), "met")
+    met = met.withColumn("source_part", F.explode(F.sequence(F.lit(0), F.col("source_parts") - 1))).withColumn("target_part", F.explode(F.sequence(F.lit(0), F.col("target_parts") - 1)))
 
-    def side(name: str, other: str) -> DataFrame:
-        mine = keyed.select("sequence_id", F.col("frame_index").alias(f"{name}_frame"), F.col("point_id").alias(f"{name}_id"), "hist", F.col("block").alias(name))
-        theirs = blocks.select("sequence_id", F.col("frame_index").alias(f"{other}_frame"), "n")
-        out = pairs.select(*PAIR).distinct().join(theirs, ["sequence_id", f"{other}_frame"]).join(mine, ["sequence_id", f"{name}_frame"])
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    def side(name: str) -> DataFrame:
+        mine = keyed.select("sequence_id", F.col("frame_index").alias(f"{name}_frame"), F.col("pivot").alias(name), F.col("part").alias(f"{name}_part"), F.col("point_id").alias(f"{name}_id"), "hist")
+        return met.drop("source_parts", "target_parts").join(mine, ["sequence_id", f"{name}_frame", name, f"{name}_part"])
 
     id_type = features.schema["point_id"].dataType
     schema = T.StructType([pairs.schema[k] for k in PAIR] + [T.StructField("source_id", id_type), T.StructField("target_id", id_type), T.StructField("d", T.DoubleType()), T.StructField("forth", T.BooleanType())])
@@ -256,9 +307,9 @@ def feature_match(pairs: DataFrame, features: DataFrame) -> DataFrame:
         })
         return out.assign(**{k: a[k].iloc[0] for k in PAIR})[schema.names]
 
-    key = [*PAIR, "source", "target"]
-    other = side("target", "source").select(*[F.col(c).alias(f"o_{c}") for c in key], "target_id", F.col("hist").alias("hist"))
-    found = side("source", "target").groupBy(*key).cogroup(other.groupBy(*[f"o_{c}" for c in key])).applyInPandas(nearest, schema)
+    key = [*PAIR, "source", "target", "source_part", "target_part"]
+    other = side("target").select(*[F.col(c).alias(f"o_{c}") for c in key], "target_id", F.col("hist").alias("hist"))
+    found = side("source").groupBy(*key).cogroup(other.groupBy(*[f"o_{c}" for c in key])).applyInPandas(nearest, schema)
     found = stored(found, "nearest")
     forth = found.where("forth").groupBy(*PAIR, "source_id").agg(F.min(F.struct("d", "target_id")).alias("m")).select(*PAIR, "source_id", "m.target_id")
     back = found.where("not forth").groupBy(*PAIR, "target_id").agg(F.min(F.struct("d", "source_id")).alias("m")).select(*PAIR, "m.source_id", "target_id")

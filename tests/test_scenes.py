@@ -199,6 +199,25 @@ def test_matches_are_mutual_nearest_descriptors(spark, monkeypatch):
     assert got == {(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i} and len(got) >= 21
 
 
+def test_blocks_of_far_descriptors_never_meet(spark, monkeypatch):
+    """Clustered descriptors, one cluster of equal ones: same matches as loops, and most blocks don't meet."""
+    monkeypatch.setattr(registration, "BLOCK", 24)
+    rng = np.random.default_rng(8)
+    middles = rng.uniform(0, 100, (9, 33))
+    hists = {f: np.concatenate([middles[k] + rng.normal(0, 0.5, (30, 33)) for k in range(8)] + [np.repeat(middles[8:], 60, 0)]) for f in (0, 1)}
+    rows = [(1, f, i, h.tolist()) for f, x in hists.items() for i, h in enumerate(x)]
+    features = spark.createDataFrame(rows, "sequence_id long, frame_index long, point_id long, hist array<double>")
+    pairs = spark.createDataFrame([(1, 1, 0)], "sequence_id long, source_frame long, target_frame long")
+    keyed, blocks = registration.feature_blocks(features)
+    assert keyed.count() == len(rows) and keyed.groupBy("frame_index", "pivot", "part").count().agg({"count": "max"}).first()[0] <= 3 * registration.BLOCK
+    per = {f: blocks.where(f"frame_index = {f}").count() for f in (0, 1)}
+    met = registration.pivot_pairs(pairs, blocks).count()
+    assert min(per.values()) > 30 and met < 0.35 * per[0] * per[1]
+    got = {(r["source_id"], r["target_id"]) for r in registration.feature_match(pairs, features).collect()}
+    d = np.round(((hists[1][:, None] - hists[0][None]) ** 2).sum(2), 6)
+    assert got == {(i, int(j)) for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i}
+
+
 def test_pose_from_matches_that_are_mostly_wrong(spark):
     rng = np.random.default_rng(6)
     turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
