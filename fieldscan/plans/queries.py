@@ -225,14 +225,14 @@ def _(spark, d):
 
 @query("src_ply", "cloud", f"SELECT count(*) AS n, {r('sum(x)', 4)} AS x, {r('sum(y)', 4)} AS y, {r('sum(z)', 4)} AS z, {r('sum(r)', 3)} AS r FROM cloud")
 def _(spark, d):
-    """Clouds written as PLY files, one per partition, and read back."""
+    """Clouds written as PLY files, one per partition, and read back in ranges of bytes."""
     from fieldscan.sources.ply import PlyDataSource
 
     spark.dataSource.register(PlyDataSource)
-    path = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    path = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
     points = relation(spark, d, "cloud").select("x", "y", "z", "r", "g", "b", "sequence_id").repartition("sequence_id").drop("sequence_id")
     points.write.format("ply").mode("append").option("path", path).save()
-    back = spark.read.format("ply").option("path", path).load()
+    back = spark.read.format("ply").option("path", path).option("split_bytes", 4096).load()
     return rounded(rounded(back.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("x", "y", "z", "r")]), "x", "y", "z", n=4), "r", n=3)
 
 
@@ -242,7 +242,7 @@ def _(spark, d):
     from fieldscan.sources.ply import PlyDataSource
 
     spark.dataSource.register(PlyDataSource)
-    path = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    path = f"{shared_dir(spark)}/ply-{uuid.uuid4().hex}"
     points = relation(spark, d, "cloud").select("x", "y", "z", "r", "g", "b", "sequence_id").repartition("sequence_id").sortWithinPartitions("sequence_id")
     points.write.format("ply").mode("append").option("path", path).option("by", "sequence_id").save()
     back = spark.read.format("ply").option("path", path).load().withColumn("sequence_id", F.regexp_extract("path", r"([^/]*)-[0-9a-f]{32}\.ply$", 1))

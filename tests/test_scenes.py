@@ -163,6 +163,40 @@ def test_ply(spark, tmp_path):
     assert spark.read.format("ply").option("path", str(tmp_path / "a.ply")).load().select("x", "y", "z", "r").collect() == [(1.0, 2.0, 3.0, 0.0)]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_one_ply_file_is_read_by_many_tasks(spark, tmp_path, scheme):
+    spark.dataSource.register(PlyDataSource)
+    n, where = 5000, f"{scheme}{tmp_path}/big"
+    df = spark.range(n).selectExpr("cast(id as double) AS x", "-id / 2D AS y", "1D AS z", "id % 256 / 255D AS r", "cast(null as double) AS g").coalesce(1)
+    df.write.format("ply").mode("append").option("path", where).save()
+    back = spark.read.format("ply").option("split_bytes", 10_000).load(where)
+    assert back.rdd.getNumPartitions() == -(-os.path.getsize(next(str(x) for x in (tmp_path / "big").iterdir())) // 10_000) > 10
+    rows = back.orderBy("point_id").collect()
+    assert [(r["point_id"], r["x"], r["y"], r["z"], round(255 * r["r"]), r["g"], r["b"]) for r in rows] == [(i, float(i), -i / 2, 1.0, i % 256, 0.0, 0.0) for i in range(n)]
+    assert spark.read.format("ply").load(f"{where}/*.ply").count() == n and spark.read.format("ply").load(f"{where}/*.txt").count() == 0
+    # the other byte order, with elements behind the points and a property that is left out
+    record = np.dtype([("z", ">f4"), ("x", ">f4"), ("y", ">f4"), ("label", ">u2"), ("green", "u1")])
+    points = np.zeros(700, record)
+    points["x"], points["green"] = np.arange(700), 51
+    names = "property float z\nproperty float x\nproperty float y\nproperty ushort label\nproperty uchar green\n"
+    (tmp_path / "b.ply").write_bytes(f"ply\nformat binary_big_endian 1.0\nelement vertex 700\n{names}element face 1\nproperty list uchar int v\nend_header\n".encode() + points.tobytes() + b"\x01\0\0\0\x05")
+    small = spark.read.format("ply").option("split_bytes", 999).load(f"{scheme}{tmp_path}/b.ply").orderBy("point_id").collect()
+    assert [r["x"] for r in small] == list(range(700)) and {r["g"] for r in small} == {0.2}
+
+
+def test_failed_tasks_leave_no_ply_files(spark, tmp_path):
+    spark.dataSource.register(PlyDataSource)
+    good = spark.range(100).selectExpr("cast(id as double) AS x", "0D AS y", "0D AS z").repartition(2)
+    good.write.format("ply").mode("append").option("path", str(tmp_path)).save()
+    before = sorted(os.listdir(tmp_path))
+    bad = spark.range(50_000).selectExpr("if(id = 49999, cast(raise_error('lost') as double), cast(id as double)) AS x", "0D AS y", "0D AS z").coalesce(1)
+    with pytest.raises(Exception, match="lost"):
+        bad.write.format("ply").mode("append").option("path", str(tmp_path)).save()
+    assert sorted(os.listdir(tmp_path)) == before and len(before) == 2
+    good.where("x < 10").coalesce(1).write.format("ply").mode("overwrite").option("path", str(tmp_path)).save()
+    assert len(os.listdir(tmp_path)) == 1 and spark.read.format("ply").load(str(tmp_path)).count() == 10
+
+
 def test_sidecars(spark, tmp_path):
     (tmp_path / "s1").mkdir()
     (tmp_path / "s1" / "session.json").write_text(json.dumps({"backend": "ros", "started_at": "2026-04-06T15:27:52", "n_frames": 2, "frame_positions": {"0": 0.1, "1": 0.2}}, indent=1))
