@@ -202,7 +202,7 @@ def attempt_scan(
     """
     cap = translation_cap(expected_step_m, config)
     more = config.max_retries + 1 if ahead is None else ahead
-    schema = SCAN_SCHEMA + ", target long, attempt int, wanted int, asks array<struct<target:long,attempt:int>>, failed string"
+    schema = SCAN_SCHEMA.replace("sequence_id long", f"sequence_id {rows.schema['sequence_id'].dataType.simpleString()}") + ", target long, attempt int, wanted int, asks array<struct<target:long,attempt:int>>, failed string"
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         state, out, targets, lost = AgentState(config), [], [], False

@@ -17,7 +17,7 @@ from fieldscan.operators import agent, neighbors, pixels, poses, quality, regist
 from fieldscan.sources import catalog, images, sidecars, sinks
 from fieldscan.streaming import capture
 
-from . import reconstruct
+from . import folders, reconstruct
 from .standins import AWAY, BLANK, CAMERA, GROUND_CAMERA, GROUND_SCALE, GROUND_STEP, LOWERED, NEAR, SCALE, TRUNC, UNREADABLE, duck, ground, relation
 
 QUERIES: dict = {}
@@ -170,19 +170,23 @@ def _(spark, d):
     return catalog.select_camera(relation(spark, d, "frame_files").withColumn("path", path), 1).select("sequence_id", "kind", "path")
 
 
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    """Frames as PNG files in a table, made from the pixels."""
+def _as_png(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """Frames as PNG files in a table, made from their pixels."""
     import numpy as np
     import pandas as pd
 
     def encode(group: pd.DataFrame) -> pd.DataFrame:
-        color, depth = np.zeros((8, 8, 3), np.uint8), np.zeros((8, 8), np.uint16)
+        color, depth = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), np.uint16)
         for k, c in enumerate("rgb"):
             color[group["v"], group["u"], k] = group[c]
         depth[group["v"], group["u"]] = group["depth_raw"]
         return pd.DataFrame({"sequence_id": [str(group["sequence_id"].iloc[0])], "frame_index": [group["frame_index"].iloc[0]], "rgb": [images.encode_png(color)], "depth": [images.encode_png(depth)]})
 
-    return relation(spark, d, "pixels").groupBy("sequence_id", "frame_index").applyInPandas(encode, "sequence_id string, frame_index long, rgb binary, depth binary")
+    return pixels.groupBy("sequence_id", "frame_index").applyInPandas(encode, "sequence_id string, frame_index long, rgb binary, depth binary")
+
+
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    return _as_png(relation(spark, d, "pixels"), 8, 8)
 
 
 @query("decode_depth_png", "pixels", "SELECT CAST(sequence_id AS VARCHAR) AS sequence_id, frame_index, u, v, depth_raw FROM pixels WHERE depth_raw > 0")
@@ -999,9 +1003,22 @@ def _(spark, d):
     return judged.groupBy("sequence_id").agg(F.count_if("accepted").alias("n_accepted")).join(n, "sequence_id")
 
 
-@query("batch_sequences", "points", "SELECT sequence_id, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY 1")
-def _(spark, d):
-    return reconstruct.batch_sequences(relation(spark, d, "points"))
+@query("batch_sequences", (), f"""WITH f AS (SELECT s_suppkey % 2 AS bed, s_suppkey // 2 AS place FROM supplier),
+  g AS (SELECT bed, CASE WHEN place % 20 IN ({UNREADABLE}, {BLANK}) THEN 'FAILED' WHEN place % 20 = {AWAY} THEN 'REJECTED' WHEN place % 20 IN ({LOWERED}, {LOWERED + 1}) THEN 'RECOVERED' ELSE 'OK' END AS status FROM f)
+  SELECT concat('bed_', CAST(bed AS VARCHAR)) AS sequence_id, count(*) AS n_frames, count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status = 'RECOVERED') AS n_recovered,
+  count(*) FILTER (status = 'REJECTED') AS n_rejected, count(*) FILTER (status = 'FAILED') AS n_failed, CASE WHEN count(*) FILTER (status IN ('REJECTED', 'FAILED')) > 0 THEN 'PARTIAL' ELSE 'OK' END AS status, '' AS reason FROM g GROUP BY 1
+  UNION ALL SELECT 'bed_2', 0, 0, 0, 0, 0, 'FAILED', 'no depth images'""")
+def _(spark, d):
+    """A tree of folders with the ground scene's images, unreadable and blank ones among them, and a bed without depth images; all in one run."""
+    seen, lost = ground(spark, d)
+    good = _as_png(seen, 18, 16).withColumn("sequence_id", F.concat(F.lit("bed_"), "sequence_id"))
+    bad = lost.select(F.concat(F.lit("bed_"), "sequence_id").alias("sequence_id"), F.col("frame_index").cast("long").alias("frame_index"), *[F.lit(b"lost").alias(k) for k in ("rgb", "depth")])
+    encoded = stored(good.unionByName(bad), "encoded")
+    broken = encoded.withColumns({"sequence_id": F.lit("bed_2"), "depth": F.lit(None).cast("binary")})
+    root = f"{shared_dir(spark)}/beds-{uuid.uuid4().hex}"
+    images.save_frames(encoded.unionByName(broken), root)
+    _, _, outcomes = folders.reconstruct_folders(spark, root, GROUND_CAMERA, GROUND_SCALE, TRUNC, voxel=GROUND_STEP, expected_step_m=GROUND_STEP, config=SCENE_AGENT)
+    return outcomes.select("sequence_id", "n_frames", "n_ok", "n_recovered", "n_rejected", "n_failed", "status", "reason")
 
 
 @query("outcome_summary", "registrations", f"+ {JUDGED} SELECT sequence_id, status, reason, count(*) AS n_frames FROM judged GROUP BY ALL")

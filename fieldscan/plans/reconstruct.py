@@ -221,23 +221,26 @@ def reconstruct_tsdf(
 
 
 def quality_report(
-    pixels: DataFrame, camera: Camera, params: QualityParams = QualityParams(), thresholds: QualityThresholds = QualityThresholds(), sample: bool = False
-) -> tuple[DataFrame, DataFrame]:
+    pixels: DataFrame, camera: Camera, params: QualityParams = QualityParams(), thresholds: QualityThresholds = QualityThresholds(), sample: bool = False,
+    pairs: DataFrame | None = None, sequences: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(verdicts, metrics of pairs) from pixels: every frame with the next, or with ``sample`` n_samples pairs of each sequence.
 
     Validity counts raw depths of the whole image; points are those left of the box, eroded and filled. All pairs of all
-    sequences are registered in one job a round. A sequence without a pair has the verdict FAIL.
+    sequences are registered in one job a round. A sequence without a pair has the verdict FAIL. ``pairs`` and ``sequences`` are
+    given where the pixels are those of some frames only.
     """
     frames = stored(pixels.select("sequence_id", "frame_index").distinct(), "frames")
-    pairs = consecutive_pairs(frames)
-    pairs = stored(quick_check(pairs, params.n_samples, 0, "source_frame") if sample else pairs, "pairs")
+    if pairs is None:
+        pairs = consecutive_pairs(frames)
+        pairs = stored(quick_check(pairs, params.n_samples, 0, "source_frame") if sample else pairs, "pairs")
     image, view = (pixels, camera) if params.bbox is None else (crop_bbox(pixels, params.bbox), crop_camera(camera, params.bbox))
     clouds = frame_clouds(image, view, params.depth_scale, params.depth_trunc, params.depth_min_mm, params.erode, params.inpaint)
     clouds = stored(clouds, "clouds")
     found = icp_colored(pairs, clouds, params.voxel_size, params.max_iter).withColumn("rotation_deg", rotation_deg(F.col("T")))
     metrics = pair_metrics(pairs, depth_validity(pixels, params.depth_trunc * params.depth_scale), point_count(clouds), found)
     metrics = stored(metrics, "metrics")
-    return verdict_or_missing(frames, quality_verdict(quality_aggregate(metrics), thresholds)), metrics
+    return verdict_or_missing(frames if sequences is None else sequences, quality_verdict(quality_aggregate(metrics), thresholds)), metrics
 
 
 def batch_sequences(points: DataFrame) -> DataFrame:

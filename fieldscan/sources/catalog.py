@@ -5,15 +5,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .files import entries
+
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """``path, length, mtime`` below a root; the column of contents is pruned from the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length", F.col("modificationTime").alias("mtime"))
+    """``path, length, mtime`` of all files below a root whose name matches, empty ones (which Spark's file sources leave out) too.
+
+    The root's own entries are listed first; tasks then list a folder each with all below it. Hidden files and folders
+    (``.`` or ``_`` in front) don't count.
+    """
+    top = [(x.path, x.type == fs.FileType.Directory) for x in entries(root)]
+    folders = spark.createDataFrame([(path,) for path, deep in top if deep] or [("",)], "folder string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = entries(folder, True) if folder else entries(root)
+                found = [x for x in found if x.type == fs.FileType.File and fnmatchcase(x.base_name, pattern)]
+                yield pd.DataFrame({"path": [x.path for x in found], "length": [x.size for x in found], "mtime": pd.to_datetime([x.mtime for x in found], utc=True)})
+
+    if any(not deep for _, deep in top):
+        folders = folders.union(spark.createDataFrame([("",)], "folder string")).distinct()
+    return folders.repartition(max(1, min(len(top), 10_000)), "folder").mapInPandas(run, "path string, length long, mtime timestamp")
 
 
 def file_name(path: Column) -> Column:
