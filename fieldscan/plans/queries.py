@@ -1132,18 +1132,21 @@ def _(spark, d):
 
 
 def streamed(df: DataFrame, operator, mode: str = "append") -> DataFrame:
-    """What a streaming operator gives when the rows of ``df`` arrive as files, all that are there at the start."""
+    """What a streaming operator gives when the rows of ``df`` arrive as files, all that are there at the start.
+
+    In another mode than append each batch replaces the table of results, so a batch that is run again leaves the same.
+    """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path, name = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}", f"out_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = operator(spark.readStream.schema(df.schema).parquet(path))
     if mode == "append":
-        running = out.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-state").outputMode(mode)
+        running = out.writeStream.format("parquet").option("path", f"{path}-out")
     else:
-        running = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{path}-state").outputMode(mode)
-    running.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}-out") if mode == "append" else spark.table(name)
+        running = out.writeStream.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}-out"))
+    running.option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}-out")
 
 
 @query("position_asof", "capture", f"+ {ASOF} SELECT sequence_id, event_id, frame_index, position_m FROM placed")
