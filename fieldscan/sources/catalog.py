@@ -31,7 +31,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFr
             for folder in batch["folder"]:
                 found = entries(folder, True) if folder else entries(root)
                 found = [x for x in found if x.type == fs.FileType.File and fnmatchcase(x.base_name, pattern)]
-                yield pd.DataFrame({"path": [x.path for x in found], "length": [x.size for x in found], "mtime": pd.to_datetime([x.mtime for x in found], utc=True)})
+                yield pd.DataFrame({"path": pd.Series([x.path for x in found], dtype=object), "length": [x.size for x in found], "mtime": pd.to_datetime([x.mtime for x in found], utc=True)})
 
     if any(not deep for _, deep in top):
         folders = folders.union(spark.createDataFrame([("",)], "folder string")).distinct()
