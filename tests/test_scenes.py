@@ -363,3 +363,15 @@ def test_phase_shift_of_a_moved_image(spark, dy, dx):
     pixels_ = spark.createDataFrame(rows, "sequence_id long, frame_index long, u int, v int, r int, g int, b int")
     (got,) = quality.gantry_phase_shift(pixels_, 0, 2).collect()
     assert got["sequence_id"] == 1 and abs(got["sx"] - dx) < 0.1 and abs(got["sy"] - dy) < 0.1 and got["response"] > 0.9
+
+
+def test_clouds_are_not_broadcast(spark):
+    """Exploded clouds look as small as what they come from; a broadcast of them would pass through the driver."""
+    cloud = spark.range(2).selectExpr("1L AS sequence_id", "id AS frame_index", "explode(sequence(1L, 50L)) AS point_id").selectExpr("*", *[f"point_id / 100D AS {c}" for c in "xyzrgb"])
+    turned = cloud.selectExpr("sequence_id", "frame_index", "cast(point_id as int) AS u", "1 AS v", "1 AS r", "1 AS g", "1 AS b", "1 AS depth_raw")
+    plans = [
+        neighbors.radius_neighbors(cloud, 0.1), neighbors.outlier_radius(cloud, 3, 0.1), neighbors.nn_correspondence(cloud, cloud, 0.1, ["sequence_id", "frame_index"]),
+        neighbors.knn_hybrid(cloud, 0.1, 4), pixels.undistort_depth(turned, Camera(6.0, 6.0, 3.5, 3.5, (0.1, 0.0, 0.0, 0.0, 0.0))),
+    ]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
