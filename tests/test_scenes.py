@@ -375,3 +375,13 @@ def test_clouds_are_not_broadcast(spark):
     ]
     for df in plans:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_is_squared_once(spark):
+    """0.2 * 0.2 is more than 0.04 by the last bit; a squared distance of that size is beyond a radius of 0.2, as SQL has it."""
+    assert neighbors.square(0.2) == 0.04 < 0.2 * 0.2
+    cloud = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 1, 2, 0.2, 0.0, 0.0, 0.0, 0.0, 0.0), (1, 1, 3, 0.0, 0.1999, 0.0, 0.0, 0.0, 0.0)], CLOUD)
+    first, rest = cloud.where("point_id = 1"), cloud.where("point_id = 2")
+    assert neighbors.nn_correspondence(first, rest, 0.2, ["sequence_id", "frame_index"]).count() == 0
+    near = neighbors.knn_hybrid(cloud, 0.2, 3).where("point_id = 1").select("o_point_id").collect()
+    assert sorted(r[0] for r in near) == [1, 3]
