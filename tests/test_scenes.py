@@ -385,3 +385,11 @@ def test_radius_is_squared_once(spark):
     assert neighbors.nn_correspondence(first, rest, 0.2, ["sequence_id", "frame_index"]).count() == 0
     near = neighbors.knn_hybrid(cloud, 0.2, 3).where("point_id = 1").select("o_point_id").collect()
     assert sorted(r[0] for r in near) == [1, 3]
+
+
+def test_mean_on_a_limit(spark):
+    """A mean that sums of another order put a bit beside the limit is on the limit."""
+    off = {"icp_fitness": (0.5, -1), "icp_rmse": (0.005, 1), "depth_validity": (0.3, -1), "rotation_deg": (1.0, 1)}
+    rows = [(s, m, limit + s * side * 4e-16 * max(1.0, limit)) for s in (0, 1) for m, (limit, side) in off.items()]
+    verdicts = quality.quality_verdict(spark.createDataFrame(rows, "sequence_id long, metric string, mean double")).orderBy("sequence_id").collect()
+    assert [(r.verdict, r.failing) for r in verdicts] == [("PASS", [])] * 2
