@@ -393,3 +393,14 @@ def test_mean_on_a_limit(spark):
     rows = [(s, m, limit + s * side * 4e-16 * max(1.0, limit)) for s in (0, 1) for m, (limit, side) in off.items()]
     verdicts = quality.quality_verdict(spark.createDataFrame(rows, "sequence_id long, metric string, mean double")).orderBy("sequence_id").collect()
     assert [(r.verdict, r.failing) for r in verdicts] == [("PASS", [])] * 2
+
+
+def test_cells_a_ball_can_touch(spark):
+    """Each point meets eight cells, and no neighbour is lost at their borders or at the radius itself."""
+    x = [(i, 0.25 * (i % 5) - 0.5, 0.25 * (i // 5 % 5) - 0.5, 0.25 * (i // 25) - 0.5) for i in range(125)]
+    cloud = spark.createDataFrame([(1, 1, *p) for p in x], "sequence_id long, frame_index long, point_id long, x double, y double, z double")
+    got = {(r.point_id, r.o_point_id) for r in neighbors.neighbor_pairs(cloud, cloud, 0.25).collect()}
+    assert got == {(a[0], b[0]) for a in x for b in x if sum((p - q) ** 2 for p, q in zip(a[1:], b[1:])) <= 0.0625}
+    assert neighbors._around()._jc.toString().count("AS k") == 8
+    plan = neighbors.nn_correspondence(cloud, cloud, 0.25, ["sequence_id", "frame_index"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
