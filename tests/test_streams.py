@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fieldscan.functions.scratch import shared_dir
@@ -109,3 +110,47 @@ def test_frames_are_saved_whole(spark, tmp_path, scheme):
     assert sorted(r["path"].removeprefix(f"{scheme}{tmp_path}/") for r in paths.collect()) == ["a/depth/depth_0.png", "a/rgb/rgb_0.png", "a/rgb/rgb_1.png"]
     found = {os.path.relpath(os.path.join(d, f), tmp_path): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(tmp_path) for f in names}
     assert {k: v for k, v in found.items()} == {"a/depth/depth_0.png": b"y", "a/rgb/rgb_0.png": b"x", "a/rgb/rgb_1.png": b"z"}
+
+
+class Kept:
+    """A state's value that counts how often it is read and written."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        pass
+
+    def deleteTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_waiting_frames_are_kept_in_one_value(spark):
+    kept, agent_of = Kept(), capture._OrderedAgent(agent.CONFIG, 0.05)
+    agent_of.init(kept)
+    rows = [Row(sequence_id=1, frame_index=i, due=10 + i, fitness=0.9, rmse=0.001, translation_m=0.0, rotation_deg=0.0) for i in range(500)]
+    assert list(agent_of.handleInputRows((1,), iter(rows), kept)) == [] and kept.calls == 2
+    assert [r["frame_index"] for r in agent_of.handleInputRows((1,), iter(rows[:3]), kept) if r["late"]] == [0, 1, 2] and kept.calls == 4
+
+
+def test_positions_are_taken_from_rows(spark):
+    """Each key's rows are few, so no data frame is made of them."""
+    kept, asof = Kept(), capture._AsOf()
+    asof.init(kept)
+    rows = [Row(sequence_id=1, ts=t, event_id=t, kind=k, position_m=p) for t, k, p in ((3, "frame", None), (2, "position", 0.5), (1, "frame", None), (4, "position", None), (5, "frame", None))]
+    got = [(r["event_id"], r["frame_index"], r["position_m"]) for r in asof.handleInputRows((1,), iter(rows), kept)]
+    assert got == [(1, 0, 0.0), (3, 1, 0.5), (5, 2, 0.5)] and kept.calls == 2
