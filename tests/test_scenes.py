@@ -5,8 +5,10 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldscan.functions.geometry import Camera, rotation_deg, translation_m
 from fieldscan.operators import neighbors, pixels, quality, registration, volume
@@ -184,6 +186,34 @@ def test_one_ply_file_is_read_by_many_tasks(spark, tmp_path, scheme):
     assert [r["x"] for r in small] == list(range(700)) and {r["g"] for r in small} == {0.2}
 
 
+def test_short_ply_ranges_are_read_together(spark, tmp_path):
+    """A task costs more than a range of some kB, so their number doesn't grow with the files."""
+    spark.dataSource.register(PlyDataSource)
+    df = spark.range(0, 20_000, 1, 3).selectExpr("cast(id as double) AS x", "0D AS y", "1D AS z")
+    df.write.format("ply").mode("append").option("path", str(tmp_path / "many")).save()
+    back = spark.read.format("ply").option("split_bytes", 1000).load(str(tmp_path / "many"))
+    assert back.rdd.getNumPartitions() < 100
+    assert sorted(r["x"] for r in back.select("x").collect()) == list(map(float, range(20_000)))
+
+
+def test_small_frames_are_given_out_together():
+    class Frames:
+        columns, schema = ["sequence_id", "frame_index", "rgb", "depth"], T.StructType.fromDDL("sequence_id string, frame_index long, rgb binary, depth binary")
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    color, depth, blank = (images.encode_png(x) for x in (np.full((2, 3, 3), 7, np.uint8), np.full((2, 3), 500, np.uint16), np.zeros((2, 3), np.uint16)))
+    rows = [("a", i, color, b"lost" if i % 10 == 3 else blank if i % 10 == 7 else depth) for i in range(300)]
+    out = list(images.decode_frames(Frames(), problems=True)(iter([pd.DataFrame(rows, columns=Frames.columns)])))
+    assert len(out) == 2 and [len(x) for x in out] == [240 * 6, 60]
+    assert out[0].iloc[-1].to_dict() == {"sequence_id": "a", "frame_index": 299, "u": 2, "v": 1, "r": 7, "g": 7, "b": 7, "depth_raw": 500, "problem": None}
+    assert list(out[1]["problem"].unique()) == ["imread failed", "empty cloud"] and out[1]["u"].isna().all()
+
+
 def test_failed_tasks_leave_no_ply_files(spark, tmp_path):
     spark.dataSource.register(PlyDataSource)
     good = spark.range(100).selectExpr("cast(id as double) AS x", "0D AS y", "0D AS z").repartition(2)
