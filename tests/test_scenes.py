@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldscan.functions import scratch
 from fieldscan.functions.geometry import Camera, rotation_deg, translation_m
 from fieldscan.operators import neighbors, pixels, quality, registration, volume
 from fieldscan.plans import reconstruct
@@ -186,6 +187,24 @@ def test_one_ply_file_is_read_by_many_tasks(spark, tmp_path, scheme):
     assert [r["x"] for r in small] == list(range(700)) and {r["g"] for r in small} == {0.2}
 
 
+def test_large_frames_are_numbered_in_ranges(spark):
+    """A frame isn't sorted in one task: ids by position are the same, cut into ranges or not."""
+    rows = [(1, k % 2, float(k * 37 % 101), float(k * 11 % 7), float(k % 3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "sequence_id long, frame_index long, x double, y double, z double")
+    got = {(r["frame_index"], r["point_id"]): (r["x"], r["y"], r["z"]) for r in neighbors.renumbered(df, 30).collect()}
+    want = {(f, i + 1): p for f in (0, 1) for i, p in enumerate(sorted(r[2:] for r in rows if r[1] == f))}
+    assert got == want == {(r["frame_index"], r["point_id"]): (r["x"], r["y"], r["z"]) for r in neighbors.renumbered(df).collect()}
+    assert neighbors.renumbered(df.limit(0)).count() == 0
+
+
+def test_voxels_are_grouped_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS", 50)
+    df = spark.range(1000).selectExpr("1L AS sequence_id", "id % 100 AS frame_index", "id % 7 / 2D AS x", "id % 5 / 2D AS y", "0D AS z")
+    out = neighbors.voxel_downsample(df, 0.5)
+    assert "20), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString() and out.agg(F.sum("n")).first()[0] == 1000
+    assert neighbors.voxel_downsample(df.limit(0), 0.5).count() == 0
+
+
 def test_short_ply_ranges_are_read_together(spark, tmp_path):
     """A task costs more than a range of some kB, so their number doesn't grow with the files."""
     spark.dataSource.register(PlyDataSource)
