@@ -205,6 +205,23 @@ def test_voxels_are_grouped_in_as_many_tasks_as_rows_need(spark, monkeypatch):
     assert neighbors.voxel_downsample(df.limit(0), 0.5).count() == 0
 
 
+def test_gradients_start_at_stored_normals(spark, monkeypatch):
+    """Else the rounds of neighbours that gradients take would find the normals anew."""
+
+    class Seen(Exception):
+        pass
+
+    def gradient(points, *args):
+        raise Seen(points._jdf.queryExecution().toString())
+
+    monkeypatch.setattr(registration, "color_gradient", gradient)
+    cloud = spark.createDataFrame([(1, f, k, k / 10, f / 10, 1.0, 0.5, 0.5, 0.5) for f in (0, 1) for k in range(5)], CLOUD)
+    pairs = spark.createDataFrame([(1, 0, 1)], "sequence_id long, source_frame long, target_frame long")
+    with pytest.raises(Seen) as seen:
+        registration.icp_colored(pairs, cloud, 0.1)
+    assert "Join" not in str(seen.value) and "ArrowEvalPython" not in str(seen.value)
+
+
 def test_short_ply_ranges_are_read_together(spark, tmp_path):
     """A task costs more than a range of some kB, so their number doesn't grow with the files."""
     spark.dataSource.register(PlyDataSource)
