@@ -470,3 +470,18 @@ def test_cells_a_ball_can_touch(spark):
     assert neighbors._around()._jc.toString().count("AS k") == 8
     plan = neighbors.nn_correspondence(cloud, cloud, 0.25, ["sequence_id", "frame_index"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_level_clouds_are_looked_up_in_few_rounds(spark, monkeypatch):
+    """The spacing of a level or straight cloud isn't that of a volume, a point carries its place to the next round, and one without a place has no row."""
+    grid = np.stack(np.meshgrid(np.arange(18) / 80, np.arange(16) / 80), -1).reshape(-1, 2)
+    level = cloud(spark, np.column_stack([grid, np.ones(288)]))
+    line = cloud(spark, np.column_stack([np.arange(100) / 80, np.zeros(100), np.zeros(100)]))
+    assert 1 / 80 < neighbors.usual_spacing(level, 10) < 4 / 80
+    assert 5 / 80 < neighbors.usual_spacing(line, 10) < 20 / 80
+    names, store = [], scratch.stored
+    monkeypatch.setattr(neighbors, "stored", lambda df, name="step": (names.append(name), store(df, name))[1])
+    lost = level.limit(2).withColumns({"point_id": F.col("point_id") + 1000, "x": F.when(F.col("point_id") == 0, float("nan"))})
+    got = neighbors.knn(level.unionByName(lost), 10).collect()
+    assert len(got) == 2880 and {r["point_id"] for r in got} == set(range(288))
+    assert names.count("knn") <= 2 and set(names) == {"placed", "knn"}
