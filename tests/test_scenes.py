@@ -485,3 +485,12 @@ def test_level_clouds_are_looked_up_in_few_rounds(spark, monkeypatch):
     got = neighbors.knn(level.unionByName(lost), 10).collect()
     assert len(got) == 2880 and {r["point_id"] for r in got} == set(range(288))
     assert names.count("knn") <= 2 and set(names) == {"placed", "knn"}
+
+
+def test_gradients_query_makes_normals_once(spark, monkeypatch):
+    from fieldscan.plans import queries
+
+    names, store = [], scratch.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name="step": (names.append(name), store(df, name))[1])
+    assert queries.QUERIES["color_gradient"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "normals" in names
