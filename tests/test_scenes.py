@@ -494,3 +494,15 @@ def test_gradients_query_makes_normals_once(spark, monkeypatch):
     monkeypatch.setattr(queries, "stored", lambda df, name="step": (names.append(name), store(df, name))[1])
     assert queries.QUERIES["color_gradient"](spark, "/root/testdata/sf0.001").count() > 0
     assert "normals" in names
+
+
+def test_few_matches_are_searched_once_each_three(spark):
+    """Without a pose that fits well all hypotheses are drawn; of few matches no three is tried twice, so the search ends."""
+    rng = np.random.default_rng(4)
+    s, t = rng.uniform(0, 1, (9, 3)), rng.uniform(0, 1, (9, 3))
+    t[:3] = s[:3] + [0.1, 0.2, 0.3]
+    points = cloud(spark, s, 0).unionByName(cloud(spark, t, 1))
+    df = spark.createDataFrame([(1, 0, 1, i, i) for i in range(9)], "sequence_id long, source_frame long, target_frame long, source_id long, target_id long")
+    got = registration.recover_feature_init(df, points, 0.001, 1 << 40, 1.0).collect()
+    assert [r["inliers"] for r in got] == [3]
+    assert np.abs(np.array(got[0]["T"]).reshape(4, 4)[:3, 3] - [0.1, 0.2, 0.3]).max() < 1e-6
