@@ -506,3 +506,41 @@ def test_few_matches_are_searched_once_each_three(spark):
     got = registration.recover_feature_init(df, points, 0.001, 1 << 40, 1.0).collect()
     assert [r["inliers"] for r in got] == [3]
     assert np.abs(np.array(got[0]["T"]).reshape(4, 4)[:3, 3] - [0.1, 0.2, 0.3]).max() < 1e-6
+
+
+def test_pairs_are_not_broadcast_beyond_a_bound(spark, monkeypatch):
+    """Pairs, their transforms and sums grow with the frames; beyond a fixed number no join of registration takes them through the driver."""
+    from fieldscan.operators import poses
+
+    monkeypatch.setattr(scratch, "FEW", 1)
+    xy = np.stack(np.meshgrid(np.arange(8) / 10, np.arange(8) / 10), -1).reshape(-1, 2)
+    points = np.column_stack([xy, 0.3 * np.sin(6 * xy[:, 0]) * np.cos(5 * xy[:, 1]) + 1])
+    frames = cloud(spark, points, 0).unionByName(cloud(spark, points + [0.02, 0, 0.01], 1)).unionByName(cloud(spark, points + [0.04, 0, 0.02], 2))
+    pairs = spark.createDataFrame([(1, 1, 0), (1, 2, 1)], "sequence_id long, source_frame long, target_frame long")
+    plans, store = [], scratch.stored
+
+    def noted(df, name="step"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name)
+
+    monkeypatch.setattr(registration, "stored", noted)
+    out = registration.icp_colored(pairs, frames, 0.1, 4, None, False)
+    rows = sorted(out.select("source_frame", "fitness", "rmse").collect())
+    assert [r["source_frame"] for r in rows] == [1, 2] and all(r["fitness"] > 0.9 and r["rmse"] < 0.02 for r in rows)
+    assert {"targets", "sources", "icp"} <= {name for name, _ in plans}
+    chain = poses.pose_chain(out.select("sequence_id", F.col("source_frame").alias("frame_index"), "T"))
+    plans.append(("chain", chain._jdf.queryExecution().executedPlan().toString()))
+    assert not [name for name, plan in plans if "BroadcastHashJoin" in plan]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Rounds don't add up on disk: what was shuffled for a stored table goes with the query that wrote it, and the session's setting stays."""
+    import glob
+
+    before = spark.conf.get(scratch.CLEANUP)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: sum(len(glob.glob(f"{d}/*/shuffle_*.data")) for d in local)
+    start = held()
+    out = scratch.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "sums")
+    assert held() <= start and out.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get(scratch.CLEANUP) == before
