@@ -544,3 +544,17 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     out = scratch.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "k"), "sums")
     assert held() <= start and out.agg(F.sum("count")).first()[0] == 1000
     assert spark.conf.get(scratch.CLEANUP) == before
+
+
+def test_only_places_go_to_every_cell(spark, monkeypatch):
+    """A point is looked up in eight cells, which get its place alone; its normal and grey come to the nearest, with the same neighbours."""
+    points = cloud(spark, np.random.default_rng(5).uniform(0, 1, (40, 3)))
+    ready = neighbors.estimate_normals(points.withColumn("grey", F.col("r")), 0.5)
+    sent, pairs = [], neighbors.neighbor_pairs
+    monkeypatch.setattr(neighbors, "neighbor_pairs", lambda some, *more: (sent.append(some.columns), pairs(some, *more))[1])
+    near = neighbors.knn_hybrid(ready, 0.5, 5)
+    assert sent and all(c == [*neighbors.POINT, "x", "y", "z"] for c in sent)
+    own = {r["point_id"]: (r["nx"], r["ny"], r["nz"], r["grey"]) for r in ready.collect()}
+    rows = near.collect()
+    assert len(rows) == len({(r["point_id"], r["o_point_id"]) for r in rows}) > 100
+    assert all(np.allclose(own[r["point_id"]], [r["nx"], r["ny"], r["nz"], r["grey"]]) and np.allclose(own[r["o_point_id"]], [r["o_nx"], r["o_ny"], r["o_nz"], r["o_grey"]]) for r in rows)
