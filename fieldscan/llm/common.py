@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A key is heavy if it has at least one in so many of all rows; hence this bounds the number of heavy keys.
 HEAVY_SHARE = 2048
 HEAVY_LEAST = 1000
+#: Rows of a stored table of narrow rows up to which Spark may broadcast it.
+FEW = 1 << 17
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,6 +43,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def many(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that is never broadcast, nor is the other one.
+
+    Spark guesses the size of rows from their file and their columns' types, and so finds exploded, packed and long rows far
+    smaller than they are; a broadcast of them goes through the driver's memory.
+    """
+    return df.hint("merge")
+
+
+def few_or_many(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a side of joins that is left to Spark while its ``rows`` are FEW, and else never broadcast."""
+    return df if rows <= FEW else many(df)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with marks behind it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -72,13 +88,13 @@ def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count_col: st
     """``rows`` joined to ``heads``, one narrow row for each key that says how many rows the key has.
 
     Rows of heavy keys take their head from a broadcast of bounded size, so no task gets all rows of one key; the others
-    are joined by key.
+    are joined by key, by a shuffle, as heads may be as many as rows.
     """
     heavy = heavy_keys(heads, keys, count_col)
     if heavy.isEmpty():
-        return rows.join(heads, keys)
+        return rows.join(many(heads), keys)
     hot = F.broadcast(heads.join(F.broadcast(heavy.select(*keys)), keys, "left_semi"))
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(heads, keys))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(many(heads), keys))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

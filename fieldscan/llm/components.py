@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few_or_many
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,9 @@ def components(links: DataFrame) -> DataFrame:
         "edges",
     )
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("comp")), "labels")
+    nodes = labels.count()
     while True:
+        labels = few_or_many(labels, nodes)
         near = both.join(labels.select(F.col("node").alias("u"), F.col("comp").alias("c")), "u").groupBy("v").agg(F.min("c").alias("c"))
         lower = labels.join(near, labels["node"] == near["v"]).select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("to"))

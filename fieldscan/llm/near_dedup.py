@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_keys, join_heads, numbered, text_or_empty
+from .common import FEW, cut, heavy_keys, join_heads, many, numbered, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -230,7 +230,7 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     rows = rows.select("rid", F.explode(classes).alias("size"), "band", "key")
     rows = rows.select("rid", F.xxhash64("size", "band", "key").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    return rows.join(several, "bucket")
+    return rows.join(many(several), "bucket")
 
 
 def neighbour_pairs(nodes: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def neighbour_pairs(nodes: DataFrame) -> DataFrame:
 
     pairs = rows.mapInArrow(run, "a long, b long").distinct()
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("rid").alias(side), F.col("keys").alias(f"k{side}"), F.col("n").alias(f"n{side}")), side)
+        pairs = pairs.join(many(nodes.select(F.col("rid").alias(side), F.col("keys").alias(f"k{side}"), F.col("n").alias(f"n{side}"))), side)
     pairs = pairs.where(F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
     equal = sum(((F.col("ka")[i] == F.col("kb")[i]).cast("int") for i in range(BANDS)), F.lit(0))
     return pairs.select("a", "b", equal.alias("agree"))
@@ -263,9 +263,14 @@ def neighbour_pairs(nodes: DataFrame) -> DataFrame:
 
 def mixed_nodes(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """``rid, comp``: the nodes of buckets that hold several components."""
-    rows = shared.join(comps.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "bucket", F.coalesce("comp", "rid").alias("comp"))
+    rows = shared.join(many(comps.withColumnRenamed("node", "rid")), "rid", "left").select("rid", "bucket", F.coalesce("comp", "rid").alias("comp"))
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return rows.join(mixed.select("bucket"), "bucket", "left_semi").select("rid", "comp").distinct()
+    return rows.join(many(mixed.select("bucket")), "bucket", "left_semi").select("rid", "comp").distinct()
+
+
+def _words_of(asked: DataFrame, words: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``words`` (rid, words) that the ``rows`` rids of ``asked`` name: by a broadcast of FEW at most, else by a shuffle."""
+    return words.join(F.broadcast(asked) if rows <= FEW else many(asked), "rid", "left_semi")
 
 
 def prefixes(nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -284,10 +289,10 @@ def prefixes(nodes: DataFrame, words: DataFrame, least: float) -> DataFrame:
                 columns = [pa.array(np.repeat(batch.column("rid").to_numpy(), n)), pa.array(np.repeat(n.astype(np.int32), n)), pa.array(labelled.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "n", "token"])
 
-    rows = cut(nodes.select("rid").join(words, "rid").mapInArrow(run, "rid long, n int, token long"), "shingles")
+    rows = cut(_words_of(nodes.select("rid"), words, nodes.count()).mapInArrow(run, "rid long, n int, token long"), "shingles")
     often = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     own = W.partitionBy("rid")
-    ranked = rows.join(often, "token").withColumn("rank", F.row_number().over(own.orderBy("c", "token")) + F.col("n") - F.count("*").over(own))
+    ranked = rows.join(many(often), "token").withColumn("rank", F.row_number().over(own.orderBy("c", "token")) + F.col("n") - F.count("*").over(own))
 
     def among(share: float) -> Column:
         return F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
@@ -316,7 +321,7 @@ def sampled_pairs(rows: DataFrame, least: float, turn: int) -> DataFrame:
     some = some.select("token", "cb", F.col("x.rid").alias("b"), F.col("x.n").alias("nb"), F.col("x.rank").alias("rb"))
     several = rows.groupBy("comp").agg(F.countDistinct("rid").alias("nodes")).where("nodes > 1").select(F.col("comp").alias("cb"))
     room = _fits(least)[0] | _fits(least, "b", "a")[0]
-    both = one.join(some.join(several, "cb", "left_semi"), "token").where((F.col("ca") != F.col("cb")) & room)
+    both = one.join(many(some.join(many(several), "cb", "left_semi")), "token").where((F.col("ca") != F.col("cb")) & room)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -331,12 +336,12 @@ def prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
     group = lambda df, c: df.groupBy("token", F.col("comp").alias(f"c{c}")).agg(*ends).withColumnsRenamed({k: f"{k}{c}" for k in ("lo", "hi", "room")})
     least_need = F.ceil((F.col("loa") + F.col("lob")) * (least / (1 + least)) - 1e-9)
     likely = (F.col("loa") <= F.col("hib")) & (F.col("hia") >= least * F.col("lob")) & (1 + F.least("rooma", "roomb") >= least_need)
-    meet = group(rows.where("short"), "a").join(group(rows, "b"), "token").where((F.col("ca") != F.col("cb")) & likely).select("token", "ca", "cb", "lob", "hib", "roomb")
+    meet = group(rows.where("short"), "a").join(many(group(rows, "b")), "token").where((F.col("ca") != F.col("cb")) & likely).select("token", "ca", "cb", "lob", "hib", "roomb")
     side = lambda df, c: df.select("token", F.col("comp").alias(f"c{c}"), F.col("rid").alias(c), F.col("n").alias(f"n{c}"), F.col("rank").alias(f"r{c}"))
     # a member of the one component, with the best that the other may have
     fits_some = (F.col("na") <= F.col("hib")) & (F.col("na") >= least * F.col("lob"))
     fits_some &= 1 + F.least(F.col("na") - F.col("ra"), "roomb") >= F.ceil((F.col("na") + F.greatest("na", "lob")) * (least / (1 + least)) - 1e-9)
-    both = side(rows.where("short"), "a").join(meet, ["token", "ca"]).where(fits_some).drop("lob", "hib", "roomb").join(side(rows, "b"), ["token", "cb"])
+    both = side(rows.where("short"), "a").join(many(meet), ["token", "ca"]).where(fits_some).drop("lob", "hib", "roomb").join(many(side(rows, "b")), ["token", "cb"])
     fits, need = _fits(least)
     found = both.where(fits).groupBy("a", "b").agg(F.count("*").alias("common"), *[F.max(c).alias(c) for c in ("ra", "rb", "na", "nb")])
     found = found.where(F.col("common") + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need)
@@ -345,25 +350,25 @@ def prefix_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     """``comps`` (node, comp) after more links between nodes."""
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    side = lambda c: many(comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")))
     bridges = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
     over = components(bridges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     over = over.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    every = comps.unionByName(over.select(F.col("comp").alias("node"), "comp").join(comps, "node", "left_anti"))
-    return cut(every.join(over, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "comps")
+    every = comps.unionByName(over.select(F.col("comp").alias("node"), "comp").join(many(comps), "node", "left_anti"))
+    return cut(every.join(many(over), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "comps")
 
 
-def _with_words(joined: DataFrame, pairs: DataFrame, words: DataFrame, side: str) -> DataFrame:
-    """``joined`` with the words of one side of ``pairs`` (a, b); the pairs of a text that has many are spread over tasks."""
+def _with_words(joined: DataFrame, pairs: DataFrame, words: DataFrame, side: str, rows: int) -> DataFrame:
+    """``joined`` with the words of one side of the ``rows`` ``pairs`` (a, b); the pairs of a text that has many are spread over tasks."""
     parts = F.ceil(F.col("rows_of_key") / PAIRS_PER_TASK).cast("int").alias("parts")
     heavy = heavy_keys(pairs.groupBy(side).agg(F.count("*").alias("rows_of_key")), [side]).select(side, parts)
-    heads = words.select(F.col("rid").alias(side), F.col("words").alias(f"t{side}"))
+    heads = _words_of(pairs.select(F.col(side).alias("rid")), words, rows).select(F.col("rid").alias(side), F.col("words").alias(f"t{side}"))
     if heavy.isEmpty():
-        return joined.join(heads, side)
+        return joined.join(many(heads), side)
     every = F.coalesce("parts", F.lit(1))
     left = joined.join(F.broadcast(heavy), side, "left").withColumn("salt", F.pmod(F.hash("a", "b"), every)).drop("parts")
     right = heads.join(F.broadcast(heavy), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), every - 1))).drop("parts")
-    return left.join(right, [side, "salt"]).drop("salt")
+    return left.join(many(right), [side, "salt"]).drop("salt")
 
 
 def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -387,8 +392,9 @@ def _verify(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
                     good.append(aligned(pa_[x], pb[y], la[x], lb[y], least) >= least)
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = _with_words(pairs.select("a", "b"), pairs, words, "a")
-    both = _with_words(both, pairs, words, "b")
+    n = pairs.count()
+    both = _with_words(pairs.select("a", "b"), pairs, words, "a", n)
+    both = _with_words(both, pairs, words, "b", n)
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -411,7 +417,7 @@ def _classes(rows: DataFrame, similarity: float) -> DataFrame:
     nodes = cut(worded.groupBy("fp").agg(F.min(F.struct("rid", "n", "keys")).alias("x"), F.count("*").alias("copies")).select("fp", "copies", "x.*"), "nodes")
     shared = cut(shared_buckets(nodes), "shared")
     involved = cut(shared.select("rid").distinct(), "involved")
-    involved = F.broadcast(involved) if involved.count() <= BROADCAST_KEYS else involved
+    involved = F.broadcast(involved) if involved.count() <= BROADCAST_KEYS else many(involved)
     words = cut(hashed_words(rows.join(involved, "rid", "left_semi")), "words")
     pairs = cut(neighbour_pairs(nodes.join(involved, "rid", "left_semi")).where(F.col("agree") >= LIKELY), "pairs")
 
@@ -422,7 +428,7 @@ def _classes(rows: DataFrame, similarity: float) -> DataFrame:
 
     def apart(some: DataFrame) -> DataFrame:
         """Pairs between components, with these: the others can't change a class."""
-        side = lambda c: found.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+        side = lambda c: many(found.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")))
         named = some.join(side("a"), "a", "left").join(side("b"), "b", "left")
         ends = {"low": F.least(F.coalesce("ca", "a"), F.coalesce("cb", "b")), "high": F.greatest(F.coalesce("ca", "a"), F.coalesce("cb", "b"))}
         return named.withColumns(ends).where("low != high").drop("ca", "cb")
@@ -431,27 +437,27 @@ def _classes(rows: DataFrame, similarity: float) -> DataFrame:
         more = cut(_verify(some, words, similarity), "links")
         return found if more.isEmpty() else _joined(found, more)
 
-    found = linked(cut(apart(pairs.join(best, ["a", "b"], "left_anti")).select("a", "b"), "other-pairs"))
+    found = linked(cut(apart(pairs.join(many(best), ["a", "b"], "left_anti")).select("a", "b"), "other-pairs"))
     mixed = cut(mixed_nodes(shared, found), "mixed-nodes")
     rare = cut(prefixes(mixed, words, similarity), "prefixes")
 
     def with_comp() -> DataFrame:
-        return rare.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        return rare.join(many(found.withColumnRenamed("node", "rid")), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
 
     tested = pairs.select("a", "b")
     for turn in range(SAMPLES):
-        some = cut(sampled_pairs(with_comp(), similarity, turn).join(tested, ["a", "b"], "left_anti"), "sampled-pairs")
+        some = cut(sampled_pairs(with_comp(), similarity, turn).join(many(tested), ["a", "b"], "left_anti"), "sampled-pairs")
         tested, before = tested.unionByName(some), found
         found = linked(some)
         if found is before:
             break
-    left = cut(prefix_pairs(with_comp(), similarity).join(tested, ["a", "b"], "left_anti"), "untested")
+    left = cut(prefix_pairs(with_comp(), similarity).join(many(tested), ["a", "b"], "left_anti"), "untested")
     first = apart(left).groupBy("low", "high").agg(F.max(F.struct("common", "a", "b")).alias("x")).select("x.a", "x.b")
     first = cut(first, "first-pairs")
     found = linked(first)
-    found = linked(cut(apart(left.join(first, ["a", "b"], "left_anti")).select("a", "b"), "last-pairs"))
+    found = linked(cut(apart(left.join(many(first), ["a", "b"], "left_anti")).select("a", "b"), "last-pairs"))
 
-    named = nodes.select("fp", "copies", F.col("rid").alias("node")).join(found, "node", "left").select("fp", "copies", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.select("fp", "copies", F.col("rid").alias("node")).join(many(found), "node", "left").select("fp", "copies", F.coalesce("comp", "node").alias("comp"))
     member = join_heads(worded.select("rid", "doc_id", "fp"), named, ["fp"], "copies").select("rid", "doc_id", "comp")
     member = member.unionByName(made.where("n = 0").select("rid", "doc_id", F.col("rid").alias("comp")))
     member = cut(member, "members")

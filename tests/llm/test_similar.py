@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldscan.llm import decontam, near_dedup, queries
+from fieldscan.llm import common, components, decontam, near_dedup, queries
 
 DOCS = "doc_id long, text string, rid long, comp string, n int"
 
@@ -267,3 +267,25 @@ def test_leaks_with_names_that_begin_sentences(spark, tmp_path):
     out = {r["doc_id"]: r for r in decontam.find_leaks(spark.read.parquet(f"{tmp_path}/d"), bench).collect()}
     assert set(out) == {1, 2, 3, 4} or set(out) == {1, 2, 3, 4, 5}
     assert out[1]["agreement"] == 1.0 and out[2]["covered"] == out[2]["windows"]
+
+
+def test_exploded_rows_and_pairs_are_not_broadcast(spark, monkeypatch):
+    """Sketches that are exploded look as small as their file; a broadcast of them, or of links, passes through the driver."""
+    monkeypatch.setattr(common, "FEW", -1)
+    monkeypatch.setattr(near_dedup, "FEW", -1)
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
+    plans, written = [], common.cut
+
+    def seen(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "cut", seen)
+    words = [[f"w{random.Random(g).randrange(9**6)}x{k}" for k in range(40)] for g in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 12][: 40 - i // 12])) for i in range(36)], "doc_id long, text string")
+    got = near_dedup.near_classes(docs)
+    plans.append(("classes", got._jdf.queryExecution().executedPlan().toString()))
+    assert {(r.doc_id % 12, r.class_size) for r in got.collect()} == {(g, 3) for g in range(12)}
+    assert {"shared", "pairs", "edges", "prefixes", "classes"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
