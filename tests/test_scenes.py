@@ -558,3 +558,17 @@ def test_only_places_go_to_every_cell(spark, monkeypatch):
     rows = near.collect()
     assert len(rows) == len({(r["point_id"], r["o_point_id"]) for r in rows}) > 100
     assert all(np.allclose(own[r["point_id"]], [r["nx"], r["ny"], r["nz"], r["grey"]]) and np.allclose(own[r["o_point_id"]], [r["o_nx"], r["o_ny"], r["o_nz"], r["o_grey"]]) for r in rows)
+
+
+def test_means_are_summed_in_the_order_of_pairs(spark):
+    """A mean that lies on a limit is judged by the sum in the order of pairs, as SQL's over rows that lie so, however the rows are dealt."""
+    orders = {0: [0.0091, 0.0098, 0.0009, 0.0073, 0.0082, 0.0018, 0.0027, 0.0002], 1: [0.0073, 0.0018, 0.0002, 0.0027, 0.0009, 0.0091, 0.0098, 0.0082]}
+    assert sorted(orders[0]) == sorted(orders[1])
+    rows = [(s, k, 1.0, 1.0, 9, 1.0, x, 0.0, "") for s, xs in orders.items() for k, x in enumerate(xs)]
+    rows += [(s, 9, 1.0, 1.0, 9, 1.0, 1.0, 0.0, "empty cloud") for s in orders]
+    metrics = spark.createDataFrame(rows, "sequence_id long, pair_index long, depth_validity double, median_depth_m double, n_points long, icp_fitness double, icp_rmse double, rotation_deg double, error string")
+    for n in (1, 5):
+        dealt = metrics.orderBy(F.desc("pair_index")).repartition(n)
+        means = {r.sequence_id: r["mean"] for r in quality.quality_aggregate(dealt).where("metric = 'icp_rmse'").collect()}
+        assert means == {0: 0.005000000000000001, 1: 0.004999999999999999}
+        assert {r.sequence_id: r.failing for r in quality.full_report(dealt).collect()} == {0: ["icp_rmse"], 1: []}
