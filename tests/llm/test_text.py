@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscan.llm import bpe, histogram, queries, toxicity, urls, warc
+from fieldscan.llm import bpe, common, histogram, queries, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, rid long, score string, n int"
 
@@ -409,3 +409,15 @@ def test_salvage(spark, tmp_path):
     log = warc.quarantined(warc.read_archives(spark, f"file://{tmp_path}")).orderBy("start").collect()
     n = len(record(b"one"))
     assert [(r["start"], r["end"]) for r in log][0] == (n, n + 7) and len(log) == 2
+
+
+def test_url_models_are_not_broadcast(spark):
+    """The model grows with the URLs, and its rows are far larger than their files; a broadcast passes through the driver."""
+    pages = spark.createDataFrame([(i, f"http://{'good' if i % 2 else 'bad'}{i}.example/{i}") for i in range(40)], "page_id long, url string")
+    strings = common.cut(urls.count_strings(pages.withColumn("label", F.col("page_id") % 2 == 1), "url", "label"))
+    model = urls.log_ratios(strings)
+    scored = urls.score_urls(pages, "page_id", "url", common.cut(model))
+    judged = urls.judge_urls(pages, [("example/", True)])
+    assert scored.count() == judged.count() == 40
+    for df in (model, scored, judged):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
