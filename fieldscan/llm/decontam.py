@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, text_or_empty
+from .common import cut, many, numbered, text_or_empty
 
 WINDOW = 5
 SHARE = 0.8
@@ -183,29 +183,29 @@ def find_leaks(
     rarest = ranked.where(F.col("rank") <= F.col("windows") - F.ceil(F.col("windows") * SHARE - 1e-9) + 1).where("c > 0")
     probes = of_item.join(rarest, ["item", "window"]).select("item", "windows", "h", "words")
     pairs = held.join(small(probes), ["h", "words"]).select("rid", "item", "windows").distinct()
-    met = held.join(pairs, "rid").join(small(of_item), ["item", "h", "words"])
+    met = held.join(many(pairs), "rid").join(small(of_item), ["item", "h", "words"])
     leaks = met.groupBy("rid", "item", "windows").agg(F.countDistinct("window").alias("covered")).where(F.col("covered") >= SHARE * F.col("windows"))
     leaks = cut(leaks.withColumn("pair", F.monotonically_increasing_id()), "leak-pairs")
 
     def of_pairs(matches: DataFrame, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """Windows of documents (rid) that stand in the items which they are paired with."""
-        return matches.join(pairs.select("rid", "item", "pair", "windows"), "rid").join(small(held), ["item", "h", "words"])
+        return matches.join(many(pairs.select("rid", "item", "pair", "windows")), "rid").join(small(held), ["item", "h", "words"])
 
     slotted = items.where(_literals(F.col("words")) < WINDOW).select("item", "h", "words", F.col("values").alias("item_values")).distinct()
     values = seen.where(_literals(F.col("words")) < WINDOW).select("rid", "h", "words", "values").distinct()
     agreed = _agreements(of_pairs(values, leaks, slotted), ["pair"])
-    whole = cut(leaks.join(agreed, "pair", "left").withColumn("agreement", F.coalesce("agreed", F.lit(1.0))), "leak-agreements")
+    whole = cut(leaks.join(many(agreed), "pair", "left").withColumn("agreement", F.coalesce("agreed", F.lit(1.0))), "leak-agreements")
 
     text = W.partitionBy("part")
     placed = items.withColumn("span", F.max("pos").over(text) - F.min("pos").over(text) + 1)
     placed = placed.select("part", "item", "h", "words", "span", "window", F.col("pos").alias("place"), F.col("values").alias("item_values"))
     open_pairs = whole.where(F.col("agreement") < AGREE)
     best = _best_occurrences(of_pairs(seen.drop("doc_id"), open_pairs, placed))
-    better = open_pairs.drop("covered", "agreement").join(best, "pair")
+    better = open_pairs.drop("covered", "agreement").join(many(best), "pair")
     columns = ["rid", "item", "covered", "windows", "agreement"]
     out = whole.where(F.col("agreement") >= AGREE).select(*columns).unionByName(better.select(*columns))
     named = seen.groupBy("rid").agg(F.first("doc_id").alias("doc_id"))
-    return out.join(named, "rid").select("rid", "doc_id", F.col("item.item_id").alias("item_id"), "covered", "windows", "agreement")
+    return out.join(many(named), "rid").select("rid", "doc_id", F.col("item.item_id").alias("item_id"), "covered", "windows", "agreement")
 
 
 def drop_leaks(

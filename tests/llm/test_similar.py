@@ -289,3 +289,13 @@ def test_exploded_rows_and_pairs_are_not_broadcast(spark, monkeypatch):
     assert {(r.doc_id % 12, r.class_size) for r in got.collect()} == {(g, 3) for g in range(12)}
     assert {"shared", "pairs", "edges", "prefixes", "classes"} <= {name for name, _ in plans}
     assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
+def test_leaks_of_documents_are_not_broadcast(spark):
+    """Tables with rows of documents are joined by shuffles; only those made of items may be broadcast."""
+    text = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([(i, text if i % 2 else f"other {i}") for i in range(8)], "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rid" in plan and "BroadcastHashJoin [rid" not in plan
+    assert sorted(r.doc_id for r in found.collect()) == [1, 3, 5, 7]
